@@ -82,13 +82,13 @@ def text_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int,
         at = to
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words of all rows, and where each row's words begin in them."""
     n = len(data)
     if not n:
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(offsets), dtype=np.int64)
-    inside = ~SPACE[data]
+    inside = ~separators[data]
     before = np.empty(n, dtype=bool)
     before[0] = False
     before[1:] = inside[:-1]
