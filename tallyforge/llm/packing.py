@@ -83,13 +83,13 @@ class Encoder:
             self.special = set(special)
             self.fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
-    def encode(self, texts: pa.Array) -> list[list[int]]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray | list[int]]:
         texts = pc.fill_null(texts, "")
         if self.fast is None:
             return [e.ids for e in self.slow.encode_batch(texts.to_pylist(), add_special_tokens=False)]
         plain = pc.match_substring_regex(texts, PLAIN)
         return [
-            self.fast.encode(t, allowed_special=self.special) if p else self.slow.encode(t, add_special_tokens=False).ids
+            self.fast.encode_to_numpy(t, allowed_special=self.special) if p else self.slow.encode(t, add_special_tokens=False).ids
             for t, p in zip(texts.to_pylist(), plain.to_pylist())
         ]
 
@@ -104,7 +104,7 @@ def tokenised(documents: DataFrame, params: PackParams = PackParams(), path: str
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [np.array([*x, params.closing_id], dtype=kind) for x in encoder.encode(part.column(1))]
+                ids = [np.append(x, params.closing_id).astype(kind) for x in encoder.encode(part.column(1))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())],
                     names=["doc_id", "ids", "n_tokens"],
