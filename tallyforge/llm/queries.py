@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, langid, mtree, packing, pii, quality
+from tallyforge.llm import decontaminate, langid, mtree, neardup, packing, pii, quality
 from tallyforge.llm.textcore import in_fold
 
 
@@ -58,6 +58,10 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.NearParams(shingle=3, percent=85))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_pack": op3_pack,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op7_quality": op7_quality,
     "op9_langid": op9_langid,
+    "op10_near": op10_near,
 }
 
 ORACLE_SQL: dict[str, str] = {
