@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, langid, mtree, neardup, packing, pii, quality
+from tallyforge.llm import decontaminate, langid, mtree, neardup, packing, pii, quality, substring
 from tallyforge.llm.textcore import in_fold
 
 
@@ -36,6 +36,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spanned.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), every.alias("spans"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.removed_words(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     weights = quality.fit(documents, table(spark, sf_dir, "labels"))
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pack": op3_pack,
     "op4_topk": op4_topk,
     "op5_pii": op5_pii,
+    "op6_substring": op6_substring,
     "op7_quality": op7_quality,
     "op9_langid": op9_langid,
     "op10_near": op10_near,
