@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, langid, mtree, neardup, packing, pii, quality, substring
+from tallyforge.llm import decontaminate, extract, langid, mtree, neardup, packing, pii, quality, substring
 from tallyforge.llm.textcore import in_fold
 
 
@@ -52,6 +52,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.with_length(extract.extracted(table(spark, sf_dir, "pages"))).select("page_id", "url", "text", "n_chars")
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     profiles = langid.fit(documents)
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_substring": op6_substring,
     "op7_quality": op7_quality,
+    "op8_extract": op8_extract,
     "op9_langid": op9_langid,
     "op10_near": op10_near,
 }
