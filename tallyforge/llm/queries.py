@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, extract, langid, mtree, neardup, packing, pii, quality, substring
+from tallyforge.llm import decontaminate, extract, langid, mtree, neardup, packing, pii, quality, substring, warc
 from tallyforge.llm.textcore import in_fold
 
 
@@ -19,6 +19,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archived(table(spark, sf_dir, "pages"), least_bytes=0)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -73,6 +78,7 @@ def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_warc": op2_warc,
     "op3_pack": op3_pack,
     "op4_topk": op4_topk,
     "op5_pii": op5_pii,
@@ -84,6 +90,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (
+            SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+                   list_transform(range(0, 8), lambda g: ('0x' || substr(sha1(h), g::INTEGER * 5 + 1, 5))::BIGINT) AS groups
+            FROM p
+        ), b AS (
+            SELECT page_id, payload_bytes, array_to_string(flatten(list_transform(groups, lambda v: list_transform([15, 10, 5, 0],
+                   lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31)::INTEGER + 1, 1)))), '') AS payload_digest
+            FROM d
+        ), m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM b)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM m
+    """,
     "op4_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
@@ -98,4 +119,29 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op6_substring": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        g AS (SELECT doc_id, s, array_to_string(ws[s : s + 12], ' ') AS k FROM w, unnest(range(1, len(ws) - 11)) AS t(s)),
+        f AS (SELECT k, min(doc_id) AS m FROM g GROUP BY k),
+        c AS (SELECT DISTINCT doc_id, s + o AS i FROM g JOIN f USING (k), unnest(range(0, 13)) AS t(o) WHERE m < doc_id),
+        x AS (SELECT doc_id, i, ws[i] AS word FROM w, unnest(range(1, len(ws) + 1)) AS t(i)),
+        k AS (SELECT x.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY x.i) AS kept FROM x ANTI JOIN c ON x.doc_id = c.doc_id AND x.i = c.i GROUP BY x.doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+    """,
+    "op10_near": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+            FROM documents
+        ), g AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[s : s + 2], ' ') AS k
+            FROM w, unnest(range(1, greatest(len(ws) - 1, CASE WHEN len(ws) > 0 THEN 2 ELSE 1 END))) AS t(s)
+        ), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both FROM g a JOIN g b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * n_both >= 85 * (nx.n + ny.n - n_both)),
+        r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+        c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+        SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept
+        FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+    """,
 }
