@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "invoice_kpis"
+from tallyforge.plans import queries as _queries
+from tallyforge.plans.oracles import ORACLE_SQL as ORACLE_SQL
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "price_chain_latest_moves"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    name: f
+    for name, f in vars(_queries).items()
+    if inspect.isfunction(f) and f.__module__ == _queries.__name__ and list(inspect.signature(f).parameters) == ["spark", "sf_dir"] and not name.startswith("_")
+}
