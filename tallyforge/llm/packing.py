@@ -64,25 +64,32 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks_path: str | None = None):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.fast = None
+        self.path, self.fast, self._slow = path, None, None
         if ranks_path:
             import base64
+            import json
 
             import public_tokenizers
             import tiktoken
 
             with open(ranks_path, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            special = {t.content: i for i, t in self.slow.get_added_tokens_decoder().items()}
+            with open(path, encoding="utf-8") as description:
+                special = {t["content"]: t["id"] for t in json.load(description)["added_tokens"]}
             self.special = set(special)
             self.fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+    @property
+    def slow(self):  # noqa: ANN201
+        if self._slow is None:
+            import os
+
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
+
     def encode(self, texts: pa.Array) -> list[np.ndarray | list[int]]:
         texts = pc.fill_null(texts, "")
         if self.fast is None:
@@ -113,6 +120,17 @@ def tokenised(documents: DataFrame, params: PackParams = PackParams(), path: str
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, n_tokens long")
 
 
+def term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of every document's different terms, by document, then term; one sort for all of them."""
+    sizes = np.array([len(d) for d in docs], dtype=np.int64)
+    key = (np.repeat(np.arange(len(docs), dtype=np.uint64), sizes) << np.uint64(32)) | np.concatenate(docs).astype(np.uint64)
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(np.append(first, len(key)))
+    key = key[first]
+    return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(docs[0].dtype), count
+
+
 def term_statistics(tokens: DataFrame, params: PackParams) -> tuple[np.ndarray, int, float]:
     """Documents that hold each term, the number of documents, and their mean length, over all documents."""
     kind = "<u2" if params.vocabulary <= 1 << 16 else "<u4"
@@ -120,11 +138,12 @@ def term_statistics(tokens: DataFrame, params: PackParams) -> tuple[np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(params.vocabulary + 2, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                x = np.frombuffer(ids.as_buffer(), kind)
-                held[np.unique(x)] += 1
-                held[-2] += 1
-                held[-1] += len(x)
+            for at in range(0, batch.num_rows, 1024):
+                docs = [np.frombuffer(x, kind) for x in batch.column(0).slice(at, 1024).to_pylist()]
+                _, term, _ = term_counts(docs)
+                held[: params.vocabulary] += np.bincount(term, minlength=params.vocabulary)
+                held[-2] += len(docs)
+                held[-1] += sum(map(len, docs))
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["term", "n"])
 
@@ -139,28 +158,25 @@ class Block:
     """An inverted index with BM25 weights over a list of documents."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, params: PackParams):
-        terms, owners, counts = [], [], []
-        self.queries = []
-        for k, ids in enumerate(docs):
-            t, c = np.unique(ids, return_counts=True)
-            terms.append(t)
-            counts.append(c)
-            owners.append(np.full(len(t), k))
-            weight = idf[t] * c / (c + params.k1)
-            top = np.argsort(-weight, kind="stable")[: params.query_terms]
-            self.queries.append((t[top], weight[top]))
-        term, owner, count = np.concatenate(terms), np.concatenate(owners), np.concatenate(counts)
-        order = np.argsort(term, kind="stable")
+        self.params, self.idf, self.size = params, idf, len(docs)
+        owner, self.term, self.count = term_counts(docs)
+        self.doc_begin = np.searchsorted(owner, np.arange(len(docs) + 1))
+        order = np.argsort(self.term, kind="stable")
         self.owner = owner[order]
-        term, count = term[order], count[order]
+        term, count = self.term[order], self.count[order]
         length = np.array([len(d) for d in docs])[self.owner]
         self.weight = idf[term] * count * (params.k1 + 1) / (count + params.k1 * (1 - params.b + params.b * length / max(mean, 1e-9)))
         self.begin = np.searchsorted(term, np.arange(params.vocabulary + 1))
-        self.size = len(docs)
+
+    def query(self, seed: int) -> np.ndarray:
+        """The seed's most telling terms."""
+        own = slice(self.doc_begin[seed], self.doc_begin[seed + 1])
+        term, count = self.term[own], self.count[own]
+        return term[np.argsort(-self.idf[term] * count / (count + self.params.k1), kind="stable")[: self.params.query_terms]]
 
     def ranked(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """The unused documents that share one of the seed's terms, best first."""
-        spans = [slice(self.begin[t], self.begin[t + 1]) for t in self.queries[seed][0]]
+        spans = [slice(self.begin[t], self.begin[int(t) + 1]) for t in self.query(seed)]
         score = np.bincount(
             np.concatenate([self.owner[s] for s in spans]), weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.size
         )
@@ -245,11 +261,16 @@ def pack(documents: DataFrame, params: PackParams = PackParams(), path: str | No
         weights = stats.value
         for batch in batches:
             keys = np.zeros((batch.num_rows, 2), dtype=np.int32)
-            for k, ids in enumerate(batch.column(1)):
-                t, c = np.unique(np.frombuffer(ids.as_buffer(), kind), return_counts=True)
-                w = weights[t] * c / (c + params.k1)
-                top = np.argsort(-w, kind="stable")[:2]
-                keys[k, : len(top)] = t[top]
+            for at in range(0, batch.num_rows, 1024):
+                owner, term, count = term_counts([np.frombuffer(x, kind) for x in batch.column(1).slice(at, 1024).to_pylist()])
+                w = weights[term] * count / (count + params.k1)
+                begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+                for k in range(2):  # the best, then the best of the rest; of equal ones the smaller term
+                    best = np.maximum.reduceat(w, begin)
+                    hit = np.flatnonzero((w == best[owner]) & (best[owner] > 0))
+                    _, one = np.unique(owner[hit], return_index=True)
+                    keys[at + owner[hit[one]], k] = term[hit[one]]
+                    w[hit[one]] = -1.0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=[*batch.schema.names, "term1", "term2"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
