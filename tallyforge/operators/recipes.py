@@ -18,7 +18,7 @@ def closure(edges: DataFrame, recipes: DataFrame, levels: int = MOST_LEVELS) ->
     """root, recipe_id, depth (the least), batches: how much of each nested recipe's batch a root takes; the root itself at depth 0."""
     output = recipes.select(F.col("recipe_id").alias("sub_recipe_id"), "output_quantity")
     uses = edges.where(F.col("sub_recipe_id").isNotNull()).join(output, "sub_recipe_id")
-    uses = uses.where(F.col("output_quantity") > 0).select("recipe_id", "sub_recipe_id", (F.col("quantity") / F.col("output_quantity")).alias("share"))
+    uses = uses.where(F.col("output_quantity") > 0).select("recipe_id", "sub_recipe_id", (F.col("quantity") / F.col("output_quantity")).alias("share")).persist()
     level = recipes.select(F.col("recipe_id").alias("root"), "recipe_id", F.lit(0).alias("depth"), F.lit(1.0).alias("batches"))
     found = level
     for depth in range(1, levels + 1):

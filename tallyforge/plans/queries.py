@@ -38,7 +38,7 @@ def _contracts(rows: DataFrame) -> DataFrame:
 
 
 def _kitchen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return views.recipe_edges(spark, sf_dir), views.recipes(spark, sf_dir), views.ingredients(spark, sf_dir)
+    return views.recipe_edges(spark, sf_dir).persist(), views.recipes(spark, sf_dir), views.ingredients(spark, sf_dir)
 
 
 def price_chain_latest_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +202,11 @@ def alert_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alerts_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = [alert_below_target(spark, sf_dir), alert_concentration(spark, sf_dir), alert_stale(spark, sf_dir)]
+    edges, made, catalog = _kitchen(spark, sf_dir)
+    costs = _costs(edges, made, catalog).persist()
+    low = alerts.below_target(recipes.margins(made, costs))
+    heavy = alerts.concentration(recipes.top_lines(recipes.all_lines(edges, made, catalog, costs)))
+    found = [low, heavy, alert_stale(spark, sf_dir)]
     return alerts.ranked(found).select("place", "kind", "subject_id", "severity", "priority")
 
 
