@@ -147,7 +147,7 @@ def best_run(same: np.ndarray, identity: float) -> tuple[int, int, int] | None:
     best = None
     low = np.minimum.accumulate(gain)
     for j in range(len(hits) - 1, -1, -1):
-        if best and j + 1 <= best[2]:
+        if best and j + 1 < best[2]:
             break
         # the earliest i with gain[i] - 1 <= gain[j] - identity + rounding
         fits = np.flatnonzero(gain[: j + 1] <= gain[j] + 1 - identity + 1e-9) if low[j] <= gain[j] + 1 - identity + 1e-9 else ()

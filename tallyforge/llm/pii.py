@@ -149,7 +149,10 @@ def disclosures(spanned: DataFrame, params: PiiParams = PiiParams(), text: str =
 
 
 def with_spans(documents: DataFrame, params: PiiParams = PiiParams(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows with base_spans, and term_spans whose value is `generalise` or `remove`."""
+    """The rows with base_spans, and term_spans whose value is `generalise` or `remove`.
+
+    No column may have one of these names or begin with an underscore; `sanitise` takes any.
+    """
     spanned = with_base_spans(documents, text)
     found = disclosures(spanned, params, text)
     held = spanned.where(F.size("base_spans") > 0).select(key, F.explode(F.array_distinct(F.transform("base_spans", _entity))).alias("entity"))
@@ -184,11 +187,14 @@ def sanitised(spanned: DataFrame, text: str = "text") -> DataFrame:
 
 
 def sanitise(documents: DataFrame, params: PiiParams = PiiParams(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents with their texts sanitised, and the columns they came with; n_chars, if there, follows the text."""
-    out = sanitised(with_spans(documents, params, text, key), text)
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.length(text).cast("long"))
-    return out.select(*documents.columns)
+    """The documents with their texts sanitised, and the columns they came with, whatever their names; n_chars, if there, follows the text."""
+    others = [c for c in documents.columns if c != text]
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("body"), F.struct(*others).alias("others"))
+    out = sanitised(with_spans(rows, params, "body", "key"), "body")
+    back = {c: F.col("others")[c] for c in others} | {text: F.col("body")}
+    if "n_chars" in others:
+        back["n_chars"] = F.when(F.col("body").isNotNull(), F.length("body")).otherwise(back["n_chars"]).cast(documents.schema["n_chars"].dataType)
+    return out.select(*[back[c].alias(c) for c in documents.columns])
 
 
 def counted(spans: Column, kind: str) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.textcore import SPACE, in_fold, mix, ngram_hashes, seeds, span_hashes, text_chunks, within_rows, word_spans
+from tallyforge.llm.textcore import SPACE, free_name, in_fold, mix, ngram_hashes, seeds, span_hashes, text_chunks, within_rows, word_spans
 
 _SHAPE = np.zeros(256, dtype=np.uint8)
 _SHAPE[0x61:0x7B] = 1
@@ -173,6 +173,7 @@ def score(documents: DataFrame, weights: np.ndarray, params: QualityParams = Qua
 
 
 def reject(documents: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """The documents that the classifier keeps, with the columns they came with."""
-    kept = score(documents, fit(documents, labels, params), params)
-    return kept.where(F.col("quality_pred") == 1).select(*documents.columns)
+    """The documents that the classifier keeps, with the columns they came with, also such as have the names of its own."""
+    away = {c: free_name(c + "_", documents.columns) for c in ("quality_score", "quality_pred") if c in documents.columns}
+    kept = score(documents.withColumnsRenamed(away), fit(documents, labels, params), params).where(F.col("quality_pred") == 1)
+    return kept.drop("quality_score", "quality_pred").withColumnsRenamed({v: k for k, v in away.items()}).select(*documents.columns)

@@ -168,3 +168,10 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 def in_fold(doc_id: Column, parts: int = 4, fold: int = 2) -> Column:
     """Whether crc32 of the id as text leaves the given remainder."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == fold, F.lit(False))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores behind it until no column has it."""
+    while name in taken:
+        name += "_"
+    return name
