@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.textcore import written
+from tallyforge.llm.textcore import binary_views, written
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ class PackParams:
     b: float = 0.75
     query_terms: int = 24
     shard_docs: int = 2048
-    block_tokens: int = 4_000_000
+    block_tokens: int = 2_000_000
 
 
 #: Texts of these characters alone (ASCII, Latin and common punctuation) are split alike by both libraries; others go to the slower one.
@@ -139,7 +139,7 @@ def term_statistics(tokens: DataFrame, params: PackParams) -> tuple[np.ndarray,
         held = np.zeros(params.vocabulary + 2, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                docs = [np.frombuffer(x, kind) for x in batch.column(0).slice(at, 1024).to_pylist()]
+                docs = binary_views(batch.column(0).slice(at, 1024), kind)
                 _, term, _ = term_counts(docs)
                 held[: params.vocabulary] += np.bincount(term, minlength=params.vocabulary)
                 held[-2] += len(docs)
@@ -262,7 +262,7 @@ def pack(documents: DataFrame, params: PackParams = PackParams(), path: str | No
         for batch in batches:
             keys = np.zeros((batch.num_rows, 2), dtype=np.int32)
             for at in range(0, batch.num_rows, 1024):
-                owner, term, count = term_counts([np.frombuffer(x, kind) for x in batch.column(1).slice(at, 1024).to_pylist()])
+                owner, term, count = term_counts(binary_views(batch.column(1).slice(at, 1024), kind))
                 w = weights[term] * count / (count + params.k1)
                 begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
                 for k in range(2):  # the best, then the best of the rest; of equal ones the smaller term
@@ -295,7 +295,8 @@ def pack(documents: DataFrame, params: PackParams = PackParams(), path: str | No
                 )
 
         for batch in batches:
-            for doc_id, ids, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for k in range(batch.num_rows):
+                doc_id, ids, n = (batch.column(c)[k].as_py() for c in range(3))
                 waiting.append((doc_id, n, ids))
                 size += n
                 if size >= params.block_tokens:

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that are worked on at once; a longer text is one piece on its own.
 CHUNK_BYTES = 1 << 20
 
+#: Rows that are converted at once, so that a batch is never copied whole.
+SLICE_ROWS = 512
+
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
@@ -63,23 +66,28 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def text_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Splits a string column into (first row, row behind the last, bytes, row offsets); null counts as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    n = len(column)
-    if not n:
-        return
+    for base in range(0, len(column), SLICE_ROWS):
+        part = pc.fill_null(column.slice(base, SLICE_ROWS).cast(pa.large_string()), "")
+        n = len(part)
+        _, raw_offsets, raw = part.buffers()
+        offsets = np.frombuffer(raw_offsets, dtype=np.int64)[part.offset : part.offset + n + 1]
+        data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, dtype=np.uint8)
+        at = 0
+        while at < n:
+            to = int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1
+            to = min(max(to, at + 1), n)
+            yield base + at, base + to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+            at = to
+
+
+def binary_views(column: pa.Array, dtype: str) -> list[np.ndarray]:
+    """Each value of a binary column without nulls as numbers, without a copy."""
     _, raw_offsets, raw = column.buffers()
-    offsets = np.frombuffer(raw_offsets, dtype=np.int64)[column.offset : column.offset + n + 1]
+    offsets = np.frombuffer(raw_offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, dtype=np.uint8)
-    at = 0
-    while at < n:
-        to = int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1
-        to = min(max(to, at + 1), n)
-        yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        at = to
+    return [data[a:b].view(dtype) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
