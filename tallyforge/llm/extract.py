@@ -72,7 +72,11 @@ def _totals(page: Page) -> tuple[list[int], list[int]]:
     return chars, linked
 
 
-def fit(pages: Iterable[str]) -> TreeModel:
+#: Share of their evidence that features count with: they overlap, and counting each in full would be too sure of itself.
+TEMPER = 0.45
+
+
+def fit(pages: Iterable[str], temper: float = TEMPER) -> TreeModel:
     """The model counted from labelled pages."""
     prior, step = np.full(2, 0.5), np.full((2, 2), 0.5)
     seen = [Counter(), Counter()]
@@ -91,7 +95,7 @@ def fit(pages: Iterable[str]) -> TreeModel:
     weight = {}
     for f in seen[0].keys() | seen[1].keys():
         a, b = (seen[1][f] + 0.5) / (total[1] + 1), (seen[0][f] + 0.5) / (total[0] + 1)
-        weight[f] = math.log(a / b)
+        weight[f] = temper * math.log(a / b)
     return TreeModel(np.log(prior / prior.sum()), np.log(step / step.sum(axis=1, keepdims=True)), weight)
 
 
@@ -178,18 +182,19 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
         return other(["aside", "aside", "div", "section"], SIDE_NAMES, rng.choice([f"<h3>{words(1, 3)}</h3>{links()}", f"<h2>{words(1, 3)}</h2><p>{words(5, 30)}</p>", links(), paragraphs(1, 3), words(4, 20)]))
 
     def notice() -> str:
-        return other(["div", "div", "section", "aside", "dialog"], NOTICE_NAMES, rng.choice([f"<p>{words(5, 30)}</p>", words(5, 30)]) + rng.choice(["", f"<button>{words(1, 2)}</button>", link()]))
+        return other(["div", "div", "section", "aside", "dialog"], NOTICE_NAMES, rng.choice(["", "", f"<h3>{words(1, 4)}</h3>"]) + rng.choice([f"<p>{words(5, 30)}</p>", words(5, 30)]) + rng.choice(["", f"<button>{words(1, 2)}</button>", link()]))
 
     def advert() -> str:
         return other(["div", "div", "aside", "section", "p"], ADVERT_NAMES, rng.choice([words(3, 25), f"<p>{words(3, 25)}</p>", f"{link()} {words(3, 10)}"]))
 
     def form() -> str:
-        return other(["form", "form", "div"], FORM_NAMES, rng.choice([f"<label>{words(1, 3)}</label><input><button>{words(1, 2)}</button>", f"<p>{words(4, 15)}</p><input><button>{words(1, 1)}</button>", f"<fieldset><legend>{words(1, 3)}</legend><select><option>{words(1, 1)}</option></select></fieldset>"]))
+        return other(["form", "form", "div", "section"], FORM_NAMES, rng.choice(["", f"<h3>{words(1, 4)}</h3>"]) + rng.choice([f"<label>{words(1, 3)}</label><input><button>{words(1, 2)}</button>", f"<p>{words(4, 15)}</p><input><button>{words(1, 1)}</button>", f"<fieldset><legend>{words(1, 3)}</legend><select><option>{words(1, 1)}</option></select></fieldset>"]))
 
     def comments() -> str:
         one = lambda: rng.choice([f"<p>{words(4, 40)}</p>", f"<div>{words(4, 40)}</div>", f"<h4>{words(1, 2)}</h4><p>{words(4, 40)}</p>"])
         tag = rng.choice(["li", "div", "article"])
-        return other(["section", "div", "ol", "aside"], COMMENT_NAMES, "".join(f"<{tag}{names(COMMENT_NAMES, 0.7)}>{one()}</{tag}>" for _ in range(rng.randint(1, 5))))
+        title = f"<h{rng.randint(2, 4)}>{words(1, 4)}</h2>" if rng.random() < 0.6 else ""
+        return other(["section", "div", "ol", "aside"], COMMENT_NAMES, title + "".join(f"<{tag}{names(COMMENT_NAMES, 0.7)}>{one()}</{tag}>" for _ in range(rng.randint(1, 5))))
 
     def body() -> str:
         parts = []

@@ -65,8 +65,8 @@ def gram_rows(column: pa.Array, params: LangParams) -> Iterator[tuple[int, int,
             ok = row[:count] == row[n - 1 : n - 1 + count]
             for j in range(1, n - 1):
                 ok &= ~blank[j : j + count]
-            if n == 1:
-                ok &= ~blank
+            if n <= 2:  # a longer one has a letter inside
+                ok &= ~(blank[:count] & blank[n - 1 : n - 1 + count])
             keys.append(((mix(acc ^ _ORDER_SALT[n]) & mask) | (row[:count] << np.uint64(params.hash_bits)))[ok])
         key = np.concatenate(keys)
         key.sort()
