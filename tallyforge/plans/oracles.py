@@ -315,6 +315,71 @@ ORACLE_SQL["operational_health"] = f"""
     SELECT count(*) AS n_dishes, floor(count(*) FILTER (margin_pct >= 65) / count(*) * 100 + 0.5)::BIGINT AS on_target_pct, count(*) FILTER (margin_pct < 55) AS n_at_risk,
            round(avg(food_cost_pct), 4) AS avg_food_cost_pct, (SELECT greatest(0, 100 - 18 * trends - 12 * volatile) FROM k)::BIGINT AS stability FROM mar"""
 
+ORACLE_SQL |= {
+    "purchase_timeline": f"""
+        WITH {EVENTS}, m AS (
+            SELECT *, min(unit_price) OVER p AS lo, max(unit_price) OVER p AS hi, avg(unit_price) OVER p AS mean, row_number() OVER (PARTITION BY ingredient_id, unit_price ORDER BY chrono, event_id) AS k,
+                   row_number() OVER (PARTITION BY ingredient_id ORDER BY chrono DESC, event_id DESC) = 1 AND previous_price IS NOT NULL AS newest
+            FROM ev WINDOW p AS (PARTITION BY ingredient_id)
+        ), l AS (
+            SELECT ingredient_id, event_id, hi > lo AND unit_price = lo AND k = 1 AS is_best, hi > lo AND unit_price = hi AND k = 1 AS is_highest, newest AND coalesce(unit_price > previous_price * 1.03, FALSE) AS above_previous,
+                   newest AND unit_price > mean * 1.03 AS above_average, newest AND coalesce(from_supplier <> supplier_name, FALSE) AS switched FROM m
+        ) SELECT * FROM l WHERE is_best OR is_highest OR above_previous OR above_average OR switched""",
+    "compact_trend": f"""
+        WITH {LINES}, w AS (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY chrono DESC, invoice_id DESC, line_number DESC, supplier_id DESC, quantity DESC, total DESC, discount DESC, tax DESC) AS k FROM pl WHERE {since(90)}),
+        g AS (SELECT ingredient_id, count(*) AS n, max(unit_price) FILTER (k = 1) AS cur, max(unit_price) FILTER (k = 2) AS prior, avg(unit_price) AS mean, min(unit_price) AS lo, max(unit_price) AS hi FROM w GROUP BY 1)
+        SELECT ingredient_id, n AS n_purchases, round(cur, 4) AS current, round(prior, 4) AS prior, round(mean, 4) AS mean,
+               CASE WHEN n >= 2 AND (hi - lo) / lo >= 5 THEN 'volatile' WHEN cur > prior * 1.03 THEN 'recently-increased' WHEN n >= 3 AND cur > mean * 1.05 THEN 'rising' WHEN n >= 3 AND cur < mean * 0.95 THEN 'improving'
+                    WHEN cur > lo + 0.001 THEN 'rising' WHEN n >= 2 THEN 'stable' END AS state FROM g""",
+    "steadier_after_switch": f"""
+        WITH {EVENTS}, o AS (SELECT *, coalesce(delta_pct, 0) AS mv, row_number() OVER (PARTITION BY ingredient_id ORDER BY chrono, event_id) AS k FROM eh),
+        s AS (SELECT ingredient_id, event_id, from_supplier, supplier_name, k FROM o WHERE from_supplier <> supplier_name),
+        b AS (SELECT s.ingredient_id, s.k, count(*) AS n, stddev_pop(o.mv) AS sd FROM s JOIN o ON o.ingredient_id = s.ingredient_id AND o.k < s.k GROUP BY 1, 2),
+        a AS (SELECT s.ingredient_id, s.k, count(*) AS n, stddev_pop(o.mv) AS sd FROM s JOIN o ON o.ingredient_id = s.ingredient_id AND o.k >= s.k AND o.supplier_name = s.supplier_name GROUP BY 1, 2)
+        SELECT s.ingredient_id, event_id, from_supplier, supplier_name, b.n AS n_before, a.n AS n_after, round(b.sd, 4) AS spread_before, round(a.sd, 4) AS spread_after
+        FROM s JOIN b ON b.ingredient_id = s.ingredient_id AND b.k = s.k JOIN a ON a.ingredient_id = s.ingredient_id AND a.k = s.k WHERE b.n >= 2 AND a.n >= 2 AND b.sd >= 4 AND a.sd <= b.sd * 0.55 AND a.sd <= 2.5""",
+    "supplier_signals": f"""
+        WITH {HISTORY}, w AS (SELECT supplier_name, avg(delta_pct) AS m, stddev_pop(delta_pct) AS sd, count(delta_pct) AS n FROM ph WHERE {since(90)} GROUP BY 1),
+        t AS (SELECT supplier_name, trend FROM ({ORACLE_SQL['supplier_temporal_trend']}))
+        SELECT w.supplier_name, n AS n_events, round(m, 4) AS avg_pct, round(sd, 4) AS spread, trend,
+               CASE WHEN abs(m) < 2 AND n >= 2 AND trend = 'easing' AND sd >= 4 THEN 'stabilizing_after_volatility' WHEN abs(m) < 2 AND n >= 2 AND sd <= 1.5 THEN 'improving_consistency' WHEN abs(m) < 2 AND n >= 2 THEN 'stable_pricing'
+                    WHEN m >= 2 AND (trend = 'accelerating' OR n >= 2) THEN 'sustained_increase' WHEN trend = 'easing' AND abs(m) >= 2 THEN 'stabilizing_after_volatility' WHEN m >= 2 THEN 'sustained_increase' ELSE 'stable_pricing' END AS signal
+        FROM w JOIN t ON t.supplier_name = w.supplier_name""",
+    "ingredient_decisions": f"""
+        WITH RECURSIVE {HISTORY}, {KITCHEN.strip()}, n AS (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY chrono DESC, invoice_id DESC, line_number DESC, supplier_id DESC, quantity DESC, total DESC, discount DESC, tax DESC) AS k FROM ph),
+        f AS (SELECT e.ingredient_id, share_pct, monthly, n_recipes, delta_pct, greatest(floor(epoch((SELECT d FROM last_day) - chrono) / 86400), 0) AS age, (SELECT count(DISTINCT supplier_name) FROM pl WHERE pl.ingredient_id = e.ingredient_id) AS ns
+              FROM expo e LEFT JOIN n ON n.ingredient_id = e.ingredient_id AND n.k = 1),
+        b AS (SELECT *, coalesce(share_pct > 60, FALSE)::INTEGER + coalesce(delta_pct > 10, FALSE)::INTEGER + coalesce(age > 45, FALSE)::INTEGER + (ns = 1)::INTEGER + (n_recipes >= 3)::INTEGER AS bumps, monthly * 0.001 AS impact FROM f),
+        s AS (SELECT *, CASE least(bumps, 3) WHEN 0 THEN 'info' WHEN 1 THEN 'watch' WHEN 2 THEN 'high' ELSE 'critical' END AS severity FROM b),
+        p AS (SELECT *, CASE WHEN severity = 'critical' OR impact >= 250 OR share_pct >= 70 THEN 'critical' WHEN severity = 'high' OR impact >= 75 OR share_pct >= 60 THEN 'warning' WHEN severity = 'watch' OR impact >= 25 OR share_pct >= 55 THEN 'monitor' ELSE 'informational' END AS priority FROM s)
+        SELECT ingredient_id, severity, priority, CASE WHEN priority = 'critical' THEN 'now' WHEN priority = 'warning' AND impact >= 50 THEN 'now' WHEN age > 45 THEN 'monitor' WHEN priority IN ('warning', 'monitor') THEN 'monitor' WHEN impact < 10 THEN 'background' ELSE 'monitor' END AS tier FROM p""",
+    "recommendations": f"""
+        WITH RECURSIVE {KITCHEN}, c AS (SELECT mar.recipe_id AS candidate_id, p_name AS dedupe_key, split_part(p_name, ' ', -1) AS title, round(65 - margin_pct, 4) AS impact FROM mar JOIN part ON p_partkey = mar.recipe_id WHERE margin_pct < 65),
+        a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY impact DESC, candidate_id) AS k FROM c) WHERE k = 1),
+        b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY impact DESC, candidate_id) AS j FROM a) WHERE j = 1)
+        SELECT candidate_id, dedupe_key, title, impact FROM b ORDER BY impact DESC, candidate_id LIMIT 10""",
+    "alerts_merged": f"""
+        WITH l AS ({ORACLE_SQL['alert_below_target']}), h AS ({ORACLE_SQL['alert_concentration']})
+        SELECT * FROM l UNION ALL SELECT * FROM h WHERE subject_id NOT IN (SELECT subject_id FROM l)""",
+    "visit_changes": f"""
+        WITH {LINES}, c AS (SELECT supplier_name AS name, count(*) FILTER ({since(30)}) AS now, count(*) FILTER (NOT {since(30)}) AS "then" FROM pl WHERE {since(60)} GROUP BY 1)
+        SELECT name, now, "then", now - "then" AS change FROM c""",
+    "monetary_binding": f"""
+        WITH {values('v', 'id, n, gross, off, net, price, total', q.PRINTED)}, d AS (SELECT *, CASE WHEN gross IS NOT NULL AND off IS NOT NULL THEN round(gross * (1 - off / 100), 2) ELSE gross END AS derived FROM v)
+        SELECT id, round(CASE WHEN gross IS NULL AND off IS NOT NULL AND abs(price - off) < 0.01 AND n > 0 AND coalesce(net, total) IS NOT NULL THEN coalesce(net, total) / n
+                              WHEN n = 1 AND abs(n * gross * (1 - off / 100) - net) > 0.05 THEN net ELSE coalesce(derived, price) END, 4)::DOUBLE AS unit_price, round(coalesce(net, total), 4)::DOUBLE AS total FROM d""",
+    "subtotal_repair": f"""
+        WITH {values('v', 'invoice_id, line, quantity, unit_price, total, net_subtotal', q.SUBTOTALS)}, g AS (SELECT *, round(net_subtotal - sum(total) OVER (PARTITION BY invoice_id), 2) AS gap FROM v),
+        f AS (SELECT *, coalesce((abs(gap - 0.5) < 0.01 OR abs(gap - 1) < 0.01) AND quantity = 1 AND abs(unit_price - total) < 0.01 AND unit_price < 10 AND gap / unit_price <= 0.12, FALSE) AS fits FROM g),
+        r AS (SELECT *, fits AND count(*) FILTER (fits) OVER (PARTITION BY invoice_id) = 1 AS was_repaired FROM f)
+        SELECT invoice_id, line, (CASE WHEN was_repaired THEN unit_price + gap ELSE unit_price END)::DOUBLE AS unit_price, (CASE WHEN was_repaired THEN unit_price + gap ELSE total END)::DOUBLE AS total, was_repaired FROM r""",
+    "footer_arithmetic": f"""
+        WITH {values('v', 'id, net, vat, total', q.FOOTERS)} SELECT id, CASE WHEN net IS NULL OR vat IS NULL OR total IS NULL THEN NULL WHEN abs(round(net + vat, 2) - total) <= 0.02 THEN 'high' ELSE 'low' END AS confidence FROM v""",
+    "match_coverage": """
+        WITH c AS (SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders)
+        SELECT (SELECT count(*) FROM c WHERE n = 0) AS n_missing, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS n_orphan, (SELECT count(*) FROM c WHERE n > 1) AS n_duplicate""",
+}
+
 for _name, _sql in ORACLE_SQL.items():
     if " ing AS (" in _sql and _sql.lstrip().startswith("WITH ") and not _sql.lstrip().startswith("WITH RECURSIVE"):
         ORACLE_SQL[_name] = _sql.replace("WITH ", "WITH RECURSIVE ", 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import dates, packs, text, units
 from tallyforge.functions.numbers import half_up, monthly_exposure, unit_cost
-from tallyforge.operators import alerts, history, invoices, matching, quality, recipes, suppliers
+from tallyforge.operators import alerts, decisions, extraction, history, invoices, matching, quality, recipes, suppliers, timeline
 from tallyforge.sources import views
 from tallyforge.sources.views import PURCHASE_ORDER
 from tallyforge.streaming import price_chain
@@ -428,3 +428,109 @@ def streaming_price_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = source.select(F.col("user_id").alias("ingredient_id"), F.col("event_type").alias("supplier_name"), F.col("ts").alias("chrono"), "event_id", F.col("value").alias("unit_price"))
     rows = price_chain.run_available(events, views.shared_folder(spark, "price-chain"))
     return rows.select("ingredient_id", "event_id", *r4("unit_price", "previous_price", "delta", "delta_pct"))
+
+
+def purchase_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled purchases of the event log; rows without a label are left out."""
+    rows = timeline.labelled(views.price_events(spark, sf_dir), EVENT_ORDER)
+    marks = ["is_best", "is_highest", "above_previous", "above_average", "switched"]
+    some = F.greatest(*[F.coalesce(F.col(m), F.lit(False)) for m in marks])
+    return rows.where(some).select("ingredient_id", "event_id", *[F.coalesce(F.col(m), F.lit(False)).alias(m) for m in marks])
+
+
+def compact_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, as_of = _lines(spark, sf_dir)
+    found = timeline.compact_trend(history.since(rows, as_of, 90), PURCHASE_ORDER, volatile_from=5.0)
+    return found.select("ingredient_id", "n_purchases", *r4("current", "prior", "mean"), "state")
+
+
+def steadier_after_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = timeline.steadier_after_switch(price_chain.chained(views.price_events(spark, sf_dir)), EVENT_ORDER)
+    return rows.select("ingredient_id", "event_id", "from_supplier", "supplier_name", "n_before", "n_after", *r4("spread_before", "spread_after"))
+
+
+def supplier_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, as_of = _history(spark, sf_dir)
+    window = history.since(rows, as_of, 90).groupBy("supplier_name").agg(
+        F.avg("delta_pct").alias("avg_pct"), F.stddev_pop("delta_pct").alias("spread"), F.count("delta_pct").alias("n_events")
+    )
+    trend = suppliers.temporal_trend(rows, as_of).select("supplier_name", "trend")
+    return timeline.movement_signal(window.join(trend, "supplier_name")).select("supplier_name", "n_events", *r4("avg_pct", "spread"), "trend", "signal")
+
+
+def ingredient_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity, priority and tier of every exposed ingredient, from its share, its latest move, its age and its use."""
+    exposed, _ = _exposed(spark, sf_dir)
+    past, as_of = _history(spark, sf_dir)
+    latest = history.latest_moves(views.purchase_lines(spark, sf_dir), PURCHASE_ORDER).select("ingredient_id", "chrono", "delta_pct")
+    sources = past.groupBy("ingredient_id").agg(F.countDistinct("supplier_name").alias("n_suppliers"))
+    rows = exposed.join(latest, "ingredient_id", "left").join(sources, "ingredient_id", "left")
+    age = dates.days_since(F.col("chrono"), as_of)
+    factors = [F.col("share_pct") > 60, F.col("delta_pct") > 10, age > 45, F.col("n_suppliers") == 1, F.col("n_recipes") >= 3]
+    rows = rows.withColumn("severity", decisions.bumped_severity(F.lit("info"), factors))
+    impact = F.col("monthly") * 0.001
+    rows = rows.withColumn("priority", decisions.insight_priority(F.col("severity"), impact, F.col("share_pct")))
+    tier = decisions.decision_tier(F.col("priority"), impact, F.when(age > 45, "stale_pricing").otherwise("cost"), F.lit(None).cast("string"))
+    return rows.select("ingredient_id", "severity", "priority", tier.alias("tier"))
+
+
+def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best rise in price for each kind of dish: one for a name, one for its noun."""
+    edges, made, catalog = _kitchen(spark, sf_dir)
+    low = recipes.margins(made, _costs(edges, made, catalog)).where(F.col("margin_pct") < 65)
+    rows = low.select(F.col("recipe_id").alias("candidate_id"), F.col("name").alias("dedupe_key"), F.element_at(F.split("name", " "), -1).alias("title"), F.round(65 - F.col("margin_pct"), 4).alias("impact"))
+    return decisions.best_of_each(rows, 10)
+
+
+def alerts_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dishes below target, and with them those where one line weighs most; the first kind wins for a dish that has both."""
+    edges, made, catalog = _kitchen(spark, sf_dir)
+    costs = _costs(edges, made, catalog).persist()
+    low = alerts.below_target(recipes.margins(made, costs))
+    heavy = alerts.concentration(recipes.top_lines(recipes.all_lines(edges, made, catalog, costs)))
+    return decisions.merged_alerts(low, heavy, ["subject_id"])
+
+
+def visit_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases of each supplier in the last 30 days against the 30 before."""
+    rows, as_of = _lines(spark, sf_dir)
+    both = history.since(rows, as_of, 60)
+    late = F.col("chrono") >= as_of - F.expr("INTERVAL 30 DAYS")
+    count = lambda part: part.groupBy(F.col("supplier_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return decisions.visit_delta(count(both.where(~late)), count(both.where(late))).select("name", "now", "then", "change")
+
+
+PRINTED = [
+    (1, 2.0, 10.0, 20.0, 16.0, 10.0, 20.0), (2, 1.0, 10.0, 20.0, 7.5, 10.0, 7.5), (3, 3.0, None, 15.0, None, 15.0, 30.0), (4, 4.0, 2.5, None, 10.0, None, None),
+    (5, 2.0, None, None, None, 3.0, None), (6, None, 5.0, 10.0, 9.0, 5.0, 9.0),
+]
+PRINTED_COLUMNS = "id int, quantity double, gross_unit_price double, discount_pct double, line_total_net double, unit_price double, total double"
+
+
+def monetary_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(PRINTED, PRINTED_COLUMNS)
+    return extraction.bound_amounts(rows).select("id", *r4("unit_price", "total"))
+
+
+SUBTOTALS = [
+    (1, 1, 1.0, 8.5, 8.5, 29.5), (1, 2, 2.0, 10.0, 20.0, 29.5), (2, 1, 1.0, 8.5, 8.5, 18.0), (2, 2, 1.0, 9.0, 9.0, 18.0), (3, 1, 1.0, 3.0, 3.0, 4.0), (4, 1, 1.0, 5.0, 5.0, 5.0), (5, 1, 1.0, 9.0, 9.0, None),
+]
+
+
+def subtotal_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(SUBTOTALS, "invoice_id int, line int, quantity double, unit_price double, total double, net_subtotal double")
+    return extraction.repaired_to_subtotal(rows).select("invoice_id", "line", *r4("unit_price", "total"), "was_repaired")
+
+
+FOOTERS = [(1, 100.0, 23.0, 123.0), (2, 100.0, 23.0, 123.02), (3, 100.0, 23.0, 123.05), (4, None, 23.0, 123.0), (5, 10.005, 2.3, 12.3)]
+
+
+def footer_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.footer_check(spark.createDataFrame(FOOTERS, "id int, net_subtotal double, vat double, total double")).select("id", "confidence")
+
+
+def match_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines against orders: orders without a line, lines without an order, orders with several lines."""
+    orders = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"))
+    lines = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"))
+    return quality.coverage(orders, lines)

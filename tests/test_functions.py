@@ -4,8 +4,8 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from tallyforge.functions import dates, numbers, text, units
-from tallyforge.operators import history, invoices, quality
+from tallyforge.functions import dates, invoice_lines, numbers, text, units
+from tallyforge.operators import decisions, history, invoices, quality
 from tallyforge.sources import tables
 
 
@@ -78,3 +78,31 @@ def test_coverage(spark):
     items = spark.createDataFrame([(1,), (2,), (3,)], "item_id int")
     matches = spark.createDataFrame([(1,), (1,), (9,)], "item_id int")
     assert tuple(quality.coverage(items, matches).first()) == (2, 1, 1)
+
+
+def test_invoice_lines(spark):
+    rows = spark.createDataFrame(
+        [
+            (1, "AB1234 Tomate pelado 2,500 kg 3,20 € 6%", None, None, None, None), (2, "Leite  gordo 12 un 0,89", 12.0, "Unidades", 0.89, None), (3, "IBAN PT50 0000", None, None, None, None),
+            (4, "Rua das Flores 5", None, None, None, None), (5, "Frutas Lda", None, None, None, None), (6, "Frutas Lda", 1.0, None, None, None), (7, "12,50", None, None, None, None),
+            (8, "Molho (CARTÃO) - Produto de Stock", 1.0, "cx", None, None), (9, None, None, None, None, None), (10, "Queijo 3 kg 5,00", 4.0, "kg", None, None),
+        ],
+        "id int, name string, quantity double, unit string, unit_price double, total double",
+    )
+    got = {r.id: r for r in invoice_lines.cleaned(rows).collect()}
+    assert (got[1].name, got[1].quantity, got[1].unit, got[1].rejected) == ("Tomate pelado", 2.5, "kg", False)
+    assert (got[2].name, got[2].unit) == ("Leite gordo", "un")
+    assert [i for i, r in got.items() if r.rejected] == [3, 4, 5, 7, 9]
+    assert got[8].name == "Molho (CARTÃO)" and got[10].name == "Queijo 3 kg 5,00"
+    r = one(spark, a=invoice_lines.number(F.lit("1.234,5")), b=invoice_lines.number(F.lit("1,234.5")), c=invoice_lines.number(F.lit("€ 7")), d=invoice_lines.number(F.lit("x")), e=invoice_lines.is_surcharge(F.lit("Recarga combustível")))
+    assert (r.a, r.b, r.c, r.d, r.e) == (1234.5, 1234.5, 7.0, None, True)
+
+
+def test_decisions(spark):
+    r = one(
+        spark, a=decisions.bumped_severity(F.lit("info"), [F.lit(True), F.lit(True)]), b=decisions.bumped_severity(F.lit("high"), [F.lit(True)] * 5), c=decisions.bumped_severity(F.lit("positive"), [F.lit(True)]),
+        d=decisions.insight_priority(F.lit("info"), F.lit(80.0), F.lit(None).cast("double")), e=decisions.decision_tier(F.lit("informational"), F.lit(5.0), F.lit("cost"), F.lit(None).cast("string")),
+    )
+    assert (r.a, r.b, r.c, r.d, r.e) == ("high", "critical", "positive", "warning", "background")
+    change = decisions.visit_delta(spark.createDataFrame([("a", 1)], "name string, n int"), spark.createDataFrame([("a", 3), ("b", 2)], "name string, n int")).orderBy("name").collect()
+    assert [tuple(r) for r in change] == [("a", 3, 1, 2), ("b", 2, 0, 2)]
