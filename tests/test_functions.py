@@ -94,7 +94,7 @@ def test_invoice_lines(spark):
     assert (got[2].name, got[2].unit) == ("Leite gordo", "un")
     assert [i for i, r in got.items() if r.rejected] == [3, 4, 5, 7, 9]
     assert got[8].name == "Molho (CARTÃO)" and got[10].name == "Queijo 3 kg 5,00"
-    r = one(spark, a=invoice_lines.number(F.lit("1.234,5")), b=invoice_lines.number(F.lit("1,234.5")), c=invoice_lines.number(F.lit("€ 7")), d=invoice_lines.number(F.lit("x")), e=invoice_lines.is_surcharge(F.lit("Recarga combustível")))
+    r = one(spark, a=invoice_lines.number(F.lit("1.234,5")), b=invoice_lines.number(F.lit("1,234.5")), c=invoice_lines.number(F.lit("€ 7")), d=invoice_lines.number(F.lit("x")), e=invoice_lines.is_surcharge(F.lit("Recargo por combustible")))
     assert (r.a, r.b, r.c, r.d, r.e) == (1234.5, 1234.5, 7.0, None, True)
 
 
