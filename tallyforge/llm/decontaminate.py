@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.textcore import LOWER, mix, seeds, span_hashes, text_chunks, word_spans
+from tallyforge.llm.textcore import LOWER, lean, mix, seeds, span_hashes, text_chunks, word_spans
 
 _KEEP = np.zeros(256, dtype=bool)
 _KEEP[0x30:0x3A] = True
@@ -192,7 +192,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, params: LeakParams = Le
                     kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
-        here = docs.mapInArrow(run, schema)
+        here = docs.mapInArrow(lean(run), schema)
         found = here if found is None else found.unionByName(here)
     best = F.max_by(F.struct("matched_words", "start_word", "n_words", "item_start_word", "item_words"), F.struct(F.col("matched_words"), -F.col("start_word"), -F.col("item_start_word")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm.html_tree import CONTROLS, Page, parse
+from tallyforge.llm.textcore import lean
 
 # Words that layouts put into class, id and role.
 CONTENT_NAMES = ["content", "main", "article", "post", "entry", "story", "body", "text", "page", "prose", "blog", "news", "section", "lead", "intro", "single"]
@@ -249,7 +250,7 @@ def extracted(pages: DataFrame, model: TreeModel | None = None, html: str = "htm
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "text"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def with_length(rows: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.textcore import in_fold, mix, seeds, text_chunks
+from tallyforge.llm.textcore import in_fold, lean, mix, seeds, text_chunks
 
 
 @dataclass(frozen=True)
@@ -115,7 +115,7 @@ def fit(documents: DataFrame, params: LangParams = LangParams(), text: str = "te
         yield from flush()
 
     learn = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id")))
-    counts = learn.select(text, lang).mapInArrow(count, "lang string, gram long, n long")
+    counts = learn.select(text, lang).mapInArrow(lean(count), "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= params.profile)
@@ -164,4 +164,4 @@ def predict(documents: DataFrame, profiles: dict[str, np.ndarray], params: LangP
 
     documents = documents.drop("lang_pred", "lang_score")
     schema = T.StructType([*documents.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(lean(run), schema)

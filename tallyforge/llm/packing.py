@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.textcore import binary_views, written
+from tallyforge.llm.textcore import binary_views, lean, written
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,7 @@ def tokenised(documents: DataFrame, params: PackParams = PackParams(), path: str
                     names=["doc_id", "ids", "n_tokens"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, n_tokens long")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, ids binary, n_tokens long")
 
 
 def term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +147,7 @@ def term_statistics(tokens: DataFrame, params: PackParams) -> tuple[np.ndarray,
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["term", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids").mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     held = np.zeros(params.vocabulary + 2, dtype=np.int64)
     for term, n in rows:
         held[term] = n
@@ -309,8 +309,8 @@ def pack(documents: DataFrame, params: PackParams = PackParams(), path: str | No
         yield from rows()
 
     shards = max(1, math.ceil(n_docs / params.shard_docs))
-    dealt = tokens.mapInArrow(keyed, "doc_id long, ids binary, n_tokens long, term1 int, term2 int")
+    dealt = tokens.mapInArrow(lean(keyed), "doc_id long, ids binary, n_tokens long, term1 int, term2 int")
     dealt = dealt.repartitionByRange(shards, "term1", "term2", "doc_id").sortWithinPartitions("term1", "term2", "doc_id")
     return dealt.select("doc_id", "ids", "n_tokens").mapInArrow(
-        packed, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+        lean(packed), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )

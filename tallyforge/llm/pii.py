@@ -13,7 +13,7 @@ Spans count code points, end exclusive. Every pattern is matched leftmost and wi
 not tried again. Patterns are written so that they neither recurse nor rescan long runs, and match what the plain patterns match.
 
 Defined results: a null text has no spans and stays null; an empty one has none; repeated rows get equal spans, and exact copies of a text
-count as one text of evidence; extra columns pass through.
+are one text of evidence; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -118,13 +118,13 @@ def _terms(text: Column, params: PiiParams) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.length(w) >= params.least_letters)
 
 
-def disclosures(spanned: DataFrame, params: PiiParams = PiiParams(), text: str = "text") -> DataFrame:
+def disclosures(spanned: DataFrame, params: PiiParams = PiiParams(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """entity, term, disclosure of every pair at or over the threshold; spanned: rows with base_spans.
 
     Pairs are gathered only around entities. The documents of each term are counted over the whole corpus, in every task first.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    one = spanned.where(F.size("base_spans") > 0).select(F.xxhash64(body).alias("text_hash"), body.alias("body"), F.explode("base_spans").alias("span"))
+    one = spanned.where(F.size("base_spans") > 0).select(F.col(key).alias("unit"), F.xxhash64(body).alias("text_hash"), body.alias("body"), F.explode("base_spans").alias("span"))
     left_at = F.greatest(F.lit(0), F.col("span.start") - params.window)
     left = F.substring(F.col("body"), left_at + 1, F.col("span.start") - left_at)
     right = F.substring(F.col("body"), F.col("span.end") + 1, F.lit(params.window))
@@ -133,16 +133,15 @@ def disclosures(spanned: DataFrame, params: PiiParams = PiiParams(), text: str =
     beside = F.concat_ws(" ", left, right)
     for kind in KINDS:
         beside = F.regexp_replace(beside, PATTERNS[kind], " ")
-    near = one.select(_entity(F.col("span")).alias("entity"), "text_hash", _terms(beside, params).alias("terms"))
-    pairs = near.select("entity", "text_hash", F.explode("terms").alias("term")).distinct()
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= params.support)
-    entities = near.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    # Copies count once everywhere, so the units are different texts.
-    words = spanned.select(F.xxhash64(body).alias("text_hash"), _terms(body, params).alias("terms"))
-    n = F.lit(float(words.select(F.approx_count_distinct("text_hash", 0.01)).first()[0]))
-    held = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    near = one.select(_entity(F.col("span")).alias("entity"), "unit", "text_hash", _terms(beside, params).alias("terms"))
+    pairs = near.select("entity", "unit", "text_hash", F.explode("terms").alias("term")).distinct()
+    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.countDistinct("text_hash").alias("n_texts")).where(F.col("n_texts") >= params.support)
+    entities = near.select("entity", "unit").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    words = spanned.select(F.explode(_terms(body, params)).alias("term"))
+    held = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    n = F.lit(float(spanned.count()))
     both = pairs.join(held, "term").join(entities, "entity")
-    # Term counts hold copies too; a term is never in fewer different texts than the pair.
+    # Beside a masked entity's remains a term can be shorter than in the text itself, so its own count may be the smaller.
     pmi = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.greatest(F.col("n_term"), F.col("n_both"))))
     share = F.when(n > F.col("n_entity"), pmi / F.log2(n / F.col("n_entity"))).otherwise(F.lit(0.0))
     return both.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= params.threshold)
@@ -154,7 +153,7 @@ def with_spans(documents: DataFrame, params: PiiParams = PiiParams(), text: str
     No column may have one of these names or begin with an underscore; `sanitise` takes any.
     """
     spanned = with_base_spans(documents, text)
-    found = disclosures(spanned, params, text)
+    found = disclosures(spanned, params, text, key)
     held = spanned.where(F.size("base_spans") > 0).select(key, F.explode(F.array_distinct(F.transform("base_spans", _entity))).alias("entity"))
     told = held.join(found, "entity").groupBy(key, "term").agg(F.max("disclosure").alias("disclosure"))
     told = told.groupBy(F.col(key).alias("_key")).agg(

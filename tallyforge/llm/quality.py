@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.textcore import SPACE, free_name, in_fold, mix, ngram_hashes, seeds, span_hashes, text_chunks, within_rows, word_spans
+from tallyforge.llm.textcore import SPACE, free_name, in_fold, lean, mix, ngram_hashes, seeds, span_hashes, text_chunks, within_rows, word_spans
 
 _SHAPE = np.zeros(256, dtype=np.uint8)
 _SHAPE[0x61:0x7B] = 1
@@ -145,7 +145,7 @@ def fit(documents: DataFrame, labels: DataFrame, params: QualityParams = Quality
         T.StructField("doc_id", T.LongType()), T.StructField("_label", T.LongType()),
         T.StructField("_at", T.BinaryType()), T.StructField("_value", T.BinaryType()),
     ])
-    rows = texts.select(F.col("doc_id").cast("long"), "text", F.col("_label").cast("long")).mapInArrow(featurise, schema)
+    rows = texts.select(F.col("doc_id").cast("long"), "text", F.col("_label").cast("long")).mapInArrow(lean(featurise), schema)
     model = rows.groupBy(F.lit(1).alias("_one")).applyInPandas(train, "weights binary").collect()
     if not model:
         return np.zeros((1 << params.bits) + 1, dtype=np.float32)
@@ -169,7 +169,7 @@ def score(documents: DataFrame, weights: np.ndarray, params: QualityParams = Qua
 
     documents = documents.drop("quality_score", "quality_pred")
     schema = T.StructType([*documents.schema.fields, T.StructField("quality_score", T.DoubleType()), T.StructField("quality_pred", T.IntegerType())])
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(lean(run), schema)
 
 
 def reject(documents: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:

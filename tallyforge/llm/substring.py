@@ -10,10 +10,11 @@ Against the corpus itself (`removed_words`) the reference grows with the documen
 each shard's automaton is built where its part of the reference and the documents that can match it meet:
 
 1. Of each window of `window` words, the run of `anchor` words with the smallest hash is its anchor; equal windows have equal anchors.
-   Only places whose anchor another document has too go on: positions, not texts, are shuffled for this.
+   Only places whose anchor another document has too go on: positions, not texts, are shuffled for this. What a task finds shared among its own
+   documents is settled there, and one row goes on for all, so a very common passage sends a row per task, not one per document.
 2. The words around such an anchor, which hold every window that contains it, go to the shard of the anchor.
 3. A shard puts the different segments of its anchors into an automaton by ascending document, and streams each through it: a window
-   is removed if its first document is smaller than its own. A batch of segments is bounded; of an anchor with more, the first
+   is removed if its first document is smaller than its own; segments equal to a smaller document's in the same task are removed before. A batch of segments is bounded; of an anchor with more, the first
    document of each window is carried on from batch to batch.
 4. Removed windows go back to their documents, whose texts were shuffled once, for this and the step before.
 
@@ -29,10 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.textcore import document_words, ngram_hashes, within_rows
+from tallyforge.llm.textcore import document_words, lean, mix, ngram_hashes, within_rows
 
 
 @dataclass(frozen=True)
@@ -140,17 +142,40 @@ def anchors_of(words: np.ndarray, bounds: np.ndarray, params: SpanParams) -> tup
     return np.unique((np.arange(count) + at)[ok]), grams
 
 
+#: What is known of a row in the task that made it: nothing, that its anchor is shared and it stands for the rest, or that it is one of the rest.
+ALONE, STANDS_FOR, SETTLED = 0, 1, 2
+
+
+def _spread(docs: np.ndarray) -> np.ndarray:
+    """Routes that deal rows evenly, whatever their anchors."""
+    return mix(docs.astype(np.uint64)).view(np.int64)
+
+
 def _anchor_rows(params: SpanParams):
+    """Anchors with what one batch knows of them: of an anchor that several of its documents share only one row goes to the anchor's task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
+            anchors, docs, places = [], [], []
             for at, to, words, bounds in document_words(False, batch.column(1)):
                 place, grams = anchors_of(words, bounds, params)
                 row = np.searchsorted(bounds, place, side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[place].view(np.int64)), pa.array(ids[at:to][row]), pa.array((place - bounds[row]).astype(np.int32))],
-                    names=["anchor", "doc_id", "pos"],
-                )
+                anchors.append(grams[place].view(np.int64))
+                docs.append(ids[at:to][row])
+                places.append((place - bounds[row]).astype(np.int32))
+            if not sum(map(len, anchors)):
+                continue
+            anchor, doc, place = np.concatenate(anchors), np.concatenate(docs), np.concatenate(places)
+            order = np.lexsort((doc, anchor))
+            anchor, doc, place = anchor[order], doc[order], place[order]
+            begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            end = np.append(begin[1:], len(anchor))
+            shared = doc[begin] != doc[end - 1]
+            state = np.where(np.repeat(shared, end - begin), SETTLED, ALONE).astype(np.int8)
+            state[begin[shared]] = STANDS_FOR
+            route = np.where(state == SETTLED, _spread(doc), anchor)
+            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(doc), pa.array(place), pa.array(state)], names=["route", "doc_id", "pos", "state"])
 
     return run
 
@@ -164,12 +189,16 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return some.select(["doc_id", "pos"])
 
     for batch in batches:
+        settled = batch.column(3).to_numpy() == SETTLED
+        if settled.any():
+            yield out(batch.filter(pa.array(settled)))
+            batch = batch.filter(pa.array(~settled))
         if not batch.num_rows:
             continue
-        anchor, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        anchor, doc, state = (batch.column(k).to_numpy() for k in (0, 1, 3))
         begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         end = np.append(begin[1:], len(anchor))
-        shared = doc[begin] != doc[end - 1]
+        shared = (doc[begin] != doc[end - 1]) | np.logical_or.reduceat(state == STANDS_FOR, begin)
         if last is not None and anchor[0] == last[0]:
             if many or shared[0] or doc[0] != last[1]:
                 yield from map(out, held)
@@ -180,7 +209,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if keep.any():
             yield out(batch.filter(pa.array(keep)))
         if not shared[-1]:
-            if len(begin) > 1 or last is None or last[0] != anchor[-1]:
+            if len(begin) > 1:
                 held = []
             held.append(batch.slice(int(begin[-1])))
         else:
@@ -189,27 +218,36 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(params: SpanParams):
+    """The words around each anchor. Where a smaller document of the batch has the same segment, all its windows are removed and need no judging."""
     reach = params.window - params.anchor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(), batch.column(2)
+            anchor, doc, start, blob = [], [], [], []
             for at, to, words, bounds in document_words(False, batch.column(1)):
                 grams = ngram_hashes(words, params.anchor)
                 small = words.astype("<u4")
-                anchor, doc, start, blob = [], [], [], []
                 for r in range(to - at):
                     a, b = int(bounds[r]), int(bounds[r + 1])
                     for p in sorted(set(marks[at + r].as_py())):
                         low, high = max(a, a + p - reach), min(b, a + p + params.window)
                         anchor.append(grams[a + p])
-                        doc.append(ids[at + r])
+                        doc.append(int(ids[at + r]))
                         start.append(low - a)
                         blob.append(small[low:high].tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(anchor, dtype=np.uint64).view(np.int64)), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(blob, pa.binary())],
-                    names=["anchor", "doc_id", "start", "segment"],
-                )
+            least: dict[tuple[int, bytes], int] = {}
+            keys = list(zip(map(int, anchor), blob))
+            for key, d in zip(keys, doc):
+                least[key] = min(d, least.get(key, d))
+            done = np.array([least[key] < d for key, d in zip(keys, doc)], dtype=bool)
+            docs = np.array(doc, dtype=np.int64)
+            route = np.where(done, _spread(docs), np.array(anchor, dtype=np.uint64).view(np.int64))
+            windows = [len(x) // 4 - params.window + 1 for x in blob]
+            segment = pa.array([None if d else x for d, x in zip(done.tolist(), blob)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(route), pa.array(docs), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), segment], names=["route", "doc_id", "start", "windows", "segment"]
+            )
 
     return run
 
@@ -226,7 +264,7 @@ def _judge(params: SpanParams):
         def work(table: pa.RecordBatch, goes_on: bool) -> pa.RecordBatch:
             nonlocal carried, carried_anchor
             anchors, docs = table.column(0).to_numpy(), table.column(1).to_numpy()
-            starts, blobs = table.column(2).to_numpy(), table.column(3).to_pylist()
+            starts, blobs = table.column(2).to_numpy(), table.column(4).to_pylist()
             order = np.argsort(docs, kind="stable")
             automaton, firsts = SuffixAutomaton(), {}
             for k in order.tolist():
@@ -259,8 +297,17 @@ def _judge(params: SpanParams):
             doc, at = np.concatenate(out_doc or none), np.concatenate(out_start or none)
             return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at.astype(np.int32))], names=["doc_id", "start"])
 
+        def expanded(table: pa.RecordBatch) -> pa.RecordBatch:
+            n = table.column(3).to_numpy()
+            at = np.repeat(table.column(2).to_numpy() - np.cumsum(n) + n, n) + np.arange(n.sum())
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(table.column(1).to_numpy(), n)), pa.array(at.astype(np.int32))], names=["doc_id", "start"])
+
         held: pa.RecordBatch | None = None
         for batch in batches:
+            judged = batch.column(4).is_valid()
+            if judged.false_count:
+                yield expanded(batch.filter(pc.invert(judged)))
+                batch = batch.filter(judged)
             for a in range(0, batch.num_rows, step):
                 part = batch.slice(a, step)
                 if held is not None:
@@ -274,12 +321,12 @@ def _judge(params: SpanParams):
 
 def removed_windows(texts: DataFrame, params: SpanParams = SpanParams()) -> DataFrame:
     """doc_id, starts: the word positions of the windows of each document that a smaller document holds too. texts: doc_id, text."""
-    rows = texts.mapInArrow(_anchor_rows(params), "anchor long, doc_id long, pos int")
-    hits = rows.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_repeated, "doc_id long, pos int")
+    rows = texts.mapInArrow(lean(_anchor_rows(params)), "route long, doc_id long, pos int, state byte")
+    hits = rows.repartition("route").sortWithinPartitions(F.col("state") == SETTLED, "route", "doc_id").mapInArrow(lean(_repeated), "doc_id long, pos int")
     marks = hits.groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
-    segments = texts.join(marks, "doc_id").mapInArrow(_segments(params), "anchor long, doc_id long, start int, segment binary")
-    segments = segments.repartition("anchor").sortWithinPartitions("anchor", "doc_id")
-    gone = segments.mapInArrow(_judge(params), "doc_id long, start int")
+    segments = texts.join(marks, "doc_id").mapInArrow(lean(_segments(params)), "route long, doc_id long, start int, windows int, segment binary")
+    segments = segments.repartition("route").sortWithinPartitions(F.col("segment").isNull(), "route", "doc_id")
+    gone = segments.mapInArrow(lean(_judge(params)), "doc_id long, start int")
     return gone.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
 
 
@@ -310,7 +357,7 @@ def removed_words(documents: DataFrame, params: SpanParams = SpanParams()) -> Da
                     names=["doc_id", "n_words", "n_removed", "kept"],
                 )
 
-    return texts.join(gone, "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+    return texts.join(gone, "doc_id", "left").mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def against_reference(documents: DataFrame, reference: DataFrame, params: SpanParams = SpanParams()) -> DataFrame:
@@ -347,6 +394,6 @@ def against_reference(documents: DataFrame, reference: DataFrame, params: SpanPa
                     cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32()))]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_words"])
 
-        here = texts.mapInArrow(run, "doc_id long, start int, n_words int")
+        here = texts.mapInArrow(lean(run), "doc_id long, start int, n_words int")
         found = here if found is None else found.unionByName(here)
     return found.distinct()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.textcore import scratch_dir
+from tallyforge.llm.textcore import lean, scratch_dir
 
 # The fields of both versions' header lines.
 ARC_FIELDS = {
@@ -152,7 +152,7 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["record"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    rows.mapInArrow(run, "record string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    rows.mapInArrow(lean(run), "record string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
 _KEY = "part string, at long, page_id long, digest string, payload_bytes long, url string, date string, record_id string, kind string"
@@ -186,7 +186,7 @@ def converted(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return files.mapInArrow(run, _KEY + ", head string, payload string" * payloads)
+    return files.mapInArrow(lean(run), _KEY + ", head string, payload string" * payloads)
 
 
 def revisits(keys: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -265,7 +265,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f.split()[0] for f in schema.split(", ")])
 
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(lean(run), schema)
 
 
 def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
