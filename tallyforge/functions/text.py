@@ -82,3 +82,23 @@ def weakly_contains(a: Column, b: Column) -> Column:
     short = F.when(F.length(a) <= F.length(b), a).otherwise(b)
     long = F.when(F.length(a) <= F.length(b), b).otherwise(a)
     return (F.length(short) >= 5) & F.contains(F.concat(F.lit(" "), long, F.lit(" ")), F.concat(F.lit(" "), short, F.lit(" ")))
+
+
+# Words that put an ingredient into a cost category; the first category with one of its words counts.
+COST_WORDS = {
+    "meat": "beef novilho porco frango carne meat bacon ham lombo vazia acem acém peru turkey veal lamb borrego",
+    "dairy": "cheese queijo manteiga butter cream nata leite milk dairy iogurte yogurt",
+    "produce": "tomate onion cebola alho garlic salad lettuce alface pepper piment produce vegetable fruta fruit limão lemon cenoura carrot batata potato",
+    "sauces": "sauce molho ketchup maionese mayo hellmann mustard mostarda bbq relish vinagre vinegar dressing",
+    "bakery": "bread pão bun brioche farinha flour bakery bolo cake pastry massa dough",
+    "beverage": "cola soda beer cerveja wine vinho coffee café juice sumo water água beverage drink",
+}
+
+
+def cost_category(name: Column) -> Column:
+    """The cost category that a whole word of the name tells, `other` without one."""
+    words = F.split(F.lower(F.coalesce(name, F.lit(""))), r"[^\p{L}0-9_]+")
+    out = F.lit("other")
+    for category, known in reversed(COST_WORDS.items()):
+        out = F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in known.split()])), category).otherwise(out)
+    return out

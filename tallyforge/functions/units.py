@@ -66,3 +66,9 @@ def prep_line_cost(usage: Column, usage_unit: Column, batch_cost: Column, output
     made = base_quantity(output, output_unit)
     same = F.coalesce(unit_family(usage_unit), F.lit("countable")) == F.coalesce(unit_family(output_unit), F.lit("countable"))
     return F.when(same & (made > 0), base_quantity(usage, usage_unit) / made * batch_cost)
+
+
+def countable_line_cost(amount: Column, pack_price: Column, pieces: Column, per_piece: Column) -> Column:
+    """Cost of an amount in g or ml of goods bought by the piece, each of per_piece g or ml; null where a number is missing or cannot be."""
+    sound = (amount >= 0) & (pack_price >= 0) & (pieces > 0) & (per_piece > 0)
+    return F.when(sound, amount / per_piece * (pack_price / pieces))

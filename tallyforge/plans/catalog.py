@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.plans import queries as _queries
-from tallyforge.plans.oracles import ORACLE_SQL as ORACLE_SQL
+from tallyforge.plans import oracles, queries, review_oracles, review_queries
 
 FLAGSHIP = "price_chain_latest_moves"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    name: f
-    for name, f in vars(_queries).items()
-    if inspect.isfunction(f) and f.__module__ == _queries.__name__ and list(inspect.signature(f).parameters) == ["spark", "sf_dir"] and not name.startswith("_")
-}
+
+def _queries_of(module: ModuleType) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        name: f
+        for name, f in vars(module).items()
+        if inspect.isfunction(f) and f.__module__ == module.__name__ and list(inspect.signature(f).parameters) == ["spark", "sf_dir"] and not name.startswith("_")
+    }
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = _queries_of(queries) | _queries_of(review_queries)
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL | review_oracles.ORACLE_SQL
