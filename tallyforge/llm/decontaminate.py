@@ -5,7 +5,8 @@ replaced. The hashes of all benchmark windows under all masks are joined with th
 on a diagonal (document position less benchmark position); along it the two word sequences are compared position by position, and
 the longest run around the hit that keeps the asked share of equal words is the overlap. An overlap counts if it has enough equal words.
 
-The words are runs of letters, digits and non-ASCII characters, A-Z lower-cased, so punctuation and case don't hide a leak.
+The words are runs of letters, digits and other characters beyond ASCII, in lower case and compatibility form, with general punctuation
+between them, so neither punctuation nor case nor the way accents are written hides a leak, in any language.
 
 The benchmark is cut into slices of bounded size by item; each is broadcast and costs one pass over the documents, so memory is bounded whatever
 the benchmark's size, and nothing of the documents is shuffled but the overlaps found.
@@ -23,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.textcore import LOWER, lean, mix, seeds, span_hashes, text_chunks, word_spans
+from tallyforge.llm.textcore import SLICE_ROWS, lean, mix, seeds, span_hashes, text_chunks, word_spans
 
 _KEEP = np.zeros(256, dtype=bool)
 _KEEP[0x30:0x3A] = True
@@ -50,12 +52,25 @@ class LeakParams:
     slice_words: int = 1_000_000
 
 
+def _spaced(data: np.ndarray) -> np.ndarray:
+    """The bytes with blanks for the signs from U+0080 to U+00BF, from U+2000 to U+207F and from U+3000 to U+303F."""
+    data = data.copy()
+    two = np.flatnonzero(data[:-1] == 0xC2)
+    three = np.flatnonzero(((data[:-2] == 0xE2) & ((data[1:-1] & 0xFE) == 0x80)) | ((data[:-2] == 0xE3) & (data[1:-1] == 0x80)))
+    for at, size in ((two, 2), (three, 3)):
+        for k in range(size):
+            data[at + k] = 0x20
+    return data
+
+
 def word_rows(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row behind the last, word hashes, where each row's words begin)."""
-    for at, to, data, offsets in text_chunks(column):
-        data = LOWER[data]
-        starts, ends, bounds = word_spans(data, offsets, SEPARATORS)
-        yield at, to, span_hashes(data, starts, ends), bounds
+    for base in range(0, len(column), SLICE_ROWS):
+        part = pc.fill_null(column.slice(base, SLICE_ROWS).cast(pa.large_string()), "")
+        for at, to, data, offsets in text_chunks(pc.utf8_lower(pc.utf8_normalize(part, form="NFKC"))):
+            data = _spaced(data)
+            starts, ends, bounds = word_spans(data, offsets, SEPARATORS)
+            yield base + at, base + to, span_hashes(data, starts, ends), bounds
 
 
 _MASK_SALT = seeds(64, 5)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import pyarrow as pa
@@ -176,3 +177,10 @@ def test_word_rows_ignore_case_and_signs():
     rows = list(decontaminate.word_rows(pa.array(["Alpha, beta!", "alpha BETA"])))
     _, _, hashes, bounds = rows[0]
     assert Counter(hashes[: bounds[1]].tolist()) == Counter(hashes[bounds[1] :].tolist())
+
+
+def test_case_accents_and_signs_beyond_ascii_hide_no_leak(spark):
+    item = "Doesbo dora el ñ es queasarjarr mente ciónmiírr asesrr ños ueíos ueie osesgaiedo esci llar"
+    texts = [item.upper(), unicodedata.normalize("NFD", item), "«" + item.replace(" ", "\u00a0— ") + "»", "“" + item.replace(" ", "” “") + "…", "Größe é à ü " * 20, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {k for k, _ in leaks(spark, docs, [(1, item)])} == {0, 1, 2, 3}
