@@ -49,3 +49,25 @@ def footer_check(footers: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """confidence: high where net and tax make the total, low where they don't, null where one is missing."""
     gap = F.abs(cents(F.col("net_subtotal") + F.col("vat")) - F.col("total"))
     return footers.withColumn("confidence", F.when(gap.isNull(), None).when(gap <= tolerance + 1e-9, "high").otherwise("low"))
+
+
+def anchored_quantities(lines: DataFrame) -> DataFrame:
+    """lines: quantity, ocr_quantity, unit, unit_price, line_total_net, discount_pct. Adds anchored and mismatch; an anchored line takes the quantity of the scan.
+
+    Only discounted lines by the kilo whose scanned quantity is a fraction are in question. Where the two differ by more than 2 %, the scanned one
+    is taken if it makes the net total better by ten cents, or if the other fails arithmetic and it does not miss by more than fifty.
+    """
+    scan, read, total = F.col("ocr_quantity"), F.col("quantity"), F.col("line_total_net")
+    in_scope = (F.lower("unit") == "kg") & F.col("discount_pct").isNotNull() & (F.abs(scan - F.round(scan)) > 1e-9)
+    apart = cents(F.abs(scan - read) / F.greatest(scan, F.lit(0.01)) * 100)
+
+    def miss(quantity: Column) -> Column:
+        return cents(F.abs(total - quantity * F.col("unit_price")))
+
+    expected = cents(read * F.col("unit_price"))
+    gap = cents(F.abs(expected - cents(total)))
+    fails = (gap > 0.5) & (cents(gap / F.greatest(F.abs(cents(total)), F.abs(expected), F.lit(0.01)) * 100) > 5)
+    better = (miss(scan) < miss(read) - 0.1) | (fails & (miss(scan) <= 0.5))
+    anchored = F.coalesce(in_scope & (apart > 2) & total.isNotNull() & better, F.lit(False))
+    mismatch = F.coalesce(in_scope & (apart > 10), F.lit(False)) & ~anchored
+    return lines.withColumns({"anchored": anchored, "mismatch": mismatch, "quantity": F.when(anchored, scan).otherwise(read)})
