@@ -10,7 +10,9 @@
    of four standard deviations lets nearly every link through.
 4. In each cluster the full sets are compared, pairs already known to be connected excepted, and a link counts if
    100 * |intersection| >= percent * |union|. A cluster of more than `cluster` documents is first dealt by minwise token under each tree, and what
-   is then still too large at random, so a task never holds more than a bounded number of sets.
+   is then still too large at random beside the document most like the cluster: this connects most of it cheaply. Every two documents that it
+   leaves in different components then meet in a pair of blocks: blocks hold sets of like size and at most `block` shingles, each pair of
+   blocks is a task of its own, and sets are met by their rarest shingles and counted exactly. No link inside a cluster is missed.
 5. Confirmed links are joined to components.
 
 With 8 trees a pair at the threshold of 0.85 that is alone in its nodes is missed with probability 0.15**8, and one in
@@ -38,6 +40,7 @@ from tallyforge.llm.textcore import binary_views, document_words, lean, mix, ngr
 class NearParams:
     """shingle: words of a shingle. percent: least similarity. trees, levels: of the recursion. leaf, cluster: documents compared exhaustively.
 
+    block: shingles of a block when what is left of a large cluster is compared exactly.
     broadcast_ids: most cluster members whose ids are broadcast to pick their texts; beyond it they are joined by a shuffle.
     """
 
@@ -47,6 +50,7 @@ class NearParams:
     levels: int = 8
     leaf: int = 32
     cluster: int = 1024
+    block: int = 1_000_000
     broadcast_ids: int = 1_000_000
 
     @property
@@ -249,13 +253,102 @@ def _confirm(params: NearParams):
     return run
 
 
+def block_pairs(members: DataFrame, bound: int) -> DataFrame:
+    """Of members (grp, doc_id, label, size_class, weight) the rows (pair, side, doc_id, label) of pairs of blocks.
+
+    Any two members of a group with different labels, whose classes are at most one apart, meet in a pair; a block alone meets itself. The members of the
+    commonest label are not met with one another. A block weighs about `bound`, whatever the group's size.
+    """
+    labels = members.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = labels.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
+    rows = written(members.join(most, "grp").withColumn("rest", F.col("label") != F.col("most")), "blocks")
+    key = ["grp", "rest", "size_class"]
+    parts = rows.groupBy(*key).agg(F.ceil(F.sum("weight") / bound).cast("int").alias("parts"))
+    rows = rows.join(parts, key).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("parts")).cast("int"))
+    blocks = parts.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
+    x = blocks.where("rest").select("grp", F.struct("rest", "size_class", "block").alias("x"))
+    y = blocks.select("grp", F.struct("rest", "size_class", "block").alias("y"))
+    near = F.abs(F.col("x.size_class") - F.col("y.size_class")) <= 1
+    pairs = x.join(y, "grp").where(near & (~F.col("y.rest") | (F.col("x") <= F.col("y"))))
+    sides = pairs.select("grp", F.xxhash64("grp", "x", "y").alias("pair"), F.posexplode(F.array_distinct(F.array("x", "y"))).alias("side", "own"))
+    return rows.join(sides.select("grp", "pair", "side", "own.*"), [*key, "block"]).select("pair", "side", "doc_id", "label")
+
+
+def _met(docs: np.ndarray, lab: np.ndarray, a: np.ndarray, b: np.ndarray, hits) -> Iterator[tuple[int, int]]:
+    """The pairs of rows of a and b that hits(row of a, labels of all rows) finds, as far as they connect labels; lab is changed."""
+    for i in a.tolist():
+        found = hits(i, lab)
+        found = found[lab[found] != lab[i]]
+        for j in found[np.unique(lab[found], return_index=True)[1]].tolist():
+            yield int(docs[i]), int(docs[j])
+            lab[lab == lab[j]] = lab[i]
+
+
+def _set_hits(sets: list[np.ndarray], b: np.ndarray, percent: int):
+    """hits(i, lab): the rows of b with another label whose sets are linked with the i-th."""
+    sizes = np.array([len(sets[j]) for j in b.tolist()])
+    flat = np.concatenate([sets[j] for j in b.tolist()])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(b)), sizes)[order]
+
+    def owners(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return owner[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
+    def hits(i: int, lab: np.ndarray) -> np.ndarray:
+        own = sets[i]
+        low = np.searchsorted(flat, own, "left")
+        n = np.searchsorted(flat, own, "right") - low
+        # a linked set has at least percent of this one's shingles, so it holds one of any others and one more: take the rarest
+        rare = np.argsort(n, kind="stable")[: len(own) - -(-percent * len(own) // 100) + 1]
+        some = np.unique(owners(low[rare], n[rare]))
+        some = some[(lab[b[some]] != lab[i]) & (100 * np.minimum(sizes[some], len(own)) >= percent * np.maximum(sizes[some], len(own)))]
+        if 4096 * len(some) < n.sum():
+            common = np.array([np.isin(sets[j], own, assume_unique=True).sum() for j in b[some].tolist()], dtype=np.int64)
+        elif len(some):
+            common = np.bincount(owners(low, n), minlength=len(b))[some]
+        else:
+            return some
+        return b[some[100 * common >= percent * (len(own) + sizes[some] - common)]]
+
+    return hits
+
+
+def _confirm_blocks(params: NearParams):
+    """Over rows (pair, side, doc_id, label, shingles) sorted by pair: links that connect different labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, 1):
+            pair, side, docs, label = (table.column(k).to_numpy() for k in range(4))
+            sets = [s for chunk in table.column(4).chunks for s in binary_views(chunk, "<u8")]
+            left, right = [], []
+            for group in np.split(np.arange(len(docs)), np.flatnonzero(pair[1:] != pair[:-1]) + 1):
+                a, b = group[side[group] == 0], group[side[group] == 1]
+                b = b if len(b) else a
+                if len(a):
+                    for x, y in _met(docs, label.copy(), a, b, _set_hits(sets, b, params.percent)):
+                        left.append(x)
+                        right.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _most_alike(rows: DataFrame, params: NearParams) -> DataFrame:
+    """doc_id, cluster, fit of rows (doc_id, cluster, sketch): how many of its tokens are the commonest ones of the cluster."""
+    slots = F.array(*[F.substring("sketch", 4 * k + 1, 4) for k in range(params.trees * params.levels)])
+    tokens = rows.select("doc_id", "cluster", F.posexplode(slots).alias("slot", "token"))
+    held = tokens.groupBy("cluster", "slot", "token").agg(F.count(F.lit(1)).alias("n"))
+    common = held.groupBy("cluster", "slot").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
+    return tokens.join(F.broadcast(common), ["cluster", "slot", "token"]).groupBy("cluster", "doc_id").agg(F.count(F.lit(1)).alias("fit"))
+
+
 def confirmed_links(documents: DataFrame, reps: DataFrame, clusters: DataFrame, params: NearParams) -> DataFrame:
     """Links (a, b) that connect the components of each cluster (vertex, component), confirmed on full sets."""
     members = clusters.select(F.col("vertex").alias("doc_id"), F.col("component").alias("cluster"))
     members = members.unionByName(members.select(F.col("cluster").alias("doc_id"), "cluster").distinct())
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     members = written(members.join(sizes, "cluster"), "clusters")
-    small = members.where(F.col("n") <= params.cluster).select("doc_id", "cluster", F.lit(0).cast("long").alias("part"))
+    small = members.where(F.col("n") <= params.cluster).select("doc_id", "cluster", F.lit(0).cast("long").alias("part"), F.lit(1).alias("turn"))
     big = members.where(F.col("n") > params.cluster)
     parts = small
     if not big.isEmpty():
@@ -266,7 +359,9 @@ def confirmed_links(documents: DataFrame, reps: DataFrame, clusters: DataFrame,
         held = tokens.groupBy("cluster", "tree", "token").agg(F.count(F.lit(1)).alias("k"))
         split = F.pmod(F.xxhash64("doc_id", "tree"), F.ceil(F.col("k") / params.cluster))
         dealt = tokens.join(held.where(F.col("k") > 1), ["cluster", "tree", "token"]).select("doc_id", "cluster", F.xxhash64("tree", "token", split).alias("part"))
-        parts = parts.unionByName(dealt)
+        hubs = _most_alike(reps.join(big, "doc_id"), params).groupBy("cluster").agg(F.max_by("doc_id", F.struct("fit", "doc_id")).alias("doc_id"))
+        beside = dealt.select("cluster", "part").distinct().join(F.broadcast(hubs), "cluster").withColumn("turn", F.lit(0))
+        parts = parts.unionByName(dealt.withColumn("turn", F.lit(1)).unionByName(beside).groupBy("doc_id", "cluster", "part").agg(F.min("turn").alias("turn")))
     wanted = parts
     texts = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     few = members.count() <= params.broadcast_ids
@@ -279,17 +374,35 @@ def confirmed_links(documents: DataFrame, reps: DataFrame, clusters: DataFrame,
                 own = [s.astype("<u8").tobytes() for s in shingle_sets(some.column(1), params.shingle)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(own, pa.binary())], names=["doc_id", "shingles"])
 
-    full = picked.mapInArrow(lean(sets), "doc_id long, shingles binary").join(wanted, "doc_id")
-    dealt = full.select("cluster", "part", "doc_id", "shingles").repartition("cluster", "part").sortWithinPartitions("cluster", "part", "doc_id")
-    return dealt.mapInArrow(lean(_confirm(params)), "a long, b long")
+    full = picked.mapInArrow(lean(sets), "doc_id long, shingles binary")
+    dealt = full.join(wanted, "doc_id").select("cluster", "part", "doc_id", "shingles", "turn")
+    dealt = dealt.repartition("cluster", "part").sortWithinPartitions("cluster", "part", "turn", "doc_id")
+    links = dealt.mapInArrow(lean(_confirm(params)), "a long, b long")
+    if big.isEmpty():
+        return links
+    links = written(links, "links")
+    size = big.select("doc_id", F.col("cluster").alias("grp")).join(reps.select("doc_id", "n_shingles"), "doc_id")
+    # sets that are linked are in one class of sizes or in neighbouring ones: a class is a little wider than the least ratio of their sizes
+    size_class = F.floor(F.log("n_shingles") / float(np.log(100 / params.percent) + 1e-6)).cast("int")
+    known = components(links).select(F.col("vertex").alias("doc_id"), "component")
+    rest = size.join(known, "doc_id", "left").select(
+        "grp", "doc_id", F.coalesce("component", "doc_id").alias("label"), size_class.alias("size_class"), F.col("n_shingles").alias("weight")
+    )
+    met = written(block_pairs(rest, params.block), "pairs")
+    if met.isEmpty():
+        return links
+    left = F.broadcast(met.select("doc_id").distinct()) if few else met.select("doc_id")
+    across = picked.join(left, "doc_id", "left_semi").mapInArrow(lean(sets), "doc_id long, shingles binary").join(met, "doc_id")
+    across = across.select("pair", "side", "doc_id", "label", "shingles").repartition("pair").sortWithinPartitions("pair", "side", "doc_id")
+    return links.unionByName(across.mapInArrow(lean(_confirm_blocks(params)), "a long, b long"))
 
 
 def near_duplicates(documents: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable over links), kept (whether that is its own)."""
     rows = written(sketched(documents, params), "sketches")
     sound = rows.where(F.col("key").isNotNull())
-    classes = sound.groupBy("key").agg(F.min_by(F.struct("doc_id", "sketch"), "doc_id").alias("r"))
-    reps = written(classes.select(F.col("r.doc_id").alias("doc_id"), F.col("r.sketch").alias("sketch"), "key"), "classes")
+    classes = sound.groupBy("key").agg(F.min_by(F.struct("doc_id", "sketch", "n_shingles"), "doc_id").alias("r"))
+    reps = written(classes.select("r.*", "key"), "classes")
     clusters = components(candidate_edges(reps, params))
     links = confirmed_links(documents, reps, clusters, params)
     found = components(links)

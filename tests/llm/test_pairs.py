@@ -5,6 +5,7 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -64,6 +65,44 @@ def test_large_groups_are_split_and_still_joined(spark):
     assert got == brute_components(texts, 3, 85)[0]
 
 
+def test_a_large_star_cluster_is_confirmed_whole(spark):
+    """Variants that are linked to their base only, or to one base of two, and more of them than a cluster holds."""
+    rng = random.Random(3)
+    bases = [words(rng, 100).split(), words(rng, 100).split()]
+    texts = {5000 + k: " ".join(base) for k, base in enumerate(bases)}
+    for k in range(1200):
+        at = set(rng.sample(range(100), 2))
+        texts[k] = " ".join([f"new{k}x{j}" if j in at else w for j, w in enumerate(bases[k % 2])])
+    centres, others = [shingles(texts[5000 + k], 5) for k in range(2)], {k: shingles(texts[k], 5) for k in range(1200)}
+    want = [{k for k, s in others.items() if k % 2 == c and 100 * len(s & centres[c]) >= 80 * len(s | centres[c])} for c in range(2)]
+    assert len(want[0]) == len(want[1]) == 600
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    params = neardup.NearParams(cluster=128, block=50_000)
+    reps = neardup.sketched(frame, params).select("doc_id", "sketch", "n_shingles")
+    one = spark.createDataFrame([(k, 0) for k in texts if k], "vertex long, component long")
+    found = components.components(neardup.confirmed_links(frame, reps, one, params)).collect()
+    got = {r.vertex: r.component for r in found}
+    assert got == {k: k % 2 for k in texts if k > 1}
+
+
+def test_pairs_of_blocks_find_every_link():
+    """Sets of all sizes, met as one block with another and as one with itself."""
+    rng = random.Random(4)
+    sets = []
+    for _ in range(40):
+        core = rng.sample(range(10_000), rng.randint(1, 60))
+        for _ in range(6):
+            own = {x if rng.random() < 0.93 else rng.randrange(10_000) for x in core}
+            sets.append(np.array(sorted(own), dtype=np.uint64))
+    plain = [set(s.tolist()) for s in sets]
+    rows = np.arange(len(sets))
+    for a, b in ((rows, rows), (rows[:90], rows[60:])):
+        hits = neardup._set_hits(sets, b, 80)
+        for i in a.tolist():
+            want = [j for j in b.tolist() if j != i and 100 * len(plain[i] & plain[j]) >= 80 * len(plain[i] | plain[j])]
+            assert hits(i, rows).tolist() == want
+
+
 def test_deduplicated_keeps_one_of_each(docs, rows):
     kept = neardup.deduplicated(docs)
     assert kept.columns == docs.columns
