@@ -1,25 +1,28 @@
 """Removal of repeated word spans with suffix automata.
 
 `SuffixAutomaton` holds every substring of the sequences put into it, each state with the first sequence that had its substrings. Streaming a text
-through it gives the matching statistics: at each word, the longest suffix that the reference holds, and where it was first seen.
+through it gives the matching statistics: at each word, the longest suffix that the reference holds, and where it was first seen. Stretches of at least
+`window` words that a smaller document holds are removed.
 
 Against a given reference (`against_reference`) the reference is cut into shards of bounded size; each shard's automaton is broadcast and all
 documents stream through it.
 
-Against the corpus itself (`removed_words`) the reference grows with the documents, and broadcasting all of it to all of them would be quadratic. So
-each shard's automaton is built where its part of the reference and the documents that can match it meet:
+Against the corpus itself (`removed_words`) the reference grows with the documents, and broadcasting all of it to all of them would be quadratic. So:
 
-1. Of each window of `window` words, the run of `anchor` words with the smallest hash is its anchor; equal windows have equal anchors.
-   Only places whose anchor another document has too go on: positions, not texts, are shuffled for this. What a task finds shared among its own
-   documents is settled there, and one row goes on for all, so a very common passage sends a row per task, not one per document.
-2. The words around such an anchor, which hold every window that contains it, go to the shard of the anchor.
-3. A shard puts the different segments of its anchors into an automaton by ascending document, and streams each through it: a window
-   is removed if its first document is smaller than its own; segments equal to a smaller document's in the same task are removed before. A batch of segments is bounded; of an anchor with more, the first
-   document of each window is carried on from batch to batch.
-4. Removed windows go back to their documents, whose texts were shuffled once, for this and the step before.
+1. A filter tells which documents need which shards. Of each window of `window` words the run of `anchor` words with the smallest hash is its anchor;
+   equal windows have equal anchors, and only places whose anchor another document has too go on. Hashes of their windows then give each
+   the first place that holds it, in its own batch or else in the corpus; only positions are shuffled for this.
+2. The first places are the reference: pieces of text, dealt to shards by document and position, so that an automaton holds about `shard_words`
+   words however long a document is. A window streams through the automaton of the shard that its first place is in, and through no other.
+3. A task builds its shard's automaton, by ascending document, and streams the others' pieces through it. Equal pieces of a batch of documents
+   are one row with the places they stand at, so a very common passage costs a row per batch, not one per document.
+4. The spans that the automata find go back to their documents, whose texts were shuffled once for all steps.
+
+The filter may send a piece in vain, but removes nothing: that is left to the automata, which compare words (as 32-bit hashes, thirteen in a row).
 
 Defined results: null texts have no words; documents of fewer words than a window keep all; windows repeated only inside one document stay; rows of
-equal id count as one document for the comparison and each get their own result; rows with a null id are dropped; extra columns are ignored.
+equal id count as one document for the comparison and each get their own result, whether their texts are equal or not; rows with a null id are dropped; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,21 +127,22 @@ class SuffixAutomaton:
         return out
 
 
-def anchors_of(words: np.ndarray, bounds: np.ndarray, params: SpanParams) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the anchors of all windows, and the hash of every run of params.anchor words."""
+def anchors_of(words: np.ndarray, bounds: np.ndarray, params: SpanParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all windows, the position of each one's anchor, and the hash of every run of params.anchor words."""
     grams = ngram_hashes(words, params.anchor)
     span = params.window - params.anchor + 1
     ok = within_rows(bounds, params.window, len(words))
     count = len(ok)
     if not count:
-        return np.zeros(0, dtype=np.int64), grams
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), grams
     best, at = grams[:count].copy(), np.zeros(count, dtype=np.int64)
     for j in range(1, span):
         here = grams[j : j + count]
         less = here < best
         best[less] = here[less]
         at[less] = j
-    return np.unique((np.arange(count) + at)[ok]), grams
+    starts = np.flatnonzero(ok)
+    return starts, starts + at[ok], grams
 
 
 #: What is known of a row in the task that made it: nothing, that its anchor is shared and it stands for the rest, or that it is one of the rest.
@@ -156,26 +159,30 @@ def _anchor_rows(params: SpanParams):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            anchors, docs, places = [], [], []
-            for at, to, words, bounds in document_words(False, batch.column(1)):
-                place, grams = anchors_of(words, bounds, params)
+            ids, variants = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            anchors, docs, kinds, places = [], [], [], []
+            for at, to, words, bounds in document_words(False, batch.column(2)):
+                _, place, grams = anchors_of(words, bounds, params)
+                place = np.unique(place)
                 row = np.searchsorted(bounds, place, side="right") - 1
                 anchors.append(grams[place].view(np.int64))
                 docs.append(ids[at:to][row])
+                kinds.append(variants[at:to][row])
                 places.append((place - bounds[row]).astype(np.int32))
             if not sum(map(len, anchors)):
                 continue
-            anchor, doc, place = np.concatenate(anchors), np.concatenate(docs), np.concatenate(places)
+            anchor, doc, variant, place = np.concatenate(anchors), np.concatenate(docs), np.concatenate(kinds), np.concatenate(places)
             order = np.lexsort((doc, anchor))
-            anchor, doc, place = anchor[order], doc[order], place[order]
+            anchor, doc, variant, place = anchor[order], doc[order], variant[order], place[order]
             begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
             end = np.append(begin[1:], len(anchor))
             shared = doc[begin] != doc[end - 1]
             state = np.where(np.repeat(shared, end - begin), SETTLED, ALONE).astype(np.int8)
             state[begin[shared]] = STANDS_FOR
             route = np.where(state == SETTLED, _spread(doc), anchor)
-            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(doc), pa.array(place), pa.array(state)], names=["route", "doc_id", "pos", "state"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(route), pa.array(doc), pa.array(variant), pa.array(place), pa.array(state)], names=["route", "doc_id", "variant", "pos", "state"]
+            )
 
     return run
 
@@ -186,16 +193,16 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, many = None, False
 
     def out(some: pa.RecordBatch) -> pa.RecordBatch:
-        return some.select(["doc_id", "pos"])
+        return some.select(["doc_id", "variant", "pos"])
 
     for batch in batches:
-        settled = batch.column(3).to_numpy() == SETTLED
+        settled = batch.column(4).to_numpy() == SETTLED
         if settled.any():
             yield out(batch.filter(pa.array(settled)))
             batch = batch.filter(pa.array(~settled))
         if not batch.num_rows:
             continue
-        anchor, doc, state = (batch.column(k).to_numpy() for k in (0, 1, 3))
+        anchor, doc, state = (batch.column(k).to_numpy() for k in (0, 1, 4))
         begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         end = np.append(begin[1:], len(anchor))
         shared = (doc[begin] != doc[end - 1]) | np.logical_or.reduceat(state == STANDS_FOR, begin)
@@ -217,137 +224,201 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, many = (anchor[-1], doc[-1]), bool(shared[-1])
 
 
-def _segments(params: SpanParams):
-    """The words around each anchor. Where a smaller document of the batch has the same segment, all its windows are removed and need no judging."""
-    reach = params.window - params.anchor
+#: Kinds of places: a window that another place holds first, the first place itself, and one whose first place is still to be found.
+STREAMS, REFERS, OPEN = 0, 1, 2
+_PLACE = "kind byte, hash long, doc_id long, variant long, pos int, shard int"
+
+
+def _shard_of(docs: np.ndarray, places: np.ndarray, shards: int, params: SpanParams) -> np.ndarray:
+    """The shard of the reference that has the windows at these places: a long document takes many."""
+    block = (places // max(1, params.shard_words // 4)).astype(np.uint64)
+    return (mix(docs.astype(np.uint64) ^ mix(block)) % np.uint64(shards)).astype(np.int32)
+
+
+def _runs_of(kind: np.ndarray, row: np.ndarray, at: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places in order the first and the last of each run of neighbours that are alike."""
+    cut = np.flatnonzero((row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1
+    begin = np.concatenate([[0], cut]).astype(np.int64)
+    return begin, np.append(cut, len(row)).astype(np.int64) - 1
+
+
+def _window_rows(params: SpanParams, shards: int):
+    """The windows at the marked anchors of rows (doc_id, variant, text, marks): of those that several documents of a batch share all but the first's stream
+    through its shard; a first one is open, and refers if another streams. Open windows have a row each, the others one for each run (hash: how many).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks = batch.column(0).to_numpy(), batch.column(2)
-            anchor, doc, start, blob = [], [], [], []
-            for at, to, words, bounds in document_words(False, batch.column(1)):
-                grams = ngram_hashes(words, params.anchor)
-                small = words.astype("<u4")
+            ids, variants, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            hashes, rows, places = [], [], []
+            for at, to, words, bounds in document_words(False, batch.column(2)):
+                starts, anchor, _ = anchors_of(words, bounds, params)
+                marked = np.zeros(len(words), dtype=bool)
                 for r in range(to - at):
-                    a, b = int(bounds[r]), int(bounds[r + 1])
-                    for p in sorted(set(marks[at + r].as_py())):
-                        low, high = max(a, a + p - reach), min(b, a + p + params.window)
-                        anchor.append(grams[a + p])
-                        doc.append(int(ids[at + r]))
-                        start.append(low - a)
-                        blob.append(small[low:high].tobytes())
-            least: dict[tuple[int, bytes], int] = {}
-            keys = list(zip(map(int, anchor), blob))
-            for key, d in zip(keys, doc):
-                least[key] = min(d, least.get(key, d))
-            done = np.array([least[key] < d for key, d in zip(keys, doc)], dtype=bool)
-            docs = np.array(doc, dtype=np.int64)
-            route = np.where(done, _spread(docs), np.array(anchor, dtype=np.uint64).view(np.int64))
-            windows = [len(x) // 4 - params.window + 1 for x in blob]
-            segment = pa.array([None if d else x for d, x in zip(done.tolist(), blob)], pa.binary())
+                    marked[bounds[r] + np.asarray(marks[at + r].values)] = True
+                starts = starts[marked[anchor]] if len(starts) else starts
+                row = np.searchsorted(bounds, starts, side="right") - 1
+                hashes.append(ngram_hashes(words, params.window)[starts].view(np.int64))
+                rows.append(row + at)
+                places.append(starts - bounds[row])
+            if not sum(map(len, hashes)):
+                continue
+            h, row, place = np.concatenate(hashes), np.concatenate(rows), np.concatenate(places)
+            doc = ids[row]
+            order = np.lexsort((place, row, doc, h))
+            h, row, place, doc = h[order], row[order], place[order], doc[order]
+            begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
+            later = doc != doc[begin][group]
+            home = _shard_of(doc[begin], place[begin], shards, params)
+            refers = np.zeros(len(h), dtype=bool)
+            refers[begin] = np.logical_or.reduceat(later, begin)
+            kind = np.concatenate([np.full(later.sum(), STREAMS), np.full(refers.sum(), REFERS)]).astype(np.int8)
+            at_row, at_place = np.concatenate([row[later], row[refers]]), np.concatenate([place[later], place[refers]])
+            shard = np.concatenate([home[group[later]], home[group[refers]]])
+            order = np.lexsort((at_place, at_row, kind))
+            kind, at_row, at_place, shard = kind[order], at_row[order], at_place[order], shard[order]
+            if len(kind):
+                low, high = _runs_of(kind, at_row, at_place, shard)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kind[low]), pa.array(high - low + 1), pa.array(ids[at_row[low]]), pa.array(variants[at_row[low]]),
+                     pa.array(at_place[low].astype(np.int32)), pa.array(shard[low])],
+                    names=[f.split()[0] for f in _PLACE.split(", ")],
+                )
+            first = ~later
             yield pa.RecordBatch.from_arrays(
-                [pa.array(route), pa.array(docs), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), segment], names=["route", "doc_id", "start", "windows", "segment"]
+                [pa.array(np.full(first.sum(), OPEN, dtype=np.int8)), pa.array(h[first]), pa.array(doc[first]), pa.array(variants[row[first]]),
+                 pa.array(place[first].astype(np.int32)), pa.array(np.zeros(first.sum(), dtype=np.int32))],
+                names=[f.split()[0] for f in _PLACE.split(", ")],
             )
 
     return run
 
 
-def _judge(params: SpanParams):
-    """Over segments sorted by anchor and document: the windows whose first document is smaller than their own."""
+def _first_places(params: SpanParams, shards: int):
+    """Over open windows sorted by hash, document and place: all but the first document's stream through the shard of the first place, which refers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: dict[bytes, int] = {}  # first document of the windows of an anchor that spans batches
-        carried_anchor = None
-        size = params.window * 4
-        step = max(1, params.shard_words // (2 * params.window - params.anchor))
-
-        def work(table: pa.RecordBatch, goes_on: bool) -> pa.RecordBatch:
-            nonlocal carried, carried_anchor
-            anchors, docs = table.column(0).to_numpy(), table.column(1).to_numpy()
-            starts, blobs = table.column(2).to_numpy(), table.column(4).to_pylist()
-            order = np.argsort(docs, kind="stable")
-            automaton, firsts = SuffixAutomaton(), {}
-            for k in order.tolist():
-                if blobs[k] not in firsts:
-                    firsts[blobs[k]] = None
-                    automaton.add(np.frombuffer(blobs[k], "<u4").tolist(), int(docs[k]))
-            for blob in firsts:
-                firsts[blob] = np.array(automaton.first_owners(np.frombuffer(blob, "<u4").tolist(), params.window), dtype=np.int64)
-            out_doc, out_start = [], []
-            for k in range(len(docs)):
-                owners = firsts[blobs[k]]
-                if carried and anchors[k] == carried_anchor:
-                    owners = owners.copy()
-                    for j in range(len(owners)):
-                        owners[j] = min(owners[j], carried.get(blobs[k][4 * j : 4 * j + size], owners[j]))
-                hit = np.flatnonzero(owners < docs[k])
-                if len(hit):
-                    out_doc.append(np.full(len(hit), docs[k]))
-                    out_start.append(hit + starts[k])
-            if goes_on:
-                if carried_anchor != anchors[-1]:
-                    carried, carried_anchor = {}, anchors[-1]
-                for k in np.flatnonzero(anchors == anchors[-1]).tolist():
-                    for j, first in enumerate(firsts[blobs[k]].tolist()):
-                        key = blobs[k][4 * j : 4 * j + size]
-                        carried[key] = min(first, carried.get(key, first))
-            elif carried and carried_anchor != anchors[-1]:
-                carried, carried_anchor = {}, None
-            none = [np.zeros(0, dtype=np.int64)]
-            doc, at = np.concatenate(out_doc or none), np.concatenate(out_start or none)
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at.astype(np.int32))], names=["doc_id", "start"])
-
-        def expanded(table: pa.RecordBatch) -> pa.RecordBatch:
-            n = table.column(3).to_numpy()
-            at = np.repeat(table.column(2).to_numpy() - np.cumsum(n) + n, n) + np.arange(n.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(table.column(1).to_numpy(), n)), pa.array(at.astype(np.int32))], names=["doc_id", "start"])
-
-        held: pa.RecordBatch | None = None
+        last = None  # hash, document, variant, place of the newest group's first row, and whether it was named as a reference
         for batch in batches:
-            judged = batch.column(4).is_valid()
-            if judged.false_count:
-                yield expanded(batch.filter(pc.invert(judged)))
-                batch = batch.filter(judged)
-            for a in range(0, batch.num_rows, step):
-                part = batch.slice(a, step)
-                if held is not None:
-                    yield work(held, held.column(0)[-1].as_py() == part.column(0)[0].as_py())
-                held = part
-        if held is not None:
-            yield work(held, False)
+            if not batch.num_rows:
+                continue
+            h, doc, variant, place = (batch.column(k).to_numpy() for k in (1, 2, 3, 4))
+            begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
+            first = [doc[begin].copy(), variant[begin].copy(), place[begin].copy()]
+            known = last is not None and last[0] == h[0]
+            if known:
+                for column, value in zip(first, last[1:4]):
+                    column[0] = value
+            later = doc != first[0][group]
+            refers = np.logical_or.reduceat(later, begin)
+            told = bool(known and last[4])
+            last = (h[-1], *(c[-1] for c in first), bool(refers[-1] or (told and len(begin) == 1)))
+            if told:
+                refers[0] = False
+            home = _shard_of(first[0], first[2], shards, params)
+            n, m = int(later.sum()), int(refers.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.full(n, STREAMS), np.full(m, REFERS)]).astype(np.int8)), pa.array(np.ones(n + m, dtype=np.int64)),
+                 pa.array(np.concatenate([doc[later], first[0][refers]])), pa.array(np.concatenate([variant[later], first[1][refers]])),
+                 pa.array(np.concatenate([place[later], first[2][refers]]).astype(np.int32)), pa.array(np.concatenate([home[group[later]], home[refers]]).astype(np.int32))],
+                names=[f.split()[0] for f in _PLACE.split(", ")],
+            )
 
     return run
 
 
-def removed_windows(texts: DataFrame, params: SpanParams = SpanParams()) -> DataFrame:
-    """doc_id, starts: the word positions of the windows of each document that a smaller document holds too. texts: doc_id, text."""
-    rows = texts.mapInArrow(lean(_anchor_rows(params)), "route long, doc_id long, pos int, state byte")
-    hits = rows.repartition("route").sortWithinPartitions(F.col("state") == SETTLED, "route", "doc_id").mapInArrow(lean(_repeated), "doc_id long, pos int")
-    marks = hits.groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
-    segments = texts.join(marks, "doc_id").mapInArrow(lean(_segments(params)), "route long, doc_id long, start int, windows int, segment binary")
-    segments = segments.repartition("route").sortWithinPartitions(F.col("segment").isNull(), "route", "doc_id")
-    gone = segments.mapInArrow(lean(_judge(params)), "doc_id long, start int")
-    return gone.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+_PIECE = "shard int, kind byte, owner long, words binary, places array<struct<doc_id:long,variant:long,start:int>>"
+_PLACES = pa.list_(pa.struct([("doc_id", pa.int64()), ("variant", pa.int64()), ("start", pa.int32())]))
 
 
-def removed_words(documents: DataFrame, params: SpanParams = SpanParams()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (UTF-8 bytes of the kept words joined by a blank)."""
-    texts = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    gone = removed_windows(texts, params)
+def _pieces(params: SpanParams):
+    """The words at the places of rows (doc_id, variant, text, places): a reference piece for each run, and for equal pieces that stream one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, variants = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            found: dict[tuple, list] = {}
+            for at, to, words, bounds in document_words(False, batch.column(2)):
+                small = words.astype("<u4")
+                for r in range(at, to):
+                    flat = batch.column(3)[r].values
+                    kind, many, place, shard = (np.asarray(flat.field(k)) for k in range(4))
+                    full = np.repeat(np.arange(len(kind)), many)
+                    step = np.arange(len(full)) - np.repeat(np.cumsum(many) - many, many)
+                    kind, place, shard = kind[full], place[full] + step, shard[full]
+                    order = np.lexsort((place, shard, kind))
+                    kind, place, shard = kind[order], place[order], shard[order]
+                    fresh = np.concatenate([[True], (kind[1:] != kind[:-1]) | (shard[1:] != shard[:-1]) | (place[1:] != place[:-1])])
+                    kind, place, shard = kind[fresh], place[fresh], shard[fresh]
+                    low, high = _runs_of(kind, np.zeros(len(kind), dtype=np.int64), place, shard)
+                    base, doc, variant = int(bounds[r - at]), int(ids[r]), int(variants[r])
+                    for a, b in zip(low.tolist(), high.tolist()):
+                        begin = int(place[a])
+                        blob = small[base + begin : base + int(place[b]) + params.window].tobytes()
+                        key = (int(shard[a]), int(kind[a]), doc if kind[a] == REFERS else 0, blob)
+                        found.setdefault(key, []).append((doc, variant, begin))
+            if found:
+                keys = list(found)
+                columns = [[k[j] for k in keys] for j in range(4)]
+                spots = [[] if k[1] == REFERS else [{"doc_id": d, "variant": v, "start": p} for d, v, p in found[k]] for k in keys]
+                kinds = [pa.int32(), pa.int8(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, kinds)], pa.array(spots, _PLACES)], names=["shard", "kind", "owner", "words", "places"])
+
+    return run
+
+
+def _stream(params: SpanParams):
+    """Over pieces sorted by shard, reference first and by owner: the spans of the others that smaller documents of the reference hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, automaton, held = None, SuffixAutomaton(), set()
+        for batch in batches:
+            shards, kinds, owners = (batch.column(k).to_numpy() for k in range(3))
+            out: list[list[int]] = [[], [], [], []]
+            for k in range(batch.num_rows):
+                if shards[k] != now:
+                    now, automaton, held = shards[k], SuffixAutomaton(), set()
+                blob = batch.column(3)[k].as_buffer()
+                words = np.frombuffer(blob, "<u4").tolist()
+                if kinds[k] == REFERS:
+                    own = bytes(blob)
+                    if own not in held:  # of equal pieces the first document's stands for all
+                        held.add(own)
+                        automaton.add(words, int(owners[k]))
+                    continue
+                firsts = np.array(automaton.first_owners(words, params.window), dtype=np.int64)
+                there = firsts >= 0
+                flat = batch.column(4)[k].values
+                for doc, variant, start in zip(*(np.asarray(flat.field(j)).tolist() for j in range(3))):
+                    hit = np.flatnonzero(there & (firsts < doc))
+                    for part in np.split(hit, np.flatnonzero(np.diff(hit) > params.window) + 1) if len(hit) else ():
+                        # windows that touch or overlap are one span; between others words stay
+                        for column, value in zip(out, (doc, variant, start + int(part[0]), int(part[-1] - part[0]) + params.window)):
+                            column.append(value)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "variant", "start", "n"])
+
+    return run
+
+
+def _without(params: SpanParams):
+    """doc_id, n_words, n_removed, kept of rows (doc_id, text, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 n_words, n_removed, kept = [], [], []
-                for text, starts in zip(part.column(1).to_pylist(), part.column(2)):
+                for text, spans in zip(part.column(1).to_pylist(), part.column(2)):
                     words = (text or "").encode("utf-8", "surrogatepass").split()
                     n_words.append(len(words))
-                    if starts.is_valid:
+                    if spans.is_valid:
                         edge = np.zeros(len(words) + 1, dtype=np.int64)
-                        at = np.asarray(starts.values)
-                        edge[at] += 1
-                        np.add.at(edge, at + params.window, -1)
+                        at, n = (np.asarray(spans.values.field(j)) for j in (0, 1))
+                        np.add.at(edge, at, 1)
+                        np.add.at(edge, at + n, -1)
                         stay = np.cumsum(edge[:-1]) == 0
                         words = [w for w, s in zip(words, stay.tolist()) if s]
                     n_removed.append(n_words[-1] - len(words))
@@ -357,7 +428,66 @@ def removed_words(documents: DataFrame, params: SpanParams = SpanParams()) -> Da
                     names=["doc_id", "n_words", "n_removed", "kept"],
                 )
 
-    return texts.join(gone, "doc_id", "left").mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept binary")
+    return run
+
+
+def with_variants(documents: DataFrame) -> DataFrame:
+    """doc_id, variant, text: rows of one id have different variants where their texts differ; without repeated ids the variant is 0."""
+    rows = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    variant = F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("text")
+    return rows.select("doc_id", variant.alias("variant"), "text")
+
+
+def repeated_spans(texts: DataFrame, params: SpanParams = SpanParams()) -> DataFrame:
+    """doc_id, variant, spans: array of (start, n), the runs of words of each text that windows of smaller documents cover. texts: as from with_variants."""
+    chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, math.ceil(chars / 6 / params.shard_words))
+    key = ["doc_id", "variant"]
+    rows = texts.mapInArrow(lean(_anchor_rows(params)), "route long, doc_id long, variant long, pos int, state byte")
+    hits = rows.repartition("route").sortWithinPartitions(F.col("state") == SETTLED, "route", "doc_id").mapInArrow(lean(_repeated), "doc_id long, variant long, pos int")
+    marks = hits.groupBy(*key).agg(F.collect_list("pos").alias("marks"))
+    windows = texts.join(marks, key).select(*key, "text", "marks").mapInArrow(lean(_window_rows(params, shards)), _PLACE)
+    open_ = F.col("kind") == OPEN
+    route = F.when(open_, F.col("hash")).otherwise(F.xxhash64("doc_id", "variant", "pos"))
+    dealt = windows.repartition(route).sortWithinPartitions(open_, "hash", "doc_id", "variant", "pos")
+    places = dealt.mapInArrow(lean(_split_open(params, shards)), _PLACE)
+    places = places.groupBy(*key).agg(F.collect_list(F.struct("kind", F.col("hash").alias("many"), "pos", "shard")).alias("places"))
+    pieces = texts.join(places, key).select(*key, "text", "places").mapInArrow(lean(_pieces(params)), _PIECE)
+    spans = pieces.repartition("shard").sortWithinPartitions("shard", F.col("kind").desc(), "owner").mapInArrow(lean(_stream(params)), "doc_id long, variant long, start int, n int")
+    return spans.groupBy(*key).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+
+
+def _split_open(params: SpanParams, shards: int):
+    """What is settled passes; open windows, which come last, are given their first places."""
+    judge = _first_places(params, shards)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settled: list[pa.RecordBatch] = []
+
+        def still_open() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                is_open = pa.array(batch.column(0).to_numpy() == OPEN)
+                done = batch.filter(pa.array(batch.column(0).to_numpy() != OPEN))
+                if done.num_rows:
+                    settled.append(done)
+                yield batch.filter(is_open)
+
+        for judged in judge(still_open()):
+            yield from settled
+            settled.clear()
+            if judged.num_rows:
+                yield judged
+        yield from settled
+
+    return run
+
+
+def removed_words(documents: DataFrame, params: SpanParams = SpanParams()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (UTF-8 bytes of the kept words joined by a blank)."""
+    texts = with_variants(documents)
+    rows = texts.join(repeated_spans(texts, params), ["doc_id", "variant"], "left").select("doc_id", "text", "spans")
+    return rows.mapInArrow(lean(_without(params)), "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def against_reference(documents: DataFrame, reference: DataFrame, params: SpanParams = SpanParams()) -> DataFrame:
