@@ -156,7 +156,7 @@ def _hashed(params: LeakParams, masks: tuple[str, ...], bits: np.ndarray | None
                 row_of = np.repeat(np.arange(to - at), np.diff(bounds))
                 size = np.diff(bounds)
                 rows, hashes, places = [], [], []
-                for mask in masks:
+                for mask in masks if at < to else ():
                     h = seed_hashes(words, mask)
                     if bits is None:
                         near = np.flatnonzero(np.isin(size[row_of[: len(h)]], [n for n in np.unique(size) if mask in params.masks_for(int(n))]))
@@ -169,6 +169,8 @@ def _hashed(params: LeakParams, masks: tuple[str, ...], bits: np.ndarray | None
                     rows.append(row_of[near])
                     hashes.append(h[near])
                     places.append(near - bounds[row_of[near]])
+                if not rows:
+                    continue
                 row, h, place = np.concatenate(rows), np.concatenate(hashes), np.concatenate(places)
                 order = np.argsort(row, kind="stable")
                 row, h, place = row[order], h[order], place[order]

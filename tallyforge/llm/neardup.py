@@ -4,19 +4,18 @@
    so copies cost nothing further, however many there are.
 2. Independent trees branch the representatives: at each level a document goes to the child of the shingle that the level's hash function
    makes the smallest ("minwise token"). Two sets of similarity J share a child with probability J, so they stay together for d levels with J**d.
-   A node of at most `leaf` documents is compared exhaustively by sketches and ends there; larger nodes branch on. A node still large at the
-   deepest level is dealt into random parts, each of which also gets the node's smallest document, so that dense groups stay connected.
-3. Sketch-similar pairs, as a spanning forest of each node, are joined to clusters. These are looser than the links: the sketches' margin
-   of four standard deviations lets nearly every link through.
-4. In each cluster the full sets are compared, pairs already known to be connected excepted, and a link counts if
-   100 * |intersection| >= percent * |union|. A cluster of more than `cluster` documents is first dealt by minwise token under each tree, and what
+   A node of at most `leaf` documents is compared exhaustively by sketches and ends there; larger nodes branch on. Which of the sketch's hash functions a
+   tree takes, and in which order, is drawn for each tree.
+3. Trees are repeated until the target recall is met: documents whose nodes went d levels deep take part in as many trees as make
+   1 - (1 - J**d)**trees reach `recall` at the threshold, at least `trees` of them.
+4. Sketch-similar pairs, as a spanning forest of each node, are joined to clusters. These are looser than the links: the sketches' margin
+   of four standard deviations lets nearly every link through. A node still large at the deepest level is a cluster as a whole.
+5. In each cluster the full sets are compared, pairs already known to be connected excepted, and a link counts if
+   100 * |intersection| >= percent * |union|. A cluster of more than `cluster` documents or `block` shingles is first dealt by minwise token under each tree, and what
    is then still too large at random beside the document most like the cluster: this connects most of it cheaply. Every two documents that it
    leaves in different components then meet in a pair of blocks: blocks hold sets of like size and at most `block` shingles, each pair of
    blocks is a task of its own, and sets are met by their rarest shingles and counted exactly. No link inside a cluster is missed.
-5. Confirmed links are joined to components.
-
-With 8 trees a pair at the threshold of 0.85 that is alone in its nodes is missed with probability 0.15**8, and one in
-nodes two levels deep with 0.28**8 = 0.00004.
+6. Confirmed links are joined to components.
 
 Defined results: a text with words but fewer than a shingle has its whole word sequence as one shingle; null texts and texts without words are linked with
 nothing; rows with a null id are dropped; repeated rows are one vertex; extra columns are ignored.
@@ -29,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.components import components
@@ -38,16 +37,19 @@ from tallyforge.llm.textcore import binary_views, document_words, lean, mix, ngr
 
 @dataclass(frozen=True)
 class NearParams:
-    """shingle: words of a shingle. percent: least similarity. trees, levels: of the recursion. leaf, cluster: documents compared exhaustively.
+    """shingle: words of a shingle. percent: least similarity. slots: hash functions of a sketch. trees: least number of them. levels: most of a tree.
+    recall: of pairs at the threshold, at the depth their nodes reach. leaf, cluster: documents compared exhaustively.
 
-    block: shingles of a block when what is left of a large cluster is compared exactly.
+    block: shingles of a small cluster, and of a block when what is left of a large cluster is compared exactly.
     broadcast_ids: most cluster members whose ids are broadcast to pick their texts; beyond it they are joined by a shuffle.
     """
 
     shingle: int = 5
     percent: int = 80
+    slots: int = 64
     trees: int = 8
-    levels: int = 8
+    levels: int = 16
+    recall: float = 0.99
     leaf: int = 32
     cluster: int = 1024
     block: int = 1_000_000
@@ -55,8 +57,17 @@ class NearParams:
 
     @property
     def sketch_floor(self) -> float:
-        j, n = self.percent / 100, self.trees * self.levels
-        return j - 4 * (j * (1 - j) / n) ** 0.5
+        j = self.percent / 100
+        return j - 4 * (j * (1 - j) / self.slots) ** 0.5
+
+    def trees_for(self, depth: int) -> int:
+        """Trees that bring pairs at the threshold together, in nodes that deep, with the target recall."""
+        together = (self.percent / 100) ** depth
+        return max(self.trees, int(np.ceil(np.log(1 - self.recall) / np.log1p(-together)))) if together < 1 else self.trees
+
+    def path(self, tree: int) -> list[int]:
+        """The hash functions of a tree's levels: no two alike."""
+        return np.argsort(mix(seeds(self.slots, 100 + tree)), kind="stable")[: self.levels].tolist()
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -74,8 +85,8 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def sketched(documents: DataFrame, params: NearParams) -> DataFrame:
-    """doc_id, n_shingles, key (a 128-bit hash of the set), sketch (32 bits for each tree and level)."""
-    salts = seeds(params.trees * params.levels, 31)
+    """doc_id, n_shingles, key (a 128-bit hash of the set), sketch (32 bits for each hash function)."""
+    salts = seeds(params.slots, 31)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +162,7 @@ class Forest:
 
 def _sketch_edges(params: NearParams):
     """Over rows sorted by node: the pairs of a node whose sketches agree enough, as far as they connect something new."""
-    width = params.trees * params.levels
+    width = params.slots
     need = int(np.floor(params.sketch_floor * width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,39 +192,64 @@ def _sketch_edges(params: NearParams):
     return run
 
 
-def candidate_edges(reps: DataFrame, params: NearParams) -> DataFrame:
-    """Edges (a, b) between representatives (doc_id, sketch) that some node of some tree brought together."""
-    size = params.levels * 4
+def _token(slot: int) -> Column:
+    return F.substring("sketch", 4 * slot + 1, 4)
 
-    def slot(level: int) -> F.Column:
-        return F.substring("tokens", level * 4 + 1, 4)
 
-    rows = reps.select(
-        "doc_id", F.posexplode(F.array(*[F.substring("sketch", t * size + 1, size) for t in range(params.trees)])).alias("tree", "tokens")
-    )
-    rows = rows.select("tree", F.xxhash64("tree", slot(0)).alias("node"), "doc_id", "tokens")
-    leaves = []
+def _leaves(rows: DataFrame, first: int, last: int, params: NearParams) -> tuple[DataFrame, DataFrame]:
+    """The leaves (tree, node, doc_id, depth) of the trees first to last - 1 over rows (doc_id, sketch, most), and edges (a, b) of nodes too large to the end.
+
+    A document takes part in the trees below its `most`.
+    """
+    paths = [params.path(t) for t in range(first, last)]
+    now = rows.withColumn("tree", F.explode(F.sequence(F.lit(first), F.least(F.col("most"), F.lit(last)) - 1)))
+
+    def child(level: int) -> Column:
+        """The minwise token of the tree's hash function at the level."""
+        return F.substring("sketch", F.element_at(F.array(*[F.lit(4 * p[level] + 1) for p in paths]), F.col("tree") - first + 1), F.lit(4))
+
+    now = now.select("tree", F.xxhash64("tree", child(0)).alias("node"), "doc_id", "sketch")
+    leaves, edges = [], None
     for level in range(1, params.levels + 1):
-        rows = written(rows, "nodes")
-        sizes = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub")).where(F.col("n") > 1)
-        rows = rows.join(sizes, ["tree", "node"])
-        leaves.append(rows.where(F.col("n") <= params.leaf).select("tree", "node", "doc_id"))
-        large = rows.where(F.col("n") > params.leaf)
+        now = written(now, "nodes")
+        sizes = now.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub")).where(F.col("n") > 1)
+        now = now.join(sizes, ["tree", "node"])
+        leaves.append(now.where(F.col("n") <= params.leaf).select("tree", "node", "doc_id", F.lit(level).alias("depth")))
+        large = now.where(F.col("n") > params.leaf)
         if level == params.levels:
-            part = F.pmod(F.xxhash64("doc_id", "tree"), F.ceil(F.col("n") / params.leaf))
-            parts = large.select("tree", F.xxhash64("node", part).alias("node"), "doc_id", "hub")
-            leaves.append(parts.select("tree", "node", "doc_id"))
-            leaves.append(parts.select("tree", "node", F.col("hub").alias("doc_id")).distinct())
+            edges = large.where(F.col("doc_id") != F.col("hub")).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
             break
         if large.isEmpty():
             break
-        rows = large.select("tree", F.xxhash64("node", slot(level)).alias("node"), "doc_id", "tokens")
-    nodes = leaves[0]
+        now = large.select("tree", F.xxhash64("node", child(level)).alias("node"), "doc_id", "sketch")
+    found = leaves[0]
     for more in leaves[1:]:
-        nodes = nodes.unionByName(more)
-    nodes = nodes.join(reps.select("doc_id", "sketch"), "doc_id")
-    dealt = nodes.select("tree", "node", "doc_id", "sketch").repartition("tree", "node").sortWithinPartitions("tree", "node", "doc_id")
-    return dealt.mapInArrow(lean(_sketch_edges(params)), "a long, b long").distinct()
+        found = found.unionByName(more)
+    return found, edges
+
+
+def candidate_edges(reps: DataFrame, params: NearParams) -> DataFrame:
+    """Edges (a, b) between representatives (doc_id, sketch) that some node of some tree brought together."""
+    start = reps.select("doc_id", "sketch")
+    first, last, most = 0, params.trees, F.lit(params.trees)
+    rows, edges = start.withColumn("most", most), None
+    while True:
+        leaves, whole = _leaves(rows, first, last, params)
+        leaves = written(leaves, "leaves")
+        nodes = leaves.join(start, "doc_id").select("tree", "node", "doc_id", "sketch")
+        dealt = nodes.repartition("tree", "node").sortWithinPartitions("tree", "node", "doc_id")
+        here = dealt.mapInArrow(lean(_sketch_edges(params)), "a long, b long")
+        here = here if whole is None else here.unionByName(whole)
+        edges = here if edges is None else edges.unionByName(here)
+        # Documents that went deep are asked for in more trees; what is large to the end is compared exactly anyway.
+        needs = [params.trees_for(d) for d in range(params.levels + 1)]
+        deep = leaves.groupBy("doc_id").agg(F.max("depth").alias("depth"))
+        deep = deep.withColumn("most", F.element_at(F.array(*[F.lit(n) for n in needs]), F.col("depth") + 1)).where(F.col("most") > last)
+        rows = written(deep.join(start, "doc_id").select("doc_id", "sketch", "most"), "deep")
+        first, top = last, rows.agg(F.max("most")).first()[0]
+        if top is None:
+            return edges.distinct()
+        last = min(top, 2 * last)
 
 
 def _confirm(params: NearParams):
@@ -335,7 +371,7 @@ def _confirm_blocks(params: NearParams):
 
 def _most_alike(rows: DataFrame, params: NearParams) -> DataFrame:
     """doc_id, cluster, fit of rows (doc_id, cluster, sketch): how many of its tokens are the commonest ones of the cluster."""
-    slots = F.array(*[F.substring("sketch", 4 * k + 1, 4) for k in range(params.trees * params.levels)])
+    slots = F.array(*[_token(k) for k in range(params.slots)])
     tokens = rows.select("doc_id", "cluster", F.posexplode(slots).alias("slot", "token"))
     held = tokens.groupBy("cluster", "slot", "token").agg(F.count(F.lit(1)).alias("n"))
     common = held.groupBy("cluster", "slot").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
@@ -345,21 +381,20 @@ def _most_alike(rows: DataFrame, params: NearParams) -> DataFrame:
 def confirmed_links(documents: DataFrame, reps: DataFrame, clusters: DataFrame, params: NearParams) -> DataFrame:
     """Links (a, b) that connect the components of each cluster (vertex, component), confirmed on full sets."""
     members = clusters.select(F.col("vertex").alias("doc_id"), F.col("component").alias("cluster"))
-    members = members.unionByName(members.select(F.col("cluster").alias("doc_id"), "cluster").distinct())
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    members = members.unionByName(members.select(F.col("cluster").alias("doc_id"), "cluster").distinct()).join(reps.select("doc_id", "n_shingles"), "doc_id")
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
     members = written(members.join(sizes, "cluster"), "clusters")
-    small = members.where(F.col("n") <= params.cluster).select("doc_id", "cluster", F.lit(0).cast("long").alias("part"), F.lit(1).alias("turn"))
-    big = members.where(F.col("n") > params.cluster)
+    is_small = (F.col("n") <= params.cluster) & (F.col("weight") <= params.block)
+    small = members.where(is_small).select("doc_id", "cluster", F.lit(0).cast("long").alias("part"), F.lit(1).alias("turn"))
+    big = members.where(~is_small)
     parts = small
     if not big.isEmpty():
-        size = params.levels * 4
-        tokens = reps.join(big, "doc_id").select(
-            "doc_id", "cluster", F.posexplode(F.array(*[F.substring("sketch", t * size + 1, 4) for t in range(params.trees)])).alias("tree", "token")
-        )
-        held = tokens.groupBy("cluster", "tree", "token").agg(F.count(F.lit(1)).alias("k"))
-        split = F.pmod(F.xxhash64("doc_id", "tree"), F.ceil(F.col("k") / params.cluster))
+        in_big = reps.select("doc_id", "sketch").join(big, "doc_id")
+        tokens = in_big.select("doc_id", "cluster", "n_shingles", F.posexplode(F.array(*[_token(t) for t in range(params.trees)])).alias("tree", "token"))
+        held = tokens.groupBy("cluster", "tree", "token").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("w"))
+        split = F.pmod(F.xxhash64("doc_id", "tree"), F.ceil(F.greatest(F.col("k") / params.cluster, F.col("w") / params.block)))
         dealt = tokens.join(held.where(F.col("k") > 1), ["cluster", "tree", "token"]).select("doc_id", "cluster", F.xxhash64("tree", "token", split).alias("part"))
-        hubs = _most_alike(reps.join(big, "doc_id"), params).groupBy("cluster").agg(F.max_by("doc_id", F.struct("fit", "doc_id")).alias("doc_id"))
+        hubs = _most_alike(in_big, params).groupBy("cluster").agg(F.max_by("doc_id", F.struct("fit", "doc_id")).alias("doc_id"))
         beside = dealt.select("cluster", "part").distinct().join(F.broadcast(hubs), "cluster").withColumn("turn", F.lit(0))
         parts = parts.unionByName(dealt.withColumn("turn", F.lit(1)).unionByName(beside).groupBy("doc_id", "cluster", "part").agg(F.min("turn").alias("turn")))
     wanted = parts
@@ -381,7 +416,7 @@ def confirmed_links(documents: DataFrame, reps: DataFrame, clusters: DataFrame,
     if big.isEmpty():
         return links
     links = written(links, "links")
-    size = big.select("doc_id", F.col("cluster").alias("grp")).join(reps.select("doc_id", "n_shingles"), "doc_id")
+    size = big.select("doc_id", F.col("cluster").alias("grp"), "n_shingles")
     # sets that are linked are in one class of sizes or in neighbouring ones: a class is a little wider than the least ratio of their sizes
     size_class = F.floor(F.log("n_shingles") / float(np.log(100 / params.percent) + 1e-6)).cast("int")
     known = components(links).select(F.col("vertex").alias("doc_id"), "component")
@@ -413,11 +448,16 @@ def near_duplicates(documents: DataFrame, params: NearParams = NearParams()) ->
 
 
 def deduplicated(documents: DataFrame, params: NearParams = NearParams()) -> DataFrame:
-    """One document of each component, with the columns they came with: that of the smallest id. Rows with a null id are kept."""
+    """One document of each component, with the columns they came with: that of the smallest id. Rows with a null id are kept.
+
+    Of rows of one kept id the one with the least text stays, a null text first.
+    """
     gone = near_duplicates(documents, params).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     kept = documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
     repeated = documents.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     if repeated.isEmpty():
         return kept
-    named = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where(F.col("doc_id").isNull()))
+    named = kept.where(F.col("doc_id").isNotNull())
+    whole = F.struct(*[F.col(c) for c in kept.columns])
+    least = named.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(whole, F.struct("text", F.xxhash64(F.to_json(whole)))).alias("_row"))
+    return least.select("_row.*").unionByName(kept.where(F.col("doc_id").isNull()))
