@@ -7,18 +7,19 @@ through it gives the matching statistics: at each word, the longest suffix that
 Against a given reference (`against_reference`) the reference is cut into shards of bounded size; each shard's automaton is broadcast and all
 documents stream through it.
 
-Against the corpus itself (`removed_words`) the reference grows with the documents, and broadcasting all of it to all of them would be quadratic. So:
+Against the corpus itself (`removed_words`) the reference grows with the documents, and broadcasting all of it to all of them would be quadratic. So the
+reference is cut by content, and a filter names the shards that a piece of a document can match in:
 
-1. A filter tells which documents need which shards. Of each window of `window` words the run of `anchor` words with the smallest hash is its anchor;
-   equal windows have equal anchors, and only places whose anchor another document has too go on. Hashes of their windows then give each
-   the first place that holds it, in its own batch or else in the corpus; only positions are shuffled for this.
-2. The first places are the reference: pieces of text, dealt to shards by document and position, so that an automaton holds about `shard_words`
-   words however long a document is. A window streams through the automaton of the shard that its first place is in, and through no other.
-3. A task builds its shard's automaton, by ascending document, and streams the others' pieces through it. Equal pieces of a batch of documents
-   are one row with the places they stand at, so a very common passage costs a row per batch, not one per document.
-4. The spans that the automata find go back to their documents, whose texts were shuffled once for all steps.
+1. Of each window of `window` words the run of `anchor` words with the smallest hash is its anchor; equal windows have equal anchors, and only places
+   whose anchor another document has too go on. Only positions are shuffled for this.
+2. The words around such an anchor, which hold every window that contains it, are a piece; the anchor's hash deals it to one of the shards of about `shard_words`
+   words. An anchor with `hot` places and more would fill a shard alone: there each window is a piece of its own, dealt by the hash of its words, so that no
+   shard grows with one phrase. Equal pieces of a batch of documents are one row with the places they stand at.
+3. A shard's pieces stream by ascending document through the automaton of all that came before; the matching statistics give the spans of `window` words and more
+   that smaller documents hold. Then the piece joins the automaton.
+4. The spans go back to their documents, whose texts were shuffled once for this and step 2.
 
-The filter may send a piece in vain, but removes nothing: that is left to the automata, which compare words (as 32-bit hashes, thirteen in a row).
+The filter removes nothing: that is left to the automata, which compare words (as 32-bit hashes, thirteen in a row).
 
 Defined results: null texts have no words; documents of fewer words than a window keep all; windows repeated only inside one document stay; rows of
 equal id count as one document for the comparison and each get their own result, whether their texts are equal or not; rows with a null id are dropped; extra
@@ -41,11 +42,16 @@ from tallyforge.llm.textcore import document_words, lean, mix, ngram_hashes, wit
 
 @dataclass(frozen=True)
 class SpanParams:
-    """window: words of the shortest span that counts. anchor: words of an anchor. shard_words: reference words of one automaton."""
+    """window: words of the shortest span that counts. anchor: words of an anchor. shard_words: reference words of one automaton, as expected.
+
+    hot: places of an anchor from which on its windows are dealt one by one. crowd: documents of a batch from which on an anchor they share is settled there.
+    """
 
     window: int = 13
     anchor: int = 5
     shard_words: int = 60_000
+    hot: int = 4096
+    crowd: int = 64
 
 
 class SuffixAutomaton:
@@ -147,6 +153,8 @@ def anchors_of(words: np.ndarray, bounds: np.ndarray, params: SpanParams) -> tup
 
 #: What is known of a row in the task that made it: nothing, that its anchor is shared and it stands for the rest, or that it is one of the rest.
 ALONE, STANDS_FOR, SETTLED = 0, 1, 2
+#: How a marked anchor's windows are dealt: together, one by one, or both ways where it is not known which the others take.
+TOGETHER, SINGLY, BOTH = 0, 1, 2
 
 
 def _spread(docs: np.ndarray) -> np.ndarray:
@@ -155,7 +163,7 @@ def _spread(docs: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(params: SpanParams):
-    """Anchors with what one batch knows of them: of an anchor that several of its documents share only one row goes to the anchor's task."""
+    """Anchors with what one batch knows of them: of an anchor that many of its documents share only one row goes to the anchor's task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,9 +184,9 @@ def _anchor_rows(params: SpanParams):
             anchor, doc, variant, place = anchor[order], doc[order], variant[order], place[order]
             begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
             end = np.append(begin[1:], len(anchor))
-            shared = doc[begin] != doc[end - 1]
-            state = np.where(np.repeat(shared, end - begin), SETTLED, ALONE).astype(np.int8)
-            state[begin[shared]] = STANDS_FOR
+            crowd = (doc[begin] != doc[end - 1]) & (end - begin >= params.crowd)
+            state = np.where(np.repeat(crowd, end - begin), SETTLED, ALONE).astype(np.int8)
+            state[begin[crowd]] = STANDS_FOR
             route = np.where(state == SETTLED, _spread(doc), anchor)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(route), pa.array(doc), pa.array(variant), pa.array(place), pa.array(state)], names=["route", "doc_id", "variant", "pos", "state"]
@@ -187,222 +195,157 @@ def _anchor_rows(params: SpanParams):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor and document, those whose anchor more than one document has. Holds the rows of one document at a time."""
-    held: list[pa.RecordBatch] = []  # of an anchor of which one document was seen so far
-    last, many = None, False
-
-    def out(some: pa.RecordBatch) -> pa.RecordBatch:
-        return some.select(["doc_id", "variant", "pos"])
-
-    for batch in batches:
-        settled = batch.column(4).to_numpy() == SETTLED
-        if settled.any():
-            yield out(batch.filter(pa.array(settled)))
-            batch = batch.filter(pa.array(~settled))
-        if not batch.num_rows:
-            continue
-        anchor, doc, state = (batch.column(k).to_numpy() for k in (0, 1, 4))
-        begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        end = np.append(begin[1:], len(anchor))
-        shared = (doc[begin] != doc[end - 1]) | np.logical_or.reduceat(state == STANDS_FOR, begin)
-        if last is not None and anchor[0] == last[0]:
-            if many or shared[0] or doc[0] != last[1]:
-                yield from map(out, held)
-                held, shared[0] = [], True
-        else:
-            held = []
-        keep = np.repeat(shared, end - begin)
-        if keep.any():
-            yield out(batch.filter(pa.array(keep)))
-        if not shared[-1]:
-            if len(begin) > 1:
-                held = []
-            held.append(batch.slice(int(begin[-1])))
-        else:
-            held = []
-        last, many = (anchor[-1], doc[-1]), bool(shared[-1])
-
-
-#: Kinds of places: a window that another place holds first, the first place itself, and one whose first place is still to be found.
-STREAMS, REFERS, OPEN = 0, 1, 2
-_PLACE = "kind byte, hash long, doc_id long, variant long, pos int, shard int"
-
+def _repeated(params: SpanParams):
+    """Of rows sorted by anchor and document, those whose anchor more than one document has, as marks: 4 * position + how their windows are dealt.
 
-def _shard_of(docs: np.ndarray, places: np.ndarray, shards: int, params: SpanParams) -> np.ndarray:
-    """The shard of the reference that has the windows at these places: a long document takes many."""
-    block = (places // max(1, params.shard_words // 4)).astype(np.uint64)
-    return (mix(docs.astype(np.uint64) ^ mix(block)) % np.uint64(shards)).astype(np.int32)
-
-
-def _runs_of(kind: np.ndarray, row: np.ndarray, at: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of places in order the first and the last of each run of neighbours that are alike."""
-    cut = np.flatnonzero((row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1
-    begin = np.concatenate([[0], cut]).astype(np.int64)
-    return begin, np.append(cut, len(row)).astype(np.int64) - 1
-
-
-def _window_rows(params: SpanParams, shards: int):
-    """The windows at the marked anchors of rows (doc_id, variant, text, marks): of those that several documents of a batch share all but the first's stream
-    through its shard; a first one is open, and refers if another streams. Open windows have a row each, the others one for each run (hash: how many).
+    Holds `hot` rows of one anchor at a time, or those of one document.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, variants, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-            hashes, rows, places = [], [], []
-            for at, to, words, bounds in document_words(False, batch.column(2)):
-                starts, anchor, _ = anchors_of(words, bounds, params)
-                marked = np.zeros(len(words), dtype=bool)
-                for r in range(to - at):
-                    marked[bounds[r] + np.asarray(marks[at + r].values)] = True
-                starts = starts[marked[anchor]] if len(starts) else starts
-                row = np.searchsorted(bounds, starts, side="right") - 1
-                hashes.append(ngram_hashes(words, params.window)[starts].view(np.int64))
-                rows.append(row + at)
-                places.append(starts - bounds[row])
-            if not sum(map(len, hashes)):
-                continue
-            h, row, place = np.concatenate(hashes), np.concatenate(rows), np.concatenate(places)
-            doc = ids[row]
-            order = np.lexsort((place, row, doc, h))
-            h, row, place, doc = h[order], row[order], place[order], doc[order]
-            begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
-            later = doc != doc[begin][group]
-            home = _shard_of(doc[begin], place[begin], shards, params)
-            refers = np.zeros(len(h), dtype=bool)
-            refers[begin] = np.logical_or.reduceat(later, begin)
-            kind = np.concatenate([np.full(later.sum(), STREAMS), np.full(refers.sum(), REFERS)]).astype(np.int8)
-            at_row, at_place = np.concatenate([row[later], row[refers]]), np.concatenate([place[later], place[refers]])
-            shard = np.concatenate([home[group[later]], home[group[refers]]])
-            order = np.lexsort((at_place, at_row, kind))
-            kind, at_row, at_place, shard = kind[order], at_row[order], at_place[order], shard[order]
-            if len(kind):
-                low, high = _runs_of(kind, at_row, at_place, shard)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kind[low]), pa.array(high - low + 1), pa.array(ids[at_row[low]]), pa.array(variants[at_row[low]]),
-                     pa.array(at_place[low].astype(np.int32)), pa.array(shard[low])],
-                    names=[f.split()[0] for f in _PLACE.split(", ")],
-                )
-            first = ~later
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(first.sum(), OPEN, dtype=np.int8)), pa.array(h[first]), pa.array(doc[first]), pa.array(variants[row[first]]),
-                 pa.array(place[first].astype(np.int32)), pa.array(np.zeros(first.sum(), dtype=np.int32))],
-                names=[f.split()[0] for f in _PLACE.split(", ")],
-            )
-
-    return run
+    def marks(batch: pa.RecordBatch, dealt: np.ndarray) -> pa.RecordBatch:
+        mark = batch.column(3).to_numpy().astype(np.int64) * 4 + dealt
+        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(mark)], names=["doc_id", "variant", "mark"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the newest anchor, while it is not known how its rows are dealt
+        last, first_doc, n, shared, told = None, None, 0, False, False
 
-def _first_places(params: SpanParams, shards: int):
-    """Over open windows sorted by hash, document and place: all but the first document's stream through the shard of the first place, which refers."""
+        def closing() -> Iterator[pa.RecordBatch]:
+            if shared and not told:
+                for some in held:
+                    yield marks(some, np.full(some.num_rows, TOGETHER))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # hash, document, variant, place of the newest group's first row, and whether it was named as a reference
         for batch in batches:
+            settled = batch.column(4).to_numpy() == SETTLED
+            if settled.any():
+                yield marks(batch.filter(pa.array(settled)), np.full(int(settled.sum()), BOTH))
+                batch = batch.filter(pa.array(~settled))
             if not batch.num_rows:
                 continue
-            h, doc, variant, place = (batch.column(k).to_numpy() for k in (1, 2, 3, 4))
-            begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
-            first = [doc[begin].copy(), variant[begin].copy(), place[begin].copy()]
-            known = last is not None and last[0] == h[0]
-            if known:
-                for column, value in zip(first, last[1:4]):
-                    column[0] = value
-            later = doc != first[0][group]
-            refers = np.logical_or.reduceat(later, begin)
-            told = bool(known and last[4])
-            last = (h[-1], *(c[-1] for c in first), bool(refers[-1] or (told and len(begin) == 1)))
-            if told:
-                refers[0] = False
-            home = _shard_of(first[0], first[2], shards, params)
-            n, m = int(later.sum()), int(refers.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.full(n, STREAMS), np.full(m, REFERS)]).astype(np.int8)), pa.array(np.ones(n + m, dtype=np.int64)),
-                 pa.array(np.concatenate([doc[later], first[0][refers]])), pa.array(np.concatenate([variant[later], first[1][refers]])),
-                 pa.array(np.concatenate([place[later], first[2][refers]]).astype(np.int32)), pa.array(np.concatenate([home[group[later]], home[refers]]).astype(np.int32))],
-                names=[f.split()[0] for f in _PLACE.split(", ")],
-            )
+            anchor, doc, state = (batch.column(k).to_numpy() for k in (0, 1, 4))
+            begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            end = np.append(begin[1:], len(anchor))
+            if last is not None and anchor[0] == last:  # the newest anchor goes on
+                size = int(end[0])
+                n += size
+                shared = shared or bool((doc[:size] != first_doc).any() or (state[:size] == STANDS_FOR).any())
+                held.append(batch.slice(0, size))
+                if shared and (told or n >= params.hot):
+                    told = True
+                    for some in held:
+                        yield marks(some, np.full(some.num_rows, SINGLY))
+                    held = []
+                batch = batch.slice(size)
+                anchor, doc, state, begin, end = anchor[size:], doc[size:], state[size:], begin[1:] - size, end[1:] - size
+                if not len(begin):
+                    continue
+            yield from closing()
+            # All anchors but the newest are whole here.
+            many = (doc[begin] != doc[end - 1]) | np.logical_or.reduceat(state == STANDS_FOR, begin)
+            dealt = np.where(end - begin >= params.hot, SINGLY, TOGETHER)
+            keep = np.repeat(many, end - begin)
+            keep[begin[-1] :] = False
+            if keep.any():
+                yield marks(batch.filter(pa.array(keep)), np.repeat(dealt, end - begin)[keep])
+            last, first_doc, n, shared = anchor[-1], doc[begin[-1]], int(end[-1] - begin[-1]), bool(many[-1])
+            held, told = [batch.slice(int(begin[-1]))], False
+            if shared and n >= params.hot:
+                told = True
+                yield marks(held[0], np.full(n, SINGLY))
+                held = []
+        yield from closing()
 
     return run
 
 
-_PIECE = "shard int, kind byte, owner long, words binary, places array<struct<doc_id:long,variant:long,start:int>>"
-_PLACES = pa.list_(pa.struct([("doc_id", pa.int64()), ("variant", pa.int64()), ("start", pa.int32())]))
+_PIECE = "shard int, owner long, words binary, docs array<long>, variants array<long>, starts array<int>"
 
 
-def _pieces(params: SpanParams):
-    """The words at the places of rows (doc_id, variant, text, places): a reference piece for each run, and for equal pieces that stream one row."""
+def _pieces(params: SpanParams, shards: int):
+    """The pieces at the marks of rows (doc_id, variant, text, marks), equal ones as one row with their places by ascending document."""
+    reach = params.window - params.anchor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, variants = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            found: dict[tuple, list] = {}
+            ids, variants, marks = batch.column(0).to_numpy().tolist(), batch.column(1).to_numpy().tolist(), batch.column(3)
+            found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
             for at, to, words, bounds in document_words(False, batch.column(2)):
+                starts, anchor, grams = anchors_of(words, bounds, params)
+                home = (mix(grams) % np.uint64(shards)).astype(np.int64).tolist()
+                single = None
                 small = words.astype("<u4")
+                edges = bounds.tolist()
                 for r in range(at, to):
-                    flat = batch.column(3)[r].values
-                    kind, many, place, shard = (np.asarray(flat.field(k)) for k in range(4))
-                    full = np.repeat(np.arange(len(kind)), many)
-                    step = np.arange(len(full)) - np.repeat(np.cumsum(many) - many, many)
-                    kind, place, shard = kind[full], place[full] + step, shard[full]
-                    order = np.lexsort((place, shard, kind))
-                    kind, place, shard = kind[order], place[order], shard[order]
-                    fresh = np.concatenate([[True], (kind[1:] != kind[:-1]) | (shard[1:] != shard[:-1]) | (place[1:] != place[:-1])])
-                    kind, place, shard = kind[fresh], place[fresh], shard[fresh]
-                    low, high = _runs_of(kind, np.zeros(len(kind), dtype=np.int64), place, shard)
-                    base, doc, variant = int(bounds[r - at]), int(ids[r]), int(variants[r])
-                    for a, b in zip(low.tolist(), high.tolist()):
-                        begin = int(place[a])
-                        blob = small[base + begin : base + int(place[b]) + params.window].tobytes()
-                        key = (int(shard[a]), int(kind[a]), doc if kind[a] == REFERS else 0, blob)
-                        found.setdefault(key, []).append((doc, variant, begin))
+                    a, b = edges[r - at], edges[r - at + 1]
+                    for mark in np.unique(np.asarray(marks[r].values)).tolist():
+                        p, dealt = a + (mark >> 2), mark & 3
+                        if dealt != SINGLY:
+                            low = max(a, p - reach)
+                            key = (home[p], small[low : min(b, p + params.window)].tobytes())
+                            found.setdefault(key, []).append((ids[r], variants[r], low - a))
+                        if dealt != TOGETHER:
+                            if single is None:
+                                single = mix(ngram_hashes(words, params.window) ^ np.uint64(params.window)) % np.uint64(shards)
+                            k, end = np.searchsorted(starts, [max(a, p - reach), p + 1])
+                            for low in starts[k:end][anchor[k:end] == p].tolist():
+                                key = (int(single[low]), small[low : low + params.window].tobytes())
+                                found.setdefault(key, []).append((ids[r], variants[r], low - a))
             if found:
-                keys = list(found)
-                columns = [[k[j] for k in keys] for j in range(4)]
-                spots = [[] if k[1] == REFERS else [{"doc_id": d, "variant": v, "start": p} for d, v, p in found[k]] for k in keys]
-                kinds = [pa.int32(), pa.int8(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, kinds)], pa.array(spots, _PLACES)], names=["shard", "kind", "owner", "words", "places"])
+                places = [sorted(set(spots)) if len(spots) > 1 else spots for spots in found.values()]
+                offsets = pa.array(np.cumsum([0, *map(len, places)]), pa.int32())
+                flat = list(zip(*[spot for spots in places for spot in spots]))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(c, t)) for c, t in zip(flat, (pa.int64(), pa.int64(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k[0] for k in found], pa.int32()), pa.array([spots[0][0] for spots in places], pa.int64()), pa.array([k[1] for k in found], pa.binary()), *lists],
+                    names=[f.split()[0] for f in _PIECE.split(", ")],
+                )
 
     return run
 
 
 def _stream(params: SpanParams):
-    """Over pieces sorted by shard, reference first and by owner: the spans of the others that smaller documents of the reference hold."""
+    """Over pieces sorted by shard and first document: the spans that smaller documents hold, as the automaton of all pieces before finds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, automaton, held = None, SuffixAutomaton(), set()
+        now, automaton, known = None, SuffixAutomaton(), {}
         for batch in batches:
-            shards, kinds, owners = (batch.column(k).to_numpy() for k in range(3))
+            shards, owners, blobs = batch.column(0).to_numpy().tolist(), batch.column(1).to_numpy().tolist(), batch.column(2).to_pylist()
+            edges = batch.column(3).offsets.to_numpy().tolist()
+            docs, variants, starts = (batch.column(k).values.to_numpy().tolist() for k in (3, 4, 5))
             out: list[list[int]] = [[], [], [], []]
-            for k in range(batch.num_rows):
-                if shards[k] != now:
-                    now, automaton, held = shards[k], SuffixAutomaton(), set()
-                blob = batch.column(3)[k].as_buffer()
-                words = np.frombuffer(blob, "<u4").tolist()
-                if kinds[k] == REFERS:
-                    own = bytes(blob)
-                    if own not in held:  # of equal pieces the first document's stands for all
-                        held.add(own)
-                        automaton.add(words, int(owners[k]))
-                    continue
-                firsts = np.array(automaton.first_owners(words, params.window), dtype=np.int64)
-                there = firsts >= 0
-                flat = batch.column(4)[k].values
-                for doc, variant, start in zip(*(np.asarray(flat.field(j)).tolist() for j in range(3))):
-                    hit = np.flatnonzero(there & (firsts < doc))
-                    for part in np.split(hit, np.flatnonzero(np.diff(hit) > params.window) + 1) if len(hit) else ():
-                        # windows that touch or overlap are one span; between others words stay
-                        for column, value in zip(out, (doc, variant, start + int(part[0]), int(part[-1] - part[0]) + params.window)):
-                            column.append(value)
+            for k, (shard, owner, blob) in enumerate(zip(shards, owners, blobs)):
+                if shard != now:
+                    now, automaton, known = shard, SuffixAutomaton(), {}
+                firsts = known.get(blob)
+                if firsts is None:
+                    words = np.frombuffer(blob, "<u4").tolist()
+                    firsts = automaton.first_owners(words, params.window)
+                    automaton.add(words, owner)
+                    firsts = known[blob] = [owner if f < 0 else f for f in firsts]
+                least = min(firsts)
+                for j in range(edges[k], edges[k + 1]):
+                    if least < docs[j]:
+                        for low, n in _covered(firsts, docs[j], params.window):
+                            for column, value in zip(out, (docs[j], variants[j], starts[j] + low, n)):
+                                column.append(value)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "variant", "start", "n"])
 
     return run
 
 
+def _covered(firsts: list[int], doc: int, window: int) -> Iterator[tuple[int, int]]:
+    """(start, words) of the maximal runs of windows whose first document is smaller."""
+    begin = None
+    for k, first in enumerate(firsts):
+        if first < doc:
+            begin = k if begin is None else begin
+        elif begin is not None:
+            yield begin, k - 1 - begin + window
+            begin = None
+    if begin is not None:
+        yield begin, len(firsts) - 1 - begin + window
+
+
 def _without(params: SpanParams):
     """doc_id, n_words, n_removed, kept of rows (doc_id, text, spans)."""
 
@@ -445,44 +388,13 @@ def repeated_spans(texts: DataFrame, params: SpanParams = SpanParams()) -> DataF
     shards = max(1, math.ceil(chars / 6 / params.shard_words))
     key = ["doc_id", "variant"]
     rows = texts.mapInArrow(lean(_anchor_rows(params)), "route long, doc_id long, variant long, pos int, state byte")
-    hits = rows.repartition("route").sortWithinPartitions(F.col("state") == SETTLED, "route", "doc_id").mapInArrow(lean(_repeated), "doc_id long, variant long, pos int")
-    marks = hits.groupBy(*key).agg(F.collect_list("pos").alias("marks"))
-    windows = texts.join(marks, key).select(*key, "text", "marks").mapInArrow(lean(_window_rows(params, shards)), _PLACE)
-    open_ = F.col("kind") == OPEN
-    route = F.when(open_, F.col("hash")).otherwise(F.xxhash64("doc_id", "variant", "pos"))
-    dealt = windows.repartition(route).sortWithinPartitions(open_, "hash", "doc_id", "variant", "pos")
-    places = dealt.mapInArrow(lean(_split_open(params, shards)), _PLACE)
-    places = places.groupBy(*key).agg(F.collect_list(F.struct("kind", F.col("hash").alias("many"), "pos", "shard")).alias("places"))
-    pieces = texts.join(places, key).select(*key, "text", "places").mapInArrow(lean(_pieces(params)), _PIECE)
-    spans = pieces.repartition("shard").sortWithinPartitions("shard", F.col("kind").desc(), "owner").mapInArrow(lean(_stream(params)), "doc_id long, variant long, start int, n int")
+    hits = rows.repartition("route").sortWithinPartitions(F.col("state") == SETTLED, "route", "doc_id").mapInArrow(lean(_repeated(params)), "doc_id long, variant long, mark long")
+    marks = hits.groupBy(*key).agg(F.collect_list("mark").alias("marks"))
+    pieces = texts.join(marks, key).select(*key, "text", "marks").mapInArrow(lean(_pieces(params, shards)), _PIECE)
+    spans = pieces.repartition("shard").sortWithinPartitions("shard", "owner").mapInArrow(lean(_stream(params)), "doc_id long, variant long, start int, n int")
     return spans.groupBy(*key).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
-def _split_open(params: SpanParams, shards: int):
-    """What is settled passes; open windows, which come last, are given their first places."""
-    judge = _first_places(params, shards)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settled: list[pa.RecordBatch] = []
-
-        def still_open() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                is_open = pa.array(batch.column(0).to_numpy() == OPEN)
-                done = batch.filter(pa.array(batch.column(0).to_numpy() != OPEN))
-                if done.num_rows:
-                    settled.append(done)
-                yield batch.filter(is_open)
-
-        for judged in judge(still_open()):
-            yield from settled
-            settled.clear()
-            if judged.num_rows:
-                yield judged
-        yield from settled
-
-    return run
-
-
 def removed_words(documents: DataFrame, params: SpanParams = SpanParams()) -> DataFrame:
     """doc_id, n_words, n_removed, kept (UTF-8 bytes of the kept words joined by a blank)."""
     texts = with_variants(documents)
