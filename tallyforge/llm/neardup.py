@@ -4,7 +4,7 @@
    so copies cost nothing further, however many there are.
 2. Independent trees branch the representatives: at each level a document goes to the child of the shingle that the level's hash function
    makes the smallest ("minwise token"). Two sets of similarity J share a child with probability J, so they stay together for d levels with J**d.
-   A node of at most `leaf` documents is compared exhaustively by sketches and ends there; larger nodes branch on. Which of the sketch's hash functions a
+   A node of at most `leaf` documents, twice as many with every level, is compared exhaustively by sketches and ends there; larger nodes branch on. Which of the sketch's hash functions a
    tree takes, and in which order, is drawn for each tree.
 3. Trees are repeated until the target recall is met: documents whose nodes went d levels deep take part in as many trees as make
    1 - (1 - J**d)**trees reach `recall` at the threshold, at least `trees` of them.
@@ -48,7 +48,7 @@ class NearParams:
     percent: int = 80
     slots: int = 64
     trees: int = 8
-    levels: int = 16
+    levels: int = 8
     recall: float = 0.99
     leaf: int = 32
     cluster: int = 1024
@@ -65,6 +65,10 @@ class NearParams:
         together = (self.percent / 100) ** depth
         return max(self.trees, int(np.ceil(np.log(1 - self.recall) / np.log1p(-together)))) if together < 1 else self.trees
 
+    def leaf_at(self, level: int) -> int:
+        """Documents of a node that is not branched further."""
+        return min(self.leaf << (level - 1), max(self.leaf, self.cluster))
+
     def path(self, tree: int) -> list[int]:
         """The hash functions of a tree's levels: no two alike."""
         return np.argsort(mix(seeds(self.slots, 100 + tree)), kind="stable")[: self.levels].tolist()
@@ -196,60 +200,52 @@ def _token(slot: int) -> Column:
     return F.substring("sketch", 4 * slot + 1, 4)
 
 
-def _leaves(rows: DataFrame, first: int, last: int, params: NearParams) -> tuple[DataFrame, DataFrame]:
-    """The leaves (tree, node, doc_id, depth) of the trees first to last - 1 over rows (doc_id, sketch, most), and edges (a, b) of nodes too large to the end.
+def _leaves(rows: DataFrame, first: int, last: int, params: NearParams) -> tuple[list[DataFrame], DataFrame | None]:
+    """The leaves (tree, node, doc_id, depth) of the trees first to last - 1 over rows (doc_id, sketch, most), by level, and edges (a, b) of nodes too large to the end.
 
-    A document takes part in the trees below its `most`.
+    A document takes part in the trees below its `most`. Each level is one write: the nodes of two and more documents with their sizes.
     """
-    paths = [params.path(t) for t in range(first, last)]
-    now = rows.withColumn("tree", F.explode(F.sequence(F.lit(first), F.least(F.col("most"), F.lit(last)) - 1)))
-
-    def child(level: int) -> Column:
-        """The minwise token of the tree's hash function at the level."""
-        return F.substring("sketch", F.element_at(F.array(*[F.lit(4 * p[level] + 1) for p in paths]), F.col("tree") - first + 1), F.lit(4))
-
-    now = now.select("tree", F.xxhash64("tree", child(0)).alias("node"), "doc_id", "sketch")
-    leaves, edges = [], None
+    size = 4
+    paths = F.array(*[F.concat(*[_token(slot) for slot in params.path(t)]) for t in range(first, last)])
+    trees = rows.select("doc_id", "most", F.posexplode(paths).alias("tree", "tokens")).withColumn("tree", F.col("tree") + first).where(F.col("tree") < F.col("most"))
+    now = trees.select("tree", F.xxhash64("tree", F.substring("tokens", 1, size)).alias("node"), "doc_id", "tokens")
+    leaves = []
     for level in range(1, params.levels + 1):
-        now = written(now, "nodes")
         sizes = now.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub")).where(F.col("n") > 1)
-        now = now.join(sizes, ["tree", "node"])
-        leaves.append(now.where(F.col("n") <= params.leaf).select("tree", "node", "doc_id", F.lit(level).alias("depth")))
-        large = now.where(F.col("n") > params.leaf)
+        nodes = written(now.join(sizes, ["tree", "node"]), "nodes")
+        most = params.leaf_at(level)
+        leaves.append(nodes.where(F.col("n") <= most).select("tree", "node", "doc_id", F.lit(level).alias("depth")))
+        large = nodes.where(F.col("n") > most)
         if level == params.levels:
-            edges = large.where(F.col("doc_id") != F.col("hub")).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-            break
+            return leaves, large.where(F.col("doc_id") != F.col("hub")).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
         if large.isEmpty():
-            break
-        now = large.select("tree", F.xxhash64("node", child(level)).alias("node"), "doc_id", "sketch")
-    found = leaves[0]
-    for more in leaves[1:]:
-        found = found.unionByName(more)
-    return found, edges
+            return leaves, None
+        now = large.select("tree", F.xxhash64("node", F.substring("tokens", level * size + 1, size)).alias("node"), "doc_id", "tokens")
+    return leaves, None
 
 
 def candidate_edges(reps: DataFrame, params: NearParams) -> DataFrame:
     """Edges (a, b) between representatives (doc_id, sketch) that some node of some tree brought together."""
     start = reps.select("doc_id", "sketch")
-    first, last, most = 0, params.trees, F.lit(params.trees)
-    rows, edges = start.withColumn("most", most), None
+    first, last, edges = 0, params.trees, None
+    rows = start.withColumn("most", F.lit(params.trees))
     while True:
         leaves, whole = _leaves(rows, first, last, params)
-        leaves = written(leaves, "leaves")
-        nodes = leaves.join(start, "doc_id").select("tree", "node", "doc_id", "sketch")
-        dealt = nodes.repartition("tree", "node").sortWithinPartitions("tree", "node", "doc_id")
+        nodes = leaves[0]
+        for more in leaves[1:]:
+            nodes = nodes.unionByName(more)
+        dealt = nodes.join(start, "doc_id").select("tree", "node", "doc_id", "sketch").repartition("tree", "node").sortWithinPartitions("tree", "node", "doc_id")
         here = dealt.mapInArrow(lean(_sketch_edges(params)), "a long, b long")
         here = here if whole is None else here.unionByName(whole)
         edges = here if edges is None else edges.unionByName(here)
-        # Documents that went deep are asked for in more trees; what is large to the end is compared exactly anyway.
-        needs = [params.trees_for(d) for d in range(params.levels + 1)]
-        deep = leaves.groupBy("doc_id").agg(F.max("depth").alias("depth"))
-        deep = deep.withColumn("most", F.element_at(F.array(*[F.lit(n) for n in needs]), F.col("depth") + 1)).where(F.col("most") > last)
-        rows = written(deep.join(start, "doc_id").select("doc_id", "sketch", "most"), "deep")
-        first, top = last, rows.agg(F.max("most")).first()[0]
-        if top is None:
+        # Documents that went deep take part in more trees: once more, as many as they need.
+        needs = [params.trees_for(level + 1) for level in range(len(leaves))]
+        if first or max(needs) <= last:
             return edges.distinct()
-        last = min(top, 2 * last)
+        deep = nodes.where(F.col("depth") > sum(n <= last for n in needs)).groupBy("doc_id").agg(F.max("depth").alias("depth"))
+        most = F.element_at(F.array(*[F.lit(n) for n in needs]), F.col("depth"))
+        rows = deep.join(start, "doc_id").select("doc_id", "sketch", most.alias("most"))
+        first, last = last, max(needs)
 
 
 def _confirm(params: NearParams):
