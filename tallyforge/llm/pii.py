@@ -5,9 +5,10 @@ company with an entity may reveal it even where the entity itself is masked. The
 
     IC(e) = -log2 p(e)        PMI(e, t) = log2 p(e, t) / (p(e) p(t))        disclosure(e, t) = PMI(e, t) / IC(e)
 
-where p(e, t) counts the documents in which t stands within `window` characters of e. A disclosure of 1 means that t occurs only beside e
-and gives it away. Terms whose disclosure reaches `threshold`, with at least `support` different texts as evidence, are generalised
-(replaced by a class) in every document that holds the entity, and removed at `removal` or more.
+where p(e, t) counts the documents in which t stands within `window` characters of e, and p(t) those that hold t, `prior` of a document more. A disclosure near 1
+means that t occurs hardly but beside e and gives it away; one of 0.9 that t narrows e down to about the tenth root of the corpus. Terms whose disclosure reaches
+`threshold`, with at least `support` different texts as evidence, are generalised (replaced by a class) in every document that holds the entity, and removed at
+`removal` or more. An entity that occurs once needs no more evidence than that: a name beside a one-off address and nowhere else is told by it.
 
 Spans count code points, end exclusive. Every pattern is matched leftmost and without overlap; a match that fails its test is dropped and
 not tried again. Patterns are written so that they neither recurse nor rescan long runs, and match what the plain patterns match.
@@ -24,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.textcore import written
+
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 
@@ -40,12 +43,13 @@ SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 @dataclass(frozen=True)
 class PiiParams:
-    """window: characters on either side of an entity. support: different texts that must show the pair. threshold, removal: disclosures."""
+    """window: characters on either side of an entity. support: different texts that must show the pair. prior: documents added to a term's count. threshold, removal: disclosures."""
 
     window: int = 80
-    support: int = 3
-    threshold: float = 0.8
-    removal: float = 0.95
+    support: int = 1
+    prior: float = 0.5
+    threshold: float = 0.9
+    removal: float = 0.97
     least_letters: int = 3
 
 
@@ -118,8 +122,8 @@ def _terms(text: Column, params: PiiParams) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.length(w) >= params.least_letters)
 
 
-def disclosures(spanned: DataFrame, params: PiiParams = PiiParams(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """entity, term, disclosure of every pair at or over the threshold; spanned: rows with base_spans.
+def disclosures(spanned: DataFrame, documents: DataFrame, params: PiiParams = PiiParams(), text: str = "text", key: str = "doc_id") -> DataFrame:
+    """entity, term, disclosure of every pair at or over the threshold; spanned: the documents that have base_spans.
 
     Pairs are gathered only around entities. The documents of each term are counted over the whole corpus, in every task first.
     """
@@ -137,12 +141,12 @@ def disclosures(spanned: DataFrame, params: PiiParams = PiiParams(), text: str =
     pairs = near.select("entity", "unit", "text_hash", F.explode("terms").alias("term")).distinct()
     pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.countDistinct("text_hash").alias("n_texts")).where(F.col("n_texts") >= params.support)
     entities = near.select("entity", "unit").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = spanned.select(F.explode(_terms(body, params)).alias("term"))
+    words = documents.select(F.explode(_terms(body, params)).alias("term"))
     held = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n = F.lit(float(spanned.count()))
+    n = F.lit(float(documents.count()))
     both = pairs.join(held, "term").join(entities, "entity")
     # Beside a masked entity's remains a term can be shorter than in the text itself, so its own count may be the smaller.
-    pmi = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.greatest(F.col("n_term"), F.col("n_both"))))
+    pmi = F.log2(F.col("n_both") * n / (F.col("n_entity") * (F.greatest(F.col("n_term"), F.col("n_both")) + params.prior)))
     share = F.when(n > F.col("n_entity"), pmi / F.log2(n / F.col("n_entity"))).otherwise(F.lit(0.0))
     return both.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= params.threshold)
 
@@ -152,21 +156,30 @@ def with_spans(documents: DataFrame, params: PiiParams = PiiParams(), text: str
 
     No column may have one of these names or begin with an underscore; `sanitise` takes any.
     """
-    spanned = with_base_spans(documents, text)
-    found = disclosures(spanned, params, text, key)
-    held = spanned.where(F.size("base_spans") > 0).select(key, F.explode(F.array_distinct(F.transform("base_spans", _entity))).alias("entity"))
-    told = held.join(found, "entity").groupBy(key, "term").agg(F.max("disclosure").alias("disclosure"))
-    told = told.groupBy(F.col(key).alias("_key")).agg(
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    own = [F.col(key).alias("_key"), F.col("_mark"), F.col(text).alias("_body")]
+    # The patterns run once: rows that have spans are written, and all that follows starts from them.
+    some = with_base_spans(documents.withColumn("_mark", mark).select(*own), "_body").where(F.size("base_spans") > 0)
+    some = written(some, "spans")
+    found = disclosures(some, documents.select(F.col(text).alias("_body")), params, "_body", "_key")
+    held = some.select("_key", "_mark", F.explode(F.array_distinct(F.transform("base_spans", _entity))).alias("entity"))
+    told = held.join(found, "entity").groupBy("_key", "_mark", "term").agg(F.max("disclosure").alias("disclosure"))
+    told = told.groupBy(F.col("_key").alias("_k"), F.col("_mark").alias("_m")).agg(
         F.concat_ws("|", F.sort_array(F.collect_list("term"))).alias("_terms"),
         F.concat_ws("|", F.sort_array(F.collect_list(F.when(F.col("disclosure") >= params.removal, F.col("term"))))).alias("_gone"),
     )
-    rows = spanned.join(told, F.col(key) == F.col("_key"), "left")
-    safe = F.translate(F.coalesce(F.col(text), F.lit("")), MARK, STAND_IN)
+    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m"))
+    rows = some.dropDuplicates(["_key", "_mark"]).join(told, same, "left")
+    safe = F.translate(F.coalesce(F.col("_body"), F.lit("")), MARK, STAND_IN)
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.col("_terms"), F.lit(r")(?!\p{L})"))
     spans = F.when(F.col("_terms").isNotNull(), _matches(safe, pattern, TERM)).otherwise(F.array().cast(SPAN))
     gone = F.split(F.coalesce(F.col("_gone"), F.lit("")), r"\|")
     spans = F.transform(spans, lambda s: s.withField("value", F.when(F.array_contains(gone, F.lower(s["value"])), "remove").otherwise("generalise")))
-    return rows.withColumn("term_spans", spans).drop("_key", "_terms", "_gone")
+    spanned = rows.select(F.col("_key").alias("_k"), F.col("_mark").alias("_m"), "base_spans", spans.alias("term_spans"))
+    none = F.array().cast(SPAN)
+    out = documents.withColumn("_mark", mark).join(spanned, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m")), "left")
+    kept = [F.col(c) for c in documents.columns]
+    return out.select(*kept, F.coalesce("base_spans", none).alias("base_spans"), F.coalesce("term_spans", none).alias("term_spans"))
 
 
 def sanitised(spanned: DataFrame, text: str = "text") -> DataFrame:
