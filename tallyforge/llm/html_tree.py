@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 # Elements by their role in the HTML standard.
@@ -20,8 +21,8 @@ BLOCKS = {
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}),
-    "option": ({"option"}, {"select", "datalist", "optgroup"}),
 }
+CHOICES = {"option", "select", "datalist", "optgroup"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -61,6 +62,11 @@ def parse(source: str) -> Page:
     """The page's tree. Never fails: what cannot be understood is text, and what is left open ends with the page."""
     page = Page()
     stack: list[tuple[str, int]] = []  # every open element, with its node: its own or that of the block around it
+    # What a tag can close is known without a walk over the stack, so that unmatched tags cost nothing, however deep the page is nested:
+    opened: Counter[str] = Counter()  # names on the stack; a hidden block counts by its own
+    blocks: list[int] = []  # depths of the open blocks
+    inline: list[Counter[str]] = [Counter()]  # names since each of them
+    choices: list[int] = []  # depths of open options and what holds them
     links = hidden = 0
     run_open = False
 
@@ -97,7 +103,15 @@ def parse(source: str) -> Page:
     def close_to(depth: int) -> None:
         nonlocal links, hidden, run_open
         while len(stack) > depth:
-            tag, _ = stack.pop()
+            tag, at_node = stack.pop()
+            opened[page.tag[at_node] if tag == "#hidden" else tag] -= 1
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+                inline.pop()
+            else:
+                inline[-1][tag] -= 1
+            if choices and choices[-1] == len(stack):
+                choices.pop()
             links -= tag == "a"
             hidden -= tag in HIDDEN or tag == "#hidden"
             if tag in BLOCKS or tag == "#hidden":
@@ -114,13 +128,12 @@ def parse(source: str) -> Page:
         end, start = m.group(1), m.group(2)
         if end is not None:
             end = end.lower()
-            for depth in range(len(stack) - 1, 0, -1):
-                name = stack[depth][0]
-                if name == end or (name == "#hidden" and page.tag[stack[depth][1]] == end):
-                    close_to(depth)
-                    break
-                if name in BLOCKS and end not in BLOCKS and end not in HIDDEN:
-                    break
+            crosses = end in BLOCKS or end in HIDDEN
+            if opened[end] if crosses else inline[-1][end]:
+                depth = len(stack) - 1
+                while stack[depth][0] != end and not (stack[depth][0] == "#hidden" and page.tag[stack[depth][1]] == end):
+                    depth -= 1
+                close_to(depth)
             continue
         if start is None:
             continue
@@ -130,21 +143,23 @@ def parse(source: str) -> Page:
             if start in ("html", "body") and len(stack) == 1:
                 continue
             if start not in ("li", "td", "th", "tr", "dt", "dd"):
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == "p":
-                        close_to(depth)
-                        break
-                    if stack[depth][0] in BLOCKS:
-                        break
-        if start in CLOSES:
+                # a paragraph ends where a block begins, if it is the innermost block
+                if blocks and stack[blocks[-1]][0] == "p":
+                    close_to(blocks[-1])
+        if start == "option" and choices and stack[choices[-1]][0] == "option":
+            close_to(choices[-1])
+        elif start in CLOSES:
             ended, home = CLOSES[start]
-            for depth in range(len(stack) - 1, 0, -1):
+            at_block = len(blocks) - 1
+            while at_block >= 0 and any(opened[e] for e in ended):
+                depth = blocks[at_block]
                 if stack[depth][0] in home:
                     break
                 if stack[depth][0] in ended:
                     close_to(depth)
                     if start != "tr":
                         break
+                at_block = min(at_block, len(blocks)) - 1
         if start == "body":
             continue
         if start == "br":
@@ -157,6 +172,14 @@ def parse(source: str) -> Page:
             own = node(start, words, label)
         if m.group(3) and m.group(3).endswith("/") and start in HIDDEN:
             continue
+        if start in BLOCKS:
+            blocks.append(len(stack))
+            inline.append(Counter())
+        else:
+            inline[-1][start] += 1
+        if start in CHOICES:
+            choices.append(len(stack))
+        opened[start] += 1
         stack.append(("#hidden" if unseen and start in BLOCKS else start, own))
         links += start == "a"
         hidden += start in HIDDEN or (unseen and start in BLOCKS)

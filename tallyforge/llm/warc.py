@@ -8,11 +8,13 @@ For WARC, a record gets an identifier (a name-based UUID of its place and conten
 HTTP, resource for the rest) and the SHA-1 of its payload. Of records with equal payloads of at least `least_bytes` that with the
 largest page id is the response; the others become revisits, which hold the HTTP header only.
 
-Archives are written and read by Spark: a row is a record, the writer's line separator is the record separator, so a file is a sequence of
-records, gzipped as a whole. Reading streams each file; no more than a record is held beyond the compressed file. Payloads are shuffled once.
+Archives are written and read by Spark as bytes, so a payload may be anything: images, Latin-1 pages, compressed data. A row is a run of records of about
+`RUN_BYTES`, the writer's line separator ends its last record, and a file takes `RUNS_PER_FILE` rows, so no file grows with the input or nears the 2 GB that a
+binary file may have when it is read. Each ARC file begins with a version block. Reading streams each file; no more than a record is held beyond the compressed
+file. Payloads are shuffled once.
 
 Defined results: a null html is an empty payload; a null page id sorts below every other and comes back null; a null or unprintable URL becomes
-urn:page:<id> or is percent-encoded; repeated rows are records of their own, of which one stays a response; extra columns are ignored.
+urn:page:<id> or is percent-encoded; html may be text (stored in UTF-8) or binary (stored as it is); repeated rows are records of their own, of which one stays a response; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ import hashlib
 import io
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.textcore import lean, scratch_dir
@@ -40,6 +42,10 @@ ARC_FIELDS = {
 }
 CRLF = "\r\n"
 
+#: Bytes of records in one row, one longer record excepted, and rows of a file.
+RUN_BYTES = 4 << 20
+RUNS_PER_FILE = 32
+
 
 @dataclass(frozen=True)
 class ArcRecord:
@@ -127,32 +133,55 @@ def page_of(head: bytes) -> int | None:
     return int(found[1]) if found else None
 
 
+def _write(rows: DataFrame, path: str, separator: str) -> None:
+    """Writes the bytes of the only column, each row followed by the separator."""
+    bytes_ = F.col(rows.columns[0]).cast("string")  # the writer copies them unchanged
+    rows.select(bytes_).write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", RUNS_PER_FILE).text(path)
+
+
+def _grouped(records: Iterator[bytes], separator: bytes, begin: Callable[[int], bytes] = lambda row: b"") -> Iterator[pa.RecordBatch]:
+    """Rows of several records, one row a batch. begin gives what the row of that number starts with."""
+    row, held, size = 0, [], 0
+    for record in records:
+        if not held and (head := begin(row)):
+            held.append(head)
+            size += len(head)
+        held.append(record)
+        size += len(record)
+        if size >= RUN_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array([separator.join(held)], pa.binary())], names=["records"])
+            row, held, size = row + 1, [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([separator.join(held)], pa.binary())], names=["records"])
+
+
 def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None:
-    """An ARC file for each partition of pages (page_id, url, html), in turn of version 1 and 2."""
+    """ARC files of pages (page_id, url, html), in turn of version 1 and 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        version, name, at, first = "12"[part % 2], f"pages-{part:06d}.arc", 0, True
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                some, out = batch.slice(a, 256), []
-                if first:
-                    out.append(version_block(version, name, date).decode())
-                    at, first = len(out[0]) + 1, False
-                for page, url, html in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).to_pylist()):
-                    payload = (html or "").encode()
-                    url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or f"urn:page:{page}"
-                    id_line = "" if page is None else f"X-Page-Id: {page}{CRLF}"
-                    head = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{id_line}Content-Length: {len(payload)}{CRLF}{CRLF}".encode()
-                    record = arc_header(version, url, date, "text/html", len(head) + len(payload), digest_of(payload), at, name) + head + payload
-                    at += len(record) + 1
-                    out.append(record.decode())
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["record"])
-
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    rows.mapInArrow(lean(run), "record string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+        version, name = "12"[part % 2], f"pages-{part:06d}.arc"
+
+        def records() -> Iterator[bytes]:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 256):
+                    some = batch.slice(a, 256)
+                    for page, url, html in zip(*(some.column(k).to_pylist() for k in range(3))):
+                        payload = html or b""
+                        url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or f"urn:page:{page}"
+                        id_line = "" if page is None else f"X-Page-Id: {page}{CRLF}"
+                        head = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{id_line}Content-Length: {len(payload)}{CRLF}{CRLF}".encode()
+                        yield arc_header(version, url, date, "text/html", len(head) + len(payload), digest_of(payload), 0, name) + head + payload
+
+        def first(row: int) -> bytes:
+            return version_block(version, name, date) if row % RUNS_PER_FILE == 0 else b""
+
+        yield from _grouped(records(), b"\n", first)
+
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("binary"))
+    _write(rows.mapInArrow(lean(run), "records binary"), path, "\n")
 
 
 _KEY = "part string, at long, page_id long, digest string, payload_bytes long, url string, date string, record_id string, kind string"
@@ -164,10 +193,10 @@ def converted(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _KEY.split(", ")] + ["head", "payload"] * payloads
-        kinds = [{"string": pa.string(), "long": pa.int64()}[f.split()[1]] for f in _KEY.split(", ")] + [pa.string()] * 2 * payloads
+        kinds = [{"string": pa.string(), "long": pa.int64()}[f.split()[1]] for f in _KEY.split(", ")] + [pa.binary()] * 2 * payloads
         for batch in batches:
             for k in range(batch.num_rows):
-                part = re.sub(r"^(.*/)?(part-\d+).*$", r"\2", batch.column(0)[k].as_py())
+                part = re.sub(r"^(.*/)?(part-\d+).*?(-c\d+)?(\..*)?$", r"\2\3", batch.column(0)[k].as_py())
                 stream = io.BytesIO(batch.column(1)[k].as_buffer())
                 stream = gzip.GzipFile(fileobj=stream) if stream.getbuffer()[:2] == b"\x1f\x8b" else stream
                 rows, size = [], 0
@@ -178,7 +207,7 @@ def converted(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
                     name = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{part} {r.offset} {r.url} {r.date} {digest}"))
                     date = f"{r.date[:4]}-{r.date[4:6]}-{r.date[6:8]}T{r.date[8:10] or '00'}:{r.date[10:12] or '00'}:{r.date[12:14] or '00'}Z"
                     row = (part, r.offset, page_of(head), digest, len(payload), r.url, date, name, kind)
-                    rows.append((*row, head.decode("utf-8", "replace"), payload.decode("utf-8", "replace")) if payloads else row)
+                    rows.append((*row, head, payload) if payloads else row)
                     size += len(r.block)
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
@@ -186,7 +215,7 @@ def converted(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return files.mapInArrow(lean(run), _KEY + ", head string, payload string" * payloads)
+    return files.mapInArrow(lean(run), _KEY + ", head binary, payload binary" * payloads)
 
 
 def revisits(keys: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -200,37 +229,39 @@ def revisits(keys: DataFrame, least_bytes: int = 0) -> DataFrame:
     return both.select("part", "at", F.col("r.page_id").alias("to_page"), F.col("r.url").alias("to_url"), F.col("r.date").alias("to_date"), F.col("r.record_id").alias("to_record"))
 
 
-def _field(name: str, value: Column) -> Column:
-    """A named field's line, nothing where the value is null."""
-    return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF)), F.lit(""))
+def _warc_record(row: dict) -> bytes:
+    """A WARC record; a revisit holds the HTTP header only."""
+    again = row["to_record"] is not None
+    block = row["head"] if again else row["head"] + row["payload"]
+    content = {"warcinfo": "application/warc-fields", "response": "application/http; msgtype=response"}.get(row["kind"], "application/octet-stream")
+    fields = {
+        "WARC-Type": "revisit" if again else row["kind"],
+        "WARC-Record-ID": f"<urn:uuid:{row['record_id']}>",
+        "WARC-Date": row["date"],
+        "WARC-Target-URI": None if row["kind"] == "warcinfo" else row["url"],
+        "Content-Type": content,
+        "WARC-Payload-Digest": f"sha1:{row['digest']}",
+        "WARC-Profile": "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest" if again else None,
+        "WARC-Refers-To": f"<urn:uuid:{row['to_record']}>" if again else None,
+        "WARC-Refers-To-Target-URI": row["to_url"],
+        "WARC-Refers-To-Date": row["to_date"],
+        "X-Refers-To-Page-Id": row["to_page"],
+        "Content-Length": len(block),
+    }
+    lines = "".join(f"{name}: {value}{CRLF}" for name, value in fields.items() if value is not None)
+    return f"WARC/1.0{CRLF}{lines}{CRLF}".encode() + block
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0) -> None:
     """Writes the WARC files that are equivalent to the ARC files."""
     links = revisits(converted(spark, arc_path, payloads=False), least_bytes)
     rows = converted(spark, arc_path, payloads=True).join(links, ["part", "at"], "left")
-    again = F.col("to_record").isNotNull()
-    kind = F.when(again, "revisit").otherwise(F.col("kind"))
-    block = F.when(again, F.col("head")).otherwise(F.concat("head", "payload"))
-    content = F.when(F.col("kind") == "warcinfo", "application/warc-fields").when(F.col("kind") == "response", "application/http; msgtype=response").otherwise("application/octet-stream")
-    profile = F.when(again, "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")
-    head = F.concat(
-        F.lit(f"WARC/1.0{CRLF}"),
-        _field("WARC-Type", kind),
-        _field("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.col("record_id"), F.lit(">"))),
-        _field("WARC-Date", F.col("date")),
-        _field("WARC-Target-URI", F.when(F.col("kind") != "warcinfo", F.col("url"))),
-        _field("Content-Type", content),
-        _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        _field("WARC-Profile", profile),
-        _field("WARC-Refers-To", F.concat(F.lit("<urn:uuid:"), F.col("to_record"), F.lit(">"))),
-        _field("WARC-Refers-To-Target-URI", F.col("to_url")),
-        _field("WARC-Refers-To-Date", F.col("to_date")),
-        _field("X-Refers-To-Page-Id", F.col("to_page")),
-        _field("Content-Length", F.octet_length(block)),
-        F.lit(CRLF),
-    )
-    rows.select(F.concat(head, block)).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(warc_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = (_warc_record(row) for batch in batches for a in range(0, batch.num_rows, 64) for row in batch.slice(a, 64).to_pylist())
+        yield from _grouped(records, (CRLF * 2).encode())
+
+    _write(rows.mapInArrow(lean(run), "records binary"), warc_path, CRLF * 2)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
