@@ -189,7 +189,7 @@ def _anchor_rows(params: SpanParams):
             state[begin[crowd]] = STANDS_FOR
             route = np.where(state == SETTLED, _spread(doc), anchor)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(route), pa.array(doc), pa.array(variant), pa.array(place), pa.array(state)], names=["route", "doc_id", "variant", "pos", "state"]
+                [pa.array(route), pa.array(doc), pa.array(variant), pa.array(place.astype(np.int64) * 4 + state)], names=["route", "doc_id", "variant", "place"]
             )
 
     return run
@@ -202,7 +202,7 @@ def _repeated(params: SpanParams):
     """
 
     def marks(batch: pa.RecordBatch, dealt: np.ndarray) -> pa.RecordBatch:
-        mark = batch.column(3).to_numpy().astype(np.int64) * 4 + dealt
+        mark = batch.column(3).to_numpy() // 4 * 4 + dealt
         return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(mark)], names=["doc_id", "variant", "mark"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,13 +215,13 @@ def _repeated(params: SpanParams):
                     yield marks(some, np.full(some.num_rows, TOGETHER))
 
         for batch in batches:
-            settled = batch.column(4).to_numpy() == SETTLED
+            settled = batch.column(3).to_numpy() % 4 == SETTLED
             if settled.any():
                 yield marks(batch.filter(pa.array(settled)), np.full(int(settled.sum()), BOTH))
                 batch = batch.filter(pa.array(~settled))
             if not batch.num_rows:
                 continue
-            anchor, doc, state = (batch.column(k).to_numpy() for k in (0, 1, 4))
+            anchor, doc, state = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy() % 4
             begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
             end = np.append(begin[1:], len(anchor))
             if last is not None and anchor[0] == last:  # the newest anchor goes on
@@ -257,7 +257,8 @@ def _repeated(params: SpanParams):
     return run
 
 
-_PIECE = "shard int, owner long, words binary, docs array<long>, variants array<long>, starts array<int>"
+#: The first place of a piece, and the others, if there are any, as 64-bit numbers: document, variant and start of each.
+_PIECE = "shard int, owner long, variant long, start int, words binary, others binary"
 
 
 def _pieces(params: SpanParams, shards: int):
@@ -291,13 +292,11 @@ def _pieces(params: SpanParams, shards: int):
                                 found.setdefault(key, []).append((ids[r], variants[r], low - a))
             if found:
                 places = [sorted(set(spots)) if len(spots) > 1 else spots for spots in found.values()]
-                offsets = pa.array(np.cumsum([0, *map(len, places)]), pa.int32())
-                flat = list(zip(*[spot for spots in places for spot in spots]))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(c, t)) for c, t in zip(flat, (pa.int64(), pa.int64(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in found], pa.int32()), pa.array([spots[0][0] for spots in places], pa.int64()), pa.array([k[1] for k in found], pa.binary()), *lists],
-                    names=[f.split()[0] for f in _PIECE.split(", ")],
-                )
+                first = list(zip(*[spots[0] for spots in places]))
+                others = [np.array(spots[1:], dtype="<i8").tobytes() if len(spots) > 1 else None for spots in places]
+                columns = [[k[0] for k in found], *first, [k[1] for k in found], others]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in _PIECE.split(", ")])
 
     return run
 
@@ -308,11 +307,8 @@ def _stream(params: SpanParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, automaton, known = None, SuffixAutomaton(), {}
         for batch in batches:
-            shards, owners, blobs = batch.column(0).to_numpy().tolist(), batch.column(1).to_numpy().tolist(), batch.column(2).to_pylist()
-            edges = batch.column(3).offsets.to_numpy().tolist()
-            docs, variants, starts = (batch.column(k).values.to_numpy().tolist() for k in (3, 4, 5))
-            out: list[list[int]] = [[], [], [], []]
-            for k, (shard, owner, blob) in enumerate(zip(shards, owners, blobs)):
+            out: list[list[int]] = [[], [], []]
+            for shard, owner, variant, start, blob, others in zip(*(c.to_pylist() for c in batch.columns)):
                 if shard != now:
                     now, automaton, known = shard, SuffixAutomaton(), {}
                 firsts = known.get(blob)
@@ -322,13 +318,14 @@ def _stream(params: SpanParams):
                     automaton.add(words, owner)
                     firsts = known[blob] = [owner if f < 0 else f for f in firsts]
                 least = min(firsts)
-                for j in range(edges[k], edges[k + 1]):
-                    if least < docs[j]:
-                        for low, n in _covered(firsts, docs[j], params.window):
-                            for column, value in zip(out, (docs[j], variants[j], starts[j] + low, n)):
+                spots = [(owner, variant, start), *(np.frombuffer(others, "<i8").reshape(-1, 3).tolist() if others else ())]
+                for doc, kind, at in spots:
+                    if least < doc:
+                        for low, n in _covered(firsts, doc, params.window):
+                            for column, value in zip(out, (doc, kind, (at + low) << 16 | n)):
                                 column.append(value)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "variant", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "variant", "span"])
 
     return run
 
@@ -359,7 +356,7 @@ def _without(params: SpanParams):
                     n_words.append(len(words))
                     if spans.is_valid:
                         edge = np.zeros(len(words) + 1, dtype=np.int64)
-                        at, n = (np.asarray(spans.values.field(j)) for j in (0, 1))
+                        at, n = np.asarray(spans.values) >> 16, np.asarray(spans.values) & 0xFFFF
                         np.add.at(edge, at, 1)
                         np.add.at(edge, at + n, -1)
                         stay = np.cumsum(edge[:-1]) == 0
@@ -383,16 +380,16 @@ def with_variants(documents: DataFrame) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, params: SpanParams = SpanParams()) -> DataFrame:
-    """doc_id, variant, spans: array of (start, n), the runs of words of each text that windows of smaller documents cover. texts: as from with_variants."""
+    """doc_id, variant, spans: 65536 * start + words of the runs of each text that windows of smaller documents cover. texts: as from with_variants."""
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(chars / 6 / params.shard_words))
     key = ["doc_id", "variant"]
-    rows = texts.mapInArrow(lean(_anchor_rows(params)), "route long, doc_id long, variant long, pos int, state byte")
-    hits = rows.repartition("route").sortWithinPartitions(F.col("state") == SETTLED, "route", "doc_id").mapInArrow(lean(_repeated(params)), "doc_id long, variant long, mark long")
+    rows = texts.mapInArrow(lean(_anchor_rows(params)), "route long, doc_id long, variant long, place long")
+    hits = rows.repartition("route").sortWithinPartitions(F.col("place") % 4 == SETTLED, "route", "doc_id").mapInArrow(lean(_repeated(params)), "doc_id long, variant long, mark long")
     marks = hits.groupBy(*key).agg(F.collect_list("mark").alias("marks"))
     pieces = texts.join(marks, key).select(*key, "text", "marks").mapInArrow(lean(_pieces(params, shards)), _PIECE)
-    spans = pieces.repartition("shard").sortWithinPartitions("shard", "owner").mapInArrow(lean(_stream(params)), "doc_id long, variant long, start int, n int")
-    return spans.groupBy(*key).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    spans = pieces.repartition("shard").sortWithinPartitions("shard", "owner").mapInArrow(lean(_stream(params)), "doc_id long, variant long, span long")
+    return spans.groupBy(*key).agg(F.collect_set("span").alias("spans"))
 
 
 def removed_words(documents: DataFrame, params: SpanParams = SpanParams()) -> DataFrame:
