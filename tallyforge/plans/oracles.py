@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyforge.plans import queries as q
+from tallyforge.sources import texts
 from tallyforge.sources.views import ALIASES
 
 T = "chrono, invoice_id, line_number, supplier_id, quantity, total, discount, tax"
@@ -99,6 +100,10 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
     return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(literal(x) for x in row) + ")" for row in rows) + ")"
 
 
+def _quoted(x: str | None) -> str:
+    return "NULL" if x is None else f"'{x}'"
+
+
 ALIAS_ROWS = values("al", "alias_id, supplier_name, normalized_alias, ingredient_id, confirmed", ALIASES)
 FOLD = "translate(lower({0}), 'áàâãäåéèêëíìîïóòôõöúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy')"
 
@@ -124,14 +129,14 @@ ORACLE_SQL: dict[str, str] = {
                 WHEN greatest(pp, unit_price) / least(pp, unit_price) > 14 THEN 'extreme_price_ratio'
                 WHEN pc <> contract AND greatest(pp, unit_price) / least(pp, unit_price) > 2 THEN 'format_change' END AS reason FROM l
         )
-        SELECT ingredient_id, invoice_id, line_number, supplier_id, round(unit_price, 4) AS unit_price, round(CASE WHEN reason IS NULL THEN pp END, 4) AS previous_price, reason FROM r""",
+        SELECT ingredient_id, invoice_id, line_number, supplier_id, unit_price, CASE WHEN reason IS NULL THEN pp END AS previous_price, reason FROM r""",
     "previous_unit_price": f"""
         WITH {HISTORY}, n AS (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY chrono DESC, invoice_id DESC, line_number DESC, supplier_id DESC, quantity DESC, total DESC, discount DESC, tax DESC) AS k FROM ph)
         SELECT ingredient_id, round(coalesce(max(previous_price) FILTER (k = 1), max(unit_price) FILTER (k = 2)), 4) AS previous_unit_price FROM n GROUP BY 1""",
     "price_window_stats_90_180": f"""
         WITH {LINES}
-        SELECT ingredient_id, count(*) FILTER ({since(90)}) AS n_90, count(*) AS n_180, round(min(unit_price) FILTER ({since(90)}), 4) AS min_90, round(max(unit_price) FILTER ({since(90)}), 4) AS max_90,
-               round(avg(unit_price) FILTER ({since(90)}), 4) AS avg_90, round(min(unit_price), 4) AS min_180, round(max(unit_price), 4) AS max_180, round(avg(unit_price), 4) AS avg_180
+        SELECT ingredient_id, count(*) FILTER ({since(90)}) AS n_90, count(*) AS n_180, min(unit_price) FILTER ({since(90)}) AS min_90, max(unit_price) FILTER ({since(90)}) AS max_90,
+               round(avg(unit_price) FILTER ({since(90)}) + 1e-7, 4) AS avg_90, min(unit_price) AS min_180, max(unit_price) AS max_180, round(avg(unit_price) + 1e-7, 4) AS avg_180
         FROM pl WHERE unit_price > 0 AND {since(180)} GROUP BY 1""",
     "volatile_by_frequency": f"""
         WITH {LINES} SELECT ingredient_id, count(*) AS n_changes FROM pl WHERE {since(90)} GROUP BY 1 HAVING count(*) >= 4 ORDER BY n_changes DESC, ingredient_id LIMIT 25""",
@@ -170,10 +175,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT ingredient_id, last_purchase, CASE WHEN last_purchase IS NOT NULL THEN days END AS days,
                CASE WHEN last_purchase IS NULL THEN 'unknown' WHEN days < 30 THEN 'fresh' WHEN days < 90 THEN 'aging' WHEN days < 180 THEN 'stale' ELSE 'critical' END AS level FROM d""",
     "unit_conversion_matrix": f"""
-        WITH {values('m', 'id, quantity, unit', q.MEASURES)}, u AS (SELECT id, quantity::DOUBLE AS quantity, lower(trim(unit)) AS unit FROM m),
+        WITH m AS (SELECT p_partkey AS id, p_size / 8 AS quantity, {texts.UNIT_SQL} AS unit FROM part), u AS (SELECT id, quantity::DOUBLE AS quantity, lower(trim(unit)) AS unit FROM m),
         f AS (SELECT *, CASE unit WHEN 'kg' THEN 1000 WHEN 'l' THEN 1000 WHEN 'cl' THEN 10 ELSE 1 END AS factor, CASE WHEN unit IN ('kg', 'g') THEN 'g' WHEN unit IN ('l', 'cl', 'ml') THEN 'ml' WHEN unit = 'un' THEN 'un' END AS base_unit FROM u)
-        SELECT id, round(quantity * factor, 4)::DOUBLE AS base_quantity, base_unit, CASE base_unit WHEN 'g' THEN 'weight' WHEN 'ml' THEN 'volume' WHEN 'un' THEN 'countable' END AS family,
-               round(CASE WHEN quantity >= 0.5 AND quantity < 1 AND base_unit IN ('g', 'ml') THEN quantity * 1000 ELSE quantity END, 4)::DOUBLE AS repaired FROM f""",
+        SELECT id, quantity * factor AS base_quantity, base_unit, CASE base_unit WHEN 'g' THEN 'weight' WHEN 'ml' THEN 'volume' WHEN 'un' THEN 'countable' END AS family,
+               (CASE WHEN quantity >= 0.5 AND quantity < 1 AND base_unit IN ('g', 'ml') THEN quantity * 1000 ELSE quantity END)::DOUBLE AS repaired FROM f""",
     "line_cost": f"WITH RECURSIVE {KITCHEN} SELECT recipe_id, ingredient_id, quantity, round(unit_cost, 4) AS unit_cost, round(line_cost, 4) AS line_cost FROM direct",
     "recipe_closure": f"WITH RECURSIVE {KITCHEN} SELECT root, recipe_id, depth::INTEGER AS depth, round(batches, 4) AS batches FROM clo WHERE depth > 0",
     "recipe_cost_rollup": f"WITH RECURSIVE {KITCHEN} SELECT recipe_id, round(total_cost, 4) AS total_cost, n_lines, n_unresolved FROM cost",
@@ -249,8 +254,8 @@ ORACLE_SQL: dict[str, str] = {
         f AS (SELECT supplier_name, 'mathematics' AS finding, variance FROM v WHERE variance > 0.5 OR pct > 5 UNION ALL SELECT supplier_name, 'extraction_mathematics', variance FROM v WHERE variance > 0.5 AND pct > 5)
         SELECT supplier_name, finding, count(*) AS n_lines, round(sum(variance), 2) AS variance FROM f GROUP BY 1, 2""",
     "missing_amount_fill": f"""
-        WITH {LINES} SELECT ingredient_id, invoice_id, line_number, supplier_id, quantity, round(CASE WHEN line_number % 3 = 0 THEN total / quantity ELSE unit_price END, 4) AS unit_price,
-               round(CASE WHEN line_number % 3 = 1 THEN quantity * unit_price ELSE total END, 4) AS total, line_number % 3 IN (0, 1) AS was_filled FROM pl""",
+        WITH {LINES} SELECT ingredient_id, invoice_id, line_number, supplier_id, quantity, CASE WHEN line_number % 3 = 0 THEN total / quantity ELSE unit_price END AS unit_price,
+               CASE WHEN line_number % 3 = 1 THEN quantity * unit_price ELSE total END AS total, line_number % 3 IN (0, 1) AS was_filled FROM pl""",
     "duplicate_names": f"WITH RECURSIVE {KITCHEN} SELECT name AS key, count(*) AS n_entries, min(ingredient_id) AS least_id FROM ing GROUP BY 1 HAVING count(*) >= 2",
     "reference_counts": f"""
         WITH RECURSIVE {KITCHEN}, {ALIAS_ROWS} SELECT i.ingredient_id, (SELECT count(*) FROM edges e WHERE e.ingredient_id = i.ingredient_id) AS n_recipes,
@@ -274,7 +279,7 @@ ORACLE_SQL: dict[str, str] = {
         a AS (SELECT *, CASE WHEN NOT stored THEN 'missing' WHEN v IS NULL AND p IS NULL THEN 'aligned_unmatched' WHEN v = p THEN 'aligned' WHEN v IS NULL THEN 'stored_only' WHEN p IS NULL THEN 'computed_only' ELSE 'different' END AS alignment FROM m)
         SELECT alignment, count(*) AS n_items, count(CASE WHEN stored THEN p ELSE v END) AS n_effective FROM a GROUP BY 1""",
     "normalized_name_keys": rf"""
-        WITH {values('n', 'id, name', q.NAMES)}, s AS (SELECT id, {simple('name')} AS simple FROM n),
+        WITH n AS (SELECT p_partkey AS id, {texts.NAME_SQL} AS name FROM part), s AS (SELECT id, {simple('name')} AS simple FROM n),
         a AS (SELECT id, simple, regexp_replace(simple, '[0-9]+([.,][0-9]+)?\s*[x*]\s*[0-9]+([.,][0-9]+)?', ' ', 'g') AS c FROM s),
         w AS (SELECT id, simple, list_filter(string_split_regex(regexp_replace(c, '([0-9]([.,][0-9]+)?) +(kg|g|gr|mg|l|lt|cl|dl|ml|un|uni|unid|pcs|cx|sc|emb|pack)( |$)', '\1 ', 'g'), '[^a-z0-9.,]+'),
                      lambda t: t <> '' AND NOT regexp_full_match(t, '[0-9]+([.,][0-9]+)?(kg|g|gr|mg|l|lt|cl|dl|ml|un|uni|unid|pcs|cx|sc|emb|pack)?') AND NOT regexp_full_match(t, 'kg|g|gr|mg|l|lt|cl|dl|ml|un|uni|unid|pcs|cx|sc|emb|pack')) AS ws FROM a)
@@ -297,11 +302,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT p_partkey AS ingredient_id, round(p_retailprice / greatest(p_size::DOUBLE, 1.0), 4) AS unit_cost, CASE WHEN p_size = 1000 THEN 'g' WHEN p_size > 1000 THEN 'ml' ELSE 'un' END AS base_unit
         FROM part WHERE p_type IN ('MEDIUM', 'STANDARD', 'LARGE')""",
     "invoice_dates": f"""
-        WITH {values('d', 'id, raw', q.DATES)} SELECT id, CASE WHEN length(raw) = 10 THEN coalesce(try_strptime(raw, '%Y-%m-%d'), try_strptime(raw, '%d/%m/%Y'), try_strptime(raw, '%d-%m-%Y')) END::DATE AS date FROM d""",
+        WITH d AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%d-%m-%Y') WHEN 3 THEN 'soon' END AS raw FROM orders) SELECT id, CASE WHEN length(raw) = 10 THEN coalesce(try_strptime(raw, '%Y-%m-%d'), try_strptime(raw, '%d/%m/%Y'), try_strptime(raw, '%d-%m-%Y')) END::DATE AS date FROM d""",
     "streaming_price_chain": f"""
         WITH {EVENTS} SELECT ingredient_id, event_id, round(unit_price, 4) AS unit_price, round(previous_price, 4) AS previous_price, round(delta, 4) AS delta, round(delta_pct, 4) AS delta_pct FROM eh""",
+    "purchase_structure_parse": f"""
+        WITH p AS (SELECT p_partkey AS id, p_partkey % {len(texts.PHRASE_FORMS)} AS k, CAST(p_size AS DOUBLE) AS s, p_retailprice AS price FROM part),
+        w(k, tier, unit, usable_unit, factor) AS (VALUES {', '.join(f"({k}, '{f[1]}', {_quoted(f[5])}, {_quoted(f[7])}, {f[6] or 'NULL'}::DOUBLE)" for k, f in enumerate(texts.PHRASE_FORMS))}),
+        x AS (SELECT id, price, w.*, {', '.join(f"(CASE p.k {' '.join(f'WHEN {k} THEN {f[at]}' for k, f in enumerate(texts.PHRASE_FORMS) if f[at])} END)::DOUBLE AS {name}" for name, at in (('packs', 2), ('pieces', 3), ('size', 4)))} FROM p JOIN w ON p.k = w.k)
+        SELECT id, tier, packs, pieces, size, unit, packs * pieces * size * factor AS usable, usable_unit,
+               price / (packs * pieces * size * factor) * CASE WHEN usable_unit IN ('g', 'ml') THEN 1000.0::DOUBLE ELSE 1 END AS cost FROM x""",
     "supplier_keys": f"""
-        WITH {values('s', 'id, name', q.SUPPLIERS)}, f AS (SELECT id, {FOLD.format('name')} AS k FROM s),
+        WITH s AS (SELECT s_suppkey AS id, {texts.SUPPLIER_SQL} AS name FROM supplier), f AS (SELECT id, {FOLD.format('name')} AS k FROM s),
         x AS (SELECT id, regexp_replace(regexp_replace(k, '\\.(pdf|png|jpe?g|xlsx?)$', ''), '[,\\s]+(lda|ltda|sa|s\\.a|unipessoal|inc|llc|ltd|gmbh)\\.?\\s*$', '') AS k FROM f)
         SELECT id, trim(regexp_replace(k, '[^a-z0-9]+', ' ', 'g')) AS key FROM x""",
 }
@@ -365,16 +376,16 @@ ORACLE_SQL |= {
         WITH {LINES}, c AS (SELECT supplier_name AS name, count(*) FILTER ({since(30)}) AS now, count(*) FILTER (NOT {since(30)}) AS "then" FROM pl WHERE {since(60)} GROUP BY 1)
         SELECT name, now, "then", now - "then" AS change FROM c""",
     "monetary_binding": f"""
-        WITH {values('v', 'id, n, gross, off, net, price, total', q.PRINTED)}, d AS (SELECT *, CASE WHEN gross IS NOT NULL AND off IS NOT NULL THEN round(gross * (1 - off / 100), 2) ELSE gross END AS derived FROM v)
-        SELECT id, round(CASE WHEN gross IS NULL AND off IS NOT NULL AND abs(price - off) < 0.01 AND n > 0 AND coalesce(net, total) IS NOT NULL THEN coalesce(net, total) / n
-                              WHEN n = 1 AND abs(n * gross * (1 - off / 100) - net) > 0.05 THEN net ELSE coalesce(derived, price) END, 4)::DOUBLE AS unit_price, round(coalesce(net, total), 4)::DOUBLE AS total FROM d""",
+        WITH v AS (SELECT id, quantity AS n, gross_unit_price AS gross, discount_pct AS off, line_total_net AS net, unit_price AS price, total FROM ({texts.PRINTED_SQL}) AS p), d AS (SELECT *, CASE WHEN gross IS NOT NULL AND off IS NOT NULL THEN round(gross * (1 - off / 100), 2) ELSE gross END AS derived FROM v)
+        SELECT id, (CASE WHEN gross IS NULL AND off IS NOT NULL AND abs(price - off) < 0.01 AND n > 0 AND coalesce(net, total) IS NOT NULL THEN coalesce(net, total) / n
+                              WHEN n = 1 AND abs(n * gross * (1 - off / 100) - net) > 0.05 THEN net ELSE coalesce(derived, price) END)::DOUBLE AS unit_price, coalesce(net, total)::DOUBLE AS total FROM d""",
     "subtotal_repair": f"""
-        WITH {values('v', 'invoice_id, line, quantity, unit_price, total, net_subtotal', q.SUBTOTALS)}, g AS (SELECT *, round(net_subtotal - sum(total) OVER (PARTITION BY invoice_id), 2) AS gap FROM v),
+        WITH v AS ({texts.SUBTOTAL_SQL}), g AS (SELECT *, round(net_subtotal - sum(total) OVER (PARTITION BY invoice_id), 2) AS gap FROM v),
         f AS (SELECT *, coalesce((abs(gap - 0.5) < 0.01 OR abs(gap - 1) < 0.01) AND quantity = 1 AND abs(unit_price - total) < 0.01 AND unit_price < 10 AND gap / unit_price <= 0.12, FALSE) AS fits FROM g),
         r AS (SELECT *, fits AND count(*) FILTER (fits) OVER (PARTITION BY invoice_id) = 1 AS was_repaired FROM f)
         SELECT invoice_id, line, (CASE WHEN was_repaired THEN unit_price + gap ELSE unit_price END)::DOUBLE AS unit_price, (CASE WHEN was_repaired THEN unit_price + gap ELSE total END)::DOUBLE AS total, was_repaired FROM r""",
     "footer_arithmetic": f"""
-        WITH {values('v', 'id, net, vat, total', q.FOOTERS)} SELECT id, CASE WHEN net IS NULL OR vat IS NULL OR total IS NULL THEN NULL WHEN abs(round(net + vat, 2) - total) <= 0.02 THEN 'high' ELSE 'low' END AS confidence FROM v""",
+        WITH v AS (SELECT id, net_subtotal AS net, vat, total FROM ({texts.FOOTER_SQL}) AS f) SELECT id, CASE WHEN net IS NULL OR vat IS NULL OR total IS NULL THEN NULL WHEN abs(round(net + vat, 2) - total) <= 0.02 THEN 'high' ELSE 'low' END AS confidence FROM v""",
     "match_coverage": """
         WITH c AS (SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders)
         SELECT (SELECT count(*) FROM c WHERE n = 0) AS n_missing, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS n_orphan, (SELECT count(*) FROM c WHERE n > 1) AS n_duplicate""",

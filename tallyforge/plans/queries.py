@@ -1,4 +1,4 @@
-"""The analytics queries: operators applied to the derived views. Doubles are rounded after aggregation."""
+"""The analytics queries: operators applied to the derived views. Doubles are rounded after aggregation; what one row gives is not."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import dates, packs, text, units
 from tallyforge.functions.numbers import half_up, monthly_exposure, unit_cost
 from tallyforge.operators import alerts, decisions, extraction, history, invoices, matching, quality, recipes, suppliers, timeline
-from tallyforge.sources import views
+from tallyforge.sources import texts, views
 from tallyforge.sources.views import PURCHASE_ORDER
 from tallyforge.streaming import price_chain
 
@@ -19,6 +19,11 @@ def r4(*names: str) -> list[Column]:
     return [F.round(n, 4).alias(n) for n in names]
 
 
+def means(*names: str) -> list[Column]:
+    """Means of few rows often lie halfway between two last digits: a nudge makes all engines round those alike."""
+    return [F.round(F.col(n) + 1e-7, 4).alias(n) for n in names]
+
+
 def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
     rows = views.price_history(spark, sf_dir)
     return rows, views.latest_date(views.table(spark, sf_dir, "orders"), "o_orderdate")
@@ -48,7 +53,7 @@ def price_chain_latest_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_history_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = history.guarded_chain(_contracts(views.purchase_lines(spark, sf_dir)), PURCHASE_ORDER)
-    return rows.select("ingredient_id", "invoice_id", "line_number", "supplier_id", *r4("unit_price", "previous_price"), "reason")
+    return rows.select("ingredient_id", "invoice_id", "line_number", "supplier_id", "unit_price", "previous_price", "reason")
 
 
 def previous_unit_price(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +64,7 @@ def previous_unit_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 def price_window_stats_90_180(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, as_of = _lines(spark, sf_dir)
     found = history.window_stats(rows, as_of)
-    return found.select("ingredient_id", "n_90", "n_180", *r4("min_90", "max_90", "avg_90", "min_180", "max_180", "avg_180"))
+    return found.select("ingredient_id", "n_90", "n_180", "min_90", "max_90", "min_180", "max_180", *means("avg_90", "avg_180"))
 
 
 def volatile_by_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,14 +111,11 @@ def pricing_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invoices.pricing_freshness(views.ingredients(spark, sf_dir), rows, as_of).select("ingredient_id", "last_purchase", "days", "level")
 
 
-MEASURES = [(1, 1.5, "kg"), (2, 250.0, "g"), (3, 2.0, "L"), (4, 33.0, "cl"), (5, 0.75, "ml"), (6, 6.0, "un"), (7, 3.0, "box"), (8, 0.4, "g"), (9, 12.0, " KG ")]
-
-
 def unit_conversion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(MEASURES, "id int, quantity double, unit string")
+    rows = texts.measures(spark, sf_dir)
     return rows.select(
-        "id", F.round(units.base_quantity(F.col("quantity"), F.col("unit")), 4).alias("base_quantity"), units.base_unit(F.col("unit")).alias("base_unit"),
-        units.unit_family(F.col("unit")).alias("family"), F.round(units.repaired_quantity(F.col("quantity"), F.col("unit")), 4).alias("repaired"),
+        "id", units.base_quantity(F.col("quantity"), F.col("unit")).alias("base_quantity"), units.base_unit(F.col("unit")).alias("base_unit"),
+        units.unit_family(F.col("unit")).alias("family"), units.repaired_quantity(F.col("quantity"), F.col("unit")).alias("repaired"),
     )
 
 
@@ -282,7 +284,7 @@ def line_validation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def missing_amount_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.purchase_lines(spark, sf_dir)
     holed = rows.withColumn("unit_price", F.when(F.col("line_number") % 3 != 0, F.col("unit_price"))).withColumn("total", F.when(F.col("line_number") % 3 != 1, F.col("total")))
-    return invoices.filled_amounts(holed).select("ingredient_id", "invoice_id", "line_number", "supplier_id", "quantity", *r4("unit_price", "total"), "was_filled")
+    return invoices.filled_amounts(holed).select("ingredient_id", "invoice_id", "line_number", "supplier_id", "quantity", "unit_price", "total", "was_filled")
 
 
 def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,22 +324,13 @@ def dual_read_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.dual_read(virtual, stored).groupBy("alignment").agg(F.count(F.lit(1)).alias("n_items"), F.count("effective_id").alias("n_effective"))
 
 
-NAMES = [
-    (1, "Tomate Pelado (lata) 2,5 kg"), (2, "ÁGUA com GÁS 24x33cl"), (3, "Queijo-Flamengo fatiado 500g"), (4, "Filete de Anchovas 495"), (5, "Molho BBQ cx 6 x 1L"),
-    (6, "  Pão  de   Leite un "), (7, "Café Torrado 1 kg (promo)"),
-]
-
-
 def normalized_name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(NAMES, "id int, name string")
+    rows = texts.catalog_texts(spark, sf_dir)
     return rows.select("id", text.simple_key(F.col("name")).alias("simple"), text.canonical_key(F.col("name")).alias("canonical"))
 
 
-SUPPLIERS = [(1, "Frutas & Legumes, Lda."), (2, "METRO Cash-and-Carry S.A"), (3, "scan_fatura.pdf"), (4, "Talho do João Unipessoal Ltda"), (5, "  Água Viva  ")]
-
-
 def supplier_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(SUPPLIERS, "id int, name string")
+    rows = texts.supplier_texts(spark, sf_dir)
     return rows.select("id", text.supplier_key(F.col("name")).alias("key"))
 
 
@@ -360,15 +353,9 @@ def dice_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("name", "other", F.round(text.dice(F.col("name"), F.col("other")), 4).alias("dice"), F.levenshtein("name", "other").alias("distance"))
 
 
-PHRASES = [
-    (1, "Agua 24 x 330 ml"), (2, "4 cases x 24 x 330ml"), (3, "Tomate pelado 2,5kg"), (4, "Ovos 12 un"), (5, "Salsa"), (6, "Cerveja 6 packs x 4 x 33 cl"),
-    (7, "Azeite 5 L"), (8, "Queijo 10x500 g"),
-]
-
-
 def purchase_structure_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(PHRASES, "id int, phrase string").withColumn("s", packs.structure(F.col("phrase")))
-    return rows.select("id", "s.tier", "s.packs", "s.pieces", "s.size", "s.unit", F.round("s.usable", 4).alias("usable"), "s.usable_unit", F.round(packs.usable_cost(F.lit(10.0), F.col("s")), 4).alias("cost"))
+    rows = texts.purchase_phrases(spark, sf_dir).withColumn("s", packs.structure(F.col("phrase")))
+    return rows.select("id", "s.tier", "s.packs", "s.pieces", "s.size", "s.unit", "s.usable", "s.usable_unit", packs.usable_cost(F.col("price"), F.col("s")).alias("cost"))
 
 
 def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,11 +400,8 @@ def catalog_unit_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ingredient_id", F.round(cost, 4).alias("unit_cost"), units.inferred_base_unit(F.lit(None).cast("string"), F.col("purchase_quantity")).alias("base_unit"))
 
 
-DATES = [(1, "2024-03-05"), (2, "05/03/2024"), (3, "5-3-24"), (4, "31-12-2023"), (5, "soon"), (6, None)]
-
-
 def invoice_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(DATES, "id int, raw string")
+    rows = texts.printed_dates(spark, sf_dir)
     return rows.select("id", dates.invoice_date(F.col("raw")).alias("date"))
 
 
@@ -500,33 +484,16 @@ def visit_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.visit_delta(count(both.where(~late)), count(both.where(late))).select("name", "now", "then", "change")
 
 
-PRINTED = [
-    (1, 2.0, 10.0, 20.0, 16.0, 10.0, 20.0), (2, 1.0, 10.0, 20.0, 7.5, 10.0, 7.5), (3, 3.0, None, 15.0, None, 15.0, 30.0), (4, 4.0, 2.5, None, 10.0, None, None),
-    (5, 2.0, None, None, None, 3.0, None), (6, None, 5.0, 10.0, 9.0, 5.0, 9.0),
-]
-PRINTED_COLUMNS = "id int, quantity double, gross_unit_price double, discount_pct double, line_total_net double, unit_price double, total double"
-
-
 def monetary_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(PRINTED, PRINTED_COLUMNS)
-    return extraction.bound_amounts(rows).select("id", *r4("unit_price", "total"))
-
-
-SUBTOTALS = [
-    (1, 1, 1.0, 8.5, 8.5, 29.5), (1, 2, 2.0, 10.0, 20.0, 29.5), (2, 1, 1.0, 8.5, 8.5, 18.0), (2, 2, 1.0, 9.0, 9.0, 18.0), (3, 1, 1.0, 3.0, 3.0, 4.0), (4, 1, 1.0, 5.0, 5.0, 5.0), (5, 1, 1.0, 9.0, 9.0, None),
-]
+    return extraction.bound_amounts(texts.printed_lines(spark, sf_dir)).select("id", "unit_price", "total")
 
 
 def subtotal_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(SUBTOTALS, "invoice_id int, line int, quantity double, unit_price double, total double, net_subtotal double")
-    return extraction.repaired_to_subtotal(rows).select("invoice_id", "line", *r4("unit_price", "total"), "was_repaired")
-
-
-FOOTERS = [(1, 100.0, 23.0, 123.0), (2, 100.0, 23.0, 123.02), (3, 100.0, 23.0, 123.05), (4, None, 23.0, 123.0), (5, 10.005, 2.3, 12.3)]
+    return extraction.repaired_to_subtotal(texts.printed_subtotals(spark, sf_dir)).select("invoice_id", "line", "unit_price", "total", "was_repaired")
 
 
 def footer_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.footer_check(spark.createDataFrame(FOOTERS, "id int, net_subtotal double, vat double, total double")).select("id", "confidence")
+    return extraction.footer_check(texts.printed_footers(spark, sf_dir)).select("id", "confidence")
 
 
 def match_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyforge.sources import texts
 from tallyforge.functions.text import COST_WORDS
 from tallyforge.plans import review_queries as q
 from tallyforge.plans.oracles import CONTRACTS, HISTORY, KITCHEN, LINES, T, since, values
@@ -24,7 +25,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT ingredient_id, point::INTEGER AS point, invoice_id, supplier_name, round(unit_price, 4) AS unit_price FROM t""",
     "available_months": "SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month FROM orders",
     "price_extremes": f"""
-        WITH {LINES}, {_ENDS} SELECT lo.ingredient_id, round(lo.unit_price, 4) AS low_price, round(hi.unit_price, 4) AS high_price, lo.supplier_name AS low_supplier, hi.supplier_name AS high_supplier
+        WITH {LINES}, {_ENDS} SELECT lo.ingredient_id, lo.unit_price AS low_price, hi.unit_price AS high_price, lo.supplier_name AS low_supplier, hi.supplier_name AS high_supplier
         FROM lo JOIN hi ON lo.ingredient_id = hi.ingredient_id""",
     "alert_recipe_deterioration": f"""
         WITH RECURSIVE {KITCHEN}, nown AS (SELECT recipe_id, sum(line_cost * CASE WHEN ingredient_id % 10 = 0 THEN 1.1 ELSE 1 END) AS cost FROM direct GROUP BY 1),
@@ -50,20 +51,20 @@ ORACLE_SQL: dict[str, str] = {
     "ingredient_drill_down": f"""
         WITH RECURSIVE {LINES}, {KITCHEN.strip()}, {_ENDS.strip()},
         st AS (SELECT ingredient_id, count(*) FILTER ({since(90)}) AS n_90, count(*) AS n_180, avg(unit_price) FILTER ({since(90)}) AS avg_90, avg(unit_price) AS avg_180 FROM pl WHERE {since(180)} GROUP BY 1)
-        SELECT e.ingredient_id, n_recipes, monthly, round(share_pct, 4) AS share_pct, round(avg_90, 4) AS avg_90, round(avg_180, 4) AS avg_180, round(lo.unit_price, 4) AS low_price, round(hi.unit_price, 4) AS high_price,
+        SELECT e.ingredient_id, n_recipes, monthly, round(share_pct, 4) AS share_pct, round(avg_90 + 1e-7, 4) AS avg_90, round(avg_180 + 1e-7, 4) AS avg_180, lo.unit_price AS low_price, hi.unit_price AS high_price,
                coalesce(n_90, 0) AS n_90, coalesce(n_180, 0) AS n_180, lo.supplier_name AS low_supplier, hi.supplier_name AS high_supplier
         FROM expo e LEFT JOIN st ON st.ingredient_id = e.ingredient_id LEFT JOIN lo ON lo.ingredient_id = e.ingredient_id LEFT JOIN hi ON hi.ingredient_id = e.ingredient_id""",
     "cost_categories": f"""
-        WITH {values('g', 'id, name', q.GOODS)}, w AS (SELECT id, string_split_regex(lower(coalesce(name, '')), '[^\\pL0-9_]+') AS ws FROM g)
+        WITH g AS (SELECT p_partkey AS id, {texts.NAME_SQL} AS name FROM part), w AS (SELECT id, string_split_regex(lower(coalesce(name, '')), '[^\\pL0-9_]+') AS ws FROM g)
         SELECT id, CASE {' '.join(f"WHEN list_has_any(ws, {known.split()!r}) THEN '{category}'" for category, known in COST_WORDS.items())} ELSE 'other' END AS category FROM w""",
     "price_history_repairs": f"""
         WITH {LINES}, b AS (SELECT invoice_id, ingredient_id, unit_price FROM (SELECT *, row_number() OVER (PARTITION BY invoice_id, ingredient_id ORDER BY {TD}) AS k FROM pl) WHERE k = 1),
         s AS (SELECT invoice_id, ingredient_id, CASE WHEN invoice_id % 13 = 0 THEN unit_price * 1.1 ELSE unit_price END AS new_price, unit_price, invoice_id % 17 = 0 AS lost FROM b)
-        SELECT invoice_id, ingredient_id, round(new_price, 4) AS new_price, round(CASE WHEN lost THEN new_price ELSE unit_price END, 4) AS expected_price, NOT lost AND invoice_id % 13 = 0 AS needs_repair,
+        SELECT invoice_id, ingredient_id, new_price, CASE WHEN lost THEN new_price ELSE unit_price END AS expected_price, NOT lost AND invoice_id % 13 = 0 AS needs_repair,
                CASE WHEN lost THEN 'ghost_no_invoice_line' END AS skip_reason FROM s WHERE lost OR invoice_id % 13 = 0""",
     "procurement_sync": f"""
         WITH RECURSIVE {LINES}, {KITCHEN.strip()}, n AS (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY {TD}) AS k FROM pl)
-        SELECT i.ingredient_id, current_price, round(unit_price, 4) AS new_price FROM ing i JOIN n ON n.ingredient_id = i.ingredient_id AND k = 1 WHERE unit_price > 0 AND abs(unit_price - current_price) > 1e-6""",
+        SELECT i.ingredient_id, current_price, unit_price AS new_price FROM ing i JOIN n ON n.ingredient_id = i.ingredient_id AND k = 1 WHERE unit_price > 0 AND abs(unit_price - current_price) > 1e-6""",
     "recipe_link_audit": f"""
         WITH RECURSIVE {KITCHEN} SELECT recipe_id, ingredient_id, quantity FROM edges WHERE ingredient_id IN (SELECT p_partkey FROM part WHERE p_type = 'LARGE')""",
     "match_progress": f"""

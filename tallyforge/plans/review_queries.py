@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text, units, weights
 from tallyforge.operators import extraction, history, invoices, recipes, reviews
-from tallyforge.plans.queries import _contracts, _costs, _exposed, _history, _kitchen, _lines, _top_lines, r4
-from tallyforge.sources import tables, views
+from tallyforge.plans.queries import _contracts, _costs, _exposed, _history, _kitchen, _lines, _top_lines, means, r4
+from tallyforge.sources import tables, texts, views
 from tallyforge.sources.views import PURCHASE_ORDER
 
 
@@ -25,7 +25,7 @@ def available_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reviews.price_extremes(views.purchase_lines(spark, sf_dir), PURCHASE_ORDER)
-    return rows.select("ingredient_id", *r4("low_price", "high_price"), "low_supplier", "high_supplier")
+    return rows.select("ingredient_id", "low_price", "high_price", "low_supplier", "high_supplier")
 
 
 def alert_recipe_deterioration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,17 +53,11 @@ def ingredient_drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = history.window_stats(rows, as_of)
     ends = reviews.price_extremes(rows, PURCHASE_ORDER)
     both = exposed.join(stats, "ingredient_id", "left").join(ends, "ingredient_id", "left").fillna({"n_90": 0, "n_180": 0})
-    return both.select("ingredient_id", "n_recipes", "monthly", *r4("share_pct", "avg_90", "avg_180", "low_price", "high_price"), "n_90", "n_180", "low_supplier", "high_supplier")
-
-
-GOODS = [
-    (1, "Carne de novilho 1 kg"), (2, "Queijo flamengo"), (3, "Tomate pelado"), (4, "Molho BBQ"), (5, "Farinha T55"), (6, "Cerveja 33cl"), (7, "Guardanapos"), (8, "Beefsteak tomato"),
-    (9, "Cream cheese"), (10, "Chicken bacon salad"), (11, None),
-]
+    return both.select("ingredient_id", "n_recipes", "monthly", *r4("share_pct"), *means("avg_90", "avg_180"), "low_price", "high_price", "n_90", "n_180", "low_supplier", "high_supplier")
 
 
 def cost_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(GOODS, "id int, name string")
+    rows = texts.catalog_texts(spark, sf_dir)
     return rows.select("id", text.cost_category(F.col("name")).alias("category"))
 
 
@@ -72,12 +66,12 @@ def price_history_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.purchase_lines(spark, sf_dir).groupBy("invoice_id", "ingredient_id").agg(F.max_by("unit_price", F.struct(*PURCHASE_ORDER)).alias("unit_price"))
     stored = rows.select("invoice_id", "ingredient_id", F.when(F.col("invoice_id") % 13 == 0, F.col("unit_price") * 1.1).otherwise(F.col("unit_price")).alias("new_price"))
     found = reviews.history_repairs(stored, rows.where(F.col("invoice_id") % 17 != 0))
-    return found.where("needs_repair OR skip_reason IS NOT NULL").select("invoice_id", "ingredient_id", *r4("new_price", "expected_price"), "needs_repair", "skip_reason")
+    return found.where("needs_repair OR skip_reason IS NOT NULL").select("invoice_id", "ingredient_id", "new_price", "expected_price", "needs_repair", "skip_reason")
 
 
 def procurement_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = history.latest_moves(views.purchase_lines(spark, sf_dir), PURCHASE_ORDER)
-    return reviews.synced_prices(views.ingredients(spark, sf_dir), latest).select("ingredient_id", "current_price", *r4("new_price"))
+    return reviews.synced_prices(views.ingredients(spark, sf_dir), latest).select("ingredient_id", "current_price", "new_price")
 
 
 def recipe_link_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
