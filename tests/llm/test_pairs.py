@@ -1,5 +1,6 @@
 """Near-duplicates, repeated spans and benchmark leaks against brute force."""
 
+import itertools
 import random
 import re
 import unicodedata
@@ -137,13 +138,32 @@ def brute_removed(rows, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard_words", [60_000, 60])
-def test_removed_words_equal_brute_force(docs, rows, shard_words):
-    """With the small bound an anchor's segments span many automata."""
-    got = substring.removed_words(docs, substring.SpanParams(shard_words=shard_words)).collect()
+@pytest.mark.parametrize("params", [substring.SpanParams(), substring.SpanParams(shard_words=60, hot=3, crowd=2), substring.SpanParams(hot=4, crowd=100)])
+def test_removed_words_equal_brute_force(docs, rows, params):
+    """With the small bounds there are many shards, and most anchors' windows are dealt one by one, or both ways."""
+    got = substring.removed_words(docs, params).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in got) == brute_removed(rows, 13)
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    """They count as one document, and each gets a result of its own."""
+    rng = random.Random(8)
+    passage = words(rng, 30)
+    rows = [(1, words(rng, 40)), (1, passage + " " + words(rng, 5)), (2, words(rng, 20) + " " + passage), (2, "short"), (2, None), (3, passage), (3, passage)]
+    got = substring.removed_words(spark.createDataFrame(rows, "doc_id long, text string"), substring.SpanParams(crowd=2)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in got) == brute_removed(rows, 13)
+
+
+def test_a_hot_phrase_with_other_words_around_it(spark):
+    """Six common words in all documents, thirteen in few: the hot anchors' windows are dealt one by one."""
+    rng = random.Random(12)
+    phrase, passage = words(rng, 6), words(rng, 16)
+    rows = [(k, f"{words(rng, 12)} {passage if k % 9 == 0 else phrase} {words(rng, 12)} {phrase} {words(rng, 3)}") for k in range(90)]
+    got = substring.removed_words(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), substring.SpanParams(hot=20, crowd=10)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in got) == brute_removed(rows, 13)
+    assert sum(r.n_removed for r in got) == 9 * 16
+
+
 def test_automaton_statistics():
     rng = random.Random(2)
     for _ in range(50):
@@ -185,10 +205,10 @@ def test_leaks_survive_substitution_and_clean_documents_stay(spark, docs, rows):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r[0] for r in rows if r[0] not in (12, 13, 15))
 
 
-def test_leaks_of_a_sliced_benchmark(spark, docs, rows):
+def test_leaks_of_a_benchmark_that_is_not_broadcast(spark, docs, rows):
     items = spark.createDataFrame([(k, r[1]) for k, r in enumerate(rows) if r[1] and len(r[1].split()) > 20], "item_id long, text string")
     one = decontaminate.overlaps(docs, items).collect()
-    many = decontaminate.overlaps(docs, items, decontaminate.LeakParams(slice_words=500)).collect()
+    many = decontaminate.overlaps(docs, items, decontaminate.LeakParams(few_seeds=0, few_words=0, filter_bits=16)).collect()
     assert sorted(one) == sorted(many) and one
 
 
@@ -197,6 +217,63 @@ def test_leaks_of_empty_tables(spark, docs, none):
     assert decontaminate.overlaps(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def escapes(params, size, span, equal):
+    """Whether some overlap of that many words, of which so many are equal, escapes the masks of an item of the size."""
+    masks = [[j for j, m in enumerate(mask) if m == "1"] for mask in params.masks_for(size)]
+    for gone in itertools.combinations(range(1, span - 1), span - equal):
+        same = [j not in gone for j in range(span)]
+        if not any(all(same[a + j] for j in mask) for mask in masks for a in range(span - mask[-1])):
+            return gone
+    return None
+
+
+def test_no_overlap_escapes_the_masks():
+    """All placements of a fifth of replaced words in up to 25 words, for the masks of every size of item."""
+    params = decontaminate.LeakParams()
+    for size in range(1, 17):
+        needed = params.needed(size)
+        for span in range(needed, min(size, 16) + 1):
+            if needed >= params.identity * span:
+                assert escapes(params, size, span, needed) is None, (size, span)
+    for span in range(17, 26):
+        assert escapes(params, 99, span, max(13, span - span // 5)) is None
+
+
+def brute_overlaps(docs, items, params):
+    out = {}
+    for d, text in docs:
+        for i, item in items:
+            x, y = text.split(), item.split()
+            best = None
+            for diagonal in range(-len(y), len(x)):
+                low, high = max(0, -diagonal), min(len(y), len(x) - diagonal)
+                if low < high:
+                    run = decontaminate.best_run(np.array([x[j + diagonal] == y[j] for j in range(low, high)]), params.identity)
+                    if run and run[2] >= params.needed(len(y)):
+                        key = (run[2], -(low + diagonal + run[0]), -(run[1] - run[0]), -(low + run[0]))
+                        best = key if best is None or key > best else best
+            if best:
+                out[d, i] = (best[0], -best[1], -best[2], -best[3])
+    return out
+
+
+def test_overlaps_equal_brute_force(spark):
+    """Passages with a fifth of their words replaced, at random and at every fifth word, short items, and repetitive texts."""
+    rng = random.Random(21)
+    params = decontaminate.LeakParams()
+    items = [(k, words(rng, n)) for k, n in enumerate([3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 20, 25, 40, 100])]
+    items += [(90, "very " * 30), (91, "a b " * 12)]
+    docs = [(1, "very " * 400), (2, "b a " * 300), (3, words(rng, 300))]
+    for k, item in items[:18]:
+        own = item.split()
+        for j, gone in enumerate([set(range(4, len(own), 5)), set(rng.sample(range(len(own)), len(own) // 5)), set(rng.sample(range(len(own)), len(own) // 4))]):
+            docs.append((100 + 10 * k + j, " ".join([words(rng, 7), *["new" if n in gone else w for n, w in enumerate(own)], words(rng, 7)])))
+    found = leaks(spark, spark.createDataFrame(docs, "doc_id long, text string"), items)
+    want = brute_overlaps(docs, items, params)
+    assert {k: (r.matched_words, r.start_word, r.n_words, r.item_start_word) for k, r in found.items()} == want
+    assert all((100 + 10 * k, k) in want for k in range(8, 18))
+
+
 def test_best_run_is_exact():
     import numpy as np
 
