@@ -163,9 +163,14 @@ class Forest:
         self.up[max(a, b)] = min(a, b)
         return True
 
+    def stars(self) -> pa.RecordBatch:
+        """Edges (a, b) from every member of a tree to its smallest."""
+        below = list(self.up)
+        return pa.RecordBatch.from_arrays([pa.array(below, pa.int64()), pa.array([self.find(x) for x in below], pa.int64())], names=["a", "b"])
+
 
 def _sketch_edges(params: NearParams):
-    """Over rows sorted by node: the pairs of a node whose sketches agree enough, as far as they connect something new."""
+    """Over rows sorted by node: edges from the documents of a node that pairs of like sketches connect to the smallest of them."""
     width = params.slots
     need = int(np.floor(params.sketch_floor * width))
 
@@ -175,7 +180,6 @@ def _sketch_edges(params: NearParams):
             tree, node = table.column(0).to_numpy(), table.column(1).to_numpy()
             docs = table.column(2).to_numpy()
             sketch = np.stack([s for chunk in table.column(3).chunks for s in binary_views(chunk, "<u4")]).reshape(n, width)
-            left, right = [], []
             forest, end = Forest(), np.flatnonzero(np.concatenate([(tree[1:] != tree[:-1]) | (node[1:] != node[:-1]), [True]])) + 1
             group = np.searchsorted(end, np.arange(n), side="right")
             k = 1
@@ -187,11 +191,10 @@ def _sketch_edges(params: NearParams):
                     part = at[a : a + (1 << 15)]
                     part = part[(sketch[part] == sketch[part + k]).sum(axis=1) >= need]
                     for x, y in zip(docs[part].tolist(), docs[part + k].tolist()):
-                        if x != y and forest.join(x, y):
-                            left.append(x)
-                            right.append(y)
+                        if x != y:
+                            forest.join(x, y)
                 k += 1
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            yield forest.stars()
 
     return run
 
@@ -241,7 +244,7 @@ def candidate_edges(reps: DataFrame, params: NearParams) -> DataFrame:
         # Documents that went deep take part in more trees: once more, as many as they need.
         needs = [params.trees_for(level + 1) for level in range(len(leaves))]
         if first or max(needs) <= last:
-            return edges.distinct()
+            return edges
         deep = nodes.where(F.col("depth") > sum(n <= last for n in needs)).groupBy("doc_id").agg(F.max("depth").alias("depth"))
         most = F.element_at(F.array(*[F.lit(n) for n in needs]), F.col("depth"))
         rows = deep.join(start, "doc_id").select("doc_id", "sketch", most.alias("most"))
@@ -249,7 +252,7 @@ def candidate_edges(reps: DataFrame, params: NearParams) -> DataFrame:
 
 
 def _confirm(params: NearParams):
-    """Over rows sorted by part: links between full sets, as far as they connect something new."""
+    """Over rows sorted by part: edges from the documents of a part that links between full sets connect to the smallest of them."""
 
     def linked(x: np.ndarray, y: np.ndarray) -> bool:
         low, high = min(len(x), len(y)), max(len(x), len(y))
@@ -265,7 +268,7 @@ def _confirm(params: NearParams):
             part = np.stack([table.column(0).to_numpy(), table.column(1).to_numpy()], axis=1)
             docs, sets = table.column(2).to_numpy(), [s for chunk in table.column(3).chunks for s in binary_views(chunk, "<u8")]
             cuts = np.flatnonzero((part[1:] != part[:-1]).any(axis=1)) + 1
-            left, right = [], []
+            forest = Forest()
             for group in np.split(np.arange(len(docs)), cuts):
                 known: list[list[int]] = []  # components so far, as lists of rows
                 for i in group.tolist():
@@ -274,13 +277,12 @@ def _confirm(params: NearParams):
                         hit = next((j for j in members if linked(sets[i], sets[j])), None)
                         if hit is not None:
                             mine.append(k)
-                            left.append(docs[i])
-                            right.append(docs[hit])
+                            forest.join(int(docs[i]), int(docs[hit]))
                     merged = [i]
                     for k in reversed(mine):
                         merged = known.pop(k) + merged
                     known.append(merged)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            yield forest.stars()
 
     return run
 
@@ -375,7 +377,7 @@ def _most_alike(rows: DataFrame, params: NearParams) -> DataFrame:
 
 
 def confirmed_links(documents: DataFrame, reps: DataFrame, clusters: DataFrame, params: NearParams) -> DataFrame:
-    """Links (a, b) that connect the components of each cluster (vertex, component), confirmed on full sets."""
+    """Edges (a, b) that connect what links, confirmed on full sets, connect in each cluster (vertex, component)."""
     members = clusters.select(F.col("vertex").alias("doc_id"), F.col("component").alias("cluster"))
     members = members.unionByName(members.select(F.col("cluster").alias("doc_id"), "cluster").distinct()).join(reps.select("doc_id", "n_shingles"), "doc_id")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
@@ -411,11 +413,12 @@ def confirmed_links(documents: DataFrame, reps: DataFrame, clusters: DataFrame,
     links = dealt.mapInArrow(lean(_confirm(params)), "a long, b long")
     if big.isEmpty():
         return links
-    links = written(links, "links")
     size = big.select("doc_id", F.col("cluster").alias("grp"), "n_shingles")
     # sets that are linked are in one class of sizes or in neighbouring ones: a class is a little wider than the least ratio of their sizes
     size_class = F.floor(F.log("n_shingles") / float(np.log(100 / params.percent) + 1e-6)).cast("int")
-    known = components(links).select(F.col("vertex").alias("doc_id"), "component")
+    stars = components(links)
+    links = stars.select(F.col("vertex").alias("a"), F.col("component").alias("b"))
+    known = stars.select(F.col("vertex").alias("doc_id"), "component")
     rest = size.join(known, "doc_id", "left").select(
         "grp", "doc_id", F.coalesce("component", "doc_id").alias("label"), size_class.alias("size_class"), F.col("n_shingles").alias("weight")
     )
