@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, extract, langid, mtree, neardup, packing, pii, quality, substring, warc
+from tallyforge.llm import decontaminate, extract, hardneg, langid, mixing, mtree, neardup, packing, pii, quality, substring, wand, warc
 from tallyforge.llm.textcore import in_fold
 
 
@@ -76,6 +76,20 @@ def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.NearParams(shingle=3, percent=85))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hardneg.vectors(table(spark, sf_dir, "embeddings"))
+    noisy = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hardneg.mined(rows.withColumn("label", noisy), F.col("vec_id") % 100 == 0)
+
+
+def op12_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
@@ -87,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_extract": op8_extract,
     "op9_langid": op9_langid,
     "op10_near": op10_near,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_wand": op12_wand,
+    "op13_mix": op13_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -144,4 +161,61 @@ ORACLE_SQL: dict[str, str] = {
         SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept
         FROM c LEFT JOIN n ON n.doc_id = c.doc_id
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+            FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v)
+            WHERE a.vec_id % 100 = 0
+        ), p AS (
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5
+        ), n AS (
+            SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                   (row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id))::INTEGER AS rank
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+        )
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+    """,
+    "op12_wand": """
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts
+            FROM documents WHERE text IS NOT NULL
+        ), e AS (SELECT doc_id, len(ts)::BIGINT AS n, ts FROM d WHERE len(ts) > 0),
+        t AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM e),
+        q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+            FROM benchmark WHERE text IS NOT NULL
+        ), p AS (
+            SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(ts) AS term FROM e) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3
+        ), w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, t GROUP BY term, docs),
+        i AS (SELECT doc_id, p.term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) AS impact FROM p JOIN w ON w.term = p.term, t),
+        s AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM q JOIN i ON i.term = q.term GROUP BY 1, 2),
+        r AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+    """,
+    "op13_mix": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                   ('0x' || substr(md5(concat_ws(chr(31), doc_id::VARCHAR, text)), 1, 6))::BIGINT % 64 AS salt FROM documents
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY 1
+        ), f AS (
+            SELECT *, 3.0::DOUBLE * source_size AS most, coalesce(sum(3.0::DOUBLE * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_,
+                   sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_ FROM s WINDOW o AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST)
+        ), g AS (SELECT *, max((SELECT (sum(source_size) - full_) / open_ FROM s)) OVER () AS level FROM f),
+        t AS (
+            SELECT source, source_size, n_docs, least(most, weight * level) AS target,
+                   CASE WHEN source_size > 0 THEN floor(least(most, weight * level) / source_size * 16777216 + 0.5)::BIGINT ELSE 0 END AS rate,
+                   ('0x' || substr(md5(concat_ws(chr(31), 'mix', coalesce('0' || source, '1'))), 7, 6))::BIGINT AS start FROM g
+        ), c AS (SELECT *, length(bin(size)) * 32 + CASE WHEN length(bin(size)) > 5 THEN size >> (length(bin(size)) - 5) ELSE size END AS step FROM d),
+        r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY step, salt, size, doc_id NULLS FIRST) AS rank FROM c),
+        p AS (
+            SELECT r.doc_id, r.size, t.source_size, t.target, r.source, rate, start, CASE WHEN rank % 2 = 1 THEN (rank + 1) // 2 ELSE n_docs + 1 - rank // 2 END AS place
+            FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
+        ), k AS (SELECT *, (place * rate + start) // 16777216 - ((place - 1) * rate + start) // 16777216 AS copies FROM p)
+        SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, source, copies FROM k
+    """,
 }
