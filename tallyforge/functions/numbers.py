@@ -13,6 +13,15 @@ def half_up(x: Column) -> Column:
     return F.floor(F.round(x, 6) + 0.5)
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum in decimals of eight digits, rounded to four: the same whatever the order of the rows."""
+    return F.round(F.sum(x.cast("decimal(28,8)")), 4).cast("double")
+
+
+def exact_mean(x: Column) -> Column:
+    return exact_sum(x) / F.nullif(F.count(x), F.lit(0))
+
+
 def shown(x: Column, digits: int = 4) -> Column:
     return F.round(x, digits)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.numbers import EPSILON, pct_change, ratio
+from tallyforge.functions.numbers import EPSILON, exact_mean, pct_change, ratio
 
 HARD_RATIO = 14.0
 FORMAT_RATIO = 2.0
@@ -67,7 +67,7 @@ def window_stats(rows: DataFrame, as_of: Column, windows: Sequence[int] = (90, 1
     found = []
     for days in windows:
         price = F.when(F.col("chrono") >= as_of - F.expr(f"INTERVAL {days} DAYS"), F.col("unit_price"))
-        found += [F.count(price).alias(f"n_{days}"), F.min(price).alias(f"min_{days}"), F.max(price).alias(f"max_{days}"), F.avg(price).alias(f"avg_{days}")]
+        found += [F.count(price).alias(f"n_{days}"), F.min(price).alias(f"min_{days}"), F.max(price).alias(f"max_{days}"), exact_mean(price).alias(f"avg_{days}")]
     return recent.groupBy("ingredient_id").agg(*found)
 
 

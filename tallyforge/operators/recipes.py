@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.numbers import food_cost_pct, gross_margin_pct, impact_band, margin_label, monthly_exposure, unit_cost
+from tallyforge.functions.numbers import exact_sum, food_cost_pct, gross_margin_pct, impact_band, margin_label, monthly_exposure, unit_cost
 
 MOST_LEVELS = 10
 
@@ -93,7 +93,7 @@ def affected(edges: DataFrame, recipes: DataFrame, changed: DataFrame) -> DataFr
 
 def exposure(edges: DataFrame, catalog: DataFrame) -> DataFrame:
     """Line cost of each ingredient over all recipes, its share, the recipes that use it and the modelled monthly cost."""
-    used = priced_lines(edges, catalog).groupBy("ingredient_id").agg(F.sum("line_cost").alias("line_cost"), F.countDistinct("recipe_id").alias("n_recipes"))
-    whole = used.agg(F.sum("line_cost")).first()[0] or 0.0
+    used = priced_lines(edges, catalog).groupBy("ingredient_id").agg(exact_sum(F.col("line_cost")).alias("line_cost"), F.countDistinct("recipe_id").alias("n_recipes"))
+    whole = used.agg(exact_sum(F.col("line_cost"))).first()[0] or 0.0
     share = F.when(F.lit(whole) > 0, F.col("line_cost") / F.lit(whole) * 100)
     return used.withColumn("share_pct", share).withColumn("monthly", monthly_exposure(F.col("line_cost"), F.col("n_recipes")))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.numbers import exact_mean
+
 
 def labelled(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """Adds is_best, is_highest (the first of the least and greatest prices, if they differ), and for the newest purchase above_previous, above_average, switched."""
@@ -36,7 +38,7 @@ def compact_trend(rows: DataFrame, order: Sequence[str], volatile_from: float =
     price = F.col("unit_price")
     found = numbered.groupBy("ingredient_id").agg(
         F.count(F.lit(1)).alias("n_purchases"), F.max(F.when(F.col("_n") == 1, price)).alias("current"), F.max(F.when(F.col("_n") == 2, price)).alias("prior"),
-        F.avg(price).alias("mean"), F.min(price).alias("least"), F.max(price).alias("most"),
+        exact_mean(price).alias("mean"), F.min(price).alias("least"), F.max(price).alias("most"),
     )
     now, n = F.col("current"), F.col("n_purchases")
     state = (

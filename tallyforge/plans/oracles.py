@@ -75,10 +75,10 @@ KITCHEN = """
                row_number() OVER (PARTITION BY recipe_id ORDER BY round(line_cost, 6) DESC, kind, component_id) AS k
         FROM every
     ), tops AS (SELECT recipe_id, kind, component_id, line_cost, line_cost / whole * 100 AS share_pct FROM ordered WHERE k = 1 AND whole > 0),
+    used AS (SELECT ingredient_id, round(sum(line_cost::DECIMAL(28, 8)), 4)::DOUBLE AS line_cost, count(DISTINCT recipe_id) AS n_recipes FROM direct GROUP BY 1),
     expo AS (
-        SELECT ingredient_id, sum(line_cost) AS line_cost, count(DISTINCT recipe_id) AS n_recipes, sum(line_cost) / (SELECT sum(line_cost) FROM direct) * 100 AS share_pct,
-               floor(round(sum(line_cost) * (count(DISTINCT recipe_id) * 30), 6) + 0.5)::BIGINT AS monthly
-        FROM direct GROUP BY 1
+        SELECT ingredient_id, line_cost, n_recipes, line_cost / (SELECT round(sum(line_cost::DECIMAL(28, 8)), 4)::DOUBLE FROM used) * 100 AS share_pct,
+               floor(round(line_cost * (n_recipes * 30), 6) + 0.5)::BIGINT AS monthly FROM used
     )"""
 
 EVENTS = """
@@ -119,7 +119,7 @@ def since(days: int) -> str:
 ORACLE_SQL: dict[str, str] = {
     "price_chain_latest_moves": f"""
         WITH {HISTORY}, n AS (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY chrono DESC, invoice_id DESC, line_number DESC, supplier_id DESC, quantity DESC, total DESC, discount DESC, tax DESC) AS k FROM ph)
-        SELECT ingredient_id, name, supplier_name, chrono, round(unit_price, 4) AS unit_price, round(previous_price, 4) AS previous_price, round(delta, 4) AS delta, round(delta_pct, 4) AS delta_pct FROM n WHERE k = 1""",
+        SELECT ingredient_id, name, supplier_name, chrono, unit_price, previous_price, delta, delta_pct FROM n WHERE k = 1""",
     "price_history_guarded": f"""
         WITH {CONTRACTS}, l AS (
             SELECT *, lag(unit_price) OVER w AS pp, lag(family) OVER w AS pf, lag(preservation) OVER w AS pv, lag(contract) OVER w AS pc FROM ct WINDOW w AS (PARTITION BY ingredient_id ORDER BY {T})
@@ -132,29 +132,29 @@ ORACLE_SQL: dict[str, str] = {
         SELECT ingredient_id, invoice_id, line_number, supplier_id, unit_price, CASE WHEN reason IS NULL THEN pp END AS previous_price, reason FROM r""",
     "previous_unit_price": f"""
         WITH {HISTORY}, n AS (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY chrono DESC, invoice_id DESC, line_number DESC, supplier_id DESC, quantity DESC, total DESC, discount DESC, tax DESC) AS k FROM ph)
-        SELECT ingredient_id, round(coalesce(max(previous_price) FILTER (k = 1), max(unit_price) FILTER (k = 2)), 4) AS previous_unit_price FROM n GROUP BY 1""",
+        SELECT ingredient_id, coalesce(max(previous_price) FILTER (k = 1), max(unit_price) FILTER (k = 2)) AS previous_unit_price FROM n GROUP BY 1""",
     "price_window_stats_90_180": f"""
         WITH {LINES}
         SELECT ingredient_id, count(*) FILTER ({since(90)}) AS n_90, count(*) AS n_180, min(unit_price) FILTER ({since(90)}) AS min_90, max(unit_price) FILTER ({since(90)}) AS max_90,
-               round(avg(unit_price) FILTER ({since(90)}) + 1e-7, 4) AS avg_90, min(unit_price) AS min_180, max(unit_price) AS max_180, round(avg(unit_price) + 1e-7, 4) AS avg_180
+               round(sum(unit_price::DECIMAL(28, 8)) FILTER ({since(90)}), 4)::DOUBLE / nullif(count(*) FILTER ({since(90)}), 0) AS avg_90, min(unit_price) AS min_180, max(unit_price) AS max_180, round(sum(unit_price::DECIMAL(28, 8)), 4)::DOUBLE / count(*) AS avg_180
         FROM pl WHERE unit_price > 0 AND {since(180)} GROUP BY 1""",
     "volatile_by_frequency": f"""
         WITH {LINES} SELECT ingredient_id, count(*) AS n_changes FROM pl WHERE {since(90)} GROUP BY 1 HAVING count(*) >= 4 ORDER BY n_changes DESC, ingredient_id LIMIT 25""",
     "volatile_by_range": f"""
-        WITH {LINES} SELECT ingredient_id, count(*) AS n_prices, round(min(unit_price), 4) AS least, round(max(unit_price), 4) AS most, round((max(unit_price) - min(unit_price)) / min(unit_price), 4) AS spread
+        WITH {LINES} SELECT ingredient_id, count(*) AS n_prices, min(unit_price) AS least, max(unit_price) AS most, (max(unit_price) - min(unit_price)) / min(unit_price) AS spread
         FROM pl WHERE unit_price > 0 AND {since(180)} GROUP BY 1 HAVING count(*) >= 3 AND (max(unit_price) - min(unit_price)) / min(unit_price) >= 0.15""",
     "largest_increases": f"""
         WITH {HISTORY}, t AS (SELECT * FROM ph WHERE delta > 1e-6 AND {since(90)} ORDER BY delta DESC, ingredient_id, {T} LIMIT 25)
-        SELECT ingredient_id, invoice_id, supplier_name, round(unit_price, 4) AS unit_price, round(previous_price, 4) AS previous_price, round(delta, 4) AS delta FROM t""",
+        SELECT ingredient_id, invoice_id, supplier_name, unit_price, previous_price, delta FROM t""",
     "recent_price_moves": f"""
         WITH {HISTORY}, n AS (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY abs(delta_pct) DESC, {T}) AS k FROM ph WHERE abs(delta_pct) >= 0.5 AND {since(7)}),
         t AS (SELECT * FROM n WHERE k = 1 ORDER BY abs(delta_pct) DESC, ingredient_id LIMIT 8)
-        SELECT ingredient_id, supplier_name, round(unit_price, 4) AS unit_price, round(delta_pct, 4) AS delta_pct FROM t""",
+        SELECT ingredient_id, supplier_name, unit_price, delta_pct FROM t""",
     "nearest_compatible_prior": f"""
         WITH {CONTRACTS}, o AS (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY {T}) AS k FROM ct),
         j AS (SELECT a.*, b.unit_price AS prior_price, row_number() OVER (PARTITION BY a.ingredient_id, a.k ORDER BY b.k DESC) AS r
               FROM o a LEFT JOIN o b ON a.ingredient_id = b.ingredient_id AND a.contract = b.contract AND b.k < a.k WHERE a.chrono >= (SELECT d FROM last_day) - INTERVAL 180 DAY)
-        SELECT ingredient_id, invoice_id, line_number, supplier_id, contract, round(unit_price, 4) AS unit_price, round(prior_price, 4) AS prior_price FROM j WHERE r = 1""",
+        SELECT ingredient_id, invoice_id, line_number, supplier_id, contract, unit_price, prior_price FROM j WHERE r = 1""",
     "price_variability": f"""
         WITH {LINES} SELECT ingredient_id, count(*) AS n_prices, round(avg(unit_price), 4) AS mean, round(stddev_pop(unit_price), 4) AS spread, round(stddev_pop(unit_price) / avg(unit_price), 4) AS cv,
                stddev_pop(unit_price) / avg(unit_price) < 0.06 AS stable FROM pl GROUP BY 1 HAVING count(*) >= 2""",
@@ -179,7 +179,7 @@ ORACLE_SQL: dict[str, str] = {
         f AS (SELECT *, CASE unit WHEN 'kg' THEN 1000 WHEN 'l' THEN 1000 WHEN 'cl' THEN 10 ELSE 1 END AS factor, CASE WHEN unit IN ('kg', 'g') THEN 'g' WHEN unit IN ('l', 'cl', 'ml') THEN 'ml' WHEN unit = 'un' THEN 'un' END AS base_unit FROM u)
         SELECT id, quantity * factor AS base_quantity, base_unit, CASE base_unit WHEN 'g' THEN 'weight' WHEN 'ml' THEN 'volume' WHEN 'un' THEN 'countable' END AS family,
                (CASE WHEN quantity >= 0.5 AND quantity < 1 AND base_unit IN ('g', 'ml') THEN quantity * 1000 ELSE quantity END)::DOUBLE AS repaired FROM f""",
-    "line_cost": f"WITH RECURSIVE {KITCHEN} SELECT recipe_id, ingredient_id, quantity, round(unit_cost, 4) AS unit_cost, round(line_cost, 4) AS line_cost FROM direct",
+    "line_cost": f"WITH RECURSIVE {KITCHEN} SELECT recipe_id, ingredient_id, quantity, unit_cost, line_cost FROM direct",
     "recipe_closure": f"WITH RECURSIVE {KITCHEN} SELECT root, recipe_id, depth::INTEGER AS depth, round(batches, 4) AS batches FROM clo WHERE depth > 0",
     "recipe_cost_rollup": f"WITH RECURSIVE {KITCHEN} SELECT recipe_id, round(total_cost, 4) AS total_cost, n_lines, n_unresolved FROM cost",
     "recipe_margin_health": f"""
@@ -206,7 +206,7 @@ ORACLE_SQL: dict[str, str] = {
         base AS (SELECT ingredient_id, n AS samples, delta_pct AS baseline FROM old WHERE k = n // 2),
         s AS (SELECT t.ingredient_id, pct, delta, coalesce(baseline, 0.0) AS baseline, coalesce(samples, 0) AS samples FROM top t LEFT JOIN base b ON t.ingredient_id = b.ingredient_id),
         f AS (SELECT * FROM s WHERE pct >= 18 OR delta >= 0.08 OR (samples >= 2 AND pct - baseline >= 10) OR (pct >= 12 AND (samples = 0 OR pct - baseline >= 5)) ORDER BY round(pct, 6) DESC, ingredient_id LIMIT 25)
-        SELECT ingredient_id, round(pct, 4) AS pct, round(delta, 4) AS delta, round(baseline, 4) AS baseline, samples, CASE WHEN pct >= 28 OR delta >= 0.2 THEN 'high' WHEN pct >= 18 THEN 'medium' ELSE 'low' END AS severity FROM f""",
+        SELECT ingredient_id, pct, delta, baseline, samples, CASE WHEN pct >= 28 OR delta >= 0.2 THEN 'high' WHEN pct >= 18 THEN 'medium' ELSE 'low' END AS severity FROM f""",
     "alert_supplier_trend": f"""
         WITH {HISTORY}, w AS (SELECT *, row_number() OVER (PARTITION BY supplier_name ORDER BY chrono, ingredient_id, invoice_id, line_number, supplier_id, quantity, total, discount, tax) AS k, count(*) OVER (PARTITION BY supplier_name) AS n FROM ph WHERE {since(180)}),
         a AS (SELECT supplier_name, count(*) AS n_rows, avg(unit_price) FILTER (k <= n // 2) AS early_avg, avg(unit_price) FILTER (k > n // 2) AS late_avg, count(*) FILTER (delta > 1e-6) AS n_rises, count(DISTINCT ingredient_id) AS n_ingredients FROM w WHERE n >= 4 GROUP BY 1),
@@ -219,7 +219,7 @@ ORACLE_SQL: dict[str, str] = {
         m AS (SELECT ingredient_id, delta_pct FROM n WHERE k = 1 AND delta_pct > 0 AND {since(30)}),
         s AS (SELECT coalesce(sum(line_cost * delta_pct / 100), 0) AS total, count(DISTINCT recipe_id) AS n_recipes FROM direct d JOIN m ON m.ingredient_id = d.ingredient_id)
         SELECT round(total, 4) AS total, n_recipes, CASE WHEN total >= 5 THEN 'high' WHEN total >= 2 THEN 'medium' ELSE 'low' END AS severity FROM s WHERE total >= 0.08""",
-    "portfolio_exposure": f"WITH RECURSIVE {KITCHEN} SELECT ingredient_id, n_recipes, monthly, round(line_cost, 4) AS line_cost, round(share_pct, 4) AS share_pct FROM expo",
+    "portfolio_exposure": f"WITH RECURSIVE {KITCHEN} SELECT ingredient_id, n_recipes, monthly, line_cost, share_pct FROM expo",
     "category_slices": f"""
         WITH RECURSIVE {KITCHEN} SELECT split_part(name, ' ', -1) AS category, count(*) AS n_ingredients, sum(monthly)::BIGINT AS monthly, round(sum(line_cost), 4) AS line_cost, round(sum(share_pct), 4) AS share_pct
         FROM expo JOIN ing ON ing.ingredient_id = expo.ingredient_id GROUP BY 1""",
@@ -227,7 +227,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH RECURSIVE {HISTORY}, {KITCHEN.strip()}, mv AS (SELECT ingredient_id, avg(delta_pct) AS trend, max(delta_pct) AS most FROM ph WHERE {since(90)} GROUP BY 1),
         g AS (SELECT split_part(name, ' ', -1) AS category, sum(monthly)::BIGINT AS monthly, avg(trend) AS avg_trend, max(most) AS max_inflation
               FROM expo JOIN ing ON ing.ingredient_id = expo.ingredient_id LEFT JOIN mv ON mv.ingredient_id = expo.ingredient_id GROUP BY 1)
-        SELECT category, monthly, round(avg_trend, 4) AS avg_trend, round(max_inflation, 4) AS max_inflation, CASE WHEN avg_trend >= 5 THEN 'rising' WHEN avg_trend <= -5 THEN 'easing' ELSE 'stable' END AS label FROM g""",
+        SELECT category, monthly, round(avg_trend, 4) AS avg_trend, max_inflation, CASE WHEN avg_trend >= 5 THEN 'rising' WHEN avg_trend <= -5 THEN 'easing' ELSE 'stable' END AS label FROM g""",
     "top_exposures": f"""
         WITH RECURSIVE {HISTORY}, {KITCHEN.strip()}, mv AS (SELECT ingredient_id, avg(delta_pct) AS trend FROM ph WHERE {since(90)} GROUP BY 1),
         s AS (SELECT e.ingredient_id, monthly, coalesce(trend, 0) AS trend, share_pct, round(0.35 * monthly + 12 * abs(coalesce(trend, 0)) + 8 * least(n_recipes, 8) + 2 * share_pct, 4) AS score FROM expo e LEFT JOIN mv ON mv.ingredient_id = e.ingredient_id)
@@ -240,10 +240,10 @@ ORACLE_SQL: dict[str, str] = {
         FROM w LEFT JOIN u ON u.supplier_name = w.supplier_name AND u.k = 1 LEFT JOIN d ON d.supplier_name = w.supplier_name AND d.k = 1 GROUP BY 1""",
     "supplier_watchlist": f"""
         WITH {HISTORY}, g AS (SELECT supplier_name, count(*) FILTER (delta_pct > 0) AS n_up, count(*) FILTER (delta_pct < 0) AS n_down, max(abs(delta_pct)) AS max_pct FROM ph WHERE abs(delta_pct) >= 0.5 AND {since(90)} GROUP BY 1)
-        SELECT supplier_name, n_up, n_down, round(max_pct, 4) AS max_pct, CASE WHEN n_up > n_down THEN 'rising' WHEN n_up < n_down THEN 'easing' ELSE 'mixed' END AS status,
+        SELECT supplier_name, n_up, n_down, max_pct, CASE WHEN n_up > n_down THEN 'rising' WHEN n_up < n_down THEN 'easing' ELSE 'mixed' END AS status,
                CASE WHEN max_pct >= 15 AND n_up > 0 THEN 'high' WHEN max_pct >= 5 THEN 'medium' ELSE 'low' END AS risk FROM g""",
     "supplier_switches": f"""
-        WITH {EVENTS} SELECT ingredient_id, event_id, from_supplier, supplier_name, round(previous_price, 4) AS from_price, round(unit_price, 4) AS unit_price, round(delta_pct, 4) AS change_pct,
+        WITH {EVENTS} SELECT ingredient_id, event_id, from_supplier, supplier_name, previous_price AS from_price, unit_price, delta_pct AS change_pct,
                CASE WHEN delta_pct > 2 THEN 'dearer' WHEN delta_pct < -2 THEN 'cheaper' WHEN delta_pct IS NOT NULL THEN 'stable' END AS kind FROM eh WHERE from_supplier <> supplier_name""",
     "supplier_temporal_trend": f"""
         WITH {HISTORY}, g AS (SELECT supplier_name, avg(delta_pct) FILTER ({since(30)}) AS late_pct, avg(delta_pct) FILTER (NOT {since(30)}) AS early_pct FROM ph WHERE {since(90)} GROUP BY 1)
@@ -299,12 +299,12 @@ ORACLE_SQL: dict[str, str] = {
     "price_bumps": f"WITH RECURSIVE {KITCHEN} SELECT recipe_id, round(greatest(0.5, total_cost / (1 - 0.65) - selling_price), 4) AS bump FROM mar WHERE margin_pct < 65",
     "sensitivity": f"WITH RECURSIVE {KITCHEN} SELECT ingredient_id, floor(monthly * 0.1 + 0.5)::BIGINT AS ten_percent FROM expo WHERE floor(monthly * 0.1 + 0.5) >= 1",
     "catalog_unit_costs": """
-        SELECT p_partkey AS ingredient_id, round(p_retailprice / greatest(p_size::DOUBLE, 1.0), 4) AS unit_cost, CASE WHEN p_size = 1000 THEN 'g' WHEN p_size > 1000 THEN 'ml' ELSE 'un' END AS base_unit
+        SELECT p_partkey AS ingredient_id, p_retailprice / greatest(p_size::DOUBLE, 1.0) AS unit_cost, CASE WHEN p_size = 1000 THEN 'g' WHEN p_size > 1000 THEN 'ml' ELSE 'un' END AS base_unit
         FROM part WHERE p_type IN ('MEDIUM', 'STANDARD', 'LARGE')""",
     "invoice_dates": f"""
         WITH d AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%d-%m-%Y') WHEN 3 THEN 'soon' END AS raw FROM orders) SELECT id, CASE WHEN length(raw) = 10 THEN coalesce(try_strptime(raw, '%Y-%m-%d'), try_strptime(raw, '%d/%m/%Y'), try_strptime(raw, '%d-%m-%Y')) END::DATE AS date FROM d""",
     "streaming_price_chain": f"""
-        WITH {EVENTS} SELECT ingredient_id, event_id, round(unit_price, 4) AS unit_price, round(previous_price, 4) AS previous_price, round(delta, 4) AS delta, round(delta_pct, 4) AS delta_pct FROM eh""",
+        WITH {EVENTS} SELECT ingredient_id, event_id, unit_price, previous_price, delta, delta_pct FROM eh""",
     "purchase_structure_parse": f"""
         WITH p AS (SELECT p_partkey AS id, p_partkey % {len(texts.PHRASE_FORMS)} AS k, CAST(p_size AS DOUBLE) AS s, p_retailprice AS price FROM part),
         w(k, tier, unit, usable_unit, factor) AS (VALUES {', '.join(f"({k}, '{f[1]}', {_quoted(f[5])}, {_quoted(f[7])}, {f[6] or 'NULL'}::DOUBLE)" for k, f in enumerate(texts.PHRASE_FORMS))}),
@@ -338,8 +338,8 @@ ORACLE_SQL |= {
         ) SELECT * FROM l WHERE is_best OR is_highest OR above_previous OR above_average OR switched""",
     "compact_trend": f"""
         WITH {LINES}, w AS (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY chrono DESC, invoice_id DESC, line_number DESC, supplier_id DESC, quantity DESC, total DESC, discount DESC, tax DESC) AS k FROM pl WHERE {since(90)}),
-        g AS (SELECT ingredient_id, count(*) AS n, max(unit_price) FILTER (k = 1) AS cur, max(unit_price) FILTER (k = 2) AS prior, avg(unit_price) AS mean, min(unit_price) AS lo, max(unit_price) AS hi FROM w GROUP BY 1)
-        SELECT ingredient_id, n AS n_purchases, round(cur, 4) AS current, round(prior, 4) AS prior, round(mean, 4) AS mean,
+        g AS (SELECT ingredient_id, count(*) AS n, max(unit_price) FILTER (k = 1) AS cur, max(unit_price) FILTER (k = 2) AS prior, round(sum(unit_price::DECIMAL(28, 8)), 4)::DOUBLE / count(*) AS mean, min(unit_price) AS lo, max(unit_price) AS hi FROM w GROUP BY 1)
+        SELECT ingredient_id, n AS n_purchases, cur AS current, prior, mean,
                CASE WHEN n >= 2 AND (hi - lo) / lo >= 5 THEN 'volatile' WHEN cur > prior * 1.03 THEN 'recently-increased' WHEN n >= 3 AND cur > mean * 1.05 THEN 'rising' WHEN n >= 3 AND cur < mean * 0.95 THEN 'improving'
                     WHEN cur > lo + 0.001 THEN 'rising' WHEN n >= 2 THEN 'stable' END AS state FROM g""",
     "steadier_after_switch": f"""

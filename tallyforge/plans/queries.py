@@ -19,11 +19,6 @@ def r4(*names: str) -> list[Column]:
     return [F.round(n, 4).alias(n) for n in names]
 
 
-def means(*names: str) -> list[Column]:
-    """Means of few rows often lie halfway between two last digits: a nudge makes all engines round those alike."""
-    return [F.round(F.col(n) + 1e-7, 4).alias(n) for n in names]
-
-
 def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
     rows = views.price_history(spark, sf_dir)
     return rows, views.latest_date(views.table(spark, sf_dir, "orders"), "o_orderdate")
@@ -48,7 +43,7 @@ def _kitchen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 def price_chain_latest_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = history.latest_moves(views.purchase_lines(spark, sf_dir), PURCHASE_ORDER)
-    return rows.select("ingredient_id", "name", "supplier_name", "chrono", *r4("unit_price", "previous_price", "delta", "delta_pct"))
+    return rows.select("ingredient_id", "name", "supplier_name", "chrono", "unit_price", "previous_price", "delta", "delta_pct")
 
 
 def price_history_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,13 +53,13 @@ def price_history_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def previous_unit_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = history.previous_unit_price(views.price_history(spark, sf_dir), PURCHASE_ORDER)
-    return rows.select("ingredient_id", *r4("previous_unit_price"))
+    return rows.select("ingredient_id", "previous_unit_price")
 
 
 def price_window_stats_90_180(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, as_of = _lines(spark, sf_dir)
     found = history.window_stats(rows, as_of)
-    return found.select("ingredient_id", "n_90", "n_180", "min_90", "max_90", "min_180", "max_180", *means("avg_90", "avg_180"))
+    return found.select("ingredient_id", "n_90", "n_180", "min_90", "max_90", "min_180", "max_180", "avg_90", "avg_180")
 
 
 def volatile_by_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,23 +69,23 @@ def volatile_by_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def volatile_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, as_of = _lines(spark, sf_dir)
-    return history.volatile_by_range(rows, as_of).select("ingredient_id", "n_prices", *r4("least", "most", "spread"))
+    return history.volatile_by_range(rows, as_of).select("ingredient_id", "n_prices", "least", "most", "spread")
 
 
 def largest_increases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, as_of = _history(spark, sf_dir)
-    return history.largest_increases(rows, as_of, PURCHASE_ORDER).select("ingredient_id", "invoice_id", "supplier_name", *r4("unit_price", "previous_price", "delta"))
+    return history.largest_increases(rows, as_of, PURCHASE_ORDER).select("ingredient_id", "invoice_id", "supplier_name", "unit_price", "previous_price", "delta")
 
 
 def recent_price_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, as_of = _history(spark, sf_dir)
-    return history.strongest_moves(rows, as_of, PURCHASE_ORDER).select("ingredient_id", "supplier_name", *r4("unit_price", "delta_pct"))
+    return history.strongest_moves(rows, as_of, PURCHASE_ORDER).select("ingredient_id", "supplier_name", "unit_price", "delta_pct")
 
 
 def nearest_compatible_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, as_of = _lines(spark, sf_dir)
     rows = history.since(history.nearest_compatible_prior(_contracts(lines), PURCHASE_ORDER), as_of, 180)
-    return rows.select("ingredient_id", "invoice_id", "line_number", "supplier_id", "contract", *r4("unit_price", "prior_price"))
+    return rows.select("ingredient_id", "invoice_id", "line_number", "supplier_id", "contract", "unit_price", "prior_price")
 
 
 def price_variability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +116,7 @@ def unit_conversion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, _, catalog = _kitchen(spark, sf_dir)
-    return recipes.priced_lines(edges, catalog).select("recipe_id", "ingredient_id", "quantity", *r4("unit_cost", "line_cost"))
+    return recipes.priced_lines(edges, catalog).select("recipe_id", "ingredient_id", "quantity", "unit_cost", "line_cost")
 
 
 def recipe_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +170,7 @@ def usage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alert_spike(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = price_chain.chained(views.price_events(spark, sf_dir))
     found = alerts.spikes(events, views.latest_date(views.price_events(spark, sf_dir)))
-    return found.select("ingredient_id", *r4("pct", "delta", "baseline"), "samples", "severity")
+    return found.select("ingredient_id", "pct", "delta", "baseline", "samples", "severity")
 
 
 def alert_supplier_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +213,7 @@ def _exposed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def portfolio_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exposed(spark, sf_dir)[0].select("ingredient_id", "n_recipes", "monthly", *r4("line_cost", "share_pct"))
+    return _exposed(spark, sf_dir)[0].select("ingredient_id", "n_recipes", "monthly", "line_cost", "share_pct")
 
 
 def category_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +235,7 @@ def category_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("monthly").alias("monthly"), F.avg("trend").alias("avg_trend"), F.max("most").alias("max_inflation")
     )
     label = F.when(F.col("avg_trend") >= 5, "rising").when(F.col("avg_trend") <= -5, "easing").otherwise("stable")
-    return found.select("category", "monthly", *r4("avg_trend", "max_inflation"), label.alias("label"))
+    return found.select("category", "monthly", *r4("avg_trend"), "max_inflation", label.alias("label"))
 
 
 def top_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,12 +254,12 @@ def supplier_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, as_of = _history(spark, sf_dir)
-    return suppliers.watchlist(rows, as_of).select("supplier_name", "n_up", "n_down", *r4("max_pct"), "status", "risk")
+    return suppliers.watchlist(rows, as_of).select("supplier_name", "n_up", "n_down", "max_pct", "status", "risk")
 
 
 def supplier_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suppliers.switches(views.price_events(spark, sf_dir), EVENT_ORDER)
-    return rows.select("ingredient_id", "event_id", "from_supplier", "supplier_name", *r4("from_price", "unit_price", "change_pct"), "kind")
+    return rows.select("ingredient_id", "event_id", "from_supplier", "supplier_name", "from_price", "unit_price", "change_pct", "kind")
 
 
 def supplier_temporal_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,7 +392,7 @@ def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_unit_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.ingredients(spark, sf_dir)
     cost = unit_cost(F.col("current_price"), F.col("purchase_quantity"))
-    return rows.select("ingredient_id", F.round(cost, 4).alias("unit_cost"), units.inferred_base_unit(F.lit(None).cast("string"), F.col("purchase_quantity")).alias("base_unit"))
+    return rows.select("ingredient_id", cost.alias("unit_cost"), units.inferred_base_unit(F.lit(None).cast("string"), F.col("purchase_quantity")).alias("base_unit"))
 
 
 def invoice_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -411,7 +406,7 @@ def streaming_price_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     events = source.select(F.col("user_id").alias("ingredient_id"), F.col("event_type").alias("supplier_name"), F.col("ts").alias("chrono"), "event_id", F.col("value").alias("unit_price"))
     rows = price_chain.run_available(events, views.shared_folder(spark, "price-chain"))
-    return rows.select("ingredient_id", "event_id", *r4("unit_price", "previous_price", "delta", "delta_pct"))
+    return rows.select("ingredient_id", "event_id", "unit_price", "previous_price", "delta", "delta_pct")
 
 
 def purchase_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -425,7 +420,7 @@ def purchase_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compact_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, as_of = _lines(spark, sf_dir)
     found = timeline.compact_trend(history.since(rows, as_of, 90), PURCHASE_ORDER, volatile_from=5.0)
-    return found.select("ingredient_id", "n_purchases", *r4("current", "prior", "mean"), "state")
+    return found.select("ingredient_id", "n_purchases", "current", "prior", "mean", "state")
 
 
 def steadier_after_switch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ ORACLE_SQL: dict[str, str] = {
     "price_trend_points": f"""
         WITH {LINES}, n AS (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY {TD}) AS k FROM pl),
         t AS (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY {T}) AS point FROM n WHERE k <= 10)
-        SELECT ingredient_id, point::INTEGER AS point, invoice_id, supplier_name, round(unit_price, 4) AS unit_price FROM t""",
+        SELECT ingredient_id, point::INTEGER AS point, invoice_id, supplier_name, unit_price FROM t""",
     "available_months": "SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month FROM orders",
     "price_extremes": f"""
         WITH {LINES}, {_ENDS} SELECT lo.ingredient_id, lo.unit_price AS low_price, hi.unit_price AS high_price, lo.supplier_name AS low_supplier, hi.supplier_name AS high_supplier
@@ -50,8 +50,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT ingredient_id, round(latest, 4) AS latest, round(mean_90, 4) AS mean_90, spike_pct, CASE WHEN gap_pct >= 2 THEN low_supplier END AS better_supplier, gap_pct, coalesce(nr >= 3 AND cv < 0.06, FALSE) AS is_stable FROM p""",
     "ingredient_drill_down": f"""
         WITH RECURSIVE {LINES}, {KITCHEN.strip()}, {_ENDS.strip()},
-        st AS (SELECT ingredient_id, count(*) FILTER ({since(90)}) AS n_90, count(*) AS n_180, avg(unit_price) FILTER ({since(90)}) AS avg_90, avg(unit_price) AS avg_180 FROM pl WHERE {since(180)} GROUP BY 1)
-        SELECT e.ingredient_id, n_recipes, monthly, round(share_pct, 4) AS share_pct, round(avg_90 + 1e-7, 4) AS avg_90, round(avg_180 + 1e-7, 4) AS avg_180, lo.unit_price AS low_price, hi.unit_price AS high_price,
+        st AS (SELECT ingredient_id, count(*) FILTER ({since(90)}) AS n_90, count(*) AS n_180, round(sum(unit_price::DECIMAL(28, 8)) FILTER ({since(90)}), 4)::DOUBLE / nullif(count(*) FILTER ({since(90)}), 0) AS avg_90, round(sum(unit_price::DECIMAL(28, 8)), 4)::DOUBLE / count(*) AS avg_180 FROM pl WHERE {since(180)} GROUP BY 1)
+        SELECT e.ingredient_id, n_recipes, monthly, share_pct, avg_90, avg_180, lo.unit_price AS low_price, hi.unit_price AS high_price,
                coalesce(n_90, 0) AS n_90, coalesce(n_180, 0) AS n_180, lo.supplier_name AS low_supplier, hi.supplier_name AS high_supplier
         FROM expo e LEFT JOIN st ON st.ingredient_id = e.ingredient_id LEFT JOIN lo ON lo.ingredient_id = e.ingredient_id LEFT JOIN hi ON hi.ingredient_id = e.ingredient_id""",
     "cost_categories": f"""
@@ -77,7 +77,7 @@ ORACLE_SQL: dict[str, str] = {
     "match_upserts": """
         SELECT o_orderkey AS item_id, CASE WHEN o_orderkey % 4 = 0 THEN 'corrected' WHEN o_orderkey % 2 = 0 THEN 'confirmed' ELSE 'suggested' END AS status FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 <> 0""",
     "trusted_movements": f"""
-        WITH {CONTRACTS}, {_GUARDED} SELECT ingredient_id, supplier_name, round(unit_price, 4) AS unit_price, round(pp, 4) AS previous_price FROM tr""",
+        WITH {CONTRACTS}, {_GUARDED} SELECT ingredient_id, supplier_name, unit_price, pp AS previous_price FROM tr""",
     "dominant_windows": f"""
         WITH {LINES}, h AS (SELECT ingredient_id, floor(epoch((SELECT d FROM last_day) - chrono) / 86400) AS days FROM pl WHERE {since(180)}),
         w AS (SELECT ingredient_id, CASE WHEN days < 30 THEN 0 WHEN days < 90 THEN 1 ELSE 2 END AS place, count(*) AS n FROM h GROUP BY 1, 2),

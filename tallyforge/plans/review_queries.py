@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text, units, weights
 from tallyforge.operators import extraction, history, invoices, recipes, reviews
-from tallyforge.plans.queries import _contracts, _costs, _exposed, _history, _kitchen, _lines, _top_lines, means, r4
+from tallyforge.plans.queries import _contracts, _costs, _exposed, _history, _kitchen, _lines, _top_lines, r4
 from tallyforge.sources import tables, texts, views
 from tallyforge.sources.views import PURCHASE_ORDER
 
@@ -15,7 +15,7 @@ from tallyforge.sources.views import PURCHASE_ORDER
 def price_trend_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest ten purchases of every ingredient, oldest first."""
     rows = reviews.newest_points(views.purchase_lines(spark, sf_dir), PURCHASE_ORDER, 10)
-    return rows.select("ingredient_id", "point", "invoice_id", "supplier_name", *r4("unit_price"))
+    return rows.select("ingredient_id", "point", "invoice_id", "supplier_name", "unit_price")
 
 
 def available_months(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def ingredient_drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = history.window_stats(rows, as_of)
     ends = reviews.price_extremes(rows, PURCHASE_ORDER)
     both = exposed.join(stats, "ingredient_id", "left").join(ends, "ingredient_id", "left").fillna({"n_90": 0, "n_180": 0})
-    return both.select("ingredient_id", "n_recipes", "monthly", *r4("share_pct"), *means("avg_90", "avg_180"), "low_price", "high_price", "n_90", "n_180", "low_supplier", "high_supplier")
+    return both.select("ingredient_id", "n_recipes", "monthly", "share_pct", "avg_90", "avg_180", "low_price", "high_price", "n_90", "n_180", "low_supplier", "high_supplier")
 
 
 def cost_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def trusted_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest row of each ingredient, where its move can be shown."""
     chain = history.guarded_chain(_contracts(views.purchase_lines(spark, sf_dir)), PURCHASE_ORDER)
     newest = reviews.newest_points(chain, PURCHASE_ORDER, 1)
-    return reviews.trusted(newest).select("ingredient_id", "supplier_name", *r4("unit_price", "previous_price"))
+    return reviews.trusted(newest).select("ingredient_id", "supplier_name", "unit_price", "previous_price")
 
 
 def dominant_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
