@@ -116,6 +116,23 @@ def since(days: int) -> str:
     return f"chrono >= (SELECT d FROM last_day) - INTERVAL {days} DAY"
 
 
+def _by_form(name: str, at: int, kind: str, text: bool = False) -> str:
+    """A CASE over the forms of phrases for one of their columns; texts that are no expression are quoted."""
+    cases = "".join(f" WHEN {k} THEN {_quoted(f[at]) if text and not f[at].startswith('CASE') else f[at]}" for k, f in enumerate(texts.PHRASE_FORMS) if f[at] is not None)
+    return f"(CASE k{cases} END)::{kind} AS {name}"
+
+
+_PHRASES = f"""
+    pt AS (SELECT p_partkey AS id, p_partkey % {len(texts.PHRASE_FORMS)} AS k, (p_size + 1)::DOUBLE AS t, p_retailprice AS price FROM part),
+    pf AS (
+        SELECT id, price, {_by_form('told', 3, 'VARCHAR', True)}, {_by_form('bought', 4, 'DOUBLE')}, {_by_form('"inner"', 5, 'DOUBLE')}, {_by_form('size', 6, 'DOUBLE')}, {_by_form('unit', 7, 'VARCHAR', True)},
+               {_by_form('containers', 8, 'DOUBLE')}, {_by_form('row_usable', 9, 'DOUBLE')}, {_by_form('source', 10, 'VARCHAR', True)}, {_by_form('weak', 11, 'BOOLEAN')} FROM pt
+    ),
+    ph AS (
+        SELECT *, split_part(told, ':', 1) AS tier, nullif(split_part(told, ':', 2), '') AS reason, CASE WHEN unit IN ('kg', 'g') THEN 'g' WHEN unit = 'un' THEN 'un' WHEN unit IS NOT NULL THEN 'ml' END AS usable_unit,
+               bought * coalesce("inner", 1) * size * CASE unit WHEN 'kg' THEN 1000 WHEN 'L' THEN 1000 WHEN 'cl' THEN 10 ELSE 1 END AS usable FROM pf
+    )"""
+
 ORACLE_SQL: dict[str, str] = {
     "price_chain_latest_moves": f"""
         WITH {HISTORY}, n AS (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY chrono DESC, invoice_id DESC, line_number DESC, supplier_id DESC, quantity DESC, total DESC, discount DESC, tax DESC) AS k FROM ph)
@@ -306,11 +323,15 @@ ORACLE_SQL: dict[str, str] = {
     "streaming_price_chain": f"""
         WITH {EVENTS} SELECT ingredient_id, event_id, unit_price, previous_price, delta, delta_pct FROM eh""",
     "purchase_structure_parse": f"""
-        WITH p AS (SELECT p_partkey AS id, p_partkey % {len(texts.PHRASE_FORMS)} AS k, CAST(p_size AS DOUBLE) AS s, p_retailprice AS price FROM part),
-        w(k, tier, unit, usable_unit, factor) AS (VALUES {', '.join(f"({k}, '{f[1]}', {_quoted(f[5])}, {_quoted(f[7])}, {f[6] or 'NULL'}::DOUBLE)" for k, f in enumerate(texts.PHRASE_FORMS))}),
-        x AS (SELECT id, price, w.*, {', '.join(f"(CASE p.k {' '.join(f'WHEN {k} THEN {f[at]}' for k, f in enumerate(texts.PHRASE_FORMS) if f[at])} END)::DOUBLE AS {name}" for name, at in (('packs', 2), ('pieces', 3), ('size', 4)))} FROM p JOIN w ON p.k = w.k)
-        SELECT id, tier, packs, pieces, size, unit, packs * pieces * size * factor AS usable, usable_unit,
-               price / (packs * pieces * size * factor) * CASE WHEN usable_unit IN ('g', 'ml') THEN 1000.0::DOUBLE ELSE 1 END AS cost FROM x""",
+        WITH {_PHRASES}
+        SELECT id, 0 AS line, tier, reason, bought, "inner", size, unit, usable, usable_unit, price / usable * CASE WHEN usable_unit IN ('g', 'ml') THEN 1000.0::DOUBLE ELSE 1 END AS cost FROM ph
+        UNION ALL
+        SELECT doc_id, place::INTEGER, 'none', 'no_measure', NULL, NULL, NULL, NULL, NULL, NULL, NULL
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS place FROM documents)
+        WHERE regexp_matches(l, '[0-9]') AND NOT regexp_matches(l, '(?i)[0-9]\\s*(kg|g|mg|ml|cl|l)')""",
+    "usable_stock": f"""
+        WITH {_PHRASES}
+        SELECT id, containers, row_usable AS usable, usable_unit, source, weak, price / row_usable * CASE WHEN usable_unit IN ('g', 'ml') THEN 1000.0::DOUBLE ELSE 1 END AS cost FROM ph WHERE row_usable IS NOT NULL""",
     "supplier_keys": f"""
         WITH s AS (SELECT s_suppkey AS id, {texts.SUPPLIER_SQL} AS name FROM supplier), f AS (SELECT id, {FOLD.format('name')} AS k FROM s),
         x AS (SELECT id, regexp_replace(regexp_replace(k, '\\.(pdf|png|jpe?g|xlsx?)$', ''), '[,\\s]+(lda|ltda|sa|s\\.a|unipessoal|inc|llc|ltd|gmbh)\\.?\\s*$', '') AS k FROM f)

@@ -349,8 +349,18 @@ def dice_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def purchase_structure_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = texts.purchase_phrases(spark, sf_dir).withColumn("s", packs.structure(F.col("phrase")))
-    return rows.select("id", "s.tier", "s.packs", "s.pieces", "s.size", "s.unit", "s.usable", "s.usable_unit", packs.usable_cost(F.col("price"), F.col("s")).alias("cost"))
+    """What the phrase of every part, and every line of a document, says of packs, and what they cost."""
+    # a generator works the structure out once a row, however many of its fields are used
+    rows = texts.purchase_phrases(spark, sf_dir).select("id", "line", "price", F.explode(F.array(packs.structure(F.col("phrase")))).alias("s"))
+    return rows.select("id", "line", "s.tier", "s.reason", "s.bought", "s.inner", "s.size", "s.unit", "s.usable", "s.usable_unit", packs.usable_cost(F.col("price"), F.col("s")).alias("cost"))
+
+
+def usable_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each line brings into stock: the pack of its phrase with the row's quantity and unit, and the price of a kilogram, litre or piece of that."""
+    rows = texts.purchase_phrases(spark, sf_dir).where(F.col("line") == 0).select("*", F.explode(F.array(packs.structure(F.col("phrase")))).alias("s"))
+    rows = rows.where(F.col("s.usable") > 0).select("*", F.explode(F.array(packs.usable_of_row(F.col("s"), F.col("quantity"), F.col("unit")))).alias("u"))
+    per = F.when(F.col("s.usable_unit").isin("g", "ml"), 1000.0).otherwise(1.0)
+    return rows.select("id", "u.containers", "u.usable", "s.usable_unit", "u.source", "u.weak", (F.col("price") / F.col("u.usable") * per).alias("cost"))
 
 
 def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,12 +14,39 @@ NAME_FORMS = (
 )
 SUPPLIER_FORMS = (("Frutas & ", ", Lda."), ("", " Cash-and-Carry S.A"), ("scan_", ".pdf"), ("Talho do João ", " Unipessoal Ltda"), ("  Água ", "  "))
 UNITS = ("kg", "g", "L", "cl", "ml", "un", "box", "g", " KG ")
-# The form of a phrase with what a parser must find in it: tier, packs, pieces, size, unit, and the factor to the base unit; s is the size.
+# The form of a phrase, the quantity and unit of its row, and what must be found: tier or reason, bought, inner, size, unit, and for the row containers, usable amount, source, weak.
+# {n} stands for the name; t is the size and one more.
 PHRASE_FORMS = (
-    ("{n} {s} x 330 ml", "count_size", "1", "s", "330", "ml", 1, "ml"), ("{s} cases x 24 x 330ml", "triple_nested", "s", "24", "330", "ml", 1, "ml"),
-    ("{n} {s},5kg", "single_measure", "1", "1", "s + 0.5", "kg", 1000, "g"), ("{n} {s} un", "count_only", "1", "s", "1", "un", 1, "un"),
-    ("{n}", "none", None, None, None, None, None, None), ("{s} packs x 4 x 33 cl", "triple_nested", "s", "4", "33", "cl", 10, "ml"),
-    ("{n} {s}x500 g", "count_size", "1", "s", "500", "g", 1, "g"),
+    ("{n} {t} x 330 ml", "3", "un", "count_size", "t", None, "330", "ml", "1", "t * 330", "name", "FALSE"),
+    ("{t} cases x 24 x 330ml", "4", "cx", "triple_nested", "t", "24", "330", "ml", "1", "t * 7920", "name", "FALSE"),
+    ("{n} {t},5kg", "2", "un", "bare_measure", "1", None, "t + 0.5", "kg", "2", "2 * (t + 0.5) * 1000", "recomputed", "FALSE"),
+    ("{n} {t} un", "2", "un", "none:no_measure", *[None] * 8),
+    ("{n}", "2", "un", "none:no_measure", *[None] * 8),
+    ("packs x {t} x 33 cl", "2", "un", "none:container_uncounted", *[None] * 8),
+    ("{t} packs x 4 x 33 cl", "t", "ml", "triple_nested", "t", "4", "33", "cl", "t", "t * 1320", "name", "TRUE"),
+    ("{n} {t}x500 g", "2", "CX", "count_size", "t", None, "500", "g", "2", "t * 1000", "scaled", "FALSE"),
+    ("Caixa {t} un x 180g", "1", "un", "caixa_units_size", "1", "t", "180", "g", "1", "t * 180", "name", "FALSE"),
+    ("cx {t}X80G {n}", "2", "un", "caixa_compact_size", "1", "t", "80", "g", "1", "t * 80", "name", "FALSE"),
+    ("{n} Cx.{t} dúzias (M)", "1", "cx", "caixa_dozen_count", "1", "t", "12", "un", "1", "t * 12", "name", "FALSE"),
+    ("{t} un x 80 g {n}", "60", "g", "units_size", "1", "t", "80", "g", "1", "CASE WHEN t > 3 THEN 60 ELSE t * 80 END", "CASE WHEN t > 3 THEN 'row_part' ELSE 'name' END", "t > 3"),
+    ("{n} 75cl x {t}ud", "2", "un", "size_count", "1", "t", "75", "cl", "CASE WHEN t = 2 THEN 1 ELSE 2 END", "CASE WHEN t = 2 THEN 1500 ELSE t * 1500 END", "CASE WHEN t = 2 THEN 'name' ELSE 'scaled' END", "FALSE"),
+    ("{n} 33cl*{t}", "t", "un", "size_count", "1", "t", "33", "cl", "1", "t * 330", "name", "FALSE"),
+    ("{n} 1,5kg*{t}", "1.25", "un", "size_count", "1", "t", "1.5", "kg", "1", "1250", "row_weight", "FALSE"),
+    ("{n} 80g caixa {t}", "1", "un", "caixa_compact_size", "1", "t", "80", "g", "1", "t * 80", "name", "FALSE"),
+    ("Pack {t} x 1 L {n}", "3", "un", "container_size", "t", None, "1", "L", "t", "3000", "recomputed", "FALSE"),
+    ("{t} packs x 1kg", None, None, "container_size", "t", None, "1", "kg", "t", "t * 1000", "name", "FALSE"),
+    ("1 bottle x 450 ml {n} 4 ml", "4", "ml", "container_size", "1", None, "450", "ml", "1", "450", "name", "TRUE"),
+    ("{n} 80g 1 pack x 120 g", "1", "un", "bare_measure", "1", None, "120", "g", "1", "120", "recomputed", "FALSE"),
+    ("{n} 80g {t} UN", "1", "un", "none:pieces_counted", *[None] * 8),
+    ("{n} PACK{t} 500G", "1", "un", "none:packs_counted", *[None] * 8),
+    ("{n} 1 pack x 250 g 1 pack x 3 g", "3", "g", "container_size", "1", None, "250", "g", "1", "250", "name", "TRUE"),
+    ("{n} 0,33cl", "24", "un", "bare_measure", "1", None, "33", "cl", "24", "7920", "recomputed", "FALSE"),
+    ("{n} A{t}x80g", "1", "un", "none:no_measure", *[None] * 8),
+    ("{n} {t}kgs", "2", "kg", "bare_measure", "1", None, "t", "kg", "1", "t * 1000", "name", "t > 8"),
+    ("{n} 0 x 80 g", "1", "un", "none:multiplied", *[None] * 8),
+    ("{n} 1 x 80 g", "1", "un", "none:multiplied", *[None] * 8),
+    ("{t} latas x 400g", "1", "kg", "container_size", "t", None, "400", "g", "t", "t * 400", "name", "FALSE"),
+    ("{n} {t}xl 5mlx", "1", "un", "none:no_measure", *[None] * 8),
 )
 DATE_FORMS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy")
 
@@ -31,13 +58,13 @@ def _picked(key: str, forms: list[str]) -> str:
 
 def _joined(form: str, name: str, size: str) -> str:
     """The form as a concatenation."""
-    parts = [name if p == "{n}" else f"CAST({size} AS STRING)" if p == "{s}" else "'" + p.replace("'", "''") + "'" for p in _split(form)]
+    parts = [name if p == "{n}" else f"CAST({size} AS STRING)" if p == "{s}" else f"CAST({size} + 1 AS STRING)" if p == "{t}" else "'" + p.replace("'", "''") + "'" for p in _split(form)]
     return "concat(" + ", ".join(parts or ["''"]) + ")"
 
 
 def _split(form: str) -> list[str]:
     out = [""]
-    for piece in form.replace("{n}", "\0{n}\0").replace("{s}", "\0{s}\0").split("\0"):
+    for piece in form.replace("{n}", "\0{n}\0").replace("{s}", "\0{s}\0").replace("{t}", "\0{t}\0").split("\0"):
         out.append(piece)
     return [p for p in out if p]
 
@@ -45,6 +72,8 @@ def _split(form: str) -> list[str]:
 NAME_SQL = _picked("p_partkey", [_joined(f"{a}{{n}}{b}", "p_name", "p_size") for a, b in NAME_FORMS])
 SUPPLIER_SQL = _picked("s_suppkey", [_joined(f"{a}{{n}}{b}", "s_name", "0") for a, b in SUPPLIER_FORMS])
 PHRASE_SQL = _picked("p_partkey", [_joined(form[0], "p_name", "p_size") for form in PHRASE_FORMS])
+ROW_QUANTITY_SQL = _picked("p_partkey", [f"CAST({'p_size + 1' if form[1] == 't' else form[1] or 'NULL'} AS DOUBLE)" for form in PHRASE_FORMS])
+ROW_UNIT_SQL = _picked("p_partkey", [f"'{form[2]}'" if form[2] else "NULL" for form in PHRASE_FORMS])
 UNIT_SQL = _picked("p_partkey", [f"'{u}'" for u in UNITS])
 
 #: Printed lines: quantity, gross price, discount in percent, net total, price and total as they were read; each sixth form lacks something else.
@@ -77,7 +106,15 @@ def supplier_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def purchase_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(PHRASE_SQL).alias("phrase"), F.col("p_retailprice").alias("price"))
+    """id, line, phrase, quantity, unit, price: a phrase for every part, and every line of every document that has a digit."""
+    part = table(spark, sf_dir, "part")
+    own = part.select(
+        F.col("p_partkey").alias("id"), F.lit(0).alias("line"), F.expr(PHRASE_SQL).alias("phrase"), F.expr(ROW_QUANTITY_SQL).alias("quantity"), F.expr(ROW_UNIT_SQL).alias("unit"), F.col("p_retailprice").alias("price")
+    )
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "phrase")).where(F.rlike("phrase", F.lit("[0-9]")))
+    return own.unionByName(lines.select(
+        F.col("doc_id").alias("id"), (F.col("at") + 1).alias("line"), "phrase", F.lit(1.0).alias("quantity"), F.lit("un").alias("unit"), F.lit(1.0).alias("price")
+    ))
 
 
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
