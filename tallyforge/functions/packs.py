@@ -137,13 +137,18 @@ def _amount(ts: Column, i: Column) -> Column:
     return _size(ts, i) * _base(F.get(ts, i + 1)["unit"], 1)
 
 
-_NO_NUMBER, _NO_TEXT = F.lit(None).cast("double"), F.lit(None).cast("string")
+def _no_number() -> Column:
+    return F.lit(None).cast("double")
+
+
+def _no_text() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _reading(rule: Rule, ts: Column, i: Column, size_at: Column | None) -> Column:
     """score, back (ties go to the first), tier, bought, container, inner, inner_kind, size, unit of the rule's run at i."""
     bought = ts[i + rule.bought]["value"] if rule.bought is not None else F.lit(1.0)
-    inner = ts[i + rule.inner]["value"] if rule.inner is not None else _NO_NUMBER
+    inner = ts[i + rule.inner]["value"] if rule.inner is not None else _no_number()
     if size_at is None:
         size, unit, held = F.lit(DOZEN), F.lit("un"), F.lit(1.0)
     else:
@@ -154,7 +159,7 @@ def _reading(rule: Rule, ts: Column, i: Column, size_at: Column | None) -> Colum
     kind = F.when(word.isin(*CONTAINERS["can"]), "can").when(word.isin(*CONTAINERS["bottle"]), "bottle").when(word.isin(*DOZENS), "dozen").otherwise("unit")
     return F.struct(
         (bought * F.coalesce(inner, F.lit(1.0)) * held).alias("score"), (-i).alias("back"), F.lit(rule.tier).alias("tier"), bought.alias("bought"), container.alias("container"), inner.alias("inner"),
-        (kind if rule.inner is not None else _NO_TEXT).alias("inner_kind"), size.alias("size"), unit.alias("unit"),
+        (kind if rule.inner is not None else _no_text()).alias("inner_kind"), size.alias("size"), unit.alias("unit"),
     )
 
 
@@ -214,9 +219,9 @@ def structure(text: Column) -> Column:
             usable = F.greatest(F.lit(1.0), F.floor(r["bought"] * F.coalesce(r["inner"], F.lit(1.0)) * (r["size"] * _base(r["unit"], 1)) + 0.5).cast("double"))
             kept = lambda c, none: F.when(~lost, c).otherwise(none)
             return F.struct(
-                kept(r["tier"], F.lit("none")).alias("tier"), why.alias("reason"), kept(r["bought"], _NO_NUMBER).alias("bought"), kept(r["container"], _NO_TEXT).alias("container"),
-                kept(r["inner"], _NO_NUMBER).alias("inner"), kept(r["inner_kind"], _NO_TEXT).alias("inner_kind"), kept(r["size"], _NO_NUMBER).alias("size"), kept(r["unit"], _NO_TEXT).alias("unit"),
-                kept(usable, _NO_NUMBER).alias("usable"), kept(_base(r["unit"], 0), _NO_TEXT).alias("usable_unit"),
+                kept(r["tier"], F.lit("none")).alias("tier"), why.alias("reason"), kept(r["bought"], _no_number()).alias("bought"), kept(r["container"], _no_text()).alias("container"),
+                kept(r["inner"], _no_number()).alias("inner"), kept(r["inner_kind"], _no_text()).alias("inner_kind"), kept(r["size"], _no_number()).alias("size"), kept(r["unit"], _no_text()).alias("unit"),
+                kept(usable, _no_number()).alias("usable"), kept(_base(r["unit"], 0), _no_text()).alias("usable_unit"),
             )
 
         return _let(F.coalesce(*found, bare), told)

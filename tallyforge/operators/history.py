@@ -98,12 +98,6 @@ def strongest_moves(rows: DataFrame, as_of: Column, order: Sequence[str], days:
     return moved.withColumn("_n", best).where(F.col("_n") == 1).drop("_n").orderBy(F.desc(F.abs("delta_pct")), "ingredient_id").limit(limit)
 
 
-def nearest_compatible_prior(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Adds prior_price: the newest earlier price of the same contract, however many others lie between."""
-    same = Window.partitionBy("ingredient_id", "contract").orderBy(*order)
-    return rows.withColumn("prior_price", F.lag("unit_price").over(same))
-
-
 def variability(rows: DataFrame, least: int = 2, stable_below: float = 0.06) -> DataFrame:
     """Coefficient of variation of each ingredient's prices."""
     found = rows.groupBy("ingredient_id").agg(F.count(F.lit(1)).alias("n_prices"), F.avg("unit_price").alias("mean"), F.stddev_pop("unit_price").alias("spread"))

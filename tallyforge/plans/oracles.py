@@ -167,11 +167,6 @@ ORACLE_SQL: dict[str, str] = {
         WITH {HISTORY}, n AS (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY abs(delta_pct) DESC, {T}) AS k FROM ph WHERE abs(delta_pct) >= 0.5 AND {since(7)}),
         t AS (SELECT * FROM n WHERE k = 1 ORDER BY abs(delta_pct) DESC, ingredient_id LIMIT 8)
         SELECT ingredient_id, supplier_name, unit_price, delta_pct FROM t""",
-    "nearest_compatible_prior": f"""
-        WITH {CONTRACTS}, o AS (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY {T}) AS k FROM ct),
-        j AS (SELECT a.*, b.unit_price AS prior_price, row_number() OVER (PARTITION BY a.ingredient_id, a.k ORDER BY b.k DESC) AS r
-              FROM o a LEFT JOIN o b ON a.ingredient_id = b.ingredient_id AND a.contract = b.contract AND b.k < a.k WHERE a.chrono >= (SELECT d FROM last_day) - INTERVAL 180 DAY)
-        SELECT ingredient_id, invoice_id, line_number, supplier_id, contract, unit_price, prior_price FROM j WHERE r = 1""",
     "price_variability": f"""
         WITH {LINES} SELECT ingredient_id, count(*) AS n_prices, round(avg(unit_price), 4) AS mean, round(stddev_pop(unit_price), 4) AS spread, round(stddev_pop(unit_price) / avg(unit_price), 4) AS cv,
                stddev_pop(unit_price) / avg(unit_price) < 0.06 AS stable FROM pl GROUP BY 1 HAVING count(*) >= 2""",

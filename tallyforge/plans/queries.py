@@ -82,12 +82,6 @@ def recent_price_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.strongest_moves(rows, as_of, PURCHASE_ORDER).select("ingredient_id", "supplier_name", "unit_price", "delta_pct")
 
 
-def nearest_compatible_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, as_of = _lines(spark, sf_dir)
-    rows = history.since(history.nearest_compatible_prior(_contracts(lines), PURCHASE_ORDER), as_of, 180)
-    return rows.select("ingredient_id", "invoice_id", "line_number", "supplier_id", "contract", "unit_price", "prior_price")
-
-
 def price_variability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.variability(views.purchase_lines(spark, sf_dir)).select("ingredient_id", "n_prices", *r4("mean", "spread", "cv"), "stable")
 

@@ -48,6 +48,13 @@ PHRASE_FORMS = (
     ("{t} latas x 400g", "1", "kg", "container_size", "t", None, "400", "g", "t", "t * 400", "name", "FALSE"),
     ("{n} {t}xl 5mlx", "1", "un", "none:no_measure", *[None] * 8),
 )
+# How suppliers print a name: what comes behind it and the unit, and what must be read: family, preservation, form, grams, millilitres of the pack, drink.
+LINE_FORMS = (
+    (" 500g", "kg", "weight", "unknown", "none", 500, None, False), (" fresco 1kg", "kg", "weight", "fresh", "none", 1000, None, False), (" em conserva 400g", "kg", "weight", "preserved", "none", 400, None, False),
+    (" 24x33cl", "L", "volume", "unknown", "none", None, 7920, False), (" fatiado 5kg", "kg", "weight", "unknown", "sliced", 5000, None, False), (" ralado 300g", "kg", "weight", "unknown", "grated", 300, None, False),
+    (" cerveja 20ml", "L", "volume", "unknown", "none", None, 20, True), ("", "un", "countable", "unknown", "none", None, None, False), (" 24 x 80g", None, "weight", "unknown", "none", 80, None, False),
+    (" 6kg", "kg", "weight", "unknown", "none", 6000, None, False), (" lata 5kg fatias", "KG", "weight", "preserved", "sliced", 5000, None, False),
+)
 DATE_FORMS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy")
 
 
@@ -72,6 +79,8 @@ def _split(form: str) -> list[str]:
 NAME_SQL = _picked("p_partkey", [_joined(f"{a}{{n}}{b}", "p_name", "p_size") for a, b in NAME_FORMS])
 SUPPLIER_SQL = _picked("s_suppkey", [_joined(f"{a}{{n}}{b}", "s_name", "0") for a, b in SUPPLIER_FORMS])
 PHRASE_SQL = _picked("p_partkey", [_joined(form[0], "p_name", "p_size") for form in PHRASE_FORMS])
+LINE_NAME_SQL = _picked("supplier_id", [_joined(f"{{n}}{form[0]}", "name", "0") for form in LINE_FORMS])
+LINE_UNIT_SQL = _picked("supplier_id", [f"'{form[1]}'" if form[1] else "NULL" for form in LINE_FORMS])
 ROW_QUANTITY_SQL = _picked("p_partkey", [f"CAST({'p_size + 1' if form[1] == 't' else form[1] or 'NULL'} AS DOUBLE)" for form in PHRASE_FORMS])
 ROW_UNIT_SQL = _picked("p_partkey", [f"'{form[2]}'" if form[2] else "NULL" for form in PHRASE_FORMS])
 UNIT_SQL = _picked("p_partkey", [f"'{u}'" for u in UNITS])

@@ -121,3 +121,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     root = root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(frame: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back: cuts the lineage and survives lost executors."""
+    folder = shared_folder(frame.sparkSession, name)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)

@@ -1,11 +1,9 @@
 """Every analytics query against its SQL, over the smallest tables."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests.compare import assert_same
 from tests.conftest import SMALL
-from tallyforge.functions import packs
 from tallyforge.plans import catalog
 
 
@@ -21,22 +19,6 @@ def test_entry_imports_and_registers():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-PHRASES = [
-    (1, "Agua 24 x 330 ml"), (2, "4 cases x 24 x 330ml"), (3, "Tomate pelado 2,5kg"), (4, "Ovos 12 un"), (5, "Salsa"), (6, "Cerveja 6 packs x 4 x 33 cl"), (7, None),
-]
-
-
-def test_purchase_structures(spark):
-    rows = spark.createDataFrame(PHRASES, "id int, phrase string").select("id", packs.structure(F.col("phrase")).alias("s")).select("id", "s.*")
-    rows = {r["id"]: r for r in rows.collect()}
-    assert (rows[1]["tier"], rows[1]["usable"], rows[1]["usable_unit"]) == ("count_size", 7920.0, "ml")
-    assert (rows[2]["tier"], rows[2]["usable"]) == ("triple_nested", 4 * 24 * 330.0)
-    assert (rows[3]["tier"], rows[3]["usable"], rows[3]["usable_unit"]) == ("single_measure", 2500.0, "g")
-    assert (rows[4]["tier"], rows[4]["usable"]) == ("count_only", 12.0)
-    assert rows[5]["tier"] == rows[7]["tier"] == "none"
-    assert rows[6]["usable"] == 6 * 4 * 330.0
-
-
 def test_cascade_stages(spark):
     rows = {r["line_id"]: (r["kind"], r["ingredient_id"]) for r in catalog.QUERIES["match_cascade"](spark, SMALL).collect()}
     assert rows[1] == ("fuzzy_alias", 11)
