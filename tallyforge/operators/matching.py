@@ -2,68 +2,105 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import dice, fingerprint, token_overlap, weakly_contains
+from tallyforge.functions.contracts import form
+from tallyforge.functions.text import dice, fingerprint, tokens
 from tallyforge.sources.tables import alias_key
 
 
+#: Fingerprints shorter than this say too little to be compared by edits.
+LEAST_FINGERPRINT = 4
+# Least scores of the two kinds of similarity match.
+SEMANTIC, OPERATIONAL = 0.72, 0.58
+
+
+def deletions(x: Column) -> Column:
+    """The text and what is left of it without any one or two of its letters: texts within two edits share one of these."""
+
+    def without(i: Column, j: Column) -> Column:
+        return F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.greatest(j - i - 1, F.lit(0))), F.substring(x, j + 1, F.length(x)))
+
+    ends = lambda i: F.transform(F.sequence(i, F.length(x)), lambda j: without(i, j))
+    left = F.when(F.length(x) > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.length(x)), ends)))
+    return F.array_distinct(F.concat(F.array(x), F.coalesce(left, F.array().cast("array<string>"))))
+
+
 def fuzzy_aliases(lines: DataFrame, aliases: DataFrame, most: int = 2) -> DataFrame:
-    """line_id, ingredient_id, distance: aliases of the line's own supplier within an edit distance, first letters equal; a line whose best aliases disagree has none."""
-    pairs = lines.select("line_id", "supplier_name", "key").join(aliases.select("supplier_name", "normalized_alias", "ingredient_id"), "supplier_name")
-    pairs = pairs.where(F.substring("key", 1, 2) == F.substring("normalized_alias", 1, 2))
-    near = pairs.withColumn("distance", F.levenshtein("key", "normalized_alias", most)).where(F.col("distance") >= 0)
-    best = near.withColumn("_least", F.min("distance").over(Window.partitionBy("line_id"))).where(F.col("distance") == F.col("_least"))
-    found = best.groupBy("line_id").agg(F.min("ingredient_id").alias("ingredient_id"), F.max("ingredient_id").alias("_other"), F.min("distance").alias("distance"))
-    return found.where(F.col("ingredient_id") == F.col("_other")).drop("_other")
+    """supplier_name, key, ingredient_id, distance: aliases of the line's own supplier with the same first word, whose fingerprint lies within `most` (two at most) edits.
+
+    Lines whose nearest aliases name different entries have none. Fingerprints meet by what is left without one or two letters, so a supplier with very many aliases is
+    not compared with all of them.
+    """
+    known = aliases.where(F.trim("supplier_name") != "").select("supplier_name", "ingredient_id", F.col("normalized_alias").alias("alias")).distinct()
+    first = lambda c: F.substring_index(c, " ", 1)
+    mine = lines.select("supplier_name", "key").distinct().withColumn("print", fingerprint(F.col("key"))).where(F.length("print") >= LEAST_FINGERPRINT)
+    theirs = known.withColumn("other", fingerprint(F.col("alias"))).where(F.length("other") >= LEAST_FINGERPRINT)
+    mine = mine.select("*", first("key").alias("head"), F.explode(deletions(F.col("print"))).alias("rest"))
+    theirs = theirs.select("supplier_name", "ingredient_id", "other", first("alias").alias("head"), F.explode(deletions(F.col("other"))).alias("rest"))
+    pairs = mine.join(theirs, ["supplier_name", "head", "rest"]).select("supplier_name", "key", "ingredient_id", "print", "other").distinct()
+    near = pairs.withColumn("distance", F.levenshtein("print", "other", most)).where(F.col("distance") >= 0).groupBy("supplier_name", "key", "ingredient_id").agg(F.min("distance").alias("distance"))
+    best = near.groupBy("supplier_name", "key").agg(F.min(F.struct("distance", "ingredient_id")).alias("a"), F.max(F.struct(-F.col("distance"), F.col("ingredient_id"))).alias("z"))
+    return best.where(F.col("a.ingredient_id") == F.col("z.ingredient_id")).select("supplier_name", "key", "a.ingredient_id", "a.distance")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Half the pair coefficient and half the word overlap, 0.72 at least where one contains the other."""
-    score = 0.5 * dice(a, b) + 0.5 * token_overlap(a, b)
-    return F.when(a == b, 1.0).when(weakly_contains(a, b), F.greatest(score, F.lit(0.72))).otherwise(score)
+def _weighed(texts: DataFrame, weights: DataFrame, unseen: int, share: float) -> DataFrame:
+    """key, bag (weight and word, heaviest first), whole (their weight), lead: the words that a text which shares `share` of the weight must have one of in common."""
+    words = texts.select("key", F.explode(tokens(F.col("key"))).alias("word")).join(weights, "word", "left")
+    bags = words.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("weight", F.lit(unseen)).alias("weight"), "word")), asc=False).alias("bag"))
+    total = lambda bag: F.aggregate(bag, F.lit(0).cast("long"), lambda n, t: n + t["weight"])
+    bags = bags.withColumn("whole", total(F.col("bag")))
+    lead = F.filter("bag", lambda t, i: total(F.slice("bag", i + 1, F.size("bag"))) >= share * F.col("whole"))
+    return bags.withColumn("lead", F.transform(lead, lambda t: t["word"]))
 
 
-def scored_candidates(lines: DataFrame, catalog: DataFrame, least: float = 0.58) -> DataFrame:
-    """line_id, ingredient_id, score: the best entry that shares a word with the line; only pairs in a block of a common word are compared."""
-    words = lambda df: df.withColumn("word", F.explode(F.filter(F.array_distinct(F.split("key", " ")), lambda w: F.length(w) >= 3)))
-    left = words(lines.select("line_id", "key"))
-    right = words(catalog.select("ingredient_id", "key")).select("ingredient_id", F.col("key").alias("other"), "word")
-    pairs = left.join(right, "word").select("line_id", "key", "ingredient_id", "other").distinct()
-    scored = pairs.withColumn("score", similarity(F.col("key"), F.col("other"))).where(F.col("score") >= least)
-    best = Window.partitionBy("line_id").orderBy(F.desc(F.round("score", 9)), "ingredient_id")
-    return scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == 1).select("line_id", "ingredient_id", "score")
+def similar_entries(lines: DataFrame, catalog: DataFrame, share: float = 0.5) -> DataFrame:
+    """key, ingredient_id, overlap, dice, score of every distinct line key and catalog entry whose words share `share` of their weight and whose forms agree.
+
+    A word weighs floor(1000 ln(1 + entries / entries with it)). Two texts that share enough have one of their leading, rarest words in common, so only texts
+    that meet there are compared, and only those whose weights are near enough; common words never make a block.
+    """
+    entries = catalog.select("key", "ingredient_id")
+    n = entries.count()
+    df = entries.select(F.explode(tokens(F.col("key"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    weight = lambda d: F.floor(1000 * F.log(1 + n / d)).cast("long")
+    weights_ = df.select("word", weight(F.col("df")).alias("weight"))
+    unseen = math.floor(1000 * math.log(1 + n))
+    mine = _weighed(lines.select("key").distinct(), weights_, unseen, share)
+    theirs = _weighed(entries.select("key").distinct(), weights_, unseen, share).toDF("other", "their_bag", "their_whole", "their_lead")
+    met = mine.select("key", "whole", F.explode("lead").alias("word")).join(theirs.select("other", "their_whole", F.explode("their_lead").alias("word")), "word")
+    near = met.where((F.col("whole") >= share * F.col("their_whole")) & (F.col("their_whole") >= share * F.col("whole"))).select("key", "other").distinct()
+    both = near.join(mine.drop("lead"), "key").join(theirs.drop("their_lead"), "other")
+    common = F.aggregate(F.array_intersect("bag", "their_bag"), F.lit(0).cast("long"), lambda s, t: s + t["weight"])
+    both = both.withColumn("common", common).withColumn("every", F.col("whole") + F.col("their_whole") - F.col("common")).where(F.col("common") >= share * F.col("every"))
+    both = both.where(form(F.col("key")) == form(F.col("other")))
+    scored = both.select("key", "other", (F.col("common") / F.col("every")).alias("overlap"), dice(F.col("key"), F.col("other")).alias("dice"))
+    scored = scored.withColumn("score", 0.6 * F.col("overlap") + 0.4 * F.col("dice"))
+    return scored.join(entries.withColumnRenamed("key", "other"), "other").select("key", "ingredient_id", "overlap", "dice", "score")
 
 
-def cascade(lines: DataFrame, catalog: DataFrame, aliases: DataFrame, overrides: DataFrame | None = None, rejected: DataFrame | None = None) -> DataFrame:
+def cascade(lines: DataFrame, catalog: DataFrame, aliases: DataFrame, overrides: DataFrame, rejected: DataFrame) -> DataFrame:
     """line_id, ingredient_id, kind, score: the first stage that answers.
 
-    Stages in order: a user's override, the confirmed alias of the supplier, the alias without supplier, an alias within two edits, the
-    entry of the same key, the best scored entry (0.72 and more is semantic, 0.58 and more operational). Rejected pairs never match.
-    lines: line_id, supplier_name, key; catalog: ingredient_id, key; aliases: supplier_name, normalized_alias, ingredient_id.
+    Stages in order: a user's override, the confirmed alias of the supplier, the alias without supplier, an alias within two edits of its fingerprint, the
+    entry of the same key, the best scored entry (semantic or operational). Rejected pairs never match. An alias that names several entries answers nothing.
+    lines: line_id, supplier_name, key; catalog: ingredient_id, key; aliases: supplier_name, normalized_alias, ingredient_id; overrides and rejected: supplier_name, key, ingredient_id.
     """
-    named = aliases.withColumn("lookup", alias_key(F.col("normalized_alias"), F.col("supplier_name"))).groupBy("lookup").agg(F.min("ingredient_id").alias("ingredient_id"), F.countDistinct("ingredient_id").alias("n")).where(F.col("n") == 1)
-    scoped = lines.withColumn("lookup", alias_key(F.col("key"), F.col("supplier_name"))).join(named, "lookup").select("line_id", "ingredient_id")
-    bare = lines.join(named, lines["key"] == named["lookup"]).select("line_id", "ingredient_id")
-    fuzzy = fuzzy_aliases(lines, aliases).select("line_id", "ingredient_id")
-    same = lines.join(catalog.groupBy("key").agg(F.min("ingredient_id").alias("ingredient_id")), "key").select("line_id", "ingredient_id")
-    scored = scored_candidates(lines, catalog)
-    stages = [(scoped, "alias"), (bare, "global_alias"), (fuzzy, "fuzzy_alias"), (same, "exact")]
-    if overrides is not None:
-        stages.insert(0, (overrides.select("line_id", "ingredient_id"), "override"))
-    every = None
+    asked = lines.select("supplier_name", "key").distinct()
+    named = aliases.withColumn("lookup", alias_key(F.col("normalized_alias"), F.col("supplier_name"))).groupBy("lookup").agg(F.min("ingredient_id").alias("ingredient_id"), F.max("ingredient_id").alias("last"))
+    named = named.where(F.col("ingredient_id") == F.col("last")).select("lookup", "ingredient_id")
+    scoped = asked.withColumn("lookup", alias_key(F.col("key"), F.col("supplier_name"))).join(named, "lookup")
+    bare = asked.join(named.where(~F.contains("lookup", F.lit("::"))), asked["key"] == F.col("lookup"))
+    same = asked.join(catalog.groupBy("key").agg(F.min("ingredient_id").alias("ingredient_id")), "key")
+    near = asked.join(similar_entries(asked, catalog), "key").where(F.col("score") >= OPERATIONAL)
+    stages = [(asked.join(overrides, ["supplier_name", "key"]), "override"), (scoped, "alias"), (bare, "global_alias"), (fuzzy_aliases(asked, aliases), "fuzzy_alias"), (same, "exact")]
+    every = near.select("supplier_name", "key", "ingredient_id", F.when(F.col("score") >= SEMANTIC, "semantic").otherwise("operational").alias("kind"), "score", F.lit(len(stages)).alias("stage"))
     for place, (rows, kind) in enumerate(stages):
-        here = rows.select("line_id", "ingredient_id", F.lit(kind).alias("kind"), F.lit(1.0).alias("score"), F.lit(place).alias("stage"))
-        every = here if every is None else every.unionByName(here)
-    kind = F.when(F.col("score") >= 0.72, "semantic").otherwise("operational")
-    every = every.unionByName(scored.select("line_id", "ingredient_id", kind.alias("kind"), "score", F.lit(len(stages)).alias("stage")))
-    if rejected is not None:
-        every = every.join(rejected.select("line_id", "ingredient_id"), ["line_id", "ingredient_id"], "left_anti")
-    first = Window.partitionBy("line_id").orderBy("stage", "ingredient_id")
-    best = every.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1).drop("_n", "stage")
-    return lines.select("line_id").join(best, "line_id", "left").fillna({"kind": "unmatched", "score": 0.0})
-
-
-def brand_blocks(keys: DataFrame) -> DataFrame:
-    return keys.withColumn("brand", fingerprint(F.col("key")))
+        every = every.unionByName(rows.select("supplier_name", "key", "ingredient_id", F.lit(kind).alias("kind"), F.lit(1.0).alias("score"), F.lit(place).alias("stage")))
+    every = every.join(rejected.select("supplier_name", "key", "ingredient_id").distinct(), ["supplier_name", "key", "ingredient_id"], "left_anti")
+    best = every.groupBy("supplier_name", "key").agg(F.min_by(F.struct("ingredient_id", "kind", "score"), F.struct("stage", -F.round("score", 9), "ingredient_id")).alias("m"))
+    found = lines.join(best, ["supplier_name", "key"], "left")
+    return found.select("line_id", "m.ingredient_id", F.coalesce("m.kind", F.lit("unmatched")).alias("kind"), F.coalesce("m.score", F.lit(0.0)).alias("score"))

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import queries as q
+from tallyforge.plans.match_queries import NAMES
 from tallyforge.sources import texts
-from tallyforge.sources.views import ALIASES
 
 T = "chrono, invoice_id, line_number, supplier_id, quantity, total, discount, tax"
 
@@ -104,7 +103,6 @@ def _quoted(x: str | None) -> str:
     return "NULL" if x is None else f"'{x}'"
 
 
-ALIAS_ROWS = values("al", "alias_id, supplier_name, normalized_alias, ingredient_id, confirmed", ALIASES)
 FOLD = "translate(lower({0}), 'áàâãäåéèêëíìîïóòôõöúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy')"
 
 
@@ -270,10 +268,9 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN line_number % 3 = 1 THEN quantity * unit_price ELSE total END AS total, line_number % 3 IN (0, 1) AS was_filled FROM pl""",
     "duplicate_names": f"WITH RECURSIVE {KITCHEN} SELECT name AS key, count(*) AS n_entries, min(ingredient_id) AS least_id FROM ing GROUP BY 1 HAVING count(*) >= 2",
     "reference_counts": f"""
-        WITH RECURSIVE {KITCHEN}, {ALIAS_ROWS} SELECT i.ingredient_id, (SELECT count(*) FROM edges e WHERE e.ingredient_id = i.ingredient_id) AS n_recipes,
+        WITH RECURSIVE {KITCHEN}, {NAMES.strip()} SELECT i.ingredient_id, (SELECT count(*) FROM edges e WHERE e.ingredient_id = i.ingredient_id) AS n_recipes,
                (SELECT count(*) FROM lineitem WHERE l_partkey = i.ingredient_id) AS n_purchases, (SELECT count(*) FROM al WHERE al.ingredient_id = i.ingredient_id) AS n_aliases FROM ing i""",
     "orphans": f"WITH RECURSIVE {KITCHEN} SELECT ingredient_id FROM ing i WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.ingredient_id = i.ingredient_id)",
-    "alias_collisions": f"WITH {ALIAS_ROWS} SELECT supplier_name, normalized_alias, count(DISTINCT ingredient_id) AS n_ingredients, min(ingredient_id)::BIGINT AS least_id FROM al GROUP BY 1, 2 HAVING count(DISTINCT ingredient_id) >= 2",
     "merge_survivor": f"""
         WITH RECURSIVE {KITCHEN}, c AS (SELECT ingredient_id, name AS key, (SELECT count(*) FROM edges e WHERE e.ingredient_id = i.ingredient_id) + (SELECT count(*) FROM lineitem WHERE l_partkey = i.ingredient_id) AS refs FROM ing i),
         s AS (SELECT key, ingredient_id AS survivor FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY refs DESC, ingredient_id) AS k FROM c) WHERE k = 1)
@@ -296,11 +293,6 @@ ORACLE_SQL: dict[str, str] = {
         w AS (SELECT id, simple, list_filter(string_split_regex(regexp_replace(c, '([0-9]([.,][0-9]+)?) +(kg|g|gr|mg|l|lt|cl|dl|ml|un|uni|unid|pcs|cx|sc|emb|pack)( |$)', '\1 ', 'g'), '[^a-z0-9.,]+'),
                      lambda t: t <> '' AND NOT regexp_full_match(t, '[0-9]+([.,][0-9]+)?(kg|g|gr|mg|l|lt|cl|dl|ml|un|uni|unid|pcs|cx|sc|emb|pack)?') AND NOT regexp_full_match(t, 'kg|g|gr|mg|l|lt|cl|dl|ml|un|uni|unid|pcs|cx|sc|emb|pack')) AS ws FROM a)
         SELECT id, simple, array_to_string(ws, ' ') AS canonical FROM w""",
-    "alias_fuzzy_join": f"""
-        WITH {ALIAS_ROWS}, {values('ln', 'line_id, supplier_name, key', q.LINES)},
-        p AS (SELECT line_id, ingredient_id, levenshtein(key, normalized_alias) AS distance FROM ln JOIN al ON ln.supplier_name = al.supplier_name WHERE left(key, 2) = left(normalized_alias, 2)),
-        b AS (SELECT *, min(distance) OVER (PARTITION BY line_id) AS least FROM p WHERE distance <= 2)
-        SELECT line_id, min(ingredient_id)::BIGINT AS ingredient_id, min(distance)::INTEGER AS distance FROM b WHERE distance = least GROUP BY 1 HAVING min(ingredient_id) = max(ingredient_id)""",
     "dice_similarity": f"""
         WITH RECURSIVE {KITCHEN}, nm AS (SELECT DISTINCT name FROM ing),
         g AS (SELECT name, substr(name, i, 2) AS g, count(*) AS n FROM nm, unnest(range(1, length(name))) AS t(i) GROUP BY 1, 2),

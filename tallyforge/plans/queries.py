@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import dates, packs, text, units
 from tallyforge.functions.numbers import half_up, monthly_exposure, unit_cost
-from tallyforge.operators import alerts, decisions, extraction, history, invoices, matching, quality, recipes, suppliers, timeline
+from tallyforge.operators import alerts, decisions, extraction, history, invoices, quality, recipes, suppliers, timeline
 from tallyforge.sources import texts, views
 from tallyforge.sources.views import PURCHASE_ORDER
 from tallyforge.streaming import price_chain
@@ -283,7 +283,7 @@ def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = views.recipe_edges(spark, sf_dir).select("ingredient_id")
     bought = views.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("ingredient_id"))
-    return quality.reference_counts(views.ingredients(spark, sf_dir), {"recipes": edges, "purchases": bought, "aliases": views.aliases(spark).select("ingredient_id")})
+    return quality.reference_counts(views.ingredients(spark, sf_dir), {"recipes": edges, "purchases": bought, "aliases": texts.written_aliases(spark, sf_dir).select("ingredient_id")})
 
 
 def reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,10 +295,6 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.orphans(quality.reference_counts(views.ingredients(spark, sf_dir), {"recipes": edges})).select("ingredient_id")
 
 
-def alias_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.alias_collisions(views.aliases(spark))
-
-
 def merge_survivor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.merge_plan(views.ingredients(spark, sf_dir), text.simple_key(F.col("name")), _references(spark, sf_dir).drop("n_aliases"))
 
@@ -323,18 +319,6 @@ def supplier_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", text.supplier_key(F.col("name")).alias("key"))
 
 
-LINES = [
-    (1, "supplier#000000001", "filete de anchova"), (2, "supplier#000000001", "anchovas filetes 495"), (3, "supplier#000000002", "filete de anchovas"),
-    (4, "supplier#000000004", "tomate pelado lat"), (5, "supplier#000000003", "queijo flamengo fatiada"), (6, "supplier#000000009", "queijo flamengo fatiado"),
-    (7, "supplier#000000005", "molho bbq"), (8, "supplier#000000005", "small ring"), (9, "supplier#000000005", "small rings"), (10, "supplier#000000005", "ovos"),
-]
-
-
-def alias_fuzzy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame(LINES, "line_id int, supplier_name string, key string")
-    return matching.fuzzy_aliases(lines, views.aliases(spark))
-
-
 def dice_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of different ingredient names that share their first letter."""
     names = views.ingredients(spark, sf_dir).select("name").distinct().withColumn("block", F.substring("name", 1, 1))
@@ -357,12 +341,6 @@ def usable_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "u.containers", "u.usable", "s.usable_unit", "u.source", "u.weak", (F.col("price") / F.col("u.usable") * per).alias("cost"))
 
 
-def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame(LINES, "line_id int, supplier_name string, key string")
-    catalog = views.ingredients(spark, sf_dir).groupBy(text.simple_key(F.col("name")).alias("key")).agg(F.min("ingredient_id").alias("ingredient_id"))
-    return matching.cascade(lines, catalog, views.aliases(spark).where("confirmed")).select("line_id", "ingredient_id", "kind", F.round("score", 4).alias("score"))
-
-
 def operational_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: dishes on target, mean food cost share, and a stability score from trends and volatile prices."""
     edges, made, catalog = _kitchen(spark, sf_dir)

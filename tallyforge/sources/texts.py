@@ -149,3 +149,50 @@ def printed_subtotals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def printed_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, "orders", FOOTER_SQL)
+
+
+# How a supplier writes a part's catalog name {c}, of the part's name {n} and brand {b}: by (part + 3 * supplier) % 8. The key is what is left of it for matching.
+BRAND_SQL = "concat('bru', translate(CAST(p_partkey AS STRING), '0123456789', 'aeioubdgkl'))"
+WRITTEN_FORMS = ("{n} {b}", "promo {n} {b}", "{n} brv{r}", "{b} {n}", "{n} {b} 500g", "{n} {b} extra", "{n}", "house blend 7")
+
+
+def _written(form: str) -> str:
+    rest = BRAND_SQL.replace("'bru'", "''")
+    pieces = {"{n}": "p_name", "{b}": BRAND_SQL, "{r}": rest}
+    out, text = [], form
+    while text:
+        found = min((text.find(k), k) for k in [*pieces, "\0"] if text.find(k) >= 0) if any(k in text for k in pieces) else (len(text), None)
+        if found[0]:
+            out.append(f"'{text[: found[0]]}'")
+        if found[1]:
+            out.append(pieces[found[1]])
+        text = text[found[0] + 3 :] if found[1] else ""
+    return f"concat({', '.join(out)})"
+
+
+WRITTEN_SQL = "CASE (p_partkey + 3 * s_suppkey) % 8 " + " ".join(f"WHEN {k} THEN {_written(form)}" for k, form in enumerate(WRITTEN_FORMS)) + " END"
+#: A form of its own: every second supplier grates what it calls extra.
+GRATED_SQL = "CASE WHEN (p_partkey + 3 * s_suppkey) % 8 = 5 AND s_suppkey % 2 = 0 THEN ' ralado' ELSE '' END"
+
+
+def written_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line_id, part_id, supplier_id, supplier_name, form, text, is_entry: every part that a supplier sells, as the supplier writes it."""
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
+    both = pairs.join(table(spark, sf_dir, "part"), "p_partkey").join(table(spark, sf_dir, "supplier"), "s_suppkey")
+    return both.select(
+        (F.col("p_partkey") * 1_000_000 + F.col("s_suppkey")).alias("line_id"), F.col("p_partkey").alias("part_id"), F.col("s_suppkey").alias("supplier_id"), F.lower("s_name").alias("supplier_name"),
+        ((F.col("p_partkey") + 3 * F.col("s_suppkey")) % 8).alias("form"), F.concat(F.expr(WRITTEN_SQL), F.expr(GRATED_SQL)).alias("text"), F.expr(f"concat(p_name, ' ', {BRAND_SQL})").alias("name"), F.col("p_name").alias("short"),
+        F.col("p_type").isin("MEDIUM", "STANDARD", "LARGE").alias("is_entry"),
+    )
+
+
+def written_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier_name, normalized_alias, ingredient_id, confirmed: what suppliers' names were found to mean.
+
+    Names called promo are known, each fifth part's without a supplier; of misspelt ones the right name is known, of every second part confirmed; each third supplier's short name is taken for several parts.
+    """
+    rows = written_names(spark, sf_dir).where("is_entry")
+    known = rows.where("form = 1").select(F.when(F.col("part_id") % 5 == 0, "").otherwise(F.col("supplier_name")).alias("supplier_name"), F.concat(F.lit("promo "), "name").alias("normalized_alias"), F.col("part_id").alias("ingredient_id"), F.lit(True).alias("confirmed"))
+    right = rows.where("form = 2").select("supplier_name", F.col("name").alias("normalized_alias"), F.col("part_id").alias("ingredient_id"), (F.col("part_id") % 2 == 0).alias("confirmed"))
+    short = rows.where("form = 6 AND supplier_id % 3 = 0").select("supplier_name", F.col("short").alias("normalized_alias"), F.col("part_id").alias("ingredient_id"), F.lit(True).alias("confirmed"))
+    return known.unionByName(right).unionByName(short).distinct()

@@ -103,19 +103,6 @@ def latest_date(rows: DataFrame, column: str = "chrono") -> Column:
     return F.lit(rows.agg(F.max(column)).first()[0])
 
 
-ALIASES = [
-    (1, "supplier#000000001", "filete de anchovas", 11, True), (2, "supplier#000000001", "anchovas filete 495", 11, True),
-    (3, "supplier#000000002", "filete de anchovas", 12, True), (4, "", "agua com gas", 20, True), (5, "", "agua com gas", 21, True),
-    (6, "supplier#000000003", "queijo flamengo fatiado", 30, True), (7, "supplier#000000003", "queijo flamengo", 30, False),
-    (8, "supplier#000000004", "tomate pelado lata", 41, True), (9, "supplier#000000004", "tomate pelado lata", 42, True),
-    (10, "supplier#000000005", "molho bbq", 51, True),
-]
-
-
-def aliases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ALIASES, "alias_id int, supplier_name string, normalized_alias string, ingredient_id long, confirmed boolean")
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors share: below the session's checkpoint folder, or the warehouse where that is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

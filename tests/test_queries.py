@@ -20,8 +20,6 @@ def test_entry_imports_and_registers():
 
 
 def test_cascade_stages(spark):
-    rows = {r["line_id"]: (r["kind"], r["ingredient_id"]) for r in catalog.QUERIES["match_cascade"](spark, SMALL).collect()}
-    assert rows[1] == ("fuzzy_alias", 11)
-    assert rows[3] == ("alias", 12)
-    assert rows[7] == ("alias", 51)
-    assert rows[10][0] == "unmatched"
+    """Every stage answers some name."""
+    kinds = {r["kind"] for r in catalog.QUERIES["match_cascade"](spark, SMALL).select("kind").distinct().collect()}
+    assert kinds >= {"override", "alias", "global_alias", "fuzzy_alias", "exact", "semantic", "unmatched"}
