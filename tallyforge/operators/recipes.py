@@ -38,10 +38,10 @@ def priced_lines(edges: DataFrame, catalog: DataFrame) -> DataFrame:
     return lines.withColumn("line_cost", F.col("quantity") * F.col("unit_cost"))
 
 
-def rolled_up(edges: DataFrame, recipes: DataFrame, catalog: DataFrame, nested: DataFrame | None = None) -> DataFrame:
-    """recipe_id, total_cost (null if nothing resolves), n_lines, n_unresolved over all levels."""
+def rolled_up(edges: DataFrame, recipes: DataFrame, catalog: DataFrame | None, nested: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """recipe_id, total_cost (null if nothing resolves), n_lines, n_unresolved over all levels; lines (recipe_id, line_cost) where they are priced otherwise than by the catalog."""
     nested = closure(edges, recipes) if nested is None else nested
-    own = priced_lines(edges, catalog).groupBy("recipe_id").agg(
+    own = (priced_lines(edges, catalog) if lines is None else lines).groupBy("recipe_id").agg(
         F.sum("line_cost").alias("cost"), F.count(F.lit(1)).alias("n"), F.sum(F.col("line_cost").isNull().cast("int")).alias("open")
     )
     return nested.join(own, "recipe_id").groupBy(F.col("root").alias("recipe_id")).agg(

@@ -120,7 +120,7 @@ def _by_form(name: str, at: int, kind: str, text: bool = False) -> str:
     return f"(CASE k{cases} END)::{kind} AS {name}"
 
 
-_PHRASES = f"""
+PHRASES = f"""
     pt AS (SELECT p_partkey AS id, p_partkey % {len(texts.PHRASE_FORMS)} AS k, (p_size + 1)::DOUBLE AS t, p_retailprice AS price FROM part),
     pf AS (
         SELECT id, price, {_by_form('told', 3, 'VARCHAR', True)}, {_by_form('bought', 4, 'DOUBLE')}, {_by_form('"inner"', 5, 'DOUBLE')}, {_by_form('size', 6, 'DOUBLE')}, {_by_form('unit', 7, 'VARCHAR', True)},
@@ -310,14 +310,14 @@ ORACLE_SQL: dict[str, str] = {
     "streaming_price_chain": f"""
         WITH {EVENTS} SELECT ingredient_id, event_id, unit_price, previous_price, delta, delta_pct FROM eh""",
     "purchase_structure_parse": f"""
-        WITH {_PHRASES}
+        WITH {PHRASES}
         SELECT id, 0 AS line, tier, reason, bought, "inner", size, unit, usable, usable_unit, price / usable * CASE WHEN usable_unit IN ('g', 'ml') THEN 1000.0::DOUBLE ELSE 1 END AS cost FROM ph
         UNION ALL
         SELECT doc_id, place::INTEGER, 'none', 'no_measure', NULL, NULL, NULL, NULL, NULL, NULL, NULL
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS place FROM documents)
         WHERE regexp_matches(l, '[0-9]') AND NOT regexp_matches(l, '(?i)[0-9]\\s*(kg|g|mg|ml|cl|l)')""",
     "usable_stock": f"""
-        WITH {_PHRASES}
+        WITH {PHRASES}
         SELECT id, containers, row_usable AS usable, usable_unit, source, weak, price / row_usable * CASE WHEN usable_unit IN ('g', 'ml') THEN 1000.0::DOUBLE ELSE 1 END AS cost FROM ph WHERE row_usable IS NOT NULL""",
     "supplier_keys": f"""
         WITH s AS (SELECT s_suppkey AS id, {texts.SUPPLIER_SQL} AS name FROM supplier), f AS (SELECT id, {FOLD.format('name')} AS k FROM s),

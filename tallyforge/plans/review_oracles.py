@@ -113,23 +113,4 @@ ORACLE_SQL: dict[str, str] = {
         WITH RECURSIVE {HISTORY}, {KITCHEN.strip()}, n AS (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY {TD}) AS k FROM ph),
         a AS (SELECT e.ingredient_id, round(monthly * delta_pct / 100, 4) AS added FROM expo e JOIN n ON n.ingredient_id = e.ingredient_id AND k = 1 WHERE delta_pct > 0 AND {since(30)})
         SELECT (SELECT count(*) FROM mar WHERE margin_pct < 65) AS n_below_target, round(coalesce(sum(added), 0), 2)::DOUBLE AS pressure, (SELECT ingredient_id FROM a ORDER BY added DESC, ingredient_id LIMIT 1) AS driver, count(*) AS n_risen FROM a""",
-    "countable_costs": f"""
-        WITH {values('c', 'id, amount, price, pieces, per', q.CONVERSIONS)} SELECT id, round(CASE WHEN amount >= 0 AND price >= 0 AND pieces > 0 AND per > 0 THEN amount / per * (price / pieces) END, 4)::DOUBLE AS cost FROM c""",
-}
-
-ORACLE_SQL |= {
-    "weight_compatibility": f"""
-        WITH {values('w', 'id, line, entry', q.WEIGHED)}, t AS (SELECT id, 'line' AS side, line AS name FROM w UNION ALL SELECT id, 'entry', entry FROM w),
-        p AS (SELECT id, side, regexp_replace(strip_accents(lower(name)), '[^a-z0-9\\s]+', ' ', 'g') AS x FROM t),
-        g AS (SELECT id, side, list_transform(regexp_extract_all(x, '\\b[0-9]+\\s*(?:kgs?|grs?|g)\\b'), lambda m: regexp_extract(m, '[0-9]+')::DOUBLE * CASE WHEN contains(m, 'k') THEN 1000 ELSE 1 END) AS ex,
-                     list_filter(list_transform(regexp_extract_all(x, '\\b[0-9]{{2,3}}\\b'), lambda m: m::DOUBLE), lambda n: n BETWEEN 20 AND 500) AS bare FROM p),
-        r AS (SELECT id, side, coalesce(list_min(list_filter(ex, lambda v: v < 2000)), ex[1], list_min(bare)) AS grams FROM g),
-        b AS (SELECT id, max(grams) FILTER (side = 'line') AS a, max(grams) FILTER (side = 'entry') AS c FROM r GROUP BY 1)
-        SELECT id, a AS grams_line, c AS grams_entry, (CASE WHEN a IS NULL AND c IS NULL THEN 0 WHEN a IS NULL OR c IS NULL THEN -0.04 WHEN a = c THEN 0.12 WHEN abs(a - c) <= 15 OR abs(a - c) / greatest(a, c) <= 0.15 THEN 0.05
-               WHEN greatest(a, c) < 500 AND (abs(a - c) > 80 OR abs(a - c) / greatest(a, c) > 0.35) THEN -0.35 WHEN greatest(a, c) >= 500 AND (abs(a - c) > 180 OR abs(a - c) / greatest(a, c) > 0.47) THEN -0.35 ELSE 0 END)::DOUBLE AS score FROM b""",
-    "quantity_anchors": f"""
-        WITH {values('v', 'id, n, scan, unit, price, net, off', q.SCANNED)}, s AS (SELECT *, lower(unit) = 'kg' AND off IS NOT NULL AND scan <> round(scan) AS inside, round(abs(scan - n) / greatest(scan, 0.01) * 100, 2) AS apart,
-              round(abs(net - scan * price), 2) AS ms, round(abs(net - n * price), 2) AS mr, greatest(abs(round(net, 2)), abs(round(n * price, 2)), 0.01) AS whole FROM v),
-        a AS (SELECT *, coalesce(inside AND apart > 2 AND net IS NOT NULL AND (ms < mr - 0.1 OR (mr > 0.5 AND mr / whole * 100 > 5 AND ms <= 0.5)), FALSE) AS anchored FROM s)
-        SELECT id, (CASE WHEN anchored THEN scan ELSE n END)::DOUBLE AS quantity, anchored, coalesce(inside AND apart > 10, FALSE) AND NOT anchored AS mismatch FROM a""",
 }

@@ -162,36 +162,3 @@ def margin_pressure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = recipes.exposure(edges, catalog).join(latest, "ingredient_id").withColumn("added", F.round(F.col("monthly") * F.col("delta_pct") / 100, 4))
     found = added.agg(F.coalesce(F.sum("added"), F.lit(0.0)).alias("pressure"), F.max_by("ingredient_id", F.struct("added", -F.col("ingredient_id"))).alias("driver"), F.count(F.lit(1)).alias("n_risen"))
     return found.select(F.lit(low).cast("long").alias("n_below_target"), F.round("pressure", 2).alias("pressure"), "driver", "n_risen")
-
-
-CONVERSIONS = [(1, 250.0, 12.0, 6.0, 500.0), (2, 100.0, 3.0, 0.0, 50.0), (3, 0.0, 3.0, 1.0, 50.0), (4, -5.0, 3.0, 1.0, 50.0), (5, 80.0, 4.0, 2.0, None), (6, 330.0, 24.0, 24.0, 330.0)]
-
-
-def countable_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines by weight or volume of goods that are bought by the piece."""
-    rows = spark.createDataFrame(CONVERSIONS, "id int, amount double, pack_price double, pieces double, per_piece double")
-    cost = units.countable_line_cost(F.col("amount"), F.col("pack_price"), F.col("pieces"), F.col("per_piece"))
-    return rows.select("id", F.round(cost, 4).alias("cost"))
-
-
-WEIGHED = [
-    (1, "BUN 80", "Brioche bun 80g"), (2, "Burger 150 g", "Burger 160g"), (3, "Burger 90g", "Burger 180 g"), (4, "Queijo 1kg", "Queijo"), (5, "Pao", "Pão"), (6, "Carne 2 kg 200g", "Carne 250 g"),
-    (7, "Farinha 5 kg", "Farinha 10kg"), (8, None, "Sal 500 g"),
-]
-
-
-def weight_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(WEIGHED, "id int, line string, entry string")
-    rows = rows.withColumn("grams_line", weights.line_grams(F.col("line"))).withColumn("grams_entry", weights.line_grams(F.col("entry")))
-    return rows.select("id", "grams_line", "grams_entry", weights.weight_score(F.col("grams_line"), F.col("grams_entry")).alias("score"))
-
-
-SCANNED = [
-    (1, 1.05, 1.35, "kg", 10.0, 13.5, 5.0), (2, 2.0, 2.02, "kg", 10.0, 20.2, 5.0), (3, 1.05, 1.35, "un", 10.0, 13.5, 5.0), (4, 1.05, 1.35, "KG", 10.0, 13.5, None), (5, 1.05, 1.35, "kg", 10.0, 10.5, 5.0),
-    (6, 1.05, 1.35, "kg", 10.0, None, 5.0), (7, 1.05, 2.0, "kg", 10.0, 20.0, 5.0), (8, 3.0, 0.75, "kg", 8.0, 6.2, 10.0), (9, None, 0.75, "kg", 8.0, 6.2, 10.0),
-]
-
-
-def quantity_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(SCANNED, "id int, quantity double, ocr_quantity double, unit string, unit_price double, line_total_net double, discount_pct double")
-    return extraction.anchored_quantities(rows).select("id", "quantity", "anchored", "mismatch")

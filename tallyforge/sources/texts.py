@@ -196,3 +196,32 @@ def written_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = rows.where("form = 2").select("supplier_name", F.col("name").alias("normalized_alias"), F.col("part_id").alias("ingredient_id"), (F.col("part_id") % 2 == 0).alias("confirmed"))
     short = rows.where("form = 6 AND supplier_id % 3 = 0").select("supplier_name", F.col("short").alias("normalized_alias"), F.col("part_id").alias("ingredient_id"), F.lit(True).alias("confirmed"))
     return known.unionByName(right).unionByName(short).distinct()
+
+
+#: Amounts in g or ml of goods that are bought by the piece: some negative, some without a piece's content or pieces.
+CONVERSION_SQL = """
+    SELECT p_partkey AS id, CAST(p_partkey % 40 AS DOUBLE) * 10 - 20 AS amount, p_retailprice AS pack_price, CAST(p_partkey % 13 AS DOUBLE) AS pieces,
+           CASE WHEN p_partkey % 17 <> 0 THEN CAST(p_partkey % 9 AS DOUBLE) * 50 END AS per_piece FROM part"""
+_WEIGHED_LINES = ("{n} {s}g", "{n} {s}0 g", "{n} {s}0g", "{n} 1kg", "{n}", "{n} 2 kg {s}0g", "{n} {s} kg")
+_WEIGHED_ENTRIES = ("{n} 80g", "{n} 160g", "{n} {s}5 g", "{n}", "{n}", "{n} 250 g", "{n} 10kg")
+#: A line and the entry it is compared with, with weights in their names; each eighth line has no name.
+WEIGHED_SQL = f"""
+    SELECT p_partkey AS id, {_picked("p_partkey", [*[_joined(x, "p_name", "p_size") for x in _WEIGHED_LINES], "NULL"])} AS line,
+           {_picked("p_partkey", [_joined(x, "p_name", "p_size") for x in (*_WEIGHED_ENTRIES, "{n} 500 g")])} AS entry FROM part"""
+#: Quantities as read and as scanned, with the total that one of them makes.
+SCANNED_SQL = """
+    SELECT *, CASE id % 3 WHEN 0 THEN ocr_quantity * unit_price WHEN 1 THEN quantity * unit_price END AS line_total_net FROM (
+        SELECT l_orderkey * 8 + l_linenumber AS id, l_quantity AS quantity, l_quantity + CASE l_partkey % 4 WHEN 0 THEN CAST(0.3 AS DOUBLE) WHEN 1 THEN 0.02 WHEN 2 THEN 0.75 ELSE 0 END AS ocr_quantity,
+               CASE l_suppkey % 4 WHEN 0 THEN 'un' WHEN 1 THEN 'KG' ELSE 'kg' END AS unit, CAST(l_partkey % 20 + 1 AS DOUBLE) AS unit_price, CASE WHEN l_suppkey % 7 <> 0 THEN l_discount * 100 END AS discount_pct FROM lineitem) AS l"""
+
+
+def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, "part", CONVERSION_SQL)
+
+
+def weighed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, "part", WEIGHED_SQL)
+
+
+def scanned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, "lineitem", SCANNED_SQL)
