@@ -11,6 +11,7 @@ from tallyforge.plans.oracles import KITCHEN, LINES, T
 from tallyforge.plans.queries import _costs, _kitchen, r4
 from tallyforge.sources import texts, views
 from tallyforge.sources.views import PURCHASE_ORDER, table
+from tallyforge.streaming import chain_store
 
 
 def invoice_retraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,25 @@ def prep_servings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("cost_per_serving", F.col("total_cost") / F.col("servings")).select("recipe_id", "servings", *r4("cost_per_serving"))
 
 
+def streaming_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chains after documents came late, twice, corrected and deleted, in several micro-batches."""
+    folder = views.shared_folder(spark, "arrivals")
+    rows = texts.arrivals(spark, sf_dir)
+    for k in range(texts.ARRIVALS):
+        rows.where(F.col("arrival") == k).drop("arrival").coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    events = spark.readStream.schema(chain_store.EVENT).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    store = chain_store.ChainStore(views.shared_folder(spark, "chain-store"), buckets=8)
+    found = chain_store.run_available(events, store)
+    return found.select("ingredient_id", "event_id", "document_id", "unit_price", "previous_price", "delta", "delta_pct")
+
+
 ORACLE_SQL: dict[str, str] = {
+    "streaming_upkeep": """
+        WITH a AS (SELECT user_id AS ingredient_id, event_id, event_id // 3 AS document_id, ts, event_id % 3 = 0 AND event_id // 3 % 26 = 0 AS again, value FROM events),
+        k AS (SELECT *, CASE WHEN again THEN value * 1.2::DOUBLE WHEN event_id % 17 = 0 THEN value * 1.1::DOUBLE ELSE value END AS unit_price FROM a WHERE document_id % 13 <> 0 OR again),
+        l AS (SELECT *, lag(unit_price) OVER (PARTITION BY ingredient_id ORDER BY ts, event_id) AS previous_price FROM k)
+        SELECT ingredient_id, event_id, document_id, unit_price, previous_price, unit_price - previous_price AS delta,
+               CASE WHEN abs(previous_price) > 1e-6 THEN (unit_price - previous_price) / previous_price * 100 END AS delta_pct FROM l""",
     "invoice_retraction": f"""
         WITH {LINES}, hit AS (SELECT DISTINCT ingredient_id FROM pl WHERE invoice_id % 50 = 0)
         SELECT ingredient_id, invoice_id, line_number, supplier_id, unit_price, lag(unit_price) OVER (PARTITION BY ingredient_id ORDER BY {T}) AS previous_price

@@ -225,3 +225,20 @@ def weighed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scanned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, "lineitem", SCANNED_SQL)
+
+
+ARRIVALS = 4
+#: The event log as documents of three events arrive: late and out of order over four batches, every tenth event twice, every seventeenth corrected, every thirteenth document deleted
+#: (often before its events are there), and of every second of those one event issued again.
+ARRIVAL_SQL = """
+    SELECT CAST((event_id * 7) % 4 AS INT) AS arrival, 'put' AS op, user_id AS ingredient_id, event_type AS supplier_name, ts AS chrono, event_id, event_id DIV 3 AS document_id, value AS unit_price, event_id * 2 AS seq FROM events
+    UNION ALL SELECT CAST((event_id * 7 + 1) % 4 AS INT), 'put', user_id, event_type, ts, event_id, event_id DIV 3, value, event_id * 2 FROM events WHERE event_id % 10 = 0
+    UNION ALL SELECT CAST((event_id * 7 + 2) % 4 AS INT), 'put', user_id, event_type, ts, event_id, event_id DIV 3, value * 1.1D, event_id * 2 + 1 FROM events WHERE event_id % 17 = 0
+    UNION ALL SELECT CAST((event_id DIV 3 * 5) % 4 AS INT), 'delete', NULL, NULL, NULL, NULL, event_id DIV 3, NULL, event_id DIV 3 * 6 + 10 FROM events WHERE event_id % 3 = 0 AND event_id DIV 3 % 13 = 0
+    UNION ALL SELECT CAST((event_id * 5 + 3) % 4 AS INT), 'put', user_id, event_type, ts, event_id, event_id DIV 3, value * 1.2D, event_id * 2 + 100 FROM events WHERE event_id % 3 = 0 AND event_id DIV 3 % 26 = 0"""
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """arrival, op, ingredient_id, supplier_name, chrono, event_id, document_id, unit_price, seq."""
+    rows = spark.sql(ARRIVAL_SQL.replace("FROM events", "FROM {rows}"), rows=table(spark, sf_dir, "events"))
+    return rows.withColumn("chrono", F.col("chrono").cast("timestamp"))
