@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text
-from tallyforge.operators import matching, quality
-from tallyforge.sources import texts
+from tallyforge.operators import containment, matching, quality
+from tallyforge.sources import texts, views
 from tallyforge.sources.views import INGREDIENT_TYPES, table
 
 
@@ -51,6 +51,20 @@ def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.cascade(rows.select("line_id", "supplier_name", "key"), _catalog(spark, sf_dir), texts.written_aliases(spark, sf_dir).where("confirmed"), named, refused)
 
 
+def contained_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct name that a supplier writes with the names that hold all its words."""
+    return containment.contained(_lines(spark, sf_dir).select(F.col("key").alias("name")))
+
+
+def hidden_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that no recipe uses and whose name lies in a used entry's; each fourth entry still has its short, legacy name."""
+    part = table(spark, sf_dir, "part").where(F.col("p_type").isin(*INGREDIENT_TYPES))
+    name = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).otherwise(F.expr(f"concat(p_name, ' ', {texts.BRAND_SQL})"))
+    uses = views.recipe_edges(spark, sf_dir).where(F.col("ingredient_id").isNotNull()).groupBy("ingredient_id").agg(F.count(F.lit(1)).alias("n_uses"))
+    entries = part.select(F.col("p_partkey").alias("ingredient_id"), name.alias("name")).join(uses, "ingredient_id", "left").fillna({"n_uses": 0})
+    return containment.hidden_orphans(entries)
+
+
 _KEY = "CASE v WHEN 4 THEN name WHEN 7 THEN 'house blend' ELSE written END"
 NAMES = f"""
     pr AS (SELECT DISTINCT l_partkey AS p_partkey, l_suppkey AS s_suppkey FROM lineitem),
@@ -86,6 +100,9 @@ _SCORED = """
     ss AS (SELECT *, 0.6::DOUBLE * overlap + 0.4::DOUBLE * dice AS score FROM sc)"""
 
 ORACLE_SQL: dict[str, str] = {
+    "contained_names": f"""
+        WITH {NAMES}, k AS (SELECT DISTINCT key AS name, string_split(key, ' ') AS ws FROM ln)
+        SELECT a.name, b.name AS other FROM k a JOIN k b ON a.name <> b.name AND contains(b.name, a.ws[1]) AND contains(b.name, a.ws[-1]) AND len(list_filter(a.ws, lambda w: NOT contains(b.name, w))) = 0""",
     "alias_fuzzy_join": f"WITH {NAMES}, {_FUZZY.strip()} SELECT * FROM fz",
     "alias_collisions": f"WITH {NAMES} SELECT supplier_name, alias AS normalized_alias, count(DISTINCT ingredient_id) AS n_ingredients, min(ingredient_id) AS least_id FROM al GROUP BY 1, 2 HAVING count(DISTINCT ingredient_id) >= 2",
     "ownership_collisions": f"""

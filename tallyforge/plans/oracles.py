@@ -335,6 +335,11 @@ ORACLE_SQL["operational_health"] = f"""
            round(avg(food_cost_pct), 4) AS avg_food_cost_pct, (SELECT greatest(0, 100 - 18 * trends - 12 * volatile) FROM k)::BIGINT AS stability FROM mar"""
 
 ORACLE_SQL |= {
+    "hidden_orphans": f"""
+        WITH RECURSIVE {KITCHEN}, e AS (
+            SELECT ingredient_id, CASE WHEN ingredient_id % 4 = 0 THEN name ELSE concat(name, ' ', {texts.BRAND_SQL.replace('AS STRING', 'AS VARCHAR').replace('p_partkey', 'ingredient_id')}) END AS name,
+                   (SELECT count(*) FROM edges WHERE edges.ingredient_id = ing.ingredient_id) AS n FROM ing
+        ) SELECT a.ingredient_id, a.name, min(b.ingredient_id) AS "by" FROM e a JOIN e b ON b.n > 0 AND len(list_filter(string_split(a.name, ' '), lambda w: NOT contains(b.name, w))) = 0 WHERE a.n = 0 GROUP BY 1, 2""",
     "purchase_timeline": f"""
         WITH {EVENTS}, m AS (
             SELECT *, min(unit_price) OVER p AS lo, max(unit_price) OVER p AS hi, avg(unit_price) OVER p AS mean, row_number() OVER (PARTITION BY ingredient_id, unit_price ORDER BY chrono, event_id) AS k,
