@@ -18,11 +18,18 @@ from pyspark.sql.types import StructType
 
 from tallyforge.streaming.price_chain import chained
 
-PUT = "ingredient_id long, supplier_name string, chrono timestamp, event_id long, document_id long, unit_price double, seq long"
-EVENT = StructType.fromDDL(f"op string, {PUT}")
-CHAIN = StructType.fromDDL(f"{PUT}, deleted_seq long, previous_price double, delta double, delta_pct double, bucket int")
-INDEX = StructType.fromDDL("document_id long, ingredient_id long, deleted_seq long, bucket int")
-MANIFEST = StructType.fromDDL("store string, bucket int, version long")
+def _schema(**fields: str) -> StructType:
+    out = StructType()
+    for name, kind in fields.items():
+        out = out.add(name, kind)
+    return out
+
+
+_PUT = {"ingredient_id": "long", "supplier_name": "string", "chrono": "timestamp", "event_id": "long", "document_id": "long", "unit_price": "double", "seq": "long"}
+EVENT = _schema(op="string", **_PUT)
+CHAIN = _schema(**_PUT, deleted_seq="long", previous_price="double", delta="double", delta_pct="double", bucket="integer")
+INDEX = _schema(document_id="long", ingredient_id="long", deleted_seq="long", bucket="integer")
+MANIFEST = _schema(store="string", bucket="integer", version="long")
 
 
 @dataclass(frozen=True)
