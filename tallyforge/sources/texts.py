@@ -242,3 +242,18 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """arrival, op, ingredient_id, supplier_name, chrono, event_id, document_id, unit_price, seq."""
     rows = spark.sql(ARRIVAL_SQL.replace("FROM events", "FROM {rows}"), rows=table(spark, sf_dir, "events"))
     return rows.withColumn("chrono", F.col("chrono").cast("timestamp"))
+
+
+_ITEM = """concat('{"name": "part ', CAST(l_partkey AS STRING), '", "quantity": ', CAST(CAST(l_quantity AS INT) AS STRING), ', "unit": "kg", "unit_price": ', CAST(l_partkey % 90 + 1 AS STRING), '.5, "total": ', CAST(l_suppkey AS STRING), '}')"""
+#: Payloads of a recognition service: whole, with a comma in a text number, torn off, without a total, with a null unit, without a name, with a price that is no number, and two in a list.
+PAYLOAD_ID_SQL = "concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(CAST(l_quantity AS INT) AS STRING))"
+PAYLOAD_TEXT_SQL = f"""CASE l_orderkey % 8
+        WHEN 1 THEN concat('{{"name": "comma", "quantity": "', CAST(CAST(l_quantity AS INT) AS STRING), ',5", "unit_price": 2, "unit": "L"}}')
+        WHEN 2 THEN substring({_ITEM}, 1, 40) WHEN 3 THEN replace({_ITEM}, '"total"', '"sum"') WHEN 4 THEN replace({_ITEM}, '"kg"', 'null') WHEN 5 THEN replace({_ITEM}, '"part ', '"  ", "was": "')
+        WHEN 6 THEN replace(replace({_ITEM}, '.5, "total"', ' x", "total"'), '"unit_price": ', '"unit_price": "') WHEN 7 THEN concat('[', {_ITEM}, ', ', {_ITEM}, ']') ELSE {_ITEM} END"""
+PAYLOAD_SQL = f"SELECT {PAYLOAD_ID_SQL} AS id, {PAYLOAD_TEXT_SQL} AS payload FROM lineitem"
+
+
+def scan_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, payload: what a recognition service sent for every order line."""
+    return table(spark, sf_dir, "lineitem").select(F.expr(PAYLOAD_ID_SQL).alias("id"), F.expr(PAYLOAD_TEXT_SQL).alias("payload"))
