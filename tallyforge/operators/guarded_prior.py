@@ -132,6 +132,7 @@ def nearest_compatible(rows: DataFrame, order: Sequence[str], params: PriorParam
     rows: ingredient_id, row (a key), family, preservation, form, contract, grams, price, blocked, and the columns of order, of which the first is a time.
     """
     sound = rows.where((F.col("price") > 0) & ~F.col("blocked")).select("ingredient_id", "row", *_SNAPSHOT, *order)
+    sound = saved(sound, "sound")  # what names say is read once
     total = max(1, sound.count())
     ready = chunked(sound, F.to_date(order[0]), params).withColumn("bundle", F.pmod(F.xxhash64("ingredient_id"), F.lit(max(1, total // params.bundle))).cast("int"))
     ready = saved(ready, "purchases")

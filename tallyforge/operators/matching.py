@@ -29,19 +29,25 @@ def deletions(x: Column) -> Column:
     return F.array_distinct(F.concat(F.array(x), F.coalesce(left, F.array().cast("array<string>"))))
 
 
-def fuzzy_aliases(lines: DataFrame, aliases: DataFrame, most: int = 2) -> DataFrame:
+def fuzzy_aliases(lines: DataFrame, aliases: DataFrame, most: int = 2, direct: int = 64) -> DataFrame:
     """supplier_name, key, ingredient_id, distance: aliases of the line's own supplier with the same first word, whose fingerprint lies within `most` (two at most) edits.
 
-    Lines whose nearest aliases name different entries have none. Fingerprints meet by what is left without one or two letters, so a supplier with very many aliases is
-    not compared with all of them.
+    Lines whose nearest aliases name different entries have none. A line is compared with all aliases of its supplier and first word while these are at most `direct`;
+    where there are more, fingerprints meet by what is left of them without one or two letters. Both ways find the same pairs.
     """
     known = aliases.where(F.trim("supplier_name") != "").select("supplier_name", "ingredient_id", F.col("normalized_alias").alias("alias")).distinct()
     first = lambda c: F.substring_index(c, " ", 1)
     mine = lines.select("supplier_name", "key").distinct().withColumn("print", fingerprint(F.col("key"))).where(F.length("print") >= LEAST_FINGERPRINT)
     theirs = known.withColumn("other", fingerprint(F.col("alias"))).where(F.length("other") >= LEAST_FINGERPRINT)
-    mine = mine.select("*", first("key").alias("head"), F.explode(deletions(F.col("print"))).alias("rest"))
-    theirs = theirs.select("supplier_name", "ingredient_id", "other", first("alias").alias("head"), F.explode(deletions(F.col("other"))).alias("rest"))
-    pairs = mine.join(theirs, ["supplier_name", "head", "rest"]).select("supplier_name", "key", "ingredient_id", "print", "other").distinct()
+    mine = mine.withColumn("head", first("key"))
+    theirs = theirs.select("supplier_name", "ingredient_id", "other", first("alias").alias("head"))
+    crowd = theirs.groupBy("supplier_name", "head").agg((F.count(F.lit(1)) > direct).alias("crowded"))
+    mine, theirs = mine.join(crowd, ["supplier_name", "head"]), theirs.join(crowd, ["supplier_name", "head"])
+    few = mine.where(~F.col("crowded")).join(theirs.where(~F.col("crowded")).drop("crowded"), ["supplier_name", "head"])
+    rest = lambda rows, c: rows.where("crowded").drop("crowded").withColumn("rest", F.explode(deletions(F.col(c))))
+    many = rest(mine, "print").join(rest(theirs, "other"), ["supplier_name", "head", "rest"])
+    names = ["supplier_name", "key", "ingredient_id", "print", "other"]
+    pairs = few.select(*names).unionByName(many.select(*names)).distinct()
     near = pairs.withColumn("distance", F.levenshtein("print", "other", most)).where(F.col("distance") >= 0).groupBy("supplier_name", "key", "ingredient_id").agg(F.min("distance").alias("distance"))
     best = near.groupBy("supplier_name", "key").agg(F.min(F.struct("distance", "ingredient_id")).alias("a"), F.max(F.struct(-F.col("distance"), F.col("ingredient_id"))).alias("z"))
     return best.where(F.col("a.ingredient_id") == F.col("z.ingredient_id")).select("supplier_name", "key", "a.ingredient_id", "a.distance")

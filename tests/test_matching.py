@@ -30,10 +30,11 @@ def test_deletions_meet_within_two_edits(spark):
                 assert left[a] & left[b], (a, b)
 
 
-def test_fuzzy_aliases(spark):
+@pytest.mark.parametrize("direct", [64, 0])
+def test_fuzzy_aliases(spark, direct):
     lines = spark.createDataFrame([("s", "queijo flamengu"), ("s", "queijo x"), ("t", "queijo flamengo"), ("s", "molho flamengo"), ("s", None), ("s", "queijo montes"), ("s", "queijo montes")], "supplier_name string, key string")
     known = spark.createDataFrame([("s", "queijo flamengo", 1, True), ("s", "queijo monter", 2, True), ("s", "queijo montex", 3, True), ("", "queijo flamengu", 9, True), ("s", "queijo flamengo", 1, True)], "supplier_name string, normalized_alias string, ingredient_id int, confirmed boolean")
-    got = [tuple(r) for r in matching.fuzzy_aliases(lines, known).collect()]
+    got = [tuple(r) for r in matching.fuzzy_aliases(lines, known, direct=direct).collect()]
     assert got == [("s", "queijo flamengu", 1, 1)]
 
 
