@@ -90,15 +90,6 @@ EVENTS = """
     )"""
 
 
-def values(name: str, columns: str, rows: list[tuple]) -> str:
-    """A CTE of literal rows."""
-
-    def literal(x: object) -> str:
-        return "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).upper() if isinstance(x, bool) else str(x)
-
-    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(literal(x) for x in row) + ")" for row in rows) + ")"
-
-
 def _quoted(x: str | None) -> str:
     return "NULL" if x is None else f"'{x}'"
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from tallyforge.sources import texts
 from tallyforge.functions.text import COST_WORDS
-from tallyforge.plans import review_queries as q
-from tallyforge.plans.oracles import CONTRACTS, HISTORY, KITCHEN, LINES, T, since, values
+from tallyforge.plans.oracles import CONTRACTS, HISTORY, KITCHEN, LINES, T, since
 
 TD = ", ".join(f"{c} DESC" for c in T.split(", "))
 _ENDS = f"""
