@@ -39,14 +39,22 @@ def preservation(name: Column) -> Column:
     return F.when(_any(words, PRESERVED), "preserved").when(_any(words, FRESH), "fresh").otherwise("unknown")
 
 
-def form(name: Column) -> Column:
-    """The preparation that the name tells of, `none` without one."""
-    words = _padded(name)
-    found = F.array_compact(F.array(*[F.when(_any(words, phrases), F.lit(kind)) for kind, phrases in sorted(FORMS.items())]))
+def forms_found(words: Column) -> Column:
+    """All preparations that a line of padded words tells of, by name."""
+    return F.array_compact(F.array(*[F.when(_any(words, phrases), F.lit(kind)) for kind, phrases in sorted(FORMS.items())]))
+
+
+def ruling_form(found: Column) -> Column:
+    """One preparation for those found, `none` without one."""
     ruling = F.coalesce(*[F.when(F.array_contains(found, kind), F.lit(kind)) for kind in RULING_FORMS])
     return F.when(F.size(found) == 0, "none").when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise(F.coalesce(ruling, F.array_join(found, "+")))
 
 
+def form(name: Column) -> Column:
+    """The preparation that the name tells of, `none` without one."""
+    return ruling_form(forms_found(_padded(name)))
+
+
 def described(rows: DataFrame, name: str = "printed", unit: str = "unit") -> DataFrame:
     """The rows with family, preservation, form, contract, grams, pack_ml, drink. Names repeat, so each pair of name and unit is read once and joined back."""
     texts = rows.select(F.col(name).alias("_name"), F.coalesce(F.trim(F.lower(unit)), F.lit("")).alias("_unit")).distinct()

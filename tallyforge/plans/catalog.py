@@ -8,7 +8,7 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.plans import contract_queries, cost_queries, match_queries, merge_queries, oracles, queries, record_queries, review_oracles, review_queries, upkeep_queries
+from tallyforge.plans import audit_queries, contract_queries, cost_queries, match_queries, merge_queries, oracles, queries, record_queries, review_oracles, review_queries, upkeep_queries
 
 FLAGSHIP = "price_chain_latest_moves"
 
@@ -21,5 +21,5 @@ def _queries_of(module: ModuleType) -> dict[str, Callable[[SparkSession, str], D
     }
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = _queries_of(queries) | _queries_of(review_queries) | _queries_of(upkeep_queries) | _queries_of(contract_queries) | _queries_of(match_queries) | _queries_of(cost_queries) | _queries_of(merge_queries) | _queries_of(record_queries)
-ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL | review_oracles.ORACLE_SQL | upkeep_queries.ORACLE_SQL | contract_queries.ORACLE_SQL | match_queries.ORACLE_SQL | cost_queries.ORACLE_SQL | merge_queries.ORACLE_SQL | record_queries.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = _queries_of(queries) | _queries_of(review_queries) | _queries_of(upkeep_queries) | _queries_of(contract_queries) | _queries_of(match_queries) | _queries_of(cost_queries) | _queries_of(merge_queries) | _queries_of(record_queries) | _queries_of(audit_queries)
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL | review_oracles.ORACLE_SQL | upkeep_queries.ORACLE_SQL | contract_queries.ORACLE_SQL | match_queries.ORACLE_SQL | cost_queries.ORACLE_SQL | merge_queries.ORACLE_SQL | record_queries.ORACLE_SQL | audit_queries.ORACLE_SQL

@@ -257,3 +257,63 @@ PAYLOAD_SQL = f"SELECT {PAYLOAD_ID_SQL} AS id, {PAYLOAD_TEXT_SQL} AS payload FRO
 def scan_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, payload: what a recognition service sent for every order line."""
     return table(spark, sf_dir, "lineitem").select(F.expr(PAYLOAD_ID_SQL).alias("id"), F.expr(PAYLOAD_TEXT_SQL).alias("payload"))
+
+
+# Names as they stand on shelves: the text, its words, its words written out, and what must be read: family, preparation, cluster, family of the kitchen, its score, kind, kinds of food.
+SHELF_FORMS = (
+    ("BAT PAL 2KG", "bat pal", "batata palha", None, None, None, "frozen_potato", 0.65, "alias", "potato"),
+    ("Batata palha {n} 2 kg", "batata palha {n}", "batata palha {n}", "batata", "palha", "batata-palha", "frozen_potato", 0.65, "canonical", "potato"),
+    ("Queijo cheddar fatiado {n} 1kg", "queijo cheddar fatiado {n}", "queijo cheddar fatiado {n}", "cheddar", "sliced", "cheddar-sliced", "sauce", 0.35, "canonical", "meat cheese"),
+    ("cheddar bloco {n}", "cheddar bloco {n}", "cheddar bloco {n}", "cheddar", "block", "cheddar-block", "sauce", 0.35, "canonical", "cheese"),
+    ("Molho cheddar {n}", "molho cheddar {n}", "molho cheddar {n}", "sauce", "molho", None, "sauce", 0.78, "canonical", "cheese sauce"),
+    ("TOM CHERRY CX 5", "tom cherry cx", "tom cherry cx", "tomate", "cherry", "tomate-cherry", None, None, "alias", ""),
+    ("smash patty angus 180g {n}", "smash patty angus {n}", "smash patty angus {n}", "meat", None, None, "burger_meat", 1.0, "canonical", "meat"),
+    ("Pão de batata {n}", "pao de batata {n}", "pao de batata {n}", "bread", None, None, "bread", 0.75, "canonical", "potato bread"),
+    ("BACON FUM FAT 1KG", "bacon fum fat", "bacon fumado fatiado", "bacon", None, None, "bacon", 0.8, "alias", "meat"),
+    ("frango congelado breaded {n} fillet", "frango congelado breaded {n} fillet", "frango congelado breaded {n} fillet", "chicken", "frozen", None, "chicken", 1.0, "canonical", "meat"),
+    ("Batata frita corte fino {n}", "batata frita corte fino {n}", "batata frita corte fino {n}", "batata", "corte_fino", None, "frozen_potato", 0.45, "canonical", "potato"),
+    ("wedges {n} 9 x 9", "wedges {n} 9x9", "wedges {n} 9x9", "batata", "wedges", None, "frozen_potato", 0.95, "canonical", "potato"),
+    ("Queijo cheddar {n}", "queijo cheddar {n}", "queijo cheddar {n}", "cheddar", None, "cheddar-plain", "sauce", 0.35, "canonical", "cheese"),
+    ("{n}", "{n}", "{n}", None, None, None, None, None, "canonical", ""),
+    ("fritas {n}", "fritas {n}", "fritas {n}", "batata", None, None, "frozen_potato", 0.2, "canonical", "potato"),
+    ("molho fatiado {n}", "molho fatiado {n}", "molho fatiado {n}", "sauce", "molho+sliced", None, "sauce", 0.4, "canonical", "meat sauce"),
+    ("patty {n} 90g", "patty {n}", "patty {n}", "meat", None, None, "burger_meat", 0.53, "canonical", "meat"),
+)
+SHELF_SQL = _picked("shelf", [_joined(form[0], "p_name", "0") for form in SHELF_FORMS])
+
+
+def shelf_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, name, type, size: every part as it stands on a shelf."""
+    part = table(spark, sf_dir, "part").withColumn("shelf", F.col("p_partkey") % len(SHELF_FORMS))
+    return part.select(F.col("p_partkey").alias("id"), F.expr(SHELF_SQL).alias("name"), F.col("p_type").alias("type"), F.col("p_size").alias("size"))
+
+
+def shelf_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """alias_id, alias_name, ingredient_id, name: a part's other name, by its size the right one or that of something else, beside the name on the shelf."""
+    part = table(spark, sf_dir, "part").withColumn("shelf", F.col("p_partkey") % len(SHELF_FORMS))
+    named = part.withColumn("name", F.expr(SHELF_SQL)).withColumn("shelf", (F.col("p_partkey") * 7 + F.col("p_size")) % len(SHELF_FORMS))
+    return named.select(F.col("p_partkey").alias("alias_id"), F.expr(SHELF_SQL).alias("alias_name"), F.col("p_partkey").alias("ingredient_id"), "name")
+
+
+def shelf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """invoice_id, line_id, name: every order line; every third line of an order repeats a product."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    placed = lines.withColumn("shelf", (F.col("l_orderkey") * 3 + (F.col("l_linenumber") % 3) * 5) % len(SHELF_FORMS))
+    return placed.select(F.col("l_orderkey").alias("invoice_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_id"), F.expr(SHELF_SQL).alias("name"))
+
+
+# Names of entries that are bought by the piece, or not: the text, whether by the piece, the grams and millilitres in it.
+PIECE_FORMS = (
+    ("Brioche bun {n} 80g", True, 80, None), ("{n} lata 33 cl", True, None, 330), ("Novilho {n} kg", False, None, None), ("Carne {n} 250 gr", False, 250, None), ("Pão {n}", True, None, None),
+    ("{n} 1,5 ml", True, None, 1.5), ("Farinha cx {n} 500g", True, 500, None), ("{n}", False, None, None),
+)
+#: Entries with units and quantities as older versions wrote them: names, quantities, units and prices in all combinations.
+PIECE_SQL = f"""
+    SELECT p_partkey AS ingredient_id, {_picked("p_partkey", [_joined(form[0], "p_name", "0") for form in PIECE_FORMS])} AS name, CAST(p_partkey % 10 AS DOUBLE) AS current_price,
+           CASE p_partkey DIV 8 % 6 WHEN 0 THEN 80.0D WHEN 1 THEN 1000.0D WHEN 2 THEN 1.0D WHEN 3 THEN 330.0D WHEN 4 THEN 1.5D END AS purchase_quantity,
+           CASE p_size % 3 WHEN 0 THEN 'g' WHEN 1 THEN 'un' END AS purchase_unit, CASE p_partkey DIV 8 % 5 WHEN 0 THEN 'g' WHEN 1 THEN ' ML ' WHEN 2 THEN 'kg' WHEN 3 THEN ' ' END AS base_unit,
+           'grams' AS unit, CASE p_size % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'un' END AS cost_base_unit FROM part"""
+
+
+def piece_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, "part", PIECE_SQL)
