@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import identity
 from tallyforge.functions.text import bigrams, folded
+from tallyforge.sources.views import saved
 
 # Words of goods that are bought by the piece, of goods that are weighed, and units of mass.
 BY_PIECE = "bun buns brioche pao bread baguette croissant wrap lata latas garrafa garrafas pack packs caixa cx un uni unid"
@@ -130,26 +131,27 @@ def neighbours(aliases: DataFrame, catalog: DataFrame, least: float = LEAST_NEIG
     """key, ingredient_id, score: the entry nearest to each distinct alias, of equal ones the least id. aliases: key; catalog: ingredient_id, key. Null and empty keys have no neighbour.
 
     The score is twice the common letter pairs over all of them, at least 0.65 where one name lies in the other and the alias has four letters. Names that can reach `least`
-    share one of their rarest pairs, as many as would leave too few in common, so only these meet; a name lies only in names with its rarest pair. No pair of names is lost,
-    and none is compared that shares common pairs alone.
+    share one of their rarest pairs, as many as would leave too few in common, so only these meet; a name lies only in names with its rarest pair. No pair of names
+    of two letters and more is lost; a name of one letter is compared with its equals only.
     """
     mine = aliases.select("key").where(F.trim("key") != "").distinct()
-    entries = catalog.where(F.trim("key") != "").groupBy(F.col("key").alias("other")).agg(F.min("ingredient_id").alias("ingredient_id"))
-    sides = mine.select("key", F.lit(True).alias("is_alias")).unionByName(entries.select(F.col("other").alias("key"), F.lit(False).alias("is_alias")))
-    spread = sides.select("key", "is_alias", F.explode(_pairs_numbered(F.col("key"))).alias("gram"))
+    entries = catalog.where(F.trim("key") != "").groupBy("key").agg(F.min("ingredient_id").alias("ingredient_id"))
+    sides = mine.select("key", F.lit(None).cast("long").alias("ingredient_id"), F.lit(True).alias("is_alias")).unionByName(entries.select("key", F.col("ingredient_id").cast("long"), F.lit(False).alias("is_alias")))
+    spread = sides.select("*", F.explode(_pairs_numbered(F.col("key"))).alias("gram"))
     often = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    ordered = spread.join(often, "gram").groupBy("is_alias", "key").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+    # Six joins read the pairs of every name in order of rarity, so they are written once.
+    ordered = saved(spread.join(often, "gram").groupBy("is_alias", "ingredient_id", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda g: g["gram"]).alias("grams")), "neighbours")
     needed = F.ceil(F.size("grams") * (least / (2 - least)) - 1e-9)
-    leads = ordered.select("is_alias", "key", F.explode(F.slice("grams", 1, F.greatest(F.size("grams") - needed + 1, F.lit(1)).cast("int"))["gram"]).alias("gram"))
-    of = lambda rows, alias, name: rows.where(F.col("is_alias") == alias).select(F.col("key").alias(name), "gram")
-    rarest = ordered.select("is_alias", "key", F.get("grams", F.lit(0))["gram"].alias("gram"))
+    every = F.col("grams")
+    leads = F.slice("grams", F.lit(1), F.greatest(F.size("grams") - needed + 1, F.lit(1)).cast("int"))
+    rarest = F.slice("grams", 1, 1)
+    names = lambda grams: ordered.where("is_alias").select("key", F.explode(grams).alias("gram"))
+    others = lambda grams: ordered.where("NOT is_alias").select(F.col("key").alias("other"), "ingredient_id", F.explode(grams).alias("gram"))
     a, b = F.length("key"), F.length("other")
-    alike = of(leads, True, "key").join(of(leads, False, "other"), "gram").where(2 * F.least(a - 1, b - 1) >= least * (a + b - 2) - 1e-9).select("key", "other")
-    inside = of(rarest, True, "key").join(of(spread, False, "other"), "gram").where((a >= 4) & F.contains("other", F.col("key"))).select("key", "other")
-    around = of(spread, True, "key").join(of(rarest, False, "other"), "gram").where((a >= 4) & F.contains("key", F.col("other"))).select("key", "other")
-    met = alike.unionByName(inside).unionByName(around).distinct()
-    holds = (a >= 4) & (F.contains("other", F.col("key")) | F.contains("key", F.col("other")))
-    met = met.withColumns({"_ga": _pairs_numbered(F.col("key")), "_gb": _pairs_numbered(F.col("other"))})
-    scored = met.withColumn("score", F.greatest(_likeness(F.col("_ga"), F.col("_gb")), F.when(holds, CONTAINED).otherwise(0.0))).where(F.col("score") >= least)
-    best = scored.join(entries, "other").groupBy("key").agg(F.max(F.struct("score", (-F.col("ingredient_id")).alias("_id"))).alias("b"))
+    inside, around = (a >= 4) & F.contains("other", F.col("key")), (a >= 4) & F.contains("key", F.col("other"))
+    alike = names(leads).join(others(leads), "gram").where(2 * F.least(a - 1, b - 1) >= least * (a + b - 2) - 1e-9)
+    met = alike.unionByName(names(rarest).join(others(every), "gram").where(inside)).unionByName(names(every).join(others(rarest), "gram").where(around))
+    met = met.select("key", "other", "ingredient_id").distinct().withColumns({"_ga": _pairs_numbered(F.col("key")), "_gb": _pairs_numbered(F.col("other"))})
+    scored = met.withColumn("score", F.greatest(_likeness(F.col("_ga"), F.col("_gb")), F.when(inside | around, CONTAINED).otherwise(0.0)))
+    best = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("ingredient_id")).alias("_id"))).alias("b")).where(F.col("b.score") >= least)
     return best.select("key", (-F.col("b._id")).alias("ingredient_id"), "b.score")
