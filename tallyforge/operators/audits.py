@@ -29,15 +29,17 @@ def _measured(frame: DataFrame) -> DataFrame:
     words = F.split(x, "[^a-z0-9_]+")
     size = F.regexp_extract(x, r"([0-9]+(?:[.,][0-9]+)?)\s*(?:grams?|grs?|g|ml|cl)\b", 1)
     unit = F.regexp_extract(x, r"[0-9]\s*(grams?|grs?|g|ml|cl)\b", 1)
-    amount = F.nullif(F.translate(F.nullif(size, F.lit("")), ",", ".").cast("double"), F.lit(0.0))
-    frame = frame.withColumns({
+    named = lambda known: F.arrays_overlap(words, F.array(*[F.lit(w) for w in known.split()]))
+    # The explosion keeps filters from being pushed below the reading of the name, which they would repeat.
+    read = F.struct(F.nullif(F.translate(F.nullif(size, F.lit("")), ",", ".").cast("double"), F.lit(0.0)).alias("amount"), unit.alias("unit"), named(BY_PIECE).alias("piece"), named(WEIGHED).alias("weighed"))
+    frame = frame.select("*", F.explode(F.array(read)).alias("_read"))
+    amount, unit = F.col("_read.amount"), F.col("_read.unit")
+    return frame.withColumns({
         "embedded_g": F.when(~unit.isin("ml", "cl"), amount), "embedded_ml": F.when(unit == "ml", amount).when(unit == "cl", amount * 10),
         "mass": F.lower(F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("base_unit", "purchase_unit", "unit")])).isin(*MASS_UNITS),
         "inferred": F.when(F.col("purchase_quantity") == 1000, "g").when(F.col("purchase_quantity") > 1000, "ml").otherwise("un"),
+        "by_piece": F.col("_read.piece") | (amount.isNotNull() & ~F.col("_read.weighed")),
     })
-    named = lambda known: F.arrays_overlap(words, F.array(*[F.lit(w) for w in known.split()]))
-    sized = F.col("embedded_g").isNotNull() | F.col("embedded_ml").isNotNull()
-    return frame.withColumn("by_piece", named(BY_PIECE) | (sized & ~named(WEIGHED)))
 
 
 def _divided() -> Column:
@@ -139,7 +141,7 @@ def neighbours(aliases: DataFrame, catalog: DataFrame, least: float = LEAST_NEIG
     sides = mine.select("key", F.lit(None).cast("long").alias("ingredient_id"), F.lit(True).alias("is_alias")).unionByName(entries.select("key", F.col("ingredient_id").cast("long"), F.lit(False).alias("is_alias")))
     spread = sides.select("*", F.explode(_pairs_numbered(F.col("key"))).alias("gram"))
     often = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # Six joins read the pairs of every name in order of rarity, so they are written once.
+    # All joins below read the pairs of every name in order of rarity, so they are written once.
     ordered = saved(spread.join(often, "gram").groupBy("is_alias", "ingredient_id", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda g: g["gram"]).alias("grams")), "neighbours")
     needed = F.ceil(F.size("grams") * (least / (2 - least)) - 1e-9)
     every = F.col("grams")
@@ -151,7 +153,8 @@ def neighbours(aliases: DataFrame, catalog: DataFrame, least: float = LEAST_NEIG
     inside, around = (a >= 4) & F.contains("other", F.col("key")), (a >= 4) & F.contains("key", F.col("other"))
     alike = names(leads).join(others(leads), "gram").where(2 * F.least(a - 1, b - 1) >= least * (a + b - 2) - 1e-9)
     met = alike.unionByName(names(rarest).join(others(every), "gram").where(inside)).unionByName(names(every).join(others(rarest), "gram").where(around))
-    met = met.select("key", "other", "ingredient_id").distinct().withColumns({"_ga": _pairs_numbered(F.col("key")), "_gb": _pairs_numbered(F.col("other"))})
+    met = met.select("key", "other", "ingredient_id").distinct()
+    met = met.join(ordered.where("is_alias").select("key", F.col("grams").alias("_ga")), "key").join(ordered.where("NOT is_alias").select(F.col("key").alias("other"), F.col("grams").alias("_gb")), "other")
     scored = met.withColumn("score", F.greatest(_likeness(F.col("_ga"), F.col("_gb")), F.when(inside | around, CONTAINED).otherwise(0.0)))
     best = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("ingredient_id")).alias("_id"))).alias("b")).where(F.col("b.score") >= least)
     return best.select("key", (-F.col("b._id")).alias("ingredient_id"), "b.score")
