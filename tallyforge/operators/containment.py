@@ -1,6 +1,6 @@
 """Names inside names: which names hold every word of another one, each anywhere in a word.
 
-No name meets all others. A word can only stand in words that have its rarest run of three letters, so words meet there first; a name then meets only the names that hold its
+No name meets all others. A word can only stand in words of which it is a piece, so words meet pieces of words by equality; a name then meets only the names that hold its
 rarest word, and is checked whole. Names and words are made distinct before they meet.
 """
 
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.text import tokens
 
-GRAM = 3
+#: Of longer words this many first letters are looked up; the rest is compared where they meet.
+PIECE = 32
 
 
 def _grams(word: Column, width: Column) -> Column:
@@ -19,35 +20,46 @@ def _grams(word: Column, width: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(word) - width + 1), lambda i: F.substring(word, i, width))
 
 
-def words_in_words(words: DataFrame) -> DataFrame:
-    """word, inside: every word with the words that it stands in, itself among them. words: a column word, distinct, not empty."""
-    width = F.least(F.length("word"), F.lit(GRAM))
-    every = words.select("word", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), width), lambda n: _grams(F.col("word"), n))))).alias("gram"))
-    often = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    own = words.select("word", F.explode(F.array_distinct(_grams(F.col("word"), width))).alias("gram")).join(often, "gram")
-    rarest = own.groupBy("word").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    met = rarest.join(every.select(F.col("word").alias("inside"), "gram"), "gram")
-    return met.where(F.contains("inside", F.col("word"))).select("word", "inside")
+def words_in_words(words: DataFrame, hosts: DataFrame) -> DataFrame:
+    """word, inside: every word with the hosts that it stands in. words, hosts: a column word, distinct, not empty.
 
+    A host is cut into pieces of those lengths only that some word has.
+    """
+    heads = words.select("word", F.substring("word", 1, PIECE).alias("piece"))
+    lengths = F.broadcast(heads.agg(F.collect_set(F.length("piece")).alias("lengths")))
+    cuts = F.transform(F.filter("lengths", lambda n: n <= F.length("word")), lambda n: _grams(F.col("word"), n))
+    pieces = hosts.crossJoin(lengths).select(F.col("word").alias("inside"), F.explode(F.array_distinct(F.flatten(cuts))).alias("piece"))
+    return heads.join(pieces, "piece").where((F.length("word") <= PIECE) | F.contains("inside", F.col("word"))).select("word", "inside")
 
-def contained(names: DataFrame) -> DataFrame:
-    """name, other: every pair of different names where each word of name stands in other. names: a column name; null and empty ones contain nothing and lie in nothing."""
-    known = names.select("name").where(F.length(F.trim("name")) > 0).distinct()
-    postings = known.select("name", F.explode(tokens(F.col("name"))).alias("word"))
-    words = postings.select("word").distinct()
-    inside = words_in_words(words)
-    held = inside.join(postings.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("word", "inside"), "inside").groupBy("word").agg(F.sum("n").alias("n_names"))
-    leads = postings.join(held, "word").groupBy("name").agg(F.min_by("word", F.struct("n_names", "word")).alias("word"))
-    hosts = postings.select(F.col("name").alias("other"), F.col("word").alias("inside"))
-    met = leads.join(inside, "word").join(hosts, "inside").select("name", "other").distinct()
-    return met.where((F.col("name") != F.col("other")) & F.forall(tokens(F.col("name")), lambda w: F.contains("other", w)))
+
+def contained(names: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """name, other: every pair of a name and a different host (of the names, without hosts) where each word of name stands in other.
+
+    names, hosts: a column name; null and empty ones contain nothing and lie in nothing.
+    """
+
+    def known(rows: DataFrame) -> DataFrame:
+        every = rows.select("name").where(F.length(F.trim("name")) > 0).distinct()
+        return every.select("name", F.explode(tokens(F.col("name"))).alias("word"))
+
+    wanted, held = known(names), known(names if hosts is None else hosts)
+    often = held.groupBy(F.col("word").alias("inside")).agg(F.count(F.lit(1)).alias("n"))
+    inside = words_in_words(wanted.select("word").distinct(), often.select(F.col("inside").alias("word")))
+    rarity = inside.join(often, "inside").groupBy("word").agg(F.sum("n").alias("n_names"))
+    # a word that stands nowhere rules its names out, so it must stay to be their rarest
+    ranked = wanted.join(rarity, "word", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n_names", F.lit(0)).alias("n_names"), "word")).alias("lead"))
+    leads = ranked.where(F.col("lead.n_names") > 0).select("name", "lead.word")
+    met = leads.join(inside, "word").join(held.select(F.col("name").alias("other"), F.col("word").alias("inside")), "inside")
+    # a host with several words around the lead is met at the first of them only
+    first = F.get(F.filter(tokens(F.col("other")), lambda w: F.contains(w, F.col("word"))), F.lit(0))
+    return met.where((F.col("name") != F.col("other")) & F.forall(tokens(F.col("name")), lambda w: F.contains("other", w)) & (F.col("inside") == first)).select("name", "other")
 
 
 def hidden_orphans(entries: DataFrame) -> DataFrame:
     """ingredient_id, name, by: entries without a use whose name lies in that of an entry in use, or equals it, with the least such entry. entries: ingredient_id, name, n_uses."""
     unused, used = entries.where(F.col("n_uses") == 0), entries.where(F.col("n_uses") > 0)
     by_name = used.groupBy(F.col("name").alias("other")).agg(F.min("ingredient_id").alias("by"))
-    pairs = contained(entries.select("name")).join(unused.select("name").distinct(), "name", "left_semi")
+    pairs = contained(unused, used)
     same = unused.select("name", F.col("name").alias("other")).distinct()
     host = pairs.unionByName(same).join(by_name, "other").groupBy("name").agg(F.min("by").alias("by"))
     return unused.join(host, "name").select("ingredient_id", "name", "by")
