@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import folded
@@ -229,6 +229,17 @@ def structure(text: Column) -> Column:
     return F.when(text.isNotNull(), _let(tokens(text), parsed))
 
 
+def read_once(rows: DataFrame, name: str) -> DataFrame:
+    """The rows with s, the structure of the text in the column name. Each distinct text is read once, in as many tasks as the session shuffles into or has cores for; null texts stay, with a null s."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # few bytes, but long to read: a fixed number of partitions is not merged into one
+    distinct = rows.select(F.col(name).alias("_text")).where(F.col(name).isNotNull()).distinct().repartition(tasks, "_text")
+    # a generator works the structure out once a row, however many of its fields are used
+    read = distinct.select("_text", F.explode(F.array(structure(F.col("_text")))).alias("s"))
+    return rows.join(read, rows[name] == read["_text"], "left").drop("_text")
+
+
 def usable_cost(unit_price: Column, parsed: Column) -> Column:
     """Price of a kilogram, litre or piece of what the pack holds."""
     per = F.when(parsed["usable_unit"].isin("g", "ml"), 1000.0).otherwise(1.0)
