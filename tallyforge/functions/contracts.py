@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import packs, units, weights
-from tallyforge.functions.text import folded
+from tallyforge.functions.text import bound, folded
 
 # Words of preservation, of preparation by the form that they stand for, and of drinks; the dearest plausible litre, the smallest plausible pack.
 PRESERVED = ("em conserva", "conserva", "pickled", "escabeche", "em salmoura", "frasco", "jar", "lata", "canned", "embalagem")
@@ -51,8 +51,10 @@ def ruling_form(found: Column) -> Column:
 
 
 def form(name: Column) -> Column:
-    """The preparation that the name tells of, `none` without one."""
-    return ruling_form(forms_found(_padded(name)))
+    """The preparation that the name tells of, `none` without one. Most names tell of none, which one pattern finds; the others' words are bound in an array, so they are found once."""
+    phrases = "|".join(p for found in FORMS.values() for p in found)
+    told = lambda words: F.when(F.rlike(words, F.lit(f" (?:{phrases}) ")), bound(forms_found(words), ruling_form)).otherwise("none")
+    return bound(_padded(name), told)
 
 
 def described(rows: DataFrame, name: str = "printed", unit: str = "unit") -> DataFrame:

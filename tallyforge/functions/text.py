@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ UNIT_WORDS = r"(?:kg|g|gr|mg|l|lt|cl|dl|ml|un|uni|unid|pcs|cx|sc|emb|pack)"
 LEGAL_SUFFIXES = r"(?:lda|ltda|sa|s\.a|unipessoal|inc|llc|ltd|gmbh)"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, and read by lambda: long chains of patterns written out in one generated method grow past what the virtual machine compiles, and run ten times slower."""
+    return F.transform(F.array(value), use)[0]
+
+
 def folded(x: Column) -> Column:
     """Lower case without the marks of Latin letters."""
     return F.translate(F.lower(x), ACCENTED, PLAIN)
@@ -25,12 +32,16 @@ def simple_key(name: Column) -> Column:
 
 def canonical_key(name: Column) -> Column:
     """The simple key without packs, sizes, unit words, numbers and punctuation."""
-    x = simple_key(name)
-    x = F.regexp_replace(x, r"[0-9]+(?:[.,][0-9]+)?\s*[x*]\s*[0-9]+(?:[.,][0-9]+)?", " ")
-    x = F.regexp_replace(x, rf"(?:^|(?<=\s))[0-9]+(?:[.,][0-9]+)?\s*{UNIT_WORDS}?(?=\s|$)", " ")
-    x = F.regexp_replace(x, r"[^a-z0-9 ]+", " ")
-    x = F.regexp_replace(x, rf"(?:^|(?<=\s)){UNIT_WORDS}(?=\s|$)", " ")
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+    def cleaned(x: Column) -> Column:
+        x = simple_key(x)
+        x = F.regexp_replace(x, r"[0-9]+(?:[.,][0-9]+)?\s*[x*]\s*[0-9]+(?:[.,][0-9]+)?", " ")
+        x = F.regexp_replace(x, rf"(?:^|(?<=\s))[0-9]+(?:[.,][0-9]+)?\s*{UNIT_WORDS}?(?=\s|$)", " ")
+        x = F.regexp_replace(x, r"[^a-z0-9 ]+", " ")
+        x = F.regexp_replace(x, rf"(?:^|(?<=\s)){UNIT_WORDS}(?=\s|$)", " ")
+        return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+    return bound(name, cleaned)
 
 
 def supplier_key(name: Column) -> Column:
@@ -42,9 +53,13 @@ def supplier_key(name: Column) -> Column:
 
 def fingerprint(key: Column) -> Column:
     """What is left of a key without its first word, numbers, unit words and blanks: mostly the brand."""
-    x = F.regexp_replace(key, r"^\S+\s+", "")
-    x = F.regexp_replace(x, rf"(?:^|(?<=\s))(?:[0-9.,]+|{UNIT_WORDS}|de|da|do|com|em)(?=\s|$)", " ")
-    return F.regexp_replace(x, r"\s+", "")
+
+    def cleaned(x: Column) -> Column:
+        x = F.regexp_replace(x, r"^\S+\s+", "")
+        x = F.regexp_replace(x, rf"(?:^|(?<=\s))(?:[0-9.,]+|{UNIT_WORDS}|de|da|do|com|em)(?=\s|$)", " ")
+        return F.regexp_replace(x, r"\s+", "")
+
+    return bound(key, cleaned)
 
 
 def bigrams(x: Column) -> Column:
@@ -56,14 +71,19 @@ def bigrams(x: Column) -> Column:
 
 def dice(a: Column, b: Column) -> Column:
     """Twice the common character pairs, counted with repeats, over all pairs; 1 for equal texts, 0 where one has no pair."""
-    x, y = bigrams(a), bigrams(b)
 
     def count(pairs: Column, g: Column) -> Column:
         return F.size(F.filter(pairs, lambda p: p == g))
 
-    common = F.aggregate(F.array_distinct(x), F.lit(0), lambda acc, g: acc + F.least(count(x, g), count(y, g)))
-    total = F.size(x) + F.size(y)
-    return F.when(a == b, 1.0).when((F.size(x) > 0) & (F.size(y) > 0), 2.0 * common / total).otherwise(0.0)
+    def compared(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        # where one side repeats no pair, a common pair counts once
+        once = (F.size(F.array_distinct(x)) == F.size(x)) | (F.size(F.array_distinct(y)) == F.size(y))
+        repeated = F.aggregate(F.array_distinct(x), F.lit(0), lambda acc, g: acc + F.least(count(x, g), count(y, g)))
+        common = F.when(once, F.size(F.array_intersect(x, y))).otherwise(repeated)
+        return F.when((F.size(x) > 0) & (F.size(y) > 0), 2.0 * common / (F.size(x) + F.size(y))).otherwise(0.0)
+
+    return F.when(a == b, 1.0).otherwise(bound(F.struct(bigrams(a).alias("x"), bigrams(b).alias("y")), compared))
 
 
 def tokens(x: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.contracts import form
 from tallyforge.functions.text import dice, fingerprint, tokens
 from tallyforge.sources.tables import alias_key
+from tallyforge.sources.views import saved
 
 
 #: Fingerprints shorter than this say too little to be compared by edits.
@@ -75,14 +76,14 @@ def similar_entries(lines: DataFrame, catalog: DataFrame, share: float = 0.5) ->
     weight = lambda d: F.floor(1000 * F.log(1 + n / d)).cast("long")
     weights_ = df.select("word", weight(F.col("df")).alias("weight"))
     unseen = math.floor(1000 * math.log(1 + n))
-    mine = _weighed(lines.select("key").distinct(), weights_, unseen, share)
-    theirs = _weighed(entries.select("key").distinct(), weights_, unseen, share).toDF("other", "their_bag", "their_whole", "their_lead")
-    met = mine.select("key", "whole", F.explode("lead").alias("word")).join(theirs.select("other", "their_whole", F.explode("their_lead").alias("word")), "word")
-    near = met.where((F.col("whole") >= share * F.col("their_whole")) & (F.col("their_whole") >= share * F.col("whole"))).select("key", "other").distinct()
+    # forms are read once a text, not once a pair
+    mine = _weighed(lines.select("key").distinct(), weights_, unseen, share).withColumn("form", form(F.col("key")))
+    theirs = _weighed(entries.select("key").distinct(), weights_, unseen, share).withColumn("form", form(F.col("key"))).toDF("other", "their_bag", "their_whole", "their_lead", "their_form")
+    met = mine.select("key", "whole", "form", F.explode("lead").alias("word")).join(theirs.select("other", "their_whole", "their_form", F.explode("their_lead").alias("word")), "word")
+    near = met.where((F.col("form") == F.col("their_form")) & (F.col("whole") >= share * F.col("their_whole")) & (F.col("their_whole") >= share * F.col("whole"))).select("key", "other").distinct()
     both = near.join(mine.drop("lead"), "key").join(theirs.drop("their_lead"), "other")
     common = F.aggregate(F.array_intersect("bag", "their_bag"), F.lit(0).cast("long"), lambda s, t: s + t["weight"])
     both = both.withColumn("common", common).withColumn("every", F.col("whole") + F.col("their_whole") - F.col("common")).where(F.col("common") >= share * F.col("every"))
-    both = both.where(form(F.col("key")) == form(F.col("other")))
     scored = both.select("key", "other", (F.col("common") / F.col("every")).alias("overlap"), dice(F.col("key"), F.col("other")).alias("dice"))
     scored = scored.withColumn("score", 0.6 * F.col("overlap") + 0.4 * F.col("dice"))
     return scored.join(entries.withColumnRenamed("key", "other"), "other").select("key", "ingredient_id", "overlap", "dice", "score")
@@ -95,7 +96,8 @@ def cascade(lines: DataFrame, catalog: DataFrame, aliases: DataFrame, overrides:
     entry of the same key, the best scored entry (semantic or operational). Rejected pairs never match. An alias that names several entries answers nothing.
     lines: line_id, supplier_name, key; catalog: ingredient_id, key; aliases: supplier_name, normalized_alias, ingredient_id; overrides and rejected: supplier_name, key, ingredient_id.
     """
-    asked = lines.select("supplier_name", "key").distinct()
+    # every stage reads these, so keys are worked out and made distinct once
+    asked = saved(lines.select("supplier_name", "key").distinct(), "asked")
     named = aliases.withColumn("lookup", alias_key(F.col("normalized_alias"), F.col("supplier_name"))).groupBy("lookup").agg(F.min("ingredient_id").alias("ingredient_id"), F.max("ingredient_id").alias("last"))
     named = named.where(F.col("ingredient_id") == F.col("last")).select("lookup", "ingredient_id")
     scoped = asked.withColumn("lookup", alias_key(F.col("key"), F.col("supplier_name"))).join(named, "lookup")

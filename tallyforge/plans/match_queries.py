@@ -11,9 +11,13 @@ from tallyforge.sources import texts, views
 from tallyforge.sources.views import INGREDIENT_TYPES, table
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = texts.written_names(spark, sf_dir)
-    return rows.select("*", text.canonical_key(F.col("text")).alias("key"))
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key: of every distinct text. Texts are made before the exchange and read behind it: one stage of both is code too long for the virtual machine to compile."""
+    return texts.written_names(spark, sf_dir).select("text").distinct().select(text.canonical_key(F.col("text")).alias("key"))
+
+
+def _keyed(names: DataFrame) -> DataFrame:
+    return names.select("*", text.canonical_key(F.col("text")).alias("key"))
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +27,8 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alias_fuzzy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that a confirmed alias of their supplier is within two edits of."""
-    return matching.fuzzy_aliases(_lines(spark, sf_dir), texts.written_aliases(spark, sf_dir).where("confirmed"))
+    names = views.saved(texts.written_names(spark, sf_dir), "names")
+    return matching.fuzzy_aliases(_keyed(names), texts.written_aliases(spark, sf_dir, names).where("confirmed"))
 
 
 def alias_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,21 +44,22 @@ def ownership_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct name with the entries that it shares half its weight with, and what the score is made of."""
-    return matching.similar_entries(_lines(spark, sf_dir), _catalog(spark, sf_dir))
+    return matching.similar_entries(_keys(spark, sf_dir), _catalog(spark, sf_dir))
 
 
 def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entry of every name that a supplier writes. Every third house blend was named by a user; of plain names each tenth part was rejected."""
-    rows = _lines(spark, sf_dir)
+    names = views.saved(texts.written_names(spark, sf_dir), "names")
+    rows = _keyed(names)
     own = rows.where("is_entry").select("form", "part_id", "supplier_name", "key", F.col("part_id").alias("ingredient_id"))
     named = own.where("form = 7 AND part_id % 3 = 0").groupBy("supplier_name", "key").agg(F.min("ingredient_id").alias("ingredient_id"))
     refused = own.where("form = 0 AND part_id % 10 = 0").select("supplier_name", "key", "ingredient_id")
-    return matching.cascade(rows.select("line_id", "supplier_name", "key"), _catalog(spark, sf_dir), texts.written_aliases(spark, sf_dir).where("confirmed"), named, refused)
+    return matching.cascade(rows.select("line_id", "supplier_name", "key"), _catalog(spark, sf_dir), texts.written_aliases(spark, sf_dir, names).where("confirmed"), named, refused)
 
 
 def contained_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct name that a supplier writes with the names that hold all its words."""
-    return containment.contained(_lines(spark, sf_dir).select(F.col("key").alias("name")))
+    return containment.contained(_keys(spark, sf_dir).select(F.col("key").alias("name")))
 
 
 def hidden_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
