@@ -1,7 +1,8 @@
 """Names inside names: which names hold every word of another one, each anywhere in a word.
 
 No name meets all others. A word can only stand in words of which it is a piece, so words meet pieces of words by equality; a name then meets only the names that hold its
-rarest word, and is checked whole. Names and words are made distinct before they meet.
+rarest word, and is checked whole. Names and words are made distinct before they meet. Both sides of the joins grow with the names, so they are merged: files of names
+are small for the rows in them, and a side taken for small would be sent through the driver.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def words_in_words(words: DataFrame, hosts: DataFrame) -> DataFrame:
     lengths = F.broadcast(heads.agg(F.collect_set(F.length("piece")).alias("lengths")))
     cuts = F.transform(F.filter("lengths", lambda n: n <= F.length("word")), lambda n: _grams(F.col("word"), n))
     pieces = hosts.crossJoin(lengths).select(F.col("word").alias("inside"), F.explode(F.array_distinct(F.flatten(cuts))).alias("piece"))
-    return heads.join(pieces, "piece").where((F.length("word") <= PIECE) | F.contains("inside", F.col("word"))).select("word", "inside")
+    return heads.join(pieces.hint("merge"), "piece").where((F.length("word") <= PIECE) | F.contains("inside", F.col("word"))).select("word", "inside")
 
 
 def contained(names: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
@@ -45,11 +46,11 @@ def contained(names: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
     wanted, held = known(names), known(names if hosts is None else hosts)
     often = held.groupBy(F.col("word").alias("inside")).agg(F.count(F.lit(1)).alias("n"))
     inside = words_in_words(wanted.select("word").distinct(), often.select(F.col("inside").alias("word")))
-    rarity = inside.join(often, "inside").groupBy("word").agg(F.sum("n").alias("n_names"))
+    rarity = inside.join(often.hint("merge"), "inside").groupBy("word").agg(F.sum("n").alias("n_names"))
     # a word that stands nowhere rules its names out, so it must stay to be their rarest
-    ranked = wanted.join(rarity, "word", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n_names", F.lit(0)).alias("n_names"), "word")).alias("lead"))
+    ranked = wanted.join(rarity.hint("merge"), "word", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n_names", F.lit(0)).alias("n_names"), "word")).alias("lead"))
     leads = ranked.where(F.col("lead.n_names") > 0).select("name", "lead.word")
-    met = leads.join(inside, "word").join(held.select(F.col("name").alias("other"), F.col("word").alias("inside")), "inside")
+    met = leads.join(inside.hint("merge"), "word").join(held.select(F.col("name").alias("other"), F.col("word").alias("inside")).hint("merge"), "inside")
     # a host with several words around the lead is met at the first of them only
     first = F.get(F.filter(tokens(F.col("other")), lambda w: F.contains(w, F.col("word"))), F.lit(0))
     return met.where((F.col("name") != F.col("other")) & F.forall(tokens(F.col("name")), lambda w: F.contains("other", w)) & (F.col("inside") == first)).select("name", "other")
@@ -61,5 +62,5 @@ def hidden_orphans(entries: DataFrame) -> DataFrame:
     by_name = used.groupBy(F.col("name").alias("other")).agg(F.min("ingredient_id").alias("by"))
     pairs = contained(unused, used)
     same = unused.select("name", F.col("name").alias("other")).distinct()
-    host = pairs.unionByName(same).join(by_name, "other").groupBy("name").agg(F.min("by").alias("by"))
-    return unused.join(host, "name").select("ingredient_id", "name", "by")
+    host = pairs.unionByName(same).join(by_name.hint("merge"), "other").groupBy("name").agg(F.min("by").alias("by"))
+    return unused.join(host.hint("merge"), "name").select("ingredient_id", "name", "by")
