@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import tokens
+from tallyforge.sources.views import saved
 
 #: Of longer words this many first letters are looked up; the rest is compared where they meet.
 PIECE = 32
@@ -45,15 +46,19 @@ def contained(names: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
 
     wanted, held = known(names), known(names if hosts is None else hosts)
     often = held.groupBy(F.col("word").alias("inside")).agg(F.count(F.lit(1)).alias("n"))
-    inside = words_in_words(wanted.select("word").distinct(), often.select(F.col("inside").alias("word")))
+    # read twice
+    inside = saved(words_in_words(wanted.select("word").distinct(), often.select(F.col("inside").alias("word"))), "words")
     rarity = inside.join(often.hint("merge"), "inside").groupBy("word").agg(F.sum("n").alias("n_names"))
     # a word that stands nowhere rules its names out, so it must stay to be their rarest
-    ranked = wanted.join(rarity.hint("merge"), "word", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n_names", F.lit(0)).alias("n_names"), "word")).alias("lead"))
-    leads = ranked.where(F.col("lead.n_names") > 0).select("name", "lead.word")
+    counted = wanted.join(rarity.hint("merge"), "word", "left").groupBy("name").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n_names", F.lit(0)).alias("n_names"), "word"))).alias("words"))
+    rarest = lambda k: F.get("words", F.lit(k))
+    leads = counted.where(rarest(0)["n_names"] > 0).select("name", rarest(0)["word"].alias("word"), F.coalesce(rarest(1)["word"], rarest(0)["word"]).alias("next"), F.transform("words", lambda w: w["word"]).alias("words"))
     met = leads.join(inside.hint("merge"), "word").join(held.select(F.col("name").alias("other"), F.col("word").alias("inside")).hint("merge"), "inside")
+    # most of those that meet lack the next rarest word, which is the cheapest to look up
+    whole = F.contains("other", F.col("next")) & (F.col("name") != F.col("other")) & F.forall("words", lambda w: F.contains("other", w))
     # a host with several words around the lead is met at the first of them only
     first = F.get(F.filter(tokens(F.col("other")), lambda w: F.contains(w, F.col("word"))), F.lit(0))
-    return met.where((F.col("name") != F.col("other")) & F.forall(tokens(F.col("name")), lambda w: F.contains("other", w)) & (F.col("inside") == first)).select("name", "other")
+    return met.where(whole & (F.col("inside") == first)).select("name", "other")
 
 
 def hidden_orphans(entries: DataFrame) -> DataFrame:

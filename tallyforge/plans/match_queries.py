@@ -13,7 +13,7 @@ from tallyforge.sources.views import INGREDIENT_TYPES, table
 
 def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key: of every distinct text. Texts are made before the exchange and read behind it: one stage of both is code too long for the virtual machine to compile."""
-    return texts.written_names(spark, sf_dir).select("text").distinct().select(text.canonical_key(F.col("text")).alias("key"))
+    return texts.written_texts(spark, sf_dir).select(text.canonical_key(F.col("text")).alias("key"))
 
 
 def _keyed(names: DataFrame) -> DataFrame:
@@ -59,7 +59,8 @@ def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contained_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct name that a supplier writes with the names that hold all its words."""
-    return containment.contained(_keys(spark, sf_dir).select(F.col("key").alias("name")))
+    # written, as a filter on keys would be pushed below the distinct texts, and keys are read several times
+    return containment.contained(views.saved(_keys(spark, sf_dir).select(F.col("key").alias("name")).distinct(), "keys"))
 
 
 def hidden_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyforge.operators import containment
-from tallyforge.sources import views
+from tallyforge.sources import texts, views
 from tests.conftest import SMALL
 
 
@@ -25,3 +25,17 @@ def test_ranked_rows_are_not_broadcast(spark):
     assert "BuildLeft" not in plan(ranked.where("ix < 5"))
     assert ranked.where("k <> 3 * ix").isEmpty()
     assert plan(views.recipe_edges(spark, SMALL)).count("BroadcastHashJoin [_bucket") == plan(views.recipe_edges(spark, SMALL)).count("BroadcastHashJoin")
+
+
+def test_texts_of_a_part_are_spelt_once(spark):
+    """However many suppliers sell a part, it is spelt eight times at most, and no text is lost."""
+    every = texts.written_names(spark, SMALL).select("text").distinct()
+    once = texts.written_texts(spark, SMALL)
+    assert once.count() == every.count() == once.join(every, "text", "left_semi").count()
+
+
+def test_names_of_one_word_and_equal_words(spark):
+    names = ["palha", "palha doce", "doce palha", "doce", "x", "", None, "palhada docemente", "palha palha"]
+    got = {tuple(r) for r in containment.contained(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    known = [n for n in names if n]
+    assert got == {(a, b) for a in known for b in known if a != b and all(w in b for w in a.split())}
