@@ -5,7 +5,7 @@ Rules over whole dictionaries: each step is a column of its own, so that the nex
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import contracts, weights
@@ -193,9 +193,16 @@ def described(names: DataFrame, wanted: tuple[str, ...] = TOLD) -> DataFrame:
     return rows.select("name", F.explode(F.array(F.struct(*wanted))).alias("told")).select("name", "told.*")
 
 
+def reading_tasks(spark: SparkSession) -> int:
+    """In how many tasks texts are read: as many as the session shuffles into or has cores for."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def read_once(rows: DataFrame, name: str, **wanted: str) -> DataFrame:
     """The rows with what `described` tells of a name, by new column names; each distinct name is read once. Null and empty names are kept, with nulls."""
-    known = described(rows.select(F.col(name).alias("name")).where(F.trim("name") != "").distinct())
+    # few bytes, but long to read: a fixed number of partitions is not merged into one
+    distinct = rows.select(F.col(name).alias("name")).where(F.trim("name") != "").distinct().repartition(reading_tasks(rows.sparkSession), "name")
+    known = described(distinct, tuple(dict.fromkeys(wanted.values())))
     return rows.join(known.select(F.col("name").alias("_name"), *[F.col(c).alias(k) for k, c in wanted.items()]), F.col(name) == F.col("_name"), "left").drop("_name")
 
 

@@ -100,13 +100,16 @@ def alias_findings(aliases: DataFrame) -> DataFrame:
     """alias_id, ingredient_id, confidence, reasons, suspicious: how plausible it is that an alias means its entry. aliases: alias_id, alias_name, ingredient_id, name.
 
     Equal names are sure. Names that share words, letter pairs or words of food are likely unless their kinds of food exclude each other; others are doubted, with the reasons.
-    Aliases without a text are left out; an entry without a name is called by its id. Each distinct name is read once.
+    Aliases without a text are left out; an entry without a name is called by its id. Each distinct name is read once, each distinct pair of names compared once.
     """
-    rows = aliases.where(F.trim("alias_name") != "").withColumn("name", F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.col("ingredient_id").cast("string")))
+    named = aliases.where(F.trim("alias_name") != "").withColumn("name", F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.col("ingredient_id").cast("string")))
+    rows = saved(named.select("alias_name", "name").distinct(), "pairs")
     core = F.array(*[F.lit(w) for known in identity.FOOD_WORDS.values() for w in known.split()])
     packing = F.array(*[F.lit(w) for w in PACKING.split()])
     bag = lambda words: F.filter(F.array_distinct(F.array_except(words, packing)), lambda w: (F.length(w) >= 2) & ~F.rlike(w, F.lit("^[0-9]+x[0-9]+$")))
     rows = identity.read_once(identity.read_once(rows, "alias_name", _a="expanded"), "name", _c="words")
+    # few bytes, but long to compare: a fixed number of partitions is not merged into one
+    rows = rows.repartition(identity.reading_tasks(rows.sparkSession), "alias_name", "name")
     rows = rows.withColumns({"_ta": bag(F.col("_a")), "_tc": bag(F.col("_c")), "_sa": F.array_join("_a", " "), "_sc": F.array_join("_c", " ")})
     rows = rows.withColumns({"_ga": _pairs_numbered(F.col("_sa")), "_gc": _pairs_numbered(F.col("_sc"))})
     rows = rows.withColumns({
@@ -126,7 +129,9 @@ def alias_findings(aliases: DataFrame) -> DataFrame:
         F.array_compact(F.array(F.when(jaccard < 0.12, F.lit("low_token_jaccard")), F.when(likeness < 0.3, F.lit("low_string_similarity")))),
     )
     reasons = F.when(same | likely, "").otherwise(F.coalesce(F.array_join(doubts, ","), F.lit("")))
-    return rows.select("alias_id", "ingredient_id", confidence.alias("confidence"), reasons.alias("reasons"), (confidence < VERY_LOW).alias("suspicious"))
+    told = saved(rows.select(F.col("alias_name").alias("_alias"), F.col("name").alias("_name"), confidence.alias("confidence"), reasons.alias("reasons"), (confidence < VERY_LOW).alias("suspicious")), "told")
+    met = named.join(told.hint("merge"), (F.col("alias_name") == F.col("_alias")) & F.col("name").eqNullSafe(F.col("_name")))
+    return met.select("alias_id", "ingredient_id", "confidence", "reasons", "suspicious")
 
 
 def neighbours(aliases: DataFrame, catalog: DataFrame, least: float = LEAST_NEIGHBOUR) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import containment
+from tallyforge.functions import identity
+from tallyforge.operators import audits, containment
 from tallyforge.sources import texts, views
 from tests.conftest import SMALL
 
@@ -39,3 +40,13 @@ def test_names_of_one_word_and_equal_words(spark):
     got = {tuple(r) for r in containment.contained(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
     known = [n for n in names if n]
     assert got == {(a, b) for a in known for b in known if a != b and all(w in b for w in a.split())}
+
+
+def test_names_are_compared_once_a_pair(spark):
+    """Texts are read, and pairs compared, in a fixed number of tasks; entries without a name are kept."""
+    rows = [(k, "bat palha" if k % 2 else "molho", k % 3, None if k % 5 == 0 else "Batata palha") for k in range(600)] + [(700, " ", 1, "x"), (701, "molho", None, None)]
+    found = audits.alias_findings(spark.createDataFrame(rows, "alias_id int, alias_name string, ingredient_id int, name string"))
+    assert found.count() == 601
+    assert found.select("confidence", "reasons").distinct().count() <= 8
+    read = identity.read_once(spark.createDataFrame([("molho",)] * 9, "name string"), "name", said="words")
+    assert "REPARTITION_BY_NUM" in plan(read)
