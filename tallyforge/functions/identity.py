@@ -200,8 +200,8 @@ def reading_tasks(spark: SparkSession) -> int:
 
 def read_once(rows: DataFrame, name: str, **wanted: str) -> DataFrame:
     """The rows with what `described` tells of a name, by new column names; each distinct name is read once. Null and empty names are kept, with nulls."""
-    # few bytes, but long to read: a fixed number of partitions is not merged into one
-    distinct = rows.select(F.col(name).alias("name")).where(F.trim("name") != "").distinct().repartition(reading_tasks(rows.sparkSession), "name")
+    # few bytes, but long to read: a fixed number of partitions is not merged into one; by the name it would be taken for the exchange of the distinct and left out
+    distinct = rows.select(F.col(name).alias("name")).where(F.trim("name") != "").distinct().repartition(reading_tasks(rows.sparkSession))
     known = described(distinct, tuple(dict.fromkeys(wanted.values())))
     return rows.join(known.select(F.col("name").alias("_name"), *[F.col(c).alias(k) for k, c in wanted.items()]), F.col(name) == F.col("_name"), "left").drop("_name")
 

@@ -109,7 +109,7 @@ def alias_findings(aliases: DataFrame) -> DataFrame:
     bag = lambda words: F.filter(F.array_distinct(F.array_except(words, packing)), lambda w: (F.length(w) >= 2) & ~F.rlike(w, F.lit("^[0-9]+x[0-9]+$")))
     rows = identity.read_once(identity.read_once(rows, "alias_name", _a="expanded"), "name", _c="words")
     # few bytes, but long to compare: a fixed number of partitions is not merged into one
-    rows = rows.repartition(identity.reading_tasks(rows.sparkSession), "alias_name", "name")
+    rows = rows.repartition(identity.reading_tasks(rows.sparkSession))
     rows = rows.withColumns({"_ta": bag(F.col("_a")), "_tc": bag(F.col("_c")), "_sa": F.array_join("_a", " "), "_sc": F.array_join("_c", " ")})
     rows = rows.withColumns({"_ga": _pairs_numbered(F.col("_sa")), "_gc": _pairs_numbered(F.col("_sc"))})
     rows = rows.withColumns({

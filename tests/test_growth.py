@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from tallyforge.functions import identity
-from tallyforge.operators import audits, containment
+from tallyforge.operators import audits, containment, reviews
+from tallyforge.plans import cost_queries, upkeep_queries
 from tallyforge.sources import texts, views
+from tallyforge.streaming import chain_store
 from tests.conftest import SMALL
 
 
