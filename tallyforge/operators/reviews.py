@@ -25,16 +25,14 @@ def newest_points(rows: DataFrame, order: Sequence[str], points: int = 100) -> D
 
 def price_extremes(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """Each ingredient's cheapest and dearest purchase; of equal prices the earliest counts."""
-    at = F.struct(*order)
-    sound = rows.where(F.col("unit_price") > 0)
-    found = sound.groupBy("ingredient_id").agg(
-        F.min(F.struct("unit_price", at.alias("at"), "supplier_name")).alias("low"), F.max("unit_price").alias("most")
-    )
-    dear = sound.join(found.select("ingredient_id", "most"), "ingredient_id").where(F.col("unit_price") == F.col("most"))
-    high = dear.groupBy("ingredient_id").agg(F.min(F.struct(at.alias("at"), "supplier_name")).alias("high"))
-    return found.join(high, "ingredient_id").select(
-        "ingredient_id", F.col("low.unit_price").alias("low_price"), F.col("low.supplier_name").alias("low_supplier"),
-        F.col("most").alias("high_price"), F.col("high.supplier_name").alias("high_supplier"),
+    # The rows are moved once, by ingredient: both steps group inside what lies there.
+    sound = rows.where(F.col("unit_price") > 0).select("ingredient_id", "unit_price", F.struct(F.struct(*order).alias("at"), "supplier_name").alias("first")).repartition("ingredient_id")
+    prices = sound.groupBy("ingredient_id", "unit_price").agg(F.min("first").alias("first"))
+    price = F.struct("unit_price", "first")
+    found = prices.groupBy("ingredient_id").agg(F.min(price).alias("low"), F.max(price).alias("high"))
+    return found.select(
+        "ingredient_id", F.col("low.unit_price").alias("low_price"), F.col("low.first.supplier_name").alias("low_supplier"),
+        F.col("high.unit_price").alias("high_price"), F.col("high.first.supplier_name").alias("high_supplier"),
     )
 
 

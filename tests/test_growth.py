@@ -64,3 +64,11 @@ def test_shelf_names_compile(spark):
     assert max(s._3().maxMethodCodeSize() for s in stats) <= 8000
     names = spark.range(-1, 17).select(F.col("id").alias("shelf"), F.when(F.col("id") != 16, F.lit("x")).alias("p_name")).select("shelf", F.expr(texts.SHELF_SQL).alias("name")).collect()
     assert {r.shelf: r.name for r in names} == {k: form[0].replace("{n}", "x") for k, form in enumerate(texts.SHELF_FORMS[:16])} | {-1: None, 16: None}
+
+
+def test_extremes_move_rows_once(spark):
+    rows = [(1, 2.0, 3, "b"), (1, 2.0, 1, "c"), (1, 5.0, 9, "d"), (1, 5.0, 4, "e"), (1, -1.0, 0, "x"), (2, 7.0, 1, "f"), (3, None, 1, "g")]
+    found = reviews.price_extremes(spark.createDataFrame(rows, "ingredient_id int, unit_price double, chrono int, supplier_name string"), ["chrono"])
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2.0, "c", 5.0, "e"), (2, 7.0, "f", 7.0, "f")]
+    final = plan(found).split("Initial Plan")[0]
+    assert "Join" not in final and final.count("Exchange hashpartitioning") == 1
