@@ -33,7 +33,7 @@ def quantity_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ingredient_id, unit_cost, priced_in, piece_grams, piece_ml, density: each third ingredient is priced by the piece, the others by what their pack holds."""
-    rows = texts.purchase_phrases(spark, sf_dir).where(F.col("line") == 0).select("id", "price", F.explode(F.array(packs.structure(F.col("phrase")))).alias("s"))
+    rows = packs.read_once(texts.part_phrases(spark, sf_dir), "phrase").select("id", "price", "s")
     by_piece = F.col("id") % 3 == 0
     piece = F.col("s.usable") / (F.col("s.bought") * F.coalesce("s.inner", F.lit(1.0)))
     return rows.select(

@@ -72,3 +72,9 @@ def test_extremes_move_rows_once(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, 2.0, "c", 5.0, "e"), (2, 7.0, "f", 7.0, "f")]
     final = plan(found).split("Initial Plan")[0]
     assert "Join" not in final and final.count("Exchange hashpartitioning") == 1
+
+
+def test_phrases_of_parts_read_no_documents(spark):
+    told = cost_queries._priced(spark, SMALL)
+    assert not any("documents" in f for f in told.inputFiles())
+    assert "REPARTITION_BY_NUM" in plan(told)
