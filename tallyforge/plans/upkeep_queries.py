@@ -56,13 +56,15 @@ def prep_servings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streaming_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chains after documents came late, twice, corrected and deleted, in several micro-batches."""
+    """The chains after documents came late, twice, corrected and deleted, in several micro-batches: as many however long the log is, with files and buckets that grow in number, not in size."""
     folder = views.shared_folder(spark, "arrivals")
     rows = texts.arrivals(spark, sf_dir)
+    n = table(spark, sf_dir, "events").count()
+    files, buckets = 1 + n // 400_000, 8 + n // 100_000
     for k in range(texts.ARRIVALS):
-        rows.where(F.col("arrival") == k).drop("arrival").coalesce(1).write.mode("append").parquet(f"{folder}/log")
-    events = spark.readStream.schema(chain_store.EVENT).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
-    store = chain_store.ChainStore(views.shared_folder(spark, "chain-store"), buckets=8)
+        rows.where(F.col("arrival") == k).drop("arrival").repartition(files, "document_id").write.mode("append").parquet(f"{folder}/log")
+    events = spark.readStream.schema(chain_store.EVENT).option("maxFilesPerTrigger", files).parquet(f"{folder}/log")
+    store = chain_store.ChainStore(views.shared_folder(spark, "chain-store"), buckets=buckets)
     found = chain_store.run_available(events, store)
     return found.select("ingredient_id", "event_id", "document_id", "unit_price", "previous_price", "delta", "delta_pct")
 

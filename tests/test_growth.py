@@ -78,3 +78,15 @@ def test_phrases_of_parts_read_no_documents(spark):
     told = cost_queries._priced(spark, SMALL)
     assert not any("documents" in f for f in told.inputFiles())
     assert "REPARTITION_BY_NUM" in plan(told)
+
+
+def test_log_and_store_grow_in_number(spark, tmp_path, monkeypatch):
+    """A batch of a long log has several files, and the chains more buckets."""
+    seen = {}
+    monkeypatch.setattr(chain_store, "run_available", lambda events, store: seen.update(events=events, store=store) or spark.createDataFrame([], chain_store.CHAIN))
+    rows = spark.range(400_000).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), (F.col("id") % 99).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    upkeep_queries.streaming_upkeep(spark, str(tmp_path))
+    assert seen["store"].buckets == 12
+    log = spark.read.schema(chain_store.EVENT).parquet(seen["store"].folder.rsplit("/", 1)[0] + "/arrivals-*/log")
+    assert len([f for f in log.inputFiles()]) >= 2 * texts.ARRIVALS
