@@ -59,7 +59,10 @@ def form(name: Column) -> Column:
 
 def described(rows: DataFrame, name: str = "printed", unit: str = "unit") -> DataFrame:
     """The rows with family, preservation, form, contract, grams, pack_ml, drink. Names repeat, so each pair of name and unit is read once and joined back."""
-    texts = rows.select(F.col(name).alias("_name"), F.coalesce(F.trim(F.lower(unit)), F.lit("")).alias("_unit")).distinct()
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # few bytes, but long to read: a fixed number of partitions is not merged into one
+    texts = rows.select(F.col(name).alias("_name"), F.coalesce(F.trim(F.lower(unit)), F.lit("")).alias("_unit")).distinct().repartition(tasks)
     read = texts.select("*", F.explode(F.array(packs.structure(F.col("_name")))).alias("s"))
     by_pack = units.unit_family(F.col("s.usable_unit"))
     read = read.withColumns({

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import identity
 from tallyforge.operators import audits, containment, reviews
-from tallyforge.plans import cost_queries, upkeep_queries
+from tallyforge.plans import contract_queries, cost_queries, upkeep_queries
 from tallyforge.sources import texts, views
 from tallyforge.streaming import chain_store
 from tests.conftest import SMALL
@@ -90,3 +90,13 @@ def test_log_and_store_grow_in_number(spark, tmp_path, monkeypatch):
     assert seen["store"].buckets == 12
     log = spark.read.schema(chain_store.EVENT).parquet(seen["store"].folder.rsplit("/", 1)[0] + "/arrivals-*/log")
     assert len([f for f in log.inputFiles()]) >= 2 * texts.ARRIVALS
+
+
+def test_described_purchases_move_by_order_and_ingredient(spark):
+    """Names are read beside the purchases, which move by neither their text nor a second time by ingredient; no order goes through the driver."""
+    final = plan(contract_queries.guarded_reasons(spark, SMALL)).split("Initial Plan")[0]
+    assert "hashpartitioning(ingredient_id" not in final and "hashpartitioning(printed" not in final
+    assert final.count("Exchange hashpartitioning(l_partkey") == 2 and final.count("Exchange hashpartitioning(l_orderkey") == 2
+    parts = spark.createDataFrame([("Salsa",), ("Salsa",), (None,)], "name string")
+    (told,) = contract_queries.told_names(parts).collect()
+    assert [(s.family, s.preservation, s.grams) for s in told.said] == [form[2:4] + (form[5],) for form in texts.LINE_FORMS]
