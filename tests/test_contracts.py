@@ -93,3 +93,39 @@ def test_prior_equals_plain(spark, params):
 
 def test_prior_of_nothing(spark):
     assert guarded_prior.nearest_compatible(spark.createDataFrame([], SCHEMA), ["at", "n"]).count() == 0
+
+
+def random_purchases(n):
+    from datetime import datetime, timedelta
+
+    rng = random.Random(8)
+    rows = []
+    for k in range(n):
+        family, kept = rng.choice(["weight"] * 6 + ["volume"]), rng.choice(["unknown", "fresh", "preserved"])
+        rows.append((0 if k % 2 else k % 31, f"r{k}", family, kept, "none", f"{family}{kept}", rng.choice([None, 80.0, 6000.0]), 2.0 ** rng.uniform(-6, 6), k % 19 == 0, datetime(2024, 1, 1) + timedelta(hours=9 * rng.randint(0, 200)), k))
+    return rows
+
+
+@pytest.mark.parametrize("params", [PriorParams(), PriorParams(chunk=40, bundle=40)])
+def test_short_ingredients_move_once(spark, params, monkeypatch):
+    """Short ingredients are searched where the window lines them up, over the borders of batches; only what a long one needs is written."""
+    rows, written = random_purchases(400), []
+    monkeypatch.setattr(guarded_prior, "saved", lambda frame, name, save=guarded_prior.saved: written.append(name) or save(frame, name))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = guarded_prior.nearest_compatible(spark.createDataFrame(rows, SCHEMA), ["at", "n"], params, carried=("row", "contract"))
+        got = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    contract = {r[1]: r[5] for r in rows}
+    assert {r.row: r.prior_row for r in got} == plain(rows) and len(got) == len(plain(rows))
+    assert all(r.contract == contract[r.row] and r.prior_contract == contract.get(r.prior_row) for r in got)
+    assert written == ["long"] if params.chunk > 400 else {"sound", "near"} <= set(written)
+
+
+def test_rows_without_ingredient_stand_alone(spark):
+    from datetime import datetime
+
+    rows = [(k, f"r{j}", "weight", "unknown", "none", "c", None, 2.0, False, datetime(2024, 1, 1 + j), j) for j, k in enumerate([None, None, 5, 5])]
+    got = guarded_prior.nearest_compatible(spark.createDataFrame(rows, SCHEMA), ["at", "n"]).collect()
+    assert {r.row: r.prior_row for r in got} == {"r0": None, "r1": None, "r2": None, "r3": "r2"}
