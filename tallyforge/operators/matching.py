@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.contracts import form
-from tallyforge.functions.text import dice, fingerprint, tokens
-from tallyforge.sources.tables import alias_key
+from tallyforge.functions.text import bound, dice, fingerprint, tokens
 from tallyforge.sources.views import saved
 
 
@@ -54,61 +53,165 @@ def fuzzy_aliases(lines: DataFrame, aliases: DataFrame, most: int = 2, direct: i
     return best.where(F.col("a.ingredient_id") == F.col("z.ingredient_id")).select("supplier_name", "key", "a.ingredient_id", "a.distance")
 
 
-def _weighed(texts: DataFrame, weights: DataFrame, unseen: int, share: float) -> DataFrame:
-    """key, bag (weight and word, heaviest first), whole (their weight), lead: the words that a text which shares `share` of the weight must have one of in common."""
-    words = texts.select("key", F.explode(tokens(F.col("key"))).alias("word")).join(weights, "word", "left")
-    bags = words.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("weight", F.lit(unseen)).alias("weight"), "word")), asc=False).alias("bag"))
+def _weighed(texts: DataFrame, weights: DataFrame, often: int, unseen: int, share: float) -> DataFrame:
+    """key, whole (the weight of its words), bag (weight and word, heaviest first), lead: the words that a text which shares `share` of the weight must have one of in common.
+
+    texts: distinct ones. Words of more than `often` entries are few and looked up where the texts lie; only the others are moved to their weights.
+    """
+    words = texts.select("key", F.explode(tokens(F.col("key"))).alias("word"))
+    common = F.broadcast(weights.where(F.col("df") > often).select("word", "weight"))
+    bags = words.join(common, "word", "left").groupBy("key").agg(F.collect_list(F.struct("weight", "word")).alias("bag"))
+    rare = words.join(common, "word", "left_anti").join(weights.where(F.col("df") <= often).select("word", "weight"), "word").groupBy("key").agg(F.collect_list(F.struct("weight", "word")).alias("rare"))
+    found = lambda t: F.get(F.filter("rare", lambda r: r["word"] == t["word"]), F.lit(0))["weight"]
+    bag = F.transform("bag", lambda t: F.struct(F.coalesce(t["weight"], found(t), F.lit(unseen)).alias("weight"), t["word"].alias("word")))
+    bags = bags.join(rare, "key", "left").select("key", F.sort_array(bag, asc=False).alias("bag"))
     total = lambda bag: F.aggregate(bag, F.lit(0).cast("long"), lambda n, t: n + t["weight"])
     bags = bags.withColumn("whole", total(F.col("bag")))
     lead = F.filter("bag", lambda t, i: total(F.slice("bag", i + 1, F.size("bag"))) >= share * F.col("whole"))
     return bags.withColumn("lead", F.transform(lead, lambda t: t["word"]))
 
 
-def similar_entries(lines: DataFrame, catalog: DataFrame, share: float = 0.5) -> DataFrame:
+def similar_entries(lines: DataFrame, catalog: DataFrame, share: float = 0.5, common: int = 1_000) -> DataFrame:
     """key, ingredient_id, overlap, dice, score of every distinct line key and catalog entry whose words share `share` of their weight and whose forms agree.
 
     A word weighs floor(1000 ln(1 + entries / entries with it)). Two texts that share enough have one of their leading, rarest words in common, so only texts
-    that meet there are compared, and only those whose weights are near enough; common words never make a block.
+    that meet there are compared, at the first such word, and only those whose weights are near enough; common words never make a block. An entry takes its words' weights along, so those of the
+    line need not move. A word of more than one in `common` entries is looked up, not joined.
     """
     entries = catalog.select("key", "ingredient_id")
     n = entries.count()
     df = entries.select(F.explode(tokens(F.col("key"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     weight = lambda d: F.floor(1000 * F.log(1 + n / d)).cast("long")
-    weights_ = df.select("word", weight(F.col("df")).alias("weight"))
+    # read for either side, common words and others
+    weights_ = saved(df.select("word", "df", weight(F.col("df")).alias("weight")), "weights")
     unseen = math.floor(1000 * math.log(1 + n))
     # forms are read once a text, not once a pair
-    mine = _weighed(lines.select("key").distinct(), weights_, unseen, share).withColumn("form", form(F.col("key")))
-    theirs = _weighed(entries.select("key").distinct(), weights_, unseen, share).withColumn("form", form(F.col("key"))).toDF("other", "their_bag", "their_whole", "their_lead", "their_form")
-    met = mine.select("key", "whole", "form", F.explode("lead").alias("word")).join(theirs.select("other", "their_whole", "their_form", F.explode("their_lead").alias("word")), "word")
-    near = met.where((F.col("form") == F.col("their_form")) & (F.col("whole") >= share * F.col("their_whole")) & (F.col("their_whole") >= share * F.col("whole"))).select("key", "other").distinct()
-    both = near.join(mine.drop("lead"), "key").join(theirs.drop("their_lead"), "other")
-    common = F.aggregate(F.array_intersect("bag", "their_bag"), F.lit(0).cast("long"), lambda s, t: s + t["weight"])
-    both = both.withColumn("common", common).withColumn("every", F.col("whole") + F.col("their_whole") - F.col("common")).where(F.col("common") >= share * F.col("every"))
+    mine = _weighed(lines.select("key").distinct(), weights_, n // common, unseen, share).select("key", "whole", "lead", form(F.col("key")).alias("form"))
+    theirs = _weighed(entries.select("key").distinct(), weights_, n // common, unseen, share).select(F.col("key").alias("other"), F.col("bag").alias("their_bag"), F.col("whole").alias("their_whole"), F.col("lead").alias("their_lead"), form(F.col("key")).alias("their_form"))
+    met = mine.select("*", F.explode("lead").alias("word")).join(theirs.select("*", F.explode("their_lead").alias("word")), "word")
+    first = F.get(F.array_intersect("lead", "their_lead"), F.lit(0))
+    near = met.where((F.col("form") == F.col("their_form")) & (F.col("whole") >= share * F.col("their_whole")) & (F.col("their_whole") >= share * F.col("whole")) & (F.col("word") == first))
+    shared = lambda words: F.aggregate("their_bag", F.lit(0).cast("long"), lambda s, t: s + F.when(F.array_contains(words, t["word"]), t["weight"]).otherwise(0))
+    both = near.select("key", "other", "whole", "their_whole", bound(tokens(F.col("key")), shared).alias("common"))
+    both = both.withColumn("every", F.col("whole") + F.col("their_whole") - F.col("common")).where(F.col("common") >= share * F.col("every"))
     scored = both.select("key", "other", (F.col("common") / F.col("every")).alias("overlap"), dice(F.col("key"), F.col("other")).alias("dice"))
     scored = scored.withColumn("score", 0.6 * F.col("overlap") + 0.4 * F.col("dice"))
     return scored.join(entries.withColumnRenamed("key", "other"), "other").select("key", "ingredient_id", "overlap", "dice", "score")
 
 
-def cascade(lines: DataFrame, catalog: DataFrame, aliases: DataFrame, overrides: DataFrame, rejected: DataFrame) -> DataFrame:
+# Places of the cascade's stages and their kinds.
+_OVERRIDE, _ALIAS, _GLOBAL, _FUZZY, _EXACT, _SCORED = range(6)
+_KINDS = ("override", "alias", "global_alias", "fuzzy_alias", "exact")
+
+
+def _first_word(key: Column) -> Column:
+    return F.substring_index(key, " ", 1)
+
+
+def _answers(candidates: DataFrame, *by: str) -> DataFrame:
+    """The columns of `by` with known (the entry of the alias without supplier) and rest (the best of the later stages): ingredient_id, stage, score."""
+    order = F.when(F.col("stage") > _GLOBAL, F.struct("stage", -F.round("score", 9), "ingredient_id"))
+    return candidates.groupBy(*by).agg(F.min(F.when(F.col("stage") == _GLOBAL, F.col("ingredient_id"))).alias("known"), F.min_by(F.when(F.col("stage") > _GLOBAL, F.struct("ingredient_id", "stage", "score")), order).alias("rest"))
+
+
+def _told_of(key: Column, told: Column) -> Column:
+    """ingredient_id and stage of the first stage of a supplier's own that answers, from what is told of the supplier and the key's first word."""
+    of = lambda rows, what: F.filter(rows, lambda t: t["what"] == what)
+    ids = lambda rows: F.transform(rows, lambda t: t["ingredient_id"])
+    answer = lambda i, stage: F.when(i.isNotNull(), F.struct(i.alias("ingredient_id"), F.lit(stage).alias("stage")))
+
+    def near(print_: Column) -> Column:
+        apart = F.transform(of(told, "alias"), lambda t: F.struct(F.levenshtein(print_, t["print"], 2).alias("distance"), t["ingredient_id"].alias("ingredient_id")))
+        return F.when(F.length(print_) >= LEAST_FINGERPRINT, F.filter(apart, lambda t: t["distance"] >= 0))
+
+    def only(rows: Column) -> Column:
+        nearest = bound(rows, lambda x: F.struct(F.array_min(x).alias("a"), F.array_max(F.transform(x, lambda t: F.struct((-t["distance"]).alias("d"), t["ingredient_id"].alias("i")))).alias("z")))
+        return bound(nearest, lambda n: F.when(n["a"]["ingredient_id"] == n["z"]["i"], n["a"]["ingredient_id"]))
+
+    def chosen(here: Column) -> Column:
+        kept = lambda i: F.when(~F.coalesce(F.array_contains(ids(of(here, "refused")), i), F.lit(False)), i)
+        one = lambda x: F.when(F.array_min(x) == F.array_max(x), F.array_min(x))
+        named = F.array_min(F.filter(ids(of(here, "override")), lambda i: ~F.array_contains(ids(of(here, "refused")), i)))
+        alias = bound(ids(of(here, "alias")), one)
+        close = bound(fingerprint(key), lambda p: only(near(p)))
+        return F.coalesce(answer(named, _OVERRIDE), bound(alias, lambda i: answer(kept(i), _ALIAS)), bound(close, lambda i: answer(kept(i), _FUZZY)))
+
+    return bound(F.filter(told, lambda t: t["text"] == key), chosen)
+
+
+def cascade(lines: DataFrame, catalog: DataFrame, aliases: DataFrame, overrides: DataFrame, rejected: DataFrame, direct: int = 64) -> DataFrame:
     """line_id, ingredient_id, kind, score: the first stage that answers.
 
     Stages in order: a user's override, the confirmed alias of the supplier, the alias without supplier, an alias within two edits of its fingerprint, the
     entry of the same key, the best scored entry (semantic or operational). Rejected pairs never match. An alias that names several entries answers nothing.
     lines: line_id, supplier_name, key; catalog: ingredient_id, key; aliases: supplier_name, normalized_alias, ingredient_id; overrides and rejected: supplier_name, key, ingredient_id.
+
+    Lines are read twice and move twice: to what is told of their supplier and first word, in one array of at most `direct` rows, and to the answers of their key.
+    Those whose supplier and first word are told more of are joined stage by stage.
     """
-    # every stage reads these, so keys are worked out and made distinct once
-    asked = saved(lines.select("supplier_name", "key").distinct(), "asked")
-    named = aliases.withColumn("lookup", alias_key(F.col("normalized_alias"), F.col("supplier_name"))).groupBy("lookup").agg(F.min("ingredient_id").alias("ingredient_id"), F.max("ingredient_id").alias("last"))
-    named = named.where(F.col("ingredient_id") == F.col("last")).select("lookup", "ingredient_id")
-    scoped = asked.withColumn("lookup", alias_key(F.col("key"), F.col("supplier_name"))).join(named, "lookup")
-    bare = asked.join(named.where(~F.contains("lookup", F.lit("::"))), asked["key"] == F.col("lookup"))
-    same = asked.join(catalog.groupBy("key").agg(F.min("ingredient_id").alias("ingredient_id")), "key")
-    near = asked.join(similar_entries(asked, catalog), "key").where(F.col("score") >= OPERATIONAL)
-    stages = [(asked.join(overrides, ["supplier_name", "key"]), "override"), (scoped, "alias"), (bare, "global_alias"), (fuzzy_aliases(asked, aliases), "fuzzy_alias"), (same, "exact")]
-    every = near.select("supplier_name", "key", "ingredient_id", F.when(F.col("score") >= SEMANTIC, "semantic").otherwise("operational").alias("kind"), "score", F.lit(len(stages)).alias("stage"))
-    for place, (rows, kind) in enumerate(stages):
-        every = every.unionByName(rows.select("supplier_name", "key", "ingredient_id", F.lit(kind).alias("kind"), F.lit(1.0).alias("score"), F.lit(place).alias("stage")))
-    every = every.join(rejected.select("supplier_name", "key", "ingredient_id").distinct(), ["supplier_name", "key", "ingredient_id"], "left_anti")
-    best = every.groupBy("supplier_name", "key").agg(F.min_by(F.struct("ingredient_id", "kind", "score"), F.struct("stage", -F.round("score", 9), "ingredient_id")).alias("m"))
-    found = lines.join(best, ["supplier_name", "key"], "left")
-    return found.select("line_id", "m.ingredient_id", F.coalesce("m.kind", F.lit("unmatched")).alias("kind"), F.coalesce("m.score", F.lit(0.0)).alias("score"))
+    owner = F.when(F.coalesce(F.trim("supplier_name") != "", F.lit(False)), F.col("supplier_name")).otherwise("")
+    known = aliases.where(F.col("normalized_alias").isNotNull()).select(owner.alias("supplier_name"), F.col("normalized_alias").alias("key"), "ingredient_id").distinct()
+    bare = known.where(F.col("supplier_name") == "").groupBy("key").agg(F.min("ingredient_id").alias("ingredient_id"), F.max("ingredient_id").alias("last")).where(F.col("ingredient_id") == F.col("last"))
+    near = similar_entries(lines, catalog).where(F.col("score") >= OPERATIONAL)
+    ready = lambda rows, stage: rows.select("key", "ingredient_id", F.lit(stage).alias("stage"), F.lit(1.0).alias("score"))
+    candidates = near.select("key", "ingredient_id", F.lit(_SCORED).alias("stage"), "score").unionByName(ready(bare, _GLOBAL)).unionByName(ready(catalog, _EXACT))
+    candidates = saved(candidates, "candidates")
+    # written, so that a key of very many lines is split where it meets its answer
+    answers = saved(_answers(candidates, "key"), "answers")
+
+    pair = ["supplier_name", "key"]
+    refused = saved(rejected.select(*pair, "ingredient_id").distinct(), "refused")
+    asked = refused.select(*pair).distinct()
+    left = _answers(asked.join(candidates, "key").join(refused, [*pair, "ingredient_id"], "left_anti"), *pair)
+    instead = asked.join(left, pair, "left").select(*pair, F.struct("known", "rest").alias("instead"))
+    row = lambda rows, what, more: rows.select("supplier_name", _first_word(F.col("key")).alias("head"), F.lit(what).alias("what"), F.col("key").alias("text"), *more)
+    spelt = F.when(F.length(fingerprint(F.col("key"))) >= LEAST_FINGERPRINT, fingerprint(F.col("key")))
+    told = row(known.where(F.col("supplier_name") != ""), "alias", ["ingredient_id", spelt.alias("print")])
+    for rows, what in ((overrides, "override"), (refused, "refused"), (instead, "instead")):
+        told = told.unionByName(row(rows, what, [c for c in rows.columns if c in ("ingredient_id", "instead")]), allowMissingColumns=True)
+    told = saved(told, "told")
+    crowd = saved(told.groupBy("supplier_name", "head").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > direct).drop("n"), "crowd")
+    place = ["supplier_name", "head"]
+    crowded = not crowd.isEmpty()
+    few = told.join(crowd, place, "left_anti") if crowded else told
+    few = saved(few.groupBy(*place).agg(F.collect_list(F.struct("what", "text", "print", "ingredient_id", "instead")).alias("told")), "few")
+
+    asking = lines.select("line_id", "supplier_name", "key")
+    apart = asking.withColumn("head", _first_word(F.col("key"))).join(crowd, place, "left_anti").drop("head") if crowded else asking
+    met = apart.join(few.toDF("_supplier", "_head", "told"), (F.col("supplier_name") == F.col("_supplier")) & (_first_word(F.col("key")) == F.col("_head")), "left")
+    again = F.get(F.filter("told", lambda t: (t["what"] == "instead") & (t["text"] == F.col("key"))), F.lit(0))["instead"]
+    # as before, a line without supplier is answered by nothing
+    heard = F.when(F.col("supplier_name").isNotNull(), F.col("key")).alias("key")
+    blank = (F.trim("supplier_name") == "").alias("blank")
+    met = met.select("line_id", heard, blank, _told_of(F.col("key"), F.col("told")).alias("own"), again.alias("instead"))
+    if crowded:
+        many = asking.withColumn("head", _first_word(F.col("key"))).join(crowd, place, "left_semi").drop("head")
+        met = met.unionByName(_joined(many, known, overrides, refused, instead).select("line_id", heard, blank, "own", "instead"))
+    found = met.join(answers, "key", "left")
+    global_ = F.when(F.col("instead").isNull(), F.col("known")).otherwise(F.col("instead.known"))
+    rest = F.when(F.col("instead").isNull(), F.col("rest")).otherwise(F.col("instead.rest"))
+    found = found.select("line_id", "own", "blank", global_.alias("known"), rest.alias("rest"))
+    own = F.col("own.stage")
+    found = found.withColumn("stage", F.when(own <= _ALIAS, own).when(F.col("known").isNotNull(), _GLOBAL).when(own.isNotNull(), own).otherwise(F.col("rest.stage")))
+    stage = F.col("stage")
+    entry = F.when(stage == _GLOBAL, F.col("known")).when(stage < _EXACT, F.col("own.ingredient_id")).otherwise(F.col("rest.ingredient_id"))
+    scored = F.when(F.col("rest.score") >= SEMANTIC, "semantic").otherwise("operational")
+    kind = F.when((stage == _GLOBAL) & F.col("blank"), "alias").when(stage == _SCORED, scored).otherwise(F.get(F.array(*map(F.lit, _KINDS)), stage))
+    score = F.when(stage == _SCORED, F.col("rest.score")).when(stage.isNotNull(), 1.0).otherwise(0.0)
+    return found.select("line_id", entry.alias("ingredient_id"), F.coalesce(kind, F.lit("unmatched")).alias("kind"), score.alias("score"))
+
+
+def _joined(lines: DataFrame, known: DataFrame, overrides: DataFrame, refused: DataFrame, instead: DataFrame) -> DataFrame:
+    """The lines with own and instead, as `_told_of` finds them, where very many rows are told of one supplier and first word."""
+    pair = ["supplier_name", "key"]
+    asked = lines.select(*pair).distinct()
+    scoped = known.where(F.col("supplier_name") != "")
+    only = scoped.groupBy(*pair).agg(F.min("ingredient_id").alias("ingredient_id"), F.max("ingredient_id").alias("last")).where(F.col("ingredient_id") == F.col("last"))
+    stages = [(asked.join(overrides, pair), _OVERRIDE), (asked.join(only, pair), _ALIAS), (fuzzy_aliases(asked, scoped.withColumnRenamed("key", "normalized_alias")), _FUZZY)]
+    every = None
+    for rows, stage in stages:
+        rows = rows.select(*pair, "ingredient_id", F.lit(stage).alias("stage"))
+        every = rows if every is None else every.unionByName(rows)
+    every = every.join(refused, [*pair, "ingredient_id"], "left_anti")
+    own = every.groupBy(*pair).agg(F.min(F.struct("stage", "ingredient_id")).alias("m")).select(*pair, F.struct("m.ingredient_id", "m.stage").alias("own"))
+    return lines.join(own, pair, "left").join(instead, pair, "left")

@@ -49,12 +49,11 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entry of every name that a supplier writes. Every third house blend was named by a user; of plain names each tenth part was rejected."""
-    names = views.saved(texts.written_names(spark, sf_dir), "names")
-    rows = _keyed(names)
-    own = rows.where("is_entry").select("form", "part_id", "supplier_name", "key", F.col("part_id").alias("ingredient_id"))
+    names = views.saved(texts.keyed_names(spark, sf_dir), "names")
+    own = names.where("is_entry").select("form", "part_id", "supplier_name", "key", F.col("part_id").alias("ingredient_id"))
     named = own.where("form = 7 AND part_id % 3 = 0").groupBy("supplier_name", "key").agg(F.min("ingredient_id").alias("ingredient_id"))
     refused = own.where("form = 0 AND part_id % 10 = 0").select("supplier_name", "key", "ingredient_id")
-    return matching.cascade(rows.select("line_id", "supplier_name", "key"), _catalog(spark, sf_dir), texts.written_aliases(spark, sf_dir, names).where("confirmed"), named, refused)
+    return matching.cascade(names.select("line_id", "supplier_name", "key"), _catalog(spark, sf_dir), texts.written_aliases(spark, sf_dir, names).where("confirmed"), named, refused)
 
 
 def contained_names(spark: SparkSession, sf_dir: str) -> DataFrame:

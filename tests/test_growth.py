@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tallyforge.functions import identity
-from tallyforge.operators import audits, containment, reviews
+from tallyforge.functions import identity, text
+from tallyforge.operators import audits, containment, matching, reviews
 from tallyforge.plans import contract_queries, cost_queries, upkeep_queries
 from tallyforge.sources import texts, views
 from tallyforge.streaming import chain_store
@@ -100,3 +100,25 @@ def test_described_purchases_move_by_order_and_ingredient(spark):
     parts = spark.createDataFrame([("Salsa",), ("Salsa",), (None,)], "name string")
     (told,) = contract_queries.told_names(parts).collect()
     assert [(s.family, s.preservation, s.grams) for s in told.said] == [form[2:4] + (form[5],) for form in texts.LINE_FORMS]
+
+
+def test_cascade_moves_lines_twice(spark):
+    """Lines go to what is told of their supplier and first word and to the answers of their key; no stage moves them for itself."""
+    lines = spark.createDataFrame([(1, "s", "queijo serra"), (2, "s", "molho"), (3, "t", None)], "line_id int, supplier_name string, key string")
+    catalog = spark.createDataFrame([(7, "queijo serra")], "ingredient_id int, key string")
+    told = spark.createDataFrame([("s", "molho", 7)], "supplier_name string, key string, ingredient_id int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = matching.cascade(lines, catalog, told.withColumnRenamed("key", "normalized_alias"), told.limit(0), told.limit(0))
+        assert sorted(tuple(r) for r in found.collect()) == [(1, 7, "exact", 1.0), (2, 7, "alias", 1.0), (3, None, "unmatched", 0.0)]
+        assert found._jdf.queryExecution().sparkPlan().toString().count("Scan ExistingRDD") == 1
+        assert plan(found).split("Initial Plan")[-1].count("Exchange hashpartitioning") == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_keyed_names_equal_written_names(spark):
+    read = texts.written_names(spark, SMALL).withColumn("key", text.canonical_key(F.col("text"))).drop("text")
+    keyed = texts.keyed_names(spark, SMALL).select(*read.columns)
+    assert keyed.count() == read.count() and keyed.exceptAll(read).isEmpty()
+    assert plan(keyed).split("Initial Plan")[-1].count("Exchange hashpartitioning(l_partkey") <= 1

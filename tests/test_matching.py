@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.functions import text
 from tallyforge.operators import containment, line_costs, matching, merging
 from tallyforge.streaming import chain_store
 
@@ -61,6 +62,60 @@ def test_similar_entries_equal_all_pairs(spark):
     assert got == pytest.approx(wanted) and len(got) > 40
 
 
+@pytest.mark.parametrize("direct, common", [(64, 1_000), (64, 2), (2, 1_000), (0, 1_000)])
+def test_cascade_equals_plain_stages(spark, direct, common):
+    """Every stage, refusals and suppliers without a name among them, whether little or much is told of a supplier; words are looked up or joined."""
+    rng = random.Random(12)
+    words = ["queijo", "molho", "lata", "bio", "serra"] + [f"marca{k}" for k in range(6)] + ["marcax", "marcaxy"]
+    name = lambda: " ".join(rng.sample(words, rng.randint(1, 3)))
+    entries = [(k, name()) for k in range(40)] + [(k + 100, key) for k, key in enumerate(["queijo serra"] * 3)]
+    suppliers = ["s", "t", "", None]
+    lines = [(k, rng.choice(suppliers), name()) for k in range(250)] + [(300, "s", None), (301, "s", "queijo serra"), (302, "t", "queijo serra"), (303, "s", ""), (304, None, "queijo serra")]
+    aliases = [(rng.choice(["s", "t", "", " "]), name(), rng.randint(0, 39)) for _ in range(60)]
+    keys = [k for _, _, k in lines if k]
+    some = lambda n: [(rng.choice(["s", "t", ""]), rng.choice(keys), rng.randint(0, 39)) for _ in range(n)]
+    overrides = some(25)
+    refused = some(60) + [o for o in overrides[:8]] + [(s, a, i) for s, a, i in aliases[:20]] + [(s, key, i) for s in ("s", "t", "") for i, key in entries[:15]] + [("s", "queijo serra", 100), ("t", "queijo serra", 100), ("t", "queijo serra", 101)]
+    catalog = spark.createDataFrame(entries, "ingredient_id int, key string")
+    asked = spark.createDataFrame(lines, "line_id int, supplier_name string, key string")
+    schema = "supplier_name string, key string, ingredient_id int"
+    scores = {}
+    for r in matching.similar_entries(asked, catalog, common=common).collect():
+        scores.setdefault(r.key, []).append((r.ingredient_id, r.score))
+    printed = {r.key: r.p for r in asked.select("key").unionByName(spark.createDataFrame([(a,) for _, a, _ in aliases], "key string")).select("key", text.fingerprint(F.col("key")).alias("p")).collect()}
+    no = set(refused)
+
+    def one(ids):
+        return ids.pop() if len(ids) == 1 else None
+
+    def answer(s, key):
+        if s is None or key is None:
+            return None, "unmatched", 0.0
+        ok = lambda i: i is not None and (s, key, i) not in no
+        named = [i for a, k, i in overrides if (a, k) == (s, key) and ok(i)]
+        if named:
+            return min(named), "override", 1.0
+        if ok(i := one({i for a, k, i in aliases if k == key and a.strip() == s})):
+            return i, "alias", 1.0
+        if ok(i := one({i for a, k, i in aliases if k == key and not a.strip()})):
+            return i, "global_alias", 1.0
+        if s.strip() and len(printed[key]) >= 4:
+            near = [(edits(printed[key], printed[k]), i) for a, k, i in aliases if a == s and k.split(" ")[0] == key.split(" ")[0] and len(printed[k]) >= 4]
+            near = [x for x in near if x[0] <= 2]
+            if near and ok(i := one({i for d, i in near if d == min(near)[0]})):
+                return i, "fuzzy_alias", 1.0
+        if same := [i for i, k in entries if k == key and ok(i)]:
+            return min(same), "exact", 1.0
+        best = sorted((-round(x, 9), i, x) for i, x in scores.get(key, []) if ok(i) and x >= matching.OPERATIONAL)
+        return (best[0][1], "semantic" if best[0][2] >= matching.SEMANTIC else "operational", best[0][2]) if best else (None, "unmatched", 0.0)
+
+    frames = [spark.createDataFrame(rows, schema) for rows in (aliases, overrides, refused)]
+    got = {r.line_id: (r.ingredient_id, r.kind, r.score) for r in matching.cascade(asked, catalog, frames[0].withColumnRenamed("key", "normalized_alias"), *frames[1:], direct=direct).collect()}
+    wanted = {i: answer(s, key) for i, s, key in lines}
+    assert got == wanted
+    assert {kind for _, kind, _ in wanted.values()} == {"override", "alias", "global_alias", "fuzzy_alias", "exact", "semantic", "operational", "unmatched"}
+
+
 def test_contained_equals_all_pairs(spark):
     rng = random.Random(7)
     names = [" ".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3))) for _ in range(120)] + ["", None, " ", "abab"]
