@@ -14,6 +14,8 @@ from tallyforge.sources.views import saved
 
 #: Fingerprints shorter than this say too little to be compared by edits.
 LEAST_FINGERPRINT = 4
+#: A fingerprint leaves about as many texts without two letters as take the time of so many comparisons, and they take disk, which comparisons don't.
+DIRECT = 1_024
 # Least scores of the two kinds of similarity match.
 SEMANTIC, OPERATIONAL = 0.72, 0.58
 
@@ -29,7 +31,7 @@ def deletions(x: Column) -> Column:
     return F.array_distinct(F.concat(F.array(x), F.coalesce(left, F.array().cast("array<string>"))))
 
 
-def fuzzy_aliases(lines: DataFrame, aliases: DataFrame, most: int = 2, direct: int = 64) -> DataFrame:
+def fuzzy_aliases(lines: DataFrame, aliases: DataFrame, most: int = 2, direct: int = DIRECT) -> DataFrame:
     """supplier_name, key, ingredient_id, distance: aliases of the line's own supplier with the same first word, whose fingerprint lies within `most` (two at most) edits.
 
     Lines whose nearest aliases name different entries have none. A line is compared with all aliases of its supplier and first word while these are at most `direct`;
@@ -54,7 +56,7 @@ def fuzzy_aliases(lines: DataFrame, aliases: DataFrame, most: int = 2, direct: i
 
 
 def _weighed(texts: DataFrame, weights: DataFrame, often: int, unseen: int, share: float) -> DataFrame:
-    """key, whole (the weight of its words), bag (weight and word, heaviest first), lead: the words that a text which shares `share` of the weight must have one of in common.
+    """key, whole (the weight of its words), bag (weight and word, heaviest first), lead (the words that a text which shares `share` of the weight must have one of in common), form.
 
     texts: distinct ones. Words of more than `often` entries are few and looked up where the texts lie; only the others are moved to their weights.
     """
@@ -62,13 +64,20 @@ def _weighed(texts: DataFrame, weights: DataFrame, often: int, unseen: int, shar
     common = F.broadcast(weights.where(F.col("df") > often).select("word", "weight"))
     bags = words.join(common, "word", "left").groupBy("key").agg(F.collect_list(F.struct("weight", "word")).alias("bag"))
     rare = words.join(common, "word", "left_anti").join(weights.where(F.col("df") <= often).select("word", "weight"), "word").groupBy("key").agg(F.collect_list(F.struct("weight", "word")).alias("rare"))
-    found = lambda t: F.get(F.filter("rare", lambda r: r["word"] == t["word"]), F.lit(0))["weight"]
-    bag = F.transform("bag", lambda t: F.struct(F.coalesce(t["weight"], found(t), F.lit(unseen)).alias("weight"), t["word"].alias("word")))
-    bags = bags.join(rare, "key", "left").select("key", F.sort_array(bag, asc=False).alias("bag"))
+
     total = lambda bag: F.aggregate(bag, F.lit(0).cast("long"), lambda n, t: n + t["weight"])
-    bags = bags.withColumn("whole", total(F.col("bag")))
-    lead = F.filter("bag", lambda t, i: total(F.slice("bag", i + 1, F.size("bag"))) >= share * F.col("whole"))
-    return bags.withColumn("lead", F.transform(lead, lambda t: t["word"]))
+
+    def led(w: Column) -> Column:
+        # what is left before each word, until too little is
+        rest = lambda a, t: F.struct((a["left"] - t["weight"]).alias("left"), F.when(a["left"] >= share * w["whole"], F.concat(a["lead"], F.array(t["word"]))).otherwise(a["lead"]).alias("lead"))
+        heavy = F.aggregate(w["bag"], F.struct(w["whole"].alias("left"), F.array().cast("array<string>").alias("lead")), rest, lambda a: a["lead"])
+        return F.struct(w["whole"].alias("whole"), w["bag"].alias("bag"), heavy.alias("lead"), form(F.col("key")).alias("form"))
+
+    found = lambda t: F.get(F.filter("rare", lambda r: r["word"] == t["word"]), F.lit(0))["weight"]
+    bag = F.sort_array(F.transform("bag", lambda t: F.struct(F.coalesce(t["weight"], found(t), F.lit(unseen)).alias("weight"), t["word"].alias("word"))), asc=False)
+    weighed = bound(bound(bag, lambda b: F.struct(b.alias("bag"), total(b).alias("whole"))), led)
+    # a generator works these out once a row, however many fields are used, and a filter on forms is not pushed below it, to texts that are not distinct yet
+    return bags.join(rare, "key", "left").select("key", F.explode(F.array(weighed)).alias("w")).select("key", "w.whole", "w.bag", "w.lead", "w.form")
 
 
 def similar_entries(lines: DataFrame, catalog: DataFrame, share: float = 0.5, common: int = 1_000) -> DataFrame:
@@ -86,8 +95,8 @@ def similar_entries(lines: DataFrame, catalog: DataFrame, share: float = 0.5, co
     weights_ = saved(df.select("word", "df", weight(F.col("df")).alias("weight")), "weights")
     unseen = math.floor(1000 * math.log(1 + n))
     # forms are read once a text, not once a pair
-    mine = _weighed(lines.select("key").distinct(), weights_, n // common, unseen, share).select("key", "whole", "lead", form(F.col("key")).alias("form"))
-    theirs = _weighed(entries.select("key").distinct(), weights_, n // common, unseen, share).select(F.col("key").alias("other"), F.col("bag").alias("their_bag"), F.col("whole").alias("their_whole"), F.col("lead").alias("their_lead"), form(F.col("key")).alias("their_form"))
+    mine = _weighed(lines.select("key").distinct(), weights_, n // common, unseen, share).drop("bag")
+    theirs = _weighed(entries.select("key").distinct(), weights_, n // common, unseen, share).toDF("other", "their_whole", "their_bag", "their_lead", "their_form")
     met = mine.select("*", F.explode("lead").alias("word")).join(theirs.select("*", F.explode("their_lead").alias("word")), "word")
     first = F.get(F.array_intersect("lead", "their_lead"), F.lit(0))
     near = met.where((F.col("form") == F.col("their_form")) & (F.col("whole") >= share * F.col("their_whole")) & (F.col("their_whole") >= share * F.col("whole")) & (F.col("word") == first))
@@ -136,7 +145,7 @@ def _told_of(key: Column, told: Column) -> Column:
         close = bound(fingerprint(key), lambda p: only(near(p)))
         return F.coalesce(answer(named, _OVERRIDE), bound(alias, lambda i: answer(kept(i), _ALIAS)), bound(close, lambda i: answer(kept(i), _FUZZY)))
 
-    return bound(F.filter(told, lambda t: t["text"] == key), chosen)
+    return F.when(told.isNotNull(), bound(F.filter(told, lambda t: t["text"] == key), chosen))
 
 
 def cascade(lines: DataFrame, catalog: DataFrame, aliases: DataFrame, overrides: DataFrame, rejected: DataFrame, direct: int = 64) -> DataFrame:

@@ -49,7 +49,8 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entry of every name that a supplier writes. Every third house blend was named by a user; of plain names each tenth part was rejected."""
-    names = views.saved(texts.keyed_names(spark, sf_dir), "names")
+    # the line's id is made of two others, so it is not written
+    names = views.saved(texts.keyed_names(spark, sf_dir), "names").withColumn("line_id", F.col("part_id") * 1_000_000 + F.col("supplier_id"))
     own = names.where("is_entry").select("form", "part_id", "supplier_name", "key", F.col("part_id").alias("ingredient_id"))
     named = own.where("form = 7 AND part_id % 3 = 0").groupBy("supplier_name", "key").agg(F.min("ingredient_id").alias("ingredient_id"))
     refused = own.where("form = 0 AND part_id % 10 = 0").select("supplier_name", "key", "ingredient_id")
