@@ -60,7 +60,8 @@ def _weighed(texts: DataFrame, weights: DataFrame, often: int, unseen: int, shar
 
     texts: distinct ones. Words of more than `often` entries are few and looked up where the texts lie; only the others are moved to their weights.
     """
-    words = texts.select("key", F.explode(tokens(F.col("key"))).alias("word"))
+    # without null keys on either way, which have no words, the distinct texts are moved once for both
+    words = texts.where(F.col("key").isNotNull()).select("key", F.explode(tokens(F.col("key"))).alias("word"))
     common = F.broadcast(weights.where(F.col("df") > often).select("word", "weight"))
     bags = words.join(common, "word", "left").groupBy("key").agg(F.collect_list(F.struct("weight", "word")).alias("bag"))
     rare = words.join(common, "word", "left_anti").join(weights.where(F.col("df") <= often).select("word", "weight"), "word").groupBy("key").agg(F.collect_list(F.struct("weight", "word")).alias("rare"))
