@@ -233,8 +233,8 @@ def read_once(rows: DataFrame, name: str) -> DataFrame:
     """The rows with s, the structure of the text in the column name. Each distinct text is read once, in as many tasks as the session shuffles into or has cores for; null texts stay, with a null s."""
     spark = rows.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    # few bytes, but long to read: a fixed number of partitions is not merged into one; by the text it would be taken for the exchange of the distinct and left out
-    distinct = rows.select(F.col(name).alias("_text")).where(F.col(name).isNotNull()).distinct().repartition(tasks)
+    # few bytes, but long to read: a fixed number of partitions is not merged into one; by the text itself it would be taken for the exchange of the distinct and left out
+    distinct = rows.select(F.col(name).alias("_text")).where(F.col(name).isNotNull()).distinct().repartition(tasks, F.xxhash64("_text"))
     # a generator works the structure out once a row, however many of its fields are used
     read = distinct.select("_text", F.explode(F.array(structure(F.col("_text")))).alias("s"))
     return rows.join(read, rows[name] == read["_text"], "left").drop("_text")
